@@ -1,0 +1,31 @@
+"""One registered query for each operator, with production parameters, over its whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import bpe
+from .common import table
+
+
+def tokenizer() -> tuple[str, str]:
+    """Rank file and split pattern that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer()
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern)
+    return bpe.digests(bpe.decode_documents(encoded, path, pattern))
+
+
+def queries() -> dict:
+    return {
+        "op10_bpe": op10_bpe,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
