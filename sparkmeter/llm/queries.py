@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, simhash
 from .common import table
 
 
@@ -15,6 +16,12 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = simhash.fingerprints(table(spark, sf_dir, "documents"), words=3)
+    found = simhash.linked(prints, radius=2)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern)
@@ -23,6 +30,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op7_simhash": op7_simhash,
         "op10_bpe": op10_bpe,
     }
 
