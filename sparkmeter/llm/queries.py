@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, urlfilter
+from . import bpe, simhash, tiling, urlfilter
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern)
@@ -46,6 +50,7 @@ def queries() -> dict:
     return {
         "op5_urlfilter": op5_urlfilter,
         "op7_simhash": op7_simhash,
+        "op9_decontaminate": op9_decontaminate,
         "op10_bpe": op10_bpe,
     }
 
