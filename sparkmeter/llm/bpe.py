@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import prepare, slices
 
 #: Entries that a worker keeps of each cache of pieces; a full cache starts anew, results stay the same.
-CACHE_ENTRIES = 500_000
-PREFIX_ENTRIES = 500_000
-PAIR_ENTRIES = 600_000
+CACHE_ENTRIES = 350_000
+PREFIX_ENTRIES = 350_000
+PAIR_ENTRIES = 400_000
 #: Longer pieces take the table instead of recursion.
 SHORT_BYTES = 128
 
