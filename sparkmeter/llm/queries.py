@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, simhash, tiling, urlfilter
+from . import bpe, chat, quality, simhash, tiling, urlfilter
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.union(more)))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Fixed rules of the url query: verdict, host, path.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -57,6 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_chat": op1_chat,
+        "op4_quality": op4_quality,
         "op5_urlfilter": op5_urlfilter,
         "op7_simhash": op7_simhash,
         "op9_decontaminate": op9_decontaminate,
