@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, simhash, tiling, urlfilter
+from . import bpe, chat, quality, simhash, suffixes, tiling, urlfilter
 from .common import table
 
 
@@ -42,6 +42,11 @@ def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = simhash.fingerprints(table(spark, sf_dir, "documents"), words=3)
     found = simhash.linked(prints, radius=2)
@@ -63,6 +68,7 @@ def queries() -> dict:
         "op1_chat": op1_chat,
         "op4_quality": op4_quality,
         "op5_urlfilter": op5_urlfilter,
+        "op6_suffixes": op6_suffixes,
         "op7_simhash": op7_simhash,
         "op9_decontaminate": op9_decontaminate,
         "op10_bpe": op10_bpe,
