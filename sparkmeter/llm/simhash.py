@@ -81,6 +81,172 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, f"`{id_col}` long, fp long")
 
 
+#: Minimum-hash bands and hashes in each, search radius inside a shard, members settled in one piece.
+BANDS, BAND_SIZE, WIDE, LARGEST = 12, 3, 20, 4096
+
+
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """id, a 128-bit hash of the shingle set (s1, s2), fingerprint, and band keys of each row."""
+    prepare(docs.sparkSession)
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(1, 1 << 63, BANDS * BAND_SIZE, dtype=np.uint64) | np.uint64(1)
+    offsets = rng.integers(0, 1 << 63, BANDS * BAND_SIZE, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            one, two, prints, bands = [], [], [], []
+            for text in part.column(1).to_pylist():
+                hashes = np.array(shingle_hashes(text_bytes(text), words), dtype=np.uint64)
+                unique = np.unique(hashes)
+                data = unique.tobytes()
+                one.append(signed(xxhash.xxh64_intdigest(data, 1)))
+                two.append(signed(xxhash.xxh64_intdigest(data, 2)))
+                prints.append(signed(fingerprint(hashes)))
+                least = np.zeros(BANDS * BAND_SIZE, np.uint64)
+                if len(unique):
+                    for i in range(BANDS * BAND_SIZE):
+                        least[i] = (unique * factors[i] + offsets[i]).min()
+                bands.append([signed(xxhash.xxh64_intdigest(row.tobytes())) for row in least.reshape(BANDS, BAND_SIZE)])
+            arrays = [part.column(0), *[pa.array(c, pa.int64()) for c in (one, two, prints)], pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "s1", "s2", "fp", "bands"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, s1 long, s2 long, fp long, bands array<long>")
+
+
+def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate links of each shard: every value to the leaders within ``WIDE`` bits; one without any becomes a leader."""
+    left: list[int] = []
+    right: list[int] = []
+    now, tree, names = None, BKTree(), []
+    for batch in batches:
+        for band, key, value, rep in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (band, key) != now:
+                now, tree, names = (band, key), BKTree(), []
+            value &= (1 << 64) - 1
+            near = tree.search(value, WIDE)
+            if near:
+                for place, _ in near:
+                    left.append(names[place])
+                    right.append(rep)
+            else:
+                tree.add(value)
+                names.append(rep)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        left, right = [], []
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have at least this Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    if not len(a):
+        return not len(b)
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared)
+
+
+def confirmed(similarity: float, survivors: bool):
+    """Python stage over (cluster, chunk, id, fp, set) rows in order: links that the shingle sets confirm, and the smallest member of each confirmed group where asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree, ids, sets, parent = None, BKTree(), [], [], []
+        out: list[tuple] = []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def pack() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * 5
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "cluster", "fp", "shingles"])
+
+        def close() -> None:
+            if survivors and now is not None:
+                for k in range(len(ids)):
+                    if root(k) == k:
+                        out.append((ids[k], None, now[0], signed(tree.values[k]), sets[k].tobytes()))
+
+        for batch in batches:
+            for cluster, chunk, name, value, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (cluster, chunk) != now:
+                    close()
+                    now, tree, ids, sets, parent = (cluster, chunk), BKTree(), [], [], []
+                value &= (1 << 64) - 1
+                own, place = np.frombuffer(data, np.uint64), len(ids)
+                ids.append(name)
+                sets.append(own)
+                parent.append(place)
+                for other, _ in sorted(tree.search(value, WIDE), key=lambda hit: hit[1]):
+                    a, b = root(other), root(place)
+                    if a != b and _alike(own, sets[other], similarity):
+                        parent[max(a, b)] = min(a, b)
+                        out.append((ids[other], name, None, None, None))
+                tree.add(value)
+            yield pack()
+            out.clear()
+        close()
+        yield pack()
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns ``id_col`` and ``component_id`` (the smallest id of its group) for each row with an id.
+
+    Two documents link if the sets of their word shingles have at least the Jaccard similarity. Candidates share a
+    band of minimum hashes and lie within ``WIDE`` bits of a shard's leader; candidate groups are then settled on
+    whole shingle sets. Equal sets are one value from the start. Groups of more than ``LARGEST`` values are settled
+    in chunks of that size, then the smallest members of the chunks' groups among each other.
+    Rows of equal id count as one document; rows with a null id are left out.
+    """
+    found = saved(sketches(docs, words, id_col, text_col).where("id is not null"))
+    values = found.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    shards = values.select(F.posexplode("bands").alias("band", "key"), "fp", "rep")
+    many = shards.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    shards = shards.join(many, ["band", "key"]).repartition("band", "key").sortWithinPartitions("band", "key", "rep")
+    clusters = saved(components(shards.mapInArrow(leaders, "a long, b long"), "a", "b"))
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
+    clusters = clusters.join(sizes, "component").select(F.col("node"), F.col("component").alias("cluster"), F.ceil(F.col("n") / LARGEST).alias("chunks"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 3):
+            prints, sets = [], []
+            for text in part.column(3).to_pylist():
+                hashes = np.array(shingle_hashes(text_bytes(text), words), dtype=np.uint64)
+                prints.append(signed(fingerprint(hashes)))
+                sets.append(np.unique(hashes).tobytes())
+            arrays = [*part.columns[:3], pa.array(prints, pa.int64()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["cluster", "chunk", "id", "fp", "shingles"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(clusters, F.col("id") == F.col("node"))
+    rows = rows.select("cluster", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "text")
+    sets = rows.mapInArrow(shingled, "cluster long, chunk long, id long, fp long, shingles binary")
+    schema = "a long, b long, cluster long, fp long, shingles binary"
+    order = ["cluster", "chunk", "id"]
+    first = saved(sets.repartition("cluster", "chunk").sortWithinPartitions(*order).mapInArrow(confirmed(similarity, True), schema))
+    split = clusters.where("chunks > 1").select("cluster").distinct()
+    again = first.where("b is null").join(split, "cluster").select("cluster", F.lit(0).cast("long").alias("chunk"), F.col("a").alias("id"), "fp", "shingles")
+    again = again.repartition("cluster", "chunk").sortWithinPartitions(*order).mapInArrow(confirmed(similarity, False), schema)
+    links = first.where("b is not null").select("a", "b").union(again.where("b is not null").select("a", "b"))
+    groups = components(links, "a", "b")
+    named = values.join(groups, values["rep"] == groups["node"], "left").select(F.col("s1").alias("v1"), F.col("s2").alias("v2"), F.coalesce("component", "rep").alias("component_id"))
+    joined = found.join(named, (F.col("s1") == F.col("v1")) & (F.col("s2") == F.col("v2")))
+    return joined.select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those of a near-duplicate group but for its smallest id."""
+    groups = near_duplicates(docs, words, similarity, id_col, text_col)
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+
+
 class BKTree:
     """Burkhard-Keller tree over unsigned 64-bit fingerprints."""
 
