@@ -1,5 +1,5 @@
 """Operators of a training-data pipeline; nothing else in the library imports this subpackage."""
 
-from .queries import oracle_sql, queries
+from .catalog import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
