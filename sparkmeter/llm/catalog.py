@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mtree, packing, quality, simhash, suffixes, tiling, urlfilter
+from . import bpe, chat, maxent, mtree, packing, quality, simhash, suffixes, tiling, urlfilter
 from .common import table
 
 
@@ -77,6 +77,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -96,6 +100,7 @@ def queries() -> dict:
         "op5_urlfilter": op5_urlfilter,
         "op6_suffixes": op6_suffixes,
         "op7_simhash": op7_simhash,
+        "op8_maxent": op8_maxent,
         "op9_decontaminate": op9_decontaminate,
         "op10_bpe": op10_bpe,
     }
