@@ -31,7 +31,7 @@ from .common import prepare, saved, slices, text_bytes
 
 HASH_BITS, SHRINK, CUT, ACCEPT, TEMPERATURE, FIT_ROWS, SEED = 22, 10.0, 2.5, -4.0, 0.1, 24_000, 17
 #: Words whose hashes a worker remembers.
-WORDS = 400_000
+WORDS = 250_000
 KINDS = ("target", "poor", "toxic")
 
 
@@ -64,7 +64,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_of")).select("kind", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=32 << 20):
+        for part in slices(batches):
             kinds = np.array(part.column(0).to_pylist())
             found = [ngrams(text_bytes(t)) for t in part.column(1).to_pylist()]
             all_ = np.concatenate(found)
