@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import prepare, slices
 
 #: Entries that a worker keeps of each cache of pieces; a full cache starts anew, results stay the same.
-CACHE_ENTRIES = 350_000
-PREFIX_ENTRIES = 350_000
+CACHE_ENTRIES = 250_000
+PREFIX_ENTRIES = 250_000
 PAIR_ENTRIES = 400_000
 #: Longer pieces take the table instead of recursion.
 SHORT_BYTES = 128
@@ -266,6 +266,11 @@ class TextEncoder:
             out.append(packed)
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Drop the pieces met so far; the worker process may serve other operators next."""
+        for cache in (self.plain, self.spaced, self.matches, self.codec.prefixes):
+            cache.clear()
+
     def decode(self, packed: bytes) -> bytes:
         return self.codec.decode(np.frombuffer(packed, dtype="<u4").tolist())
 
@@ -302,6 +307,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for part in slices(batches):
             packed = [encoder.encode(text) if text else b"" for text in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=[id_col, "ids"])
+        encoder.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` long, ids binary")

@@ -134,6 +134,7 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, pad: in
                     yield from flush()
                     held = 0
         yield from flush()
+        encoder.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, _SCHEMA)

@@ -72,6 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
             buckets, place = np.unique(all_, return_inverse=True)
             counts = [np.bincount(place[owner == k], minlength=len(buckets)) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (buckets, *counts)], names=["bucket", *KINDS])
+        _HASHES.clear()
 
     counts = saved(texts.mapInArrow(run, "bucket long, target long, poor long, toxic long").groupBy("bucket").agg(*[F.sum(k).alias(k) for k in KINDS]))
     totals = counts.agg(*[F.sum(k).alias(k) for k in KINDS]).first()
@@ -104,6 +105,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str, tex
                 hit = place[ngrams(text_bytes(text))] if text else ()
                 out.append(float(table[hit[hit > 0]].sum(axis=0).min()) if len(hit) else 0.0)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names=[*part.schema.names[: len(part.columns)], name])
+        _HASHES.clear()
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"`{name}` double"])
     return docs.mapInArrow(run, schema)

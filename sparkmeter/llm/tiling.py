@@ -31,7 +31,7 @@ LEAST, THRESHOLD = 5, 0.5
 #: UTF-8 bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 8 << 20
 #: Words whose hashes a worker remembers.
-WORDS = 500_000
+WORDS = 250_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -216,6 +216,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold
                 types = pa.int64(), pa.int64(), pa.float64(), pa.int32(), kind
                 arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, item_col, "coverage", "n_tiles", "tiles"])
+            _WORDS.clear()
 
         now = rows.mapInArrow(run, schema)
         found = now if found is None else found.union(now)
@@ -236,6 +237,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thr
             for part in slices(batches, at):
                 clean = [not matcher.matches(text_bytes(text)) for text in part.column(at).to_pylist()]
                 yield part.filter(pa.array(clean, pa.bool_()))
+            _WORDS.clear()
 
         kept = kept.mapInArrow(run, docs.schema)
     return kept
