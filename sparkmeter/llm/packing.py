@@ -19,15 +19,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder_of, vocabulary
+from .bpe import read_ranks, vocabulary
 from .common import prepare, slices
 
 LENGTH, PAD, BLOCK_IDS = 2048, 50256, 4 << 20
 
 
+_ENCODERS: dict[tuple[int, str], tiktoken.Encoding] = {}
+
+
+def encoding(content: bytes, pattern: str) -> tiktoken.Encoding:
+    """The worker's tokenizer for a rank file, made once for each process; its ids are those of ``bpe``."""
+    key = hash(content), pattern
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(content), special_tokens={})
+    return _ENCODERS[key]
+
+
 class Capacities:
     """Segment tree over free capacities 0 to ``most``: which capacities have rows, and the least one that is enough."""
 
@@ -101,7 +114,7 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, pad: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = encoder_of(shared.value, pattern)
+        encode = encoding(shared.value, pattern).encode_to_numpy
         number = TaskContext.get().partitionId() << 36
         pieces: list[tuple[int | None, int, np.ndarray]] = []
         held = 0
@@ -126,7 +139,7 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, pad: in
 
         for part in slices(batches):
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.encode(text), "<u4") if text else ()
+                ids = encode(text, disallowed_special=()) if text else ()
                 for start in range(0, len(ids), length):
                     pieces.append((doc, start, ids[start : start + length]))
                 held += len(ids)
@@ -134,7 +147,6 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, pad: in
                     yield from flush()
                     held = 0
         yield from flush()
-        encoder.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, _SCHEMA)
