@@ -1,0 +1,36 @@
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+
+from __future__ import annotations
+
+import json
+import os
+import statistics
+import time
+
+from pyspark.sql import SparkSession
+
+from sparkmeter.session import SETTINGS
+
+HEADLINE = ["cost_by_label", "cost_by_model", "usage_dedup_max", "cost_rollup_total", "label_model_grouping_sets", "top_sessions", "baseline_by_label", "spend_trend", "sticky_segments", "asof_child_segment", "ordered_merge", "dashboard_top10"]
+
+
+def main() -> None:
+    sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder.master(f"local[{cpus}]").config(map=SETTINGS | {"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    from sparkmeter.plans.registry import queries
+
+    known, took = queries(), {}
+    for name in HEADLINE:
+        times = []
+        for _ in range(3):  # the first run also compiles
+            began = time.perf_counter()
+            known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times.append(time.perf_counter() - began)
+        took[name] = round(statistics.median(times[1:]), 3)
+    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1]}))
+
+
+if __name__ == "__main__":
+    main()

@@ -12,11 +12,12 @@ def running(scope: list[str], order: list[str]) -> WindowSpec:
 
 
 def sticky_segments(rows: DataFrame, scope: list[str], order: list[str], marker: Column, opener: Column) -> DataFrame:
-    """Add ``seg_id``: a marker opens a segment that owns all rows up to the next one; the first ``opener`` row of a scope opens one too."""
-    window = Window.partitionBy(*scope).orderBy(*order)
-    first = opener & (F.sum(opener.cast("int")).over(running(scope, order)) == 1)
-    flagged = rows.withColumn("_opens", (F.coalesce(marker, F.lit(False)) | F.coalesce(first, F.lit(False))).cast("int"))
-    return flagged.withColumn("seg_id", F.sum("_opens").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")).drop("_opens")
+    """Add ``seg_id``: a marker opens a segment that owns all rows up to the next one; an ``opener`` row opens one if none is open yet."""
+    opens = F.coalesce(marker, F.lit(False))
+    candidate = opens | F.coalesce(opener, F.lit(False))
+    flagged = rows.withColumns({"_marks": opens, "_may": candidate})
+    flagged = flagged.withColumn("_opens", (F.col("_marks") | (F.col("_may") & (F.sum(F.col("_may").cast("int")).over(running(scope, order)) == 1))).cast("int"))
+    return flagged.withColumn("seg_id", F.sum("_opens").over(running(scope, order)).cast("long")).drop("_marks", "_may", "_opens")
 
 
 def first_use(rows: DataFrame, scope: list[str], key: str, order: list[str]) -> DataFrame:
