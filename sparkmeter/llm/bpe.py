@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices
+from .common import prepare, slices, stage
 
 #: Entries that a worker keeps of each cache of pieces; a full cache starts anew, results stay the same.
 CACHE_ENTRIES = 250_000
@@ -310,7 +310,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         encoder.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` long, ids binary")
+    return rows.mapInArrow(stage(run), f"`{id_col}` long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -325,7 +325,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
             decoded = [encoder.decode(packed) if packed else b"" for packed in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(decoded, pa.binary())], names=[id_col, "ids", "decoded"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` long, ids binary, decoded binary")
+    return encoded.select(id_col, "ids").mapInArrow(stage(run), f"`{id_col}` long, ids binary, decoded binary")
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

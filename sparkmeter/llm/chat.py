@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, stage
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -546,7 +546,7 @@ def format_conversations(turns: DataFrame, template: str = CHAT_TEMPLATE, conv_c
             yield pack()
 
     dealt = rows.repartition(conv_col).sortWithinPartitions(conv_col, F.col("turn").asc_nulls_first(), "role", "text")
-    return dealt.mapInArrow(run, f"`{conv_col}` long, {_CHUNKS}")
+    return dealt.mapInArrow(stage(run), f"`{conv_col}` long, {_CHUNKS}")
 
 
 class Reader:
@@ -620,4 +620,4 @@ def read_back(chunks: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         yield pack()
 
     schema = f"`{conv_col}` long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return chunks.mapInArrow(run, schema)
+    return chunks.mapInArrow(stage(run), schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +71,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLIC
             at += rows
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system: idle worker processes stay alive beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def stage(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A Python stage that tidies up at the end of each task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def text_bytes(value: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty."""
     return value.encode("utf-8", "surrogatepass") if value else b""

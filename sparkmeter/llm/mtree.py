@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare, saved
+from .common import prepare, saved, stage
 
 #: Points in a page, rows in a shard.
 PAGE, SHARD_ROWS = 64, 16_384
@@ -176,7 +176,7 @@ def top_k(rows: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["query_id", id_col, "score"])
 
     dealt = data.union(asks).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    found = dealt.mapInArrow(run, f"query_id long, `{id_col}` long, score long")
+    found = dealt.mapInArrow(stage(run), f"query_id long, `{id_col}` long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), id_col, "score")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks, vocabulary
-from .common import prepare, slices
+from .common import prepare, slices, stage
 
 LENGTH, PAD, BLOCK_IDS = 2048, 50256, 4 << 20
 
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, pad: in
         yield from flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(stage(run), _SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

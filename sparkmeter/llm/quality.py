@@ -19,6 +19,7 @@ count as one, bad if any is; without good or without bad labels every document s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, saved, slices, text_bytes
+from .common import prepare, saved, slices, stage, text_bytes
 
 HASH_BITS, SHRINK, CUT, ACCEPT, TEMPERATURE, FIT_ROWS, SEED = 22, 10.0, 2.5, -4.0, 0.1, 24_000, 17
 #: Words whose hashes a worker remembers.
 WORDS = 250_000
 KINDS = ("target", "poor", "toxic")
+#: |log ratio| is at most 2 * log((count + SHRINK) / SHRINK), which is under CUT below this count.
+RARE = int(SHRINK * (math.exp(CUT / 2) - 1))
 
 
 class _Hashes(dict):
@@ -74,14 +77,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (buckets, *counts)], names=["bucket", *KINDS])
         _HASHES.clear()
 
-    counts = saved(texts.mapInArrow(run, "bucket long, target long, poor long, toxic long").groupBy("bucket").agg(*[F.sum(k).alias(k) for k in KINDS]))
+    # a bucket of fewer than RARE occurrences cannot reach CUT: those count as one for the totals
+    each = texts.mapInArrow(stage(run), "bucket long, target long, poor long, toxic long").groupBy("bucket").agg(*[F.sum(k).alias(k) for k in KINDS])
+    rare = sum(F.col(k) for k in KINDS) < RARE
+    counts = saved(each.groupBy(F.when(rare, F.lit(-1).cast("long")).otherwise(F.col("bucket")).alias("bucket")).agg(*[F.sum(k).alias(k) for k in KINDS]))
     totals = counts.agg(*[F.sum(k).alias(k) for k in KINDS]).first()
     if not totals["target"] or not (totals["poor"] or totals["toxic"]):
         return np.zeros(0, np.int64), np.zeros((0, 2), np.float32)
     every = sum(totals[k] or 0 for k in KINDS)
     pooled = sum(F.col(k) for k in KINDS) / F.lit(float(every))
     ratio = {k: F.log((F.col(k) + SHRINK) / (pooled * F.lit(float(totals[k])) + SHRINK)) for k in KINDS}
-    two = counts.select("bucket", *[(ratio["target"] - ratio[k] if totals[k] else F.lit(0.0)).alias(k) for k in KINDS[1:]])
+    two = counts.where("bucket >= 0").select("bucket", *[(ratio["target"] - ratio[k] if totals[k] else F.lit(0.0)).alias(k) for k in KINDS[1:]])
     two = two.select("bucket", *[F.when(F.abs(k) >= CUT, F.col(k)).otherwise(0.0).alias(k) for k in KINDS[1:]]).where("poor != 0 or toxic != 0")
     strong = two.toPandas()  # bounded by the fit sample and the number of buckets
     return strong["bucket"].to_numpy(np.int64), strong[list(KINDS[1:])].to_numpy(np.float32)
@@ -108,7 +114,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str, tex
         _HASHES.clear()
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"`{name}` double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(stage(run), schema)
 
 
 def with_key(df: DataFrame, weight: str, key: str, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, saved, slices, text_bytes
+from .common import prepare, saved, slices, stage, text_bytes
 from .components import components
 
 SEED = 42
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.int64())], names=[id_col, "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` long, fp long")
+    return rows.mapInArrow(stage(run), f"`{id_col}` long, fp long")
 
 
 #: Minimum-hash bands and hashes in each, search radius inside a shard, members settled in one piece.
@@ -111,7 +111,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "s1", "s2", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, s1 long, s2 long, fp long, bands array<long>")
+    return rows.mapInArrow(stage(run), "id long, s1 long, s2 long, fp long, bands array<long>")
 
 
 def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     shards = values.select(F.posexplode("bands").alias("band", "key"), "fp", "rep")
     many = shards.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     shards = shards.join(many, ["band", "key"]).repartition("band", "key").sortWithinPartitions("band", "key", "rep")
-    clusters = saved(components(shards.mapInArrow(leaders, "a long, b long"), "a", "b"))
+    clusters = saved(components(shards.mapInArrow(stage(leaders), "a long, b long"), "a", "b"))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
     clusters = clusters.join(sizes, "component").select(F.col("node"), F.col("component").alias("cluster"), F.ceil(F.col("n") / LARGEST).alias("chunks"))
 
@@ -226,13 +226,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(clusters, F.col("id") == F.col("node"))
     rows = rows.select("cluster", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "text")
-    sets = rows.mapInArrow(shingled, "cluster long, chunk long, id long, fp long, shingles binary")
+    sets = rows.mapInArrow(stage(shingled), "cluster long, chunk long, id long, fp long, shingles binary")
     schema = "a long, b long, cluster long, fp long, shingles binary"
     order = ["cluster", "chunk", "id"]
-    first = saved(sets.repartition("cluster", "chunk").sortWithinPartitions(*order).mapInArrow(confirmed(similarity, True), schema))
+    first = saved(sets.repartition("cluster", "chunk").sortWithinPartitions(*order).mapInArrow(stage(confirmed(similarity, True)), schema))
     split = clusters.where("chunks > 1").select("cluster").distinct()
     again = first.where("b is null").join(split, "cluster").select("cluster", F.lit(0).cast("long").alias("chunk"), F.col("a").alias("id"), "fp", "shingles")
-    again = again.repartition("cluster", "chunk").sortWithinPartitions(*order).mapInArrow(confirmed(similarity, False), schema)
+    again = again.repartition("cluster", "chunk").sortWithinPartitions(*order).mapInArrow(stage(confirmed(similarity, False)), schema)
     links = first.where("b is not null").select("a", "b").union(again.where("b is not null").select("a", "b"))
     groups = components(links, "a", "b")
     named = values.join(groups, values["rep"] == groups["node"], "left").select(F.col("s1").alias("v1"), F.col("s2").alias("v2"), F.coalesce("component", "rep").alias("component_id"))
@@ -365,7 +365,7 @@ def linked(prints: DataFrame, radius: int = 2, blocks: int = 6, id_col: str = "d
                 left, right = [], []
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    edges = rows.repartition("band", "key").sortWithinPartitions("band", "key", "fp").mapInArrow(run, "a long, b long")
+    edges = rows.repartition("band", "key").sortWithinPartitions("band", "key", "fp").mapInArrow(stage(run), "a long, b long")
     nodes = components(edges, "a", "b")
     named = values.join(nodes, values["rep"] == nodes["node"], "left")
     named = named.select(F.col("fp").alias("value"), F.coalesce("component", "rep").alias("component_id"))

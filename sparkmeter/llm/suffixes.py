@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, saved, slices, text_bytes
+from .common import prepare, saved, slices, stage, text_bytes
 
 WINDOW, GRAM, PARTS, LARGEST = 200, 100, 4, 4096
 #: Symbols in one suffix array, about; a larger group has its own.
@@ -186,7 +186,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the base and of its inverse, modulo 2 ** 64."""
-    if len(_POWERS[0]) <= n:
+    if not n < len(_POWERS[0]) < 4 * n + (8 << 20):
         for k, base in enumerate((BASE, INVERSE)):
             steps = np.full(n + 1, base, np.uint64)
             steps[0] = 1
@@ -264,7 +264,7 @@ def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
             arrays = [k1, k2, pa.array(at - base, pa.int32()), _signed(found.of(at, at + gram)), _signed(mixed(context)), pa.array(right - base, pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "pos", "anchor", "context", "right"])
 
-    return texts.mapInArrow(run, "k1 long, k2 long, pos int, anchor long, context long, right int")
+    return texts.mapInArrow(stage(run), "k1 long, k2 long, pos int, anchor long, context long, right int")
 
 
 def ranges(window: int, gram: int, parts: int) -> list[tuple[int, int]]:
@@ -335,7 +335,7 @@ def cores(rows: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
                     names=["core", "part", "before", "after", "k1", "k2", "at", "single"],
                 )
 
-    return rows.mapInArrow(run, "core long, part int, before binary, after binary, k1 long, k2 long, at int, single boolean")
+    return rows.mapInArrow(stage(run), "core long, part int, before binary, after binary, k1 long, k2 long, at int, single boolean")
 
 
 def by_suffix_array(grouped: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
@@ -391,7 +391,7 @@ def by_suffix_array(grouped: DataFrame, window: int, gram: int, parts: int) -> D
 
     dealt = grouped.select("part", "core", "before", "after", "k1", "k2", "at", "single")
     dealt = dealt.repartition("core", "part").sortWithinPartitions("part", "core")
-    return dealt.mapInArrow(run, "k1 long, k2 long, first int, last int")
+    return dealt.mapInArrow(stage(run), "k1 long, k2 long, first int, last int")
 
 
 def by_counting(grouped: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
@@ -473,7 +473,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
     found = _with_spans(rows, "text", **options).select(id_col, "text", "spans")
-    return found.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.mapInArrow(stage(run), f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", **options: int) -> DataFrame:
@@ -494,6 +494,6 @@ def without_repeats(docs: DataFrame, text_col: str = "text", **options: int) ->
             yield pa.RecordBatch.from_arrays(columns, names=inner)
 
     found = _with_spans(rows, inner[at], **options).select(*inner, "spans")
-    return found.mapInArrow(run, rows.schema).toDF(*names)
+    return found.mapInArrow(stage(run), rows.schema).toDF(*names)
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, text_bytes
+from .common import prepare, slices, stage, text_bytes
 
 LEAST, THRESHOLD = 5, 0.5
 #: UTF-8 bytes of benchmark text in one broadcast block.
@@ -218,7 +218,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, item_col, "coverage", "n_tiles", "tiles"])
             _WORDS.clear()
 
-        now = rows.mapInArrow(run, schema)
+        now = rows.mapInArrow(stage(run), schema)
         found = now if found is None else found.union(now)
     return found if found is not None else spark.createDataFrame([], schema)
 
@@ -239,5 +239,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thr
                 yield part.filter(pa.array(clean, pa.bool_()))
             _WORDS.clear()
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = kept.mapInArrow(stage(run), docs.schema)
     return kept
