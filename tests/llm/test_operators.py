@@ -349,7 +349,7 @@ def test_maxent_scores(spark):
     rows += [r for r in ODD if r[0] not in (None, 5, 8)]
     table = clashing(docs(spark, [*rows, (None, "axx only here")]))
     found = collections.defaultdict(list)
-    for r in maxent.score(table, bucket_bytes=4000).collect():
+    for r in maxent.score(table, bucket_words=50).collect():
         found[r["doc_id"]].append(r)
     train = collections.Counter()
     for i, t in [*rows, (None, "axx only here")]:
