@@ -28,11 +28,14 @@ def desktop(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Composers and bubbles of a desktop store: ``requests`` and ``missing`` (headers without a bubble)."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteKeyValue)
-    store = spark.read.format("sqlite_kv").option("path", path).load()
+
+    def store() -> DataFrame:  # a relation of its own for each pushed filter
+        return spark.read.format("sqlite_kv").option("path", path).load()
+
     v = F.try_parse_json("value")
-    heads = store.where(F.col("key").startswith("composerData:")).select(get(v, "$.composerId").alias("session"), get(v, "$.name").alias("title"), get(v, "$.modelConfig.modelName").alias("composer_model"), F.posexplode(F.try_variant_get(v, "$.fullConversationHeadersOnly", "array<struct<bubbleId string, type bigint>>")).alias("n", "h"))
+    heads = store().where(F.col("key").startswith("composerData:")).select(get(v, "$.composerId").alias("session"), get(v, "$.name").alias("title"), get(v, "$.modelConfig.modelName").alias("composer_model"), F.posexplode(F.try_variant_get(v, "$.fullConversationHeadersOnly", "array<struct<bubbleId string, type bigint>>")).alias("n", "h"))
     heads = heads.select("session", "title", "composer_model", "n", F.col("h.bubbleId").alias("bubble"), F.col("h.type").alias("head_type"))
-    bubbles = store.where(F.col("key").startswith("bubbleId:")).select(F.split("key", ":")[1].alias("session"), F.split("key", ":")[2].alias("bubble"), get(v, "$.type", "bigint").alias("type"), get(v, "$.text").alias("text"), get(v, "$.modelType").alias("model"), get(v, "$.createdAt").alias("ts"), cursor_bubble(get(v, "$.tokenCount", "variant")).alias("usage"))
+    bubbles = store().where(F.col("key").startswith("bubbleId:")).select(F.split("key", ":")[1].alias("session"), F.split("key", ":")[2].alias("bubble"), get(v, "$.type", "bigint").alias("type"), get(v, "$.text").alias("text"), get(v, "$.modelType").alias("model"), get(v, "$.createdAt").alias("ts"), cursor_bubble(get(v, "$.tokenCount", "variant")).alias("usage"))
     rows = heads.join(bubbles, ["session", "bubble"], "left").withColumn("kind", F.coalesce("head_type", "type"))
     missing = rows.where("type is null").select("session", "bubble")
     rows = sticky_segments(rows, ["session"], ["n"], F.col("kind") == 1, F.lit(True))

@@ -1,0 +1,28 @@
+"""Incremental corpus index: only sources whose file or price list changed are read again."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+VERSION = 1
+
+
+def price_fingerprint(prices: dict) -> str:
+    return hashlib.sha1(json.dumps(prices, sort_keys=True).encode()).hexdigest()
+
+
+def changed(sources: DataFrame, index: DataFrame, fingerprint: str) -> DataFrame:
+    """Sources (path, size, mtime, family) to read: those without an index row of equal version, size, time and prices, with their whole family."""
+    known = index.where((F.col("version") == VERSION) & (F.col("prices") == fingerprint)).select("path", "size", "mtime")
+    fresh = sources.join(known, ["path", "size", "mtime"], "left_anti")
+    return sources.join(fresh.select("family").distinct(), "family", "left_semi")
+
+
+def merged(index: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame:
+    """The index with fresh rows in place of old ones; rows of sources that are gone leave."""
+    kept = index.join(fresh.select("path").distinct(), "path", "left_anti").join(sources.select("path"), "path", "left_semi")
+    return kept.unionByName(fresh)
