@@ -51,9 +51,13 @@ def rate_table(models: DataFrame, prices: DataFrame, model: str = "model") -> Da
     return matched.groupBy(model).agg(best).select(model, "best.*")
 
 
-def priced(usage: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
-    """``usage`` with its rates (null where the model has none)."""
-    return usage.join(rate_table(usage, prices, model), model, "left")
+def priced(usage: DataFrame, prices: DataFrame, model: str = "model", models: DataFrame | None = None) -> DataFrame:
+    """``usage`` with its rates (null where the model has none).
+
+    ``models``: where the distinct models are read from, if a cheaper frame than ``usage`` holds them all (a
+    dimension, the raw log); the rates are a row for each of them, which AQE broadcasts by its measured size.
+    """
+    return usage.join(rate_table(usage if models is None else models, prices, model), model, "left")
 
 
 def read_rate() -> Column:

@@ -88,7 +88,12 @@ class Views:
     def priced(self) -> DataFrame:
         from ..operators import pricing
 
-        return pricing.priced(self.requests(), self.prices()).withColumn("cost", pricing.nano_cost())
+        return pricing.priced(self.requests(), self.prices(), models=self.models()).withColumn("cost", pricing.nano_cost())
+
+    def models(self) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        return self.table("part").select(F.col("p_brand").alias("model"))
 
     def ev_log(self) -> DataFrame:
         text = EV_LOG_SQL.replace("FROM events", "FROM {events}").replace(", 'g')", ")")
