@@ -1,0 +1,19 @@
+"""The command line on a small transcript."""
+
+import json
+
+from sparkmeter import cli
+
+
+def test_commands(spark, tmp_path):
+    rows = [
+        {"type": "user", "timestamp": "2026-01-05T10:00:00Z", "message": {"role": "user", "content": "<command-name>/build</command-name>"}},
+        {"type": "assistant", "timestamp": "2026-01-05T10:01:00Z", "requestId": "r", "message": {"role": "assistant", "model": "m-1", "usage": {"input_tokens": 1_000_000, "output_tokens": 0}}},
+    ]
+    (tmp_path / "logs" / "proj").mkdir(parents=True)
+    (tmp_path / "logs" / "proj" / "s1.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "prices.json").write_text(json.dumps({"m-1": {"input": 3, "output": 15}}))
+    base = ["--root", str(tmp_path / "logs"), "--prices", str(tmp_path / "prices.json")]
+    assert cli.run([*base, "history", "--by", "command", "--csv"], spark).splitlines()[1] == "/build,1,0,1000000,0,0,0,3.0000"
+    assert "| /build | 1 |" in cli.run([*base, "report", "s1"], spark)
+    assert json.loads(cli.run([*base, "export"], spark).splitlines()[-1])["metrics"]["cost_usd"] == 3.0
