@@ -172,6 +172,7 @@ def confirmed(similarity: float, survivors: bool):
                     if root(k) == k:
                         out.append((ids[k], None, now[0], signed(tree.values[k]), sets[k].tobytes()))
 
+        held = np.zeros((64, 256), np.uint32)  # hashes of each member by their upper byte
         for batch in batches:
             for cluster, chunk, name, value, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (cluster, chunk) != now:
@@ -182,7 +183,14 @@ def confirmed(similarity: float, survivors: bool):
                 ids.append(name)
                 sets.append(own)
                 parent.append(place)
-                for other, _ in sorted(tree.search(value, WIDE), key=lambda hit: hit[1]):
+                if place == len(held):
+                    held = np.vstack([held, np.zeros_like(held)])
+                held[place] = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256)
+                near = np.array([p for p, _ in sorted(tree.search(value, WIDE), key=lambda hit: hit[1])], np.int64)
+                if len(near):  # shared hashes are at most the sum of the lower counts: exact, and cheap for many members
+                    most = np.minimum(held[near], held[place]).sum(axis=1)
+                    near = near[most >= similarity * (held[near].sum(axis=1) + len(own) - most.astype(np.int64)) - 1e-9]
+                for other in near.tolist():
                     a, b = root(other), root(place)
                     if a != b and _alike(own, sets[other], similarity):
                         parent[max(a, b)] = min(a, b)
