@@ -1,26 +1,31 @@
 """Quality selection by importance resampling.
 
 Hashed n-gram generative models (words and word pairs of lower-cased text) are fitted for the target (texts
-labelled good) and for the raw texts to be avoided (low quality, toxic), each as a Gamma-Poisson ratio to the
-pooled text: ``(count + SHRINK) / (expected + SHRINK)``. A text's log weight is the sum over its n-grams of
-the log ratio of target to raw model, the least of the kinds of raw text; n-grams whose ratio is under
-``CUT`` carry no evidence and are left out, so the model is a short table. Documents are then drawn without
-replacement by Gumbel top-k: key = log weight / TEMPERATURE + Gumbel noise from a hash of the id; k is the
-number of documents whose log weight is at least ``ACCEPT``.
+labelled good) and for each kind of raw text to be avoided (low quality, toxic): the mean rate of each n-gram in a
+text, all texts counting alike. An n-gram's evidence is the log ratio of target to raw model where the two are
+apart by z or more in a likelihood-ratio test of the texts that hold it or in Welch's test of the rates; other
+n-grams, and those of a single text, carry none. Copies of a text are few pieces of evidence: n of them count as 1 + log2 n. A word repeated at once is the same pair for all words. A text's score for a kind is the mean evidence of its
+n-grams, so neither its length nor the number of labels moves it. A quarter of the labelled texts (all
+copies of a text are on one side) is held out of the models and sets, for each kind, z (one of ``ZS``, as more labels
+need more) and the cut: the score under zero that leaves the fewest of them on the wrong side. The log weight is the distance to the cut, with the median rejected held-out text at
+``-SPREAD``, and the least of the kinds. Documents are then drawn without replacement by Gumbel top-k:
+key = log weight / TEMPERATURE + Gumbel noise from a hash of the id; k is the number of documents whose log
+weight is at least 0.
 
 The models are fitted on a bounded sample of labelled rows: the ``FIT_ROWS`` rows of smallest id hash. Scores,
 the count k and the k-th key cover all rows; the k-th key comes from histograms, no global sort.
 
-Results for odd input: a null or empty text has no n-grams, weight 0, and is a candidate like any other; a
+Results for odd input: a null or empty text has no n-grams, score 0, and is a candidate like any other; a
 null id has a fixed noise of its own; repeated rows have equal keys and stay or go together (ties at the k-th
 key all stay); labels without a document and documents without a label only miss from the fit; repeated labels
-count as one, bad if any is; without good or without bad labels every document stays.
+count as one, bad if any is; without good or without bad labels every document stays; a kind of too few texts for two
+sides is fitted and cut on the same.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +35,26 @@ from pyspark.sql import functions as F
 
 from .common import prepare, saved, slices, stage, text_bytes
 
-HASH_BITS, SHRINK, CUT, ACCEPT, TEMPERATURE, FIT_ROWS, SEED = 22, 10.0, 2.5, -4.0, 0.1, 24_000, 17
+HASH_BITS, ZS, HELD, SPREAD, TEMPERATURE, FIT_ROWS, SEED = 22, (3.0, 4.0, 5.0, 6.5, 8.0), 4, 40.0, 0.1, 24_000, 17
 #: Words whose hashes a worker remembers.
 WORDS = 250_000
+#: Hash of the pair of any word with itself.
+REPEAT = np.uint64(0x9FB21C651E98DF25)
+#: A cut under every mean of log ratios.
+NEVER = -50.0
 KINDS = ("target", "poor", "toxic")
-#: |log ratio| is at most 2 * log((count + SHRINK) / SHRINK), which is under CUT below this count.
-RARE = int(SHRINK * (math.exp(CUT / 2) - 1))
+
+
+class Model(NamedTuple):
+    """Buckets that carry evidence, their log ratios (a column for each kind of raw text), and each kind's cut and unit."""
+
+    buckets: np.ndarray
+    ratios: np.ndarray
+    cuts: np.ndarray
+    units: np.ndarray
+
+
+NO_MODEL = Model(np.zeros(0, np.int64), np.zeros((0, 2), np.float32), np.full(2, NEVER), np.full(2, SPREAD / -NEVER))
 
 
 class _Hashes(dict):
@@ -50,73 +69,136 @@ _HASHES = _Hashes()
 
 
 def ngrams(text: bytes, bits: int = HASH_BITS) -> np.ndarray:
-    """Buckets of a text's words and word pairs."""
+    """Buckets of a text's words and word pairs; the pairs of a word with itself share one."""
     words = text.lower().split()
     one = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    two[one[:-1] == one[1:]] = REPEAT
     return (np.concatenate([one, two]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that carry evidence, and their log ratios of the target to each kind of raw text (a row each)."""
+def cut_of(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
+    """The score below which a text is rejected, with the fewest good and bad texts on the wrong side, and the unit of distance to it.
+
+    It lies under zero, so that a text without evidence stays; of equally good cuts the one with the widest gap.
+    """
+    values, place = np.unique(np.concatenate([good, bad]), return_inverse=True)
+    change = np.bincount(place[: len(good)], minlength=len(values)) - np.bincount(place[len(good) :], minlength=len(values))
+    wrong = len(bad) + np.cumsum(change)  # with the cut above each value
+    upper = np.minimum(np.append(values[1:], 0.0), 0.0)
+    able = np.flatnonzero((values < 0) & (wrong < len(bad)))
+    if not len(able):
+        return NEVER, SPREAD / -NEVER
+    best = min(able.tolist(), key=lambda i: (wrong[i], values[i] - upper[i]))
+    cut = float(values[best] + upper[best]) / 2
+    gone = bad[bad < cut]
+    return cut, SPREAD / (cut - float(np.median(gone)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> Model:
+    """The n-grams that carry evidence, and the cuts set on held-out texts."""
     spark = docs.sparkSession
     prepare(spark)
     kind = F.when(F.max(F.coalesce(F.col("toxic"), F.lit(0))) > 0, 2).when(F.min(F.coalesce(F.col("quality"), F.lit(1))) < 1, 1).otherwise(0)
     known = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("label_of")).agg(kind.alias("kind"))
     known = known.orderBy(F.xxhash64("label_of", F.lit(SEED)), "label_of").limit(rows)  # bounded: broadcast below
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_of")).select("kind", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_of"))
+    texts = texts.groupBy("kind", F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"), (1 + F.log2(F.count("*"))).alias("weight"))
+    texts = saved(texts.select("kind", "text", "weight", (F.pmod(F.xxhash64("copy", F.lit(SEED)), F.lit(HELD)) == 0).alias("held")))
+    weights = {(r["kind"], r["held"]): r["w"] for r in texts.groupBy("kind", "held").agg(F.sum("weight").alias("w")).collect()}
+    lonely = [k for k in range(3) if len([side for side in (True, False) if (k, side) in weights]) == 1]
+    texts_of = {name: weights.get((k, False), 0.0) or weights.get((k, True), 0.0) for k, name in enumerate(KINDS)}
+    fitted = texts.where(~F.col("held") | F.col("kind").isin(lonely))
+    if not texts_of["target"] or not (texts_of["poor"] or texts_of["toxic"]):
+        return NO_MODEL
+    #: for each kind: the texts that hold a bucket, and the sums of its rates and of their squares
+    sums = [f"{k}{part}" for k in KINDS for part in ("", "_x", "_xx")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            kinds = np.array(part.column(0).to_pylist())
+            kinds, weight = (np.array(part.column(i).to_pylist()) for i in (0, 2))
             found = [ngrams(text_bytes(t)) for t in part.column(1).to_pylist()]
-            all_ = np.concatenate(found)
-            owner = np.repeat(kinds, [len(f) for f in found])
-            buckets, place = np.unique(all_, return_inverse=True)
-            counts = [np.bincount(place[owner == k], minlength=len(buckets)) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (buckets, *counts)], names=["bucket", *KINDS])
+            own = [np.unique(f, return_counts=True) for f in found]
+            rates = np.concatenate([n / max(len(f), 1) for f, (_, n) in zip(found, own, strict=True)])
+            owner, times = (np.repeat(c, [len(u) for u, _ in own]) for c in (kinds, weight))
+            buckets, place = np.unique(np.concatenate([u for u, _ in own]), return_inverse=True)
+            out = []
+            for k in range(3):
+                at, n, rate = place[owner == k], times[owner == k], rates[owner == k]
+                out += [np.bincount(at, w, len(buckets)).astype(np.float64) for w in (n, n * rate, n * rate * rate)]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), *[pa.array(c, pa.float64()) for c in out]], names=["bucket", *sums])
         _HASHES.clear()
 
-    # a bucket of fewer than RARE occurrences cannot reach CUT: those count as one for the totals
-    each = texts.mapInArrow(stage(run), "bucket long, target long, poor long, toxic long").groupBy("bucket").agg(*[F.sum(k).alias(k) for k in KINDS])
-    rare = sum(F.col(k) for k in KINDS) < RARE
-    counts = saved(each.groupBy(F.when(rare, F.lit(-1).cast("long")).otherwise(F.col("bucket")).alias("bucket")).agg(*[F.sum(k).alias(k) for k in KINDS]))
-    totals = counts.agg(*[F.sum(k).alias(k) for k in KINDS]).first()
-    if not totals["target"] or not (totals["poor"] or totals["toxic"]):
-        return np.zeros(0, np.int64), np.zeros((0, 2), np.float32)
-    every = sum(totals[k] or 0 for k in KINDS)
-    pooled = sum(F.col(k) for k in KINDS) / F.lit(float(every))
-    ratio = {k: F.log((F.col(k) + SHRINK) / (pooled * F.lit(float(totals[k])) + SHRINK)) for k in KINDS}
-    two = counts.where("bucket >= 0").select("bucket", *[(ratio["target"] - ratio[k] if totals[k] else F.lit(0.0)).alias(k) for k in KINDS[1:]])
-    two = two.select("bucket", *[F.when(F.abs(k) >= CUT, F.col(k)).otherwise(0.0).alias(k) for k in KINDS[1:]]).where("poor != 0 or toxic != 0")
-    strong = two.toPandas()  # bounded by the fit sample and the number of buckets
-    return strong["bucket"].to_numpy(np.int64), strong[list(KINDS[1:])].to_numpy(np.float32)
-
-
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``name``: the log weight of each text. No shuffle."""
+    # buckets of a single text prove nothing and count as one for the totals
+    schema = ", ".join(["bucket long", *[f"{c} double" for c in sums]])
+    each = fitted.select("kind", "text", "weight").mapInArrow(stage(run), schema).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in sums])
+    rare = sum(F.col(k) for k in KINDS) <= 1
+    counts = saved(each.groupBy(F.when(rare, F.lit(-1).cast("long")).otherwise(F.col("bucket")).alias("bucket")).agg(*[F.sum(c).alias(c) for c in sums]))
+    totals = counts.agg(*[F.coalesce(F.sum(k), F.lit(0.0)).alias(k) for k in KINDS]).first()
+
+    def evidence(k: str):
+        own, good = F.col(k), F.col("target")
+        share = totals[k] / max(totals["target"] + totals[k], 1)
+        part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+        held_by = 2 * (part(own, (own + good) * F.lit(share)) + part(good, (own + good) * F.lit(1 - share)))
+        n = {c: float(texts_of[c]) for c in ("target", k)}
+        mean = {c: F.col(f"{c}_x") / n[c] for c in n}
+        variance = sum((F.col(f"{c}_xx") / n[c] - mean[c] * mean[c]) / n[c] for c in n)
+        rates = F.when(variance > 0, (mean["target"] - mean[k]) * (mean["target"] - mean[k]) / variance).otherwise(0.0)
+        pooled = sum(F.col(f"{c}_x") for c in n) / sum(n.values())
+        model = {c: F.log((F.col(f"{c}_x") + 0.5 * pooled) / (n[c] + 0.5)) for c in n}  # half a text of the pooled rate
+        counts_ = (pooled > 0) & (own + good > 1)
+        return F.when(counts_, F.sqrt(F.greatest(held_by, rates))).otherwise(0.0).alias(f"{k}_z"), F.when(counts_, model["target"] - model[k]).otherwise(0.0).alias(k)
+
+    raw = [k for k in KINDS[1:] if texts_of[k]]
+    near = counts.where("bucket >= 0").select("bucket", *[c for k in raw for c in evidence(k)])
+    strong = near.where(" or ".join(f"{k}_z >= {ZS[0]}" for k in raw)).toPandas()  # bounded by the fit sample and the number of buckets
+    tried = [(i, k, np.where(strong[f"{k}_z"] >= z, strong[k], 0.0)) for i, k in enumerate(KINDS[1:]) if k in raw for z in ZS]
+    model = NO_MODEL._replace(buckets=strong["bucket"].to_numpy(np.int64), ratios=np.stack([c for _, _, c in tried], axis=1).astype(np.float32))
+    judges = texts.where(F.col("held") | F.col("kind").isin(lonely)).select("kind", "text")
+    names = [f"s{j}" for j in range(len(tried))]
+    found = _scores(judges, model, 1, lambda means: list(means.T), names).drop("text").toPandas()  # bounded by the fit sample
+    ratios, cuts, units = np.zeros((len(strong), 2), np.float32), NO_MODEL.cuts.copy(), NO_MODEL.units.copy()
+    least = {}
+    for j, (i, k, column) in enumerate(tried):
+        good, bad = (found.loc[found["kind"] == side, names[j]].to_numpy() for side in (0, i + 1))
+        cut, unit = cut_of(good, bad)
+        wrong = int((good < cut).sum() + (bad >= cut).sum())
+        if wrong < least.get(k, wrong + 1):
+            least[k], ratios[:, i], cuts[i], units[i] = wrong, column, cut, unit
+    return Model(model.buckets, ratios, cuts, units)
+
+
+def _scores(docs: DataFrame, model: Model, at: int, finish: Callable[[np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """``docs`` with double columns made by ``finish`` from the mean evidence of each text (a row) for each column of ratios. No shuffle."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    shared = spark.sparkContext.broadcast((model.buckets, model.ratios))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, ratios = shared.value
         place = np.zeros(1 << HASH_BITS, np.int32)
         place[buckets] = np.arange(1, len(buckets) + 1)
-        table = np.vstack([np.zeros((1, 2)), ratios.astype(np.float64)])
+        table = np.vstack([np.zeros((1, ratios.shape[1])), ratios.astype(np.float64)])
         for part in slices(batches, at):
-            out = []
-            for text in part.column(at).to_pylist():
+            means = np.zeros((part.num_rows, table.shape[1]))
+            for row, text in enumerate(part.column(at).to_pylist()):
                 hit = place[ngrams(text_bytes(text))] if text else ()
-                out.append(float(table[hit[hit > 0]].sum(axis=0).min()) if len(hit) else 0.0)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names=[*part.schema.names[: len(part.columns)], name])
+                if len(hit):
+                    means[row] = table[hit[hit > 0]].sum(axis=0) / len(hit)
+            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, pa.float64()) for c in finish(means)]], names=[*part.schema.names, *names])
         _HASHES.clear()
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"`{name}` double"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *[f"`{n}` double" for n in names]])
     return docs.mapInArrow(stage(run), schema)
 
 
+def scored(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``name``: the log weight of each text. No shuffle."""
+    cuts, units = model.cuts, model.units
+    return _scores(docs, model, docs.columns.index(text_col), lambda means: [((means - cuts) * units).min(axis=1)], [name])
+
+
 def with_key(df: DataFrame, weight: str, key: str, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
     """Add the Gumbel key: log weight over the temperature plus noise that depends on the id and the seed only."""
     unit = (F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), 11) + F.lit(0.5)) * F.lit(2.0**-53)
@@ -161,7 +243,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_id=label_id)
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
     keys = saved(with_key(scored(rows, model, "log_weight").drop("text"), "log_weight", "key", id_col))
-    least = kth_largest(keys, "key", keys.where(F.col("log_weight") >= ACCEPT).count())
+    least = kth_largest(keys, "key", keys.where(F.col("log_weight") >= 0).count())
     return keys.where(F.col("key") >= F.lit(least))
 
 
@@ -171,6 +253,6 @@ def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weight, key = _free(docs.columns, "log_weight"), _free(docs.columns, "gumbel_key")
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
     keys = saved(with_key(scored(rows, model, "log_weight").drop("text"), "log_weight", "key", id_col).drop(id_col))
-    least = kth_largest(keys, "key", keys.where(F.col("log_weight") >= ACCEPT).count())
+    least = kth_largest(keys, "key", keys.where(F.col("log_weight") >= 0).count())
     kept = with_key(scored(docs, model, weight, text_col), weight, key, id_col).where(F.col(key) >= F.lit(least))
     return kept.drop(weight, key)

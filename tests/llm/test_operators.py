@@ -202,6 +202,30 @@ def test_quality_rejects_labelled_kinds(spark):
     assert quality.select(table.limit(0), known).count() == 0
 
 
+def test_quality_by_documents_and_means(spark):
+    """One text's own words are no evidence, and a trace of it does not reject a long text."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 100)) for i in range(400)] + [(i, prose(rng, 60) + " vile" * 6) for i in range(400, 500)]
+    rows += [(500, prose(rng, 100) + " often" * 60), (501, prose(rng, 100) + " often" * 60)]
+    labels = [(i, 1, int(i >= 400)) for i in range(502) if i != 501]
+    rows += [(i, prose(rng, 100) + " often" * 4) for i in range(600, 620)]  # words of one toxic text
+    rows += [(i, prose(rng, 6000) + " vile" * 2) for i in range(620, 640)]
+    rows += [(i, prose(rng, 900) + " vile" * 90) for i in range(640, 660)]
+    drawn = quality.select(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    ids = {r["doc_id"] for r in drawn.collect()}
+    assert len(set(range(600, 640)) - ids) <= 1 and len(set(range(400)) - ids) <= 4
+    assert len(ids & {*range(400, 500), *range(640, 660)}) <= 4
+
+
+def test_quality_cut():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        good, bad = np.round(rng.normal(0, 1, rng.integers(0, 9)), 1), np.round(rng.normal(-1, 1, rng.integers(0, 9)), 1)
+        cut, unit = quality.cut_of(good, bad)
+        best = min((good < c).sum() + (bad >= c).sum() for c in [-60.0, *np.arange(-4.95, 0, 0.1)])
+        assert cut < 0 < unit and (good < cut).sum() + (bad >= cut).sum() == best
+
+
 def test_kth_largest(spark):
     rng = random.Random(4)
     values = [round(rng.gauss(0, 5), 1) for _ in range(500)]
