@@ -7,8 +7,8 @@ shards that can hold a neighbour of it:
 
 * ``linked`` (radius up to 2, exact): the 64 bits are cut into blocks; two fingerprints within the radius
   agree on all blocks but ``radius`` of them, so a shard is a choice of agreeing blocks with their value.
-* ``near_duplicates`` (shingle similarity): a shard is a band of minimum shingle hashes, the tree searches
-  it by a wide radius, and each link is confirmed on the documents' whole shingle sets.
+* ``near_duplicates`` (shingle similarity): a shard is a band of minimum shingle hashes; texts that share one are
+  candidates whatever their fingerprints, and each link is confirmed on the documents' whole shingle sets.
 
 Inside a shard a union-find keeps a spanning set of links, never all pairs of a group.
 
@@ -81,59 +81,54 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(stage(run), f"`{id_col}` long, fp long")
 
 
-#: Minimum-hash bands and hashes in each, search radius inside a shard, members settled in one piece.
-BANDS, BAND_SIZE, WIDE, LARGEST = 12, 3, 20, 4096
+#: Minimum-hash bands and hashes in each, members settled in one piece.
+BANDS, BAND_SIZE, LARGEST = 12, 3, 4096
+_RNG = np.random.default_rng(SEED)
+FACTORS = _RNG.integers(1, 1 << 63, BANDS * BAND_SIZE, dtype=np.uint64) | np.uint64(1)
+OFFSETS = _RNG.integers(0, 1 << 63, BANDS * BAND_SIZE, dtype=np.uint64)
+
+
+def band_keys(unique: np.ndarray) -> list[int]:
+    """Signed keys of the bands of minimum hashes of a set of shingle hashes."""
+    least = np.zeros(BANDS * BAND_SIZE, np.uint64)
+    if len(unique):
+        for i in range(BANDS * BAND_SIZE):
+            least[i] = (unique * FACTORS[i] + OFFSETS[i]).min()
+    return [signed(xxhash.xxh64_intdigest(row.tobytes())) for row in least.reshape(BANDS, BAND_SIZE)]
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, a 128-bit hash of the shingle set (s1, s2), fingerprint, and band keys of each row."""
+    """id, a 128-bit hash of the shingle set (s1, s2), and band keys of each row."""
     prepare(docs.sparkSession)
-    rng = np.random.default_rng(SEED)
-    factors = rng.integers(1, 1 << 63, BANDS * BAND_SIZE, dtype=np.uint64) | np.uint64(1)
-    offsets = rng.integers(0, 1 << 63, BANDS * BAND_SIZE, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            one, two, prints, bands = [], [], [], []
+            one, two, bands = [], [], []
             for text in part.column(1).to_pylist():
-                hashes = np.array(shingle_hashes(text_bytes(text), words), dtype=np.uint64)
-                unique = np.unique(hashes)
+                unique = np.unique(np.array(shingle_hashes(text_bytes(text), words), dtype=np.uint64))
                 data = unique.tobytes()
                 one.append(signed(xxhash.xxh64_intdigest(data, 1)))
                 two.append(signed(xxhash.xxh64_intdigest(data, 2)))
-                prints.append(signed(fingerprint(hashes)))
-                least = np.zeros(BANDS * BAND_SIZE, np.uint64)
-                if len(unique):
-                    for i in range(BANDS * BAND_SIZE):
-                        least[i] = (unique * factors[i] + offsets[i]).min()
-                bands.append([signed(xxhash.xxh64_intdigest(row.tobytes())) for row in least.reshape(BANDS, BAND_SIZE)])
-            arrays = [part.column(0), *[pa.array(c, pa.int64()) for c in (one, two, prints)], pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "s1", "s2", "fp", "bands"])
+                bands.append(band_keys(unique))
+            arrays = [part.column(0), *[pa.array(c, pa.int64()) for c in (one, two)], pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "s1", "s2", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(stage(run), "id long, s1 long, s2 long, fp long, bands array<long>")
+    return rows.mapInArrow(stage(run), "id long, s1 long, s2 long, bands array<long>")
 
 
 def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links of each shard: every value to the leaders within ``WIDE`` bits; one without any becomes a leader."""
-    left: list[int] = []
-    right: list[int] = []
-    now, tree, names = None, BKTree(), []
+    """A link from each shard's first value to each other one."""
+    now, head = None, None
     for batch in batches:
-        for band, key, value, rep in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        left, right = [], []
+        for band, key, rep in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if (band, key) != now:
-                now, tree, names = (band, key), BKTree(), []
-            value &= (1 << 64) - 1
-            near = tree.search(value, WIDE)
-            if near:
-                for place, _ in near:
-                    left.append(names[place])
-                    right.append(rep)
+                now, head = (band, key), rep
             else:
-                tree.add(value)
-                names.append(rep)
+                left.append(head)
+                right.append(rep)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-        left, right = [], []
 
 
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -148,58 +143,40 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(both) - shared)
 
 
-def confirmed(similarity: float, survivors: bool):
-    """Python stage over (cluster, chunk, id, fp, set) rows in order: links that the shingle sets confirm, and the smallest member of each confirmed group where asked for."""
+def confirmed(similarity: float):
+    """Python stage over (cluster, low, high, chunk, id, bands, shingles) rows in order: spanning links among the pairs that share a band and that the shingle sets confirm, within a chunk (low = high) or between two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tree, ids, sets, parent = None, BKTree(), [], [], []
-        out: list[tuple] = []
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def pack() -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else [()] * 5
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "cluster", "fp", "shingles"])
-
-        def close() -> None:
-            if survivors and now is not None:
-                for k in range(len(ids)):
-                    if root(k) == k:
-                        out.append((ids[k], None, now[0], signed(tree.values[k]), sets[k].tobytes()))
-
+        now, ids, sets = None, [], []
         held = np.zeros((64, 256), np.uint32)  # hashes of each member by their upper byte
+        keys = np.zeros((64, BANDS), np.int64)
+        label, side = np.zeros(64, np.int64), np.zeros(64, np.int64)
         for batch in batches:
-            for cluster, chunk, name, value, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (cluster, chunk) != now:
-                    close()
-                    now, tree, ids, sets, parent = (cluster, chunk), BKTree(), [], [], []
-                value &= (1 << 64) - 1
+            left, right = [], []
+            for cluster, low, high, chunk, name, bands, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (cluster, low, high) != now:
+                    now, ids, sets = (cluster, low, high), [], []
                 own, place = np.frombuffer(data, np.uint64), len(ids)
                 ids.append(name)
                 sets.append(own)
-                parent.append(place)
                 if place == len(held):
-                    held = np.vstack([held, np.zeros_like(held)])
+                    held, keys, label, side = (np.concatenate([x, np.zeros_like(x)]) for x in (held, keys, label, side))
                 held[place] = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256)
-                near = np.array([p for p, _ in sorted(tree.search(value, WIDE), key=lambda hit: hit[1])], np.int64)
+                keys[place], label[place], side[place] = bands, place, chunk
+                able = (keys[:place] == keys[place]).any(axis=1)
+                if low != high:
+                    able &= side[:place] != chunk
+                near = np.flatnonzero(able)
                 if len(near):  # shared hashes are at most the sum of the lower counts: exact, and cheap for many members
-                    most = np.minimum(held[near], held[place]).sum(axis=1)
-                    near = near[most >= similarity * (held[near].sum(axis=1) + len(own) - most.astype(np.int64)) - 1e-9]
+                    most = np.minimum(held[near], held[place]).sum(axis=1).astype(np.int64)
+                    fits = most >= similarity * (held[near].sum(axis=1).astype(np.int64) + len(own) - most) - 1e-9
+                    near = near[fits][np.argsort(-most[fits], kind="stable")]
                 for other in near.tolist():
-                    a, b = root(other), root(place)
-                    if a != b and _alike(own, sets[other], similarity):
-                        parent[max(a, b)] = min(a, b)
-                        out.append((ids[other], name, None, None, None))
-                tree.add(value)
-            yield pack()
-            out.clear()
-        close()
-        yield pack()
+                    if label[other] != label[place] and _alike(own, sets[other], similarity):
+                        label[: place + 1][label[: place + 1] == label[place]] = label[other]
+                        left.append(ids[other])
+                        right.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -208,14 +185,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     """Columns ``id_col`` and ``component_id`` (the smallest id of its group) for each row with an id.
 
     Two documents link if the sets of their word shingles have at least the Jaccard similarity. Candidates share a
-    band of minimum hashes and lie within ``WIDE`` bits of a shard's leader; candidate groups are then settled on
-    whole shingle sets. Equal sets are one value from the start. Groups of more than ``LARGEST`` values are settled
-    in chunks of that size, then the smallest members of the chunks' groups among each other.
+    band of minimum hashes (a pair of similarity 0.8 misses all bands once in 5,500); every pair of candidates is
+    settled on whole shingle sets. Equal sets are one value from the start. Groups of more than ``LARGEST`` values
+    are cut into chunks of that size, and each pair of chunks is settled by a task of its own.
     Rows of equal id count as one document; rows with a null id are left out.
     """
     found = saved(sketches(docs, words, id_col, text_col).where("id is not null"))
-    values = found.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
-    shards = values.select(F.posexplode("bands").alias("band", "key"), "fp", "rep")
+    values = found.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("bands").alias("bands"))
+    shards = values.select(F.posexplode("bands").alias("band", "key"), "rep")
     many = shards.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     shards = shards.join(many, ["band", "key"]).repartition("band", "key").sortWithinPartitions("band", "key", "rep")
     clusters = saved(components(shards.mapInArrow(stage(leaders), "a long, b long"), "a", "b"))
@@ -224,24 +201,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 3):
-            prints, sets = [], []
+            bands, sets = [], []
             for text in part.column(3).to_pylist():
-                hashes = np.array(shingle_hashes(text_bytes(text), words), dtype=np.uint64)
-                prints.append(signed(fingerprint(hashes)))
-                sets.append(np.unique(hashes).tobytes())
-            arrays = [*part.columns[:3], pa.array(prints, pa.int64()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["cluster", "chunk", "id", "fp", "shingles"])
+                unique = np.unique(np.array(shingle_hashes(text_bytes(text), words), dtype=np.uint64))
+                bands.append(band_keys(unique))
+                sets.append(unique.tobytes())
+            arrays = [*part.columns[:3], part.column(4), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["cluster", "chunk", "id", "chunks", "bands", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(clusters, F.col("id") == F.col("node"))
-    rows = rows.select("cluster", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "text")
-    sets = rows.mapInArrow(stage(shingled), "cluster long, chunk long, id long, fp long, shingles binary")
-    schema = "a long, b long, cluster long, fp long, shingles binary"
-    order = ["cluster", "chunk", "id"]
-    first = saved(sets.repartition("cluster", "chunk").sortWithinPartitions(*order).mapInArrow(stage(confirmed(similarity, True)), schema))
-    split = clusters.where("chunks > 1").select("cluster").distinct()
-    again = first.where("b is null").join(split, "cluster").select("cluster", F.lit(0).cast("long").alias("chunk"), F.col("a").alias("id"), "fp", "shingles")
-    again = again.repartition("cluster", "chunk").sortWithinPartitions(*order).mapInArrow(stage(confirmed(similarity, False)), schema)
-    links = first.where("b is not null").select("a", "b").union(again.where("b is not null").select("a", "b"))
+    rows = rows.select("cluster", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "text", "chunks")
+    sets = rows.mapInArrow(stage(shingled), "cluster long, chunk long, id long, chunks long, bands array<long>, shingles binary")
+    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    pairs = pairs.select("cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "id", "bands", "shingles")
+    pairs = pairs.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id")
+    links = saved(pairs.mapInArrow(stage(confirmed(similarity)), "a long, b long"))
     groups = components(links, "a", "b")
     named = values.join(groups, values["rep"] == groups["node"], "left").select(F.col("s1").alias("v1"), F.col("s2").alias("v2"), F.coalesce("component", "rep").alias("component_id"))
     joined = found.join(named, (F.col("s1") == F.col("v1")) & (F.col("s2") == F.col("v2")))

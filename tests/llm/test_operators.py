@@ -361,6 +361,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == {*want.values(), None}
 
 
+def test_near_duplicates_of_a_base_in_other_chunks(spark, monkeypatch):
+    """Edits of one base that are not alike among each other, in a group of many chunks; the base has the largest id."""
+    monkeypatch.setattr(simhash, "LARGEST", 8)
+    rng = random.Random(11)
+    base = prose(rng, 200, 9000).split()
+    rows = [(900, " ".join(base))]
+    for i in range(60):
+        words = list(base)
+        for k in range(4):
+            words[50 * k + 5 + rng.randrange(40)] = f"new{i}_{k}"
+        rows.append((i, " ".join(words)))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert found == dict.fromkeys([i for i, _ in rows], 0)
+
+
 # --- 8 language model --------------------------------------------------------------------------------
 
 
