@@ -376,6 +376,20 @@ def test_near_duplicates_of_a_base_in_other_chunks(spark, monkeypatch):
     assert found == dict.fromkeys([i for i, _ in rows], 0)
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    """Repeats of a line weigh on the fingerprint and not on the set of shingles."""
+    rng = random.Random(12)
+    rows, far = [], 0
+    for i in range(40):
+        words, line = prose(rng, 200, 9000).split(), " " + prose(rng, 10, 9000)
+        other = [*words[:100], "changed", *words[101:]]
+        rows += [(2 * i, " ".join(words) + line * 2), (2 * i + 1, " ".join(other) + line * 40)]
+        one, two = (simhash.fingerprint(np.array(simhash.shingle_hashes(t.encode(), 5), np.uint64)) for _, t in rows[-2:])
+        far += (one ^ two).bit_count() > 20
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert far and found == {i: i - i % 2 for i, _ in rows}
+
+
 # --- 8 language model --------------------------------------------------------------------------------
 
 
