@@ -419,6 +419,20 @@ def test_maxent_scores(spark):
     assert maxent.score(table.limit(0)).count() == 0
 
 
+def test_maxent_pairs_of_words():
+    """A word that depends on both words before it together, not on either alone."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(4000):
+        a, b = rng.choice(["red", "sky"]), rng.choice(["red", "sky"])
+        texts.append(f"{a} {b} {'same' if a == b else 'otherwise'}".encode())
+    codes, starts = maxent.encoded(texts)
+    model = maxent.Model()
+    for _ in range(40):
+        model.run(codes, starts, True)
+    assert model.run(codes, starts, False)[starts + 2].mean() > -0.15 and maxent.DIGITS == 32
+
+
 # --- 9 decontamination -------------------------------------------------------------------------------
 
 
