@@ -330,15 +330,15 @@ def linked(prints: DataFrame, radius: int = 2, blocks: int = 6, id_col: str = "d
     prints = saved(prints)
     values = prints.groupBy("fp").agg(F.min(id_col).alias("rep"))
     masks = block_masks(radius, blocks)
-    rows = values.where("rep is not null").select(
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(mask)) for mask in masks])).alias("band", "key"), "fp", "rep"
+    rows = values.select(
+        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(mask)) for mask in masks])).alias("band", "key"), "fp"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[int] = []
         right: list[int] = []
-        for _, _, prints_, reps in grouped(batches, 2):
-            names = reps.tolist()
+        for _, _, prints_ in grouped(batches, 2):
+            names = prints_.tolist()
             for a, b in spanning_links(prints_.view(np.uint64).tolist(), radius):
                 left.append(names[a])
                 right.append(names[b])
@@ -349,8 +349,10 @@ def linked(prints: DataFrame, radius: int = 2, blocks: int = 6, id_col: str = "d
 
     edges = rows.repartition("band", "key").sortWithinPartitions("band", "key", "fp").mapInArrow(stage(run), "a long, b long")
     nodes = components(edges, "a", "b")
-    named = values.join(nodes, values["rep"] == nodes["node"], "left")
-    named = named.select(F.col("fp").alias("value"), F.coalesce("component", "rep").alias("component_id"))
+    named = values.join(nodes, values["fp"] == nodes["node"], "left").select(F.col("fp").alias("value"), "rep", "component")
+    least = named.where("component is not null").groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("least"))
+    named = named.join(least, F.col("component") == F.col("of"), "left")
+    named = named.select("value", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(named, prints["fp"] == named["value"]).select(id_col, "fp", "component_id")
 
 

@@ -331,6 +331,12 @@ def test_simhash_components(spark):
     assert simhash.linked(simhash.fingerprints(table.limit(0))).count() == 0
 
 
+def test_simhash_links_by_rows_without_an_id(spark):
+    prints = spark.createDataFrame([(7, 0), (None, 3), (9, 15), (None, 1 << 40 | 1 << 50 | 1 << 60), (4, -1)], "doc_id long, fp long")
+    found = sorted(((r["fp"], r["component_id"]) for r in simhash.linked(prints).collect()))
+    assert found == [(-1, 4), (0, 7), (3, 7), (15, 7), (1 << 40 | 1 << 50 | 1 << 60, None)]
+
+
 def test_bk_tree_finds_all_within_the_radius():
     rng = random.Random(8)
     values = [rng.getrandbits(64) for _ in range(50)]
