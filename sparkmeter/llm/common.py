@@ -8,6 +8,7 @@ import gc
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one output batch of a Python stage is built from.
 SLICE_BYTES = 4 << 20
+#: Rows and bytes that Spark hands to a Python stage at a time (its own default of 64 MiB is held twice: in the JVM and in Python).
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Folder of each table written by ``saved``, and all of them that are still there.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_OPEN: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,18 +29,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and name a checkpoint folder where the cluster names none.
+    """Let Python workers import this package, keep their input batches small, and see to a checkpoint folder.
 
-    ``spark.checkpoint.dir`` of the session wins; the local fallback serves tests on one machine only.
+    ``spark.checkpoint.dir`` of the session wins. A machine-local folder takes its place on a local master only;
+    elsewhere executors would not share it, which is an error.
     """
     context = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = context.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         context.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkmeter-checkpoints-"))
+        if folder is None:
+            if not context.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="sparkmeter-checkpoints-")
+        context.setCheckpointDir(folder)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder; what is written there goes when the driver ends."""
+    prepare(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    file_system, place = _on_disk(spark, path)
+    file_system.mkdirs(place.getParent())
+    file_system.deleteOnExit(place)
+    return path
+
+
+def _on_disk(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -42,10 +70,30 @@ def saved(df: DataFrame) -> DataFrame:
 
     Parquet takes half of the room that the rows of an RDD checkpoint take.
     """
-    prepare(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[found] = path
+    _OPEN.add(path)
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table made by ``saved`` that nothing will read again; other frames are left alone."""
+    if path := _FOLDERS.pop(df, None):
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the checkpoint folder."""
+    file_system, place = _on_disk(spark, path)
+    file_system.delete(place, True)
+    _OPEN.discard(path)
+
+
+def open_tables() -> set[str]:
+    """Folders of the tables that ``saved`` wrote and that are still there."""
+    return set(_OPEN)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -32,6 +32,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         small = large.join(lowest, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = saved(small.union(lowest.select("a", F.col("m").alias("b"))).distinct())
         found = _mark(after)
+        discard(now)
         now = after
         if found == mark:
             break

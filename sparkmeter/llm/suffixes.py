@@ -29,17 +29,20 @@ are copies of each other; extra columns are ignored by ``remove_repeats`` and ke
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, saved, slices, stage, text_bytes
+from .common import discard, prepare, saved, slices, stage, text_bytes
 
 WINDOW, GRAM, PARTS, LARGEST = 200, 100, 4, 4096
 #: Symbols in one suffix array, about; a larger group has its own.
 BATCH_SYMBOLS = 60_000
+#: Bytes that are hashed at a time; a longer text is cut into strips that overlap.
+STRIP_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -185,10 +188,10 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse, modulo 2 ** 64."""
-    if not n < len(_POWERS[0]) < 4 * n + (8 << 20):
+    """Powers 0 to n and more of the base and of its inverse, modulo 2 ** 64; n is some strips' length at most."""
+    if n >= len(_POWERS[0]):
         for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(n + 1, base, np.uint64)
+            steps = np.full(n + 1 + n // 4, base, np.uint64)
             steps[0] = 1
             _POWERS[k] = np.multiply.accumulate(steps)
     return _POWERS[0], _POWERS[1]
@@ -208,34 +211,75 @@ def sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (size - have)], values[size - have :]) if have < size else values
 
 
-class Hashed:
-    """Some texts, one after the other, with hashes of any of their substrings."""
+class Strip(NamedTuple):
+    """Part of a text: its row, where the part begins in the text, its bytes, and which of its places are its own."""
+
+    row: int
+    offset: int
+    data: bytes
+    first: int
+    last: int
+
 
-    def __init__(self, texts: list[bytes]):
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        self.starts = self.ends - np.array([len(t) for t in texts], dtype=np.int64)
+def strips(texts: list[bytes], before: int, after: int, size: int = 0) -> Iterator[list[Strip]]:
+    """All texts in strips of about ``size`` bytes in all; every place is one strip's own, with ``before`` and ``after`` bytes around it."""
+    size = size or STRIP_BYTES
+    held: list[Strip] = []
+    total = 0
+    for row, text in enumerate(texts):
+        for at in range(0, len(text), size):
+            end = min(len(text), at + size)
+            a, b = max(0, at - before), min(len(text), end + after)
+            held.append(Strip(row, a, text[a:b], at - a, end - a))
+            total += b - a
+            if total >= size:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
+class Hashed:
+    """Some strips, one after the other, with hashes of any of their substrings."""
+
+    def __init__(self, own: list[Strip]):
+        sizes = np.array([len(s.data) for s in own], np.int64)
+        self.bytes = b"".join([s.data for s in own])
+        self.data = np.frombuffer(self.bytes, np.uint8)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.rows, self.offsets, self.first, self.last = (np.array([s[i] for s in own], np.int64) for i in (0, 1, 3, 4))
         up, _ = powers(len(self.data))
         self.sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=self.sums[1:])
+        terms = self.data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= up[: len(terms)]
+        np.cumsum(terms, out=self.sums[1:])
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Hashes of the substrings from ``left`` to before ``right``."""
         return mixed((self.sums[right] - self.sums[left]) * powers(len(self.data))[1][left])
 
-    def anchors(self, window: int, gram: int) -> np.ndarray:
-        """Places of all anchors."""
+    def anchors(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all anchors that are their strip's own, and the strip of each."""
         n = len(self.data)
         if n < window:
-            return np.zeros(0, np.int64)
-        grams = mixed((self.sums[gram:] - self.sums[:-gram]) * powers(n)[1][: n - gram + 1])
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        grams = self.sums[gram:] - self.sums[:-gram]
+        grams *= powers(n)[1][: n - gram + 1]
+        grams = mixed(grams)
         near = window - gram + 1
         least = sliding(grams, near, np.minimum)  # for each window start
-        owner = np.repeat(np.arange(len(self.ends)), self.ends - self.starts)[: len(least)]
-        least[np.arange(len(least)) + window > self.ends[owner]] = 0  # windows over a border
-        padded = np.concatenate([np.zeros(near - 1, np.uint64), least, np.zeros(near - 1, np.uint64)])
+        for end in self.ends.tolist():  # windows over a border
+            least[max(0, end - window + 1) : end] = 0
+        padded = np.zeros(len(least) + 2 * (near - 1), np.uint64)
+        padded[near - 1 : near - 1 + len(least)] = least
         best = sliding(padded, near, np.maximum)  # the highest least of the windows around each gram
-        return np.flatnonzero(best[: len(grams)] == grams)
+        at = np.flatnonzero(best[: len(grams)] == grams)
+        strip = np.searchsorted(self.ends, at, "right")
+        local = at - self.starts[strip]
+        own = (local >= self.first[strip]) & (local < self.last[strip])
+        return at[own], strip[own]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -253,16 +297,16 @@ def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2, 1 << 20):
-            found = Hashed([text_bytes(t) for t in part.column(2).to_pylist()])
-            at = found.anchors(window, gram)
-            owner = np.searchsorted(found.ends, at, "right")
-            left = np.maximum(found.starts[owner], at - (window - gram))
-            right = np.minimum(found.ends[owner], at + window)
-            context = found.of(left, right) + (at - left).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-            k1, k2 = (part.column(i).take(pa.array(owner)) for i in (0, 1))
-            base = found.starts[owner]
-            arrays = [k1, k2, pa.array(at - base, pa.int32()), _signed(found.of(at, at + gram)), _signed(mixed(context)), pa.array(right - base, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "pos", "anchor", "context", "right"])
+            for own in strips([text_bytes(t) for t in part.column(2).to_pylist()], window - gram, window):
+                found = Hashed(own)
+                at, strip = found.anchors(window, gram)
+                left = np.maximum(found.starts[strip], at - (window - gram))
+                right = np.minimum(found.ends[strip], at + window)
+                context = found.of(left, right) + (at - left).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+                k1, k2 = (part.column(i).take(pa.array(found.rows[strip])) for i in (0, 1))
+                base = found.starts[strip] - found.offsets[strip]
+                arrays = [k1, k2, pa.array(at - base, pa.int32()), _signed(found.of(at, at + gram)), _signed(mixed(context)), pa.array(right - base, pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "pos", "anchor", "context", "right"])
 
     return texts.mapInArrow(stage(run), "k1 long, k2 long, pos int, anchor long, context long, right int")
 
@@ -286,7 +330,9 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int
     long = texts.where(F.octet_length("text") >= window)
     found = anchors(long, window, gram)
     again = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
-    held = saved(found.join(again.select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "anchor"))
+    again = saved(again.select("anchor", (F.col("lo") == F.col("hi")).alias("alike")))  # both sides of the join are plain shuffles, which AQE may split
+    held = saved(found.join(again, "anchor"))
+    discard(again)
     span = [F.greatest(F.lit(0), F.col("pos") - (window - gram)).cast("int").alias("first"), F.col("right").alias("last")]
     alike = held.where("alike").select("k1", "k2", *span)
     rest = held.where("not alike")
@@ -307,33 +353,48 @@ def cores(rows: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
     spans = ranges(window, gram, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for part in slices(batches, 2, 1 << 20):
-            texts = [text_bytes(t) for t in part.column(2).to_pylist()]
-            found = Hashed(texts)
+            keys = np.stack([part.column(i).to_numpy() for i in (0, 1)], axis=1)
+            first = np.ones(len(keys), bool)  # copies of a text follow each other: one is enough
+            first[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+            first[0] = before is None or (keys[0] != before).any()
+            before = keys[-1]
+            part = part.filter(pa.array(first))
             lists = part.column(3)
-            counts = np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(texts)), counts)
+            owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
             places = lists.flatten()
-            pos = places.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-            single = places.field("n").to_numpy(zero_copy_only=False) == 1
-            start, end = found.starts[owner], found.ends[owner]
-            data = found.data.tobytes()
-            for k, (a, b) in enumerate(spans):
-                core_l, core_r = start + pos - a, start + pos - b + window
-                ok = np.flatnonzero((core_l >= start) & (core_r <= end))
-                if not len(ok):
+            all_pos = places.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(owner << 40 | all_pos)
+            line = (owner << 40 | all_pos)[order]
+            alone = places.field("n").to_numpy(zero_copy_only=False)[order] == 1
+            for own in strips([text_bytes(t) for t in part.column(2).to_pylist()], window - gram, window):
+                found = Hashed(own)
+                key = found.rows << 40 | found.offsets
+                lows, highs = np.searchsorted(line, key + found.first), np.searchsorted(line, key + found.last)
+                strip = np.repeat(np.arange(len(own)), highs - lows)
+                if not len(strip):
                     continue
-                core_l, core_r = core_l[ok], core_r[ok]
-                left = np.maximum(start[ok], core_l - (b - a))
-                right = np.minimum(end[ok], core_r + (b - a))
-                key = mixed(found.of(core_l, core_r) + np.uint64(k))
-                lefts = [data[x:y] for x, y in zip(left.tolist(), core_l.tolist(), strict=True)]
-                rights = [data[x:y] for x, y in zip(core_r.tolist(), right.tolist(), strict=True)]
-                own = pa.array(owner[ok])
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(key), pa.array(np.full(len(ok), k), pa.int32()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()), part.column(0).take(own), part.column(1).take(own), pa.array((left - start[ok]), pa.int32()), pa.array(single[ok], pa.bool_())],
-                    names=["core", "part", "before", "after", "k1", "k2", "at", "single"],
-                )
+                at = np.concatenate([np.arange(a, b) for a, b in zip(lows.tolist(), highs.tolist(), strict=True)])
+                start, end = found.starts[strip], found.ends[strip]
+                pos = (line[at] & ((1 << 40) - 1)) - found.offsets[strip] + start
+                single = alone[at]
+                for k, (a, b) in enumerate(spans):
+                    ok = np.flatnonzero((pos - a >= start) & (pos - b + window <= end))
+                    if not len(ok):
+                        continue
+                    core_l, core_r = pos[ok] - a, pos[ok] - b + window
+                    left = np.maximum(start[ok], core_l - (b - a))
+                    right = np.minimum(end[ok], core_r + (b - a))
+                    key = mixed(found.of(core_l, core_r) + np.uint64(k))
+                    lefts = [found.bytes[x:y] for x, y in zip(left.tolist(), core_l.tolist(), strict=True)]
+                    rights = [found.bytes[x:y] for x, y in zip(core_r.tolist(), right.tolist(), strict=True)]
+                    row = pa.array(found.rows[strip[ok]])
+                    place = left - start[ok] + found.offsets[strip[ok]]
+                    yield pa.RecordBatch.from_arrays(
+                        [_signed(key), pa.array(np.full(len(ok), k), pa.int32()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()), part.column(0).take(row), part.column(1).take(row), pa.array(place, pa.int32()), pa.array(single[ok], pa.bool_())],
+                        names=["core", "part", "before", "after", "k1", "k2", "at", "single"],
+                    )
 
     return rows.mapInArrow(stage(run), "core long, part int, before binary, after binary, k1 long, k2 long, at int, single boolean")
 
