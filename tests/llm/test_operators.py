@@ -67,24 +67,29 @@ def test_chat_templates_fold_and_refuse(monkeypatch):
 
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(0)
-    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(400 + i, [0.5] * 8) for i in range(6)]
-    rows += [(500, None), (501, [1.0, None]), (502, [float("nan")] * 8), (503, [float("inf")] + [0.0] * 7), (504, []), (505, [9.0]), (None, [1.0] * 8), (3, [99.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(0))
-    least = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-            least[i] = min(least.get(i, q), q)
-    wide = {i: np.array(q + [0] * (8 - len(q))) for i, q in least.items()}
-    for shard_rows in (50, 10_000):
-        found = collections.defaultdict(list)
-        for r in mtree.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
-            found[r["query_id"]].append((r["vec_id"], r["score"]))
-        assert set(found) == {i for i in wide if i % 50 == 0}
-        for q, own in found.items():
-            assert own == sorted(((i, int(wide[q] @ v)) for i, v in wide.items() if i != q), key=lambda p: (-p[1], p[0]))[:5]
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(400 + i, [0.5] * 8) for i in range(16)]
+    rows += [(500, None), (501, [1.0, None]), (502, [float("nan")] * 8), (503, [float("inf")] + [0.0] * 7), (504, []), (505, [9.0]), (None, [1.0] * 8), (None, [0.5] * 8)]
+    rows += [(3, [99.0] * 8), (50, [0.25] * 8), (100, rows[100][1]), (450, [0.5] * 8), (450, [0.5] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(0) for c in ("score", "pid", "shard", "region")})
+    whole = []
+    for n, (i, v) in enumerate(rows):
+        if v is not None and all(x is not None and np.isfinite(x) for x in v):
+            whole.append((n, i, np.array([int(np.floor(256 * float(np.float32(x)))) for x in v] + [0] * (8 - len(v)))))
+
+    def expected(rows):
+        out = []
+        for n, i, v in rows:
+            if i is not None and i % 50 == 0:
+                best = sorted((-int(v @ w), j if j is not None else 1 << 63) for m, j, w in rows if m != n)[:5]
+                out += [(i, r, j if j < 1 << 63 else None, -s) for r, (s, j) in enumerate(best, 1)]
+        return collections.Counter(out)
+
+    for shard_rows, block in ((50, 3), (10_000, 8192)):
+        found = mtree.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=shard_rows, query_block=block)
+        assert collections.Counter(tuple(r) for r in found.collect()) == expected(whole)
     assert mtree.top_k(df.limit(0), F.lit(True)).count() == 0
     assert len(mtree.top_k(df.where("vec_id in (1, 2)"), F.lit(True)).collect()) == 2
+    assert mtree.top_k(df.where("vec_id = 1"), F.lit(True)).count() == 0
 
 
 def test_tree_skips_by_stored_distances():
@@ -94,8 +99,12 @@ def test_tree_skips_by_stored_distances():
     tree = mtree.MTree(data, np.arange(4000), page=32)
     scores = data @ data[7]
     order = sorted(range(4000), key=lambda i: (-scores[i], i))
-    assert [i for _, i in tree.search(data[7], -1, 5)] == order[:5]
+    assert [place for _, place in tree.search(data[7], 5)] == order[:5]
     assert tree.skipped > 0 and tree.computed < 4000
+    assert [place for _, place in tree.search(data[7], 5, int(scores[order[2]]))][:3] == order[:3]
+    huge = data * (1 << 19)
+    wide = mtree.MTree(huge, np.arange(4000), page=32)
+    assert [place for _, place in wide.search(huge[7], 5)] == order[:5]
 
 
 # --- 3 packing and 10 byte-level BPE -----------------------------------------------------------------
@@ -271,6 +280,22 @@ def test_suffix_array_and_prefixes():
             assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_strips_hash_like_whole_texts():
+    rng = random.Random(11)
+    texts = [bytes(rng.randrange(3) + 97 for _ in range(n)) for n in (0, 5, 700, 90, 2500, 40)]
+
+    def anchors(size):
+        out = set()
+        for own in suffixes.strips(texts, 20, 40, size):
+            found = suffixes.Hashed(own)
+            at, strip = found.anchors(40, 20)
+            local = at - found.starts[strip] + found.offsets[strip]
+            out |= set(zip(found.rows[strip].tolist(), local.tolist(), found.of(at, at + 20).tolist(), strict=True))
+        return out
+
+    assert anchors(100) == anchors(64) == anchors(1 << 20) and len(anchors(100)) > 50
+
+
 def brute_repeats(texts, window):
     counts = collections.Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
     out = []
