@@ -3,7 +3,9 @@
 Benchmark items and documents are sequences of normalised words (lower case, outer punctuation dropped).
 Seeds of ``least`` words are indexed over all items; a document's windows are looked up in that index, and
 for each item whose seeds could cover enough of it, tiles are laid: the longest common stretches found by
-running Karp-Rabin hashes are marked first, shorter ones follow, no word of either side is used twice.
+running Karp-Rabin hashes are marked first, shorter ones follow, no word of either side is used twice. The length
+of the longest is found by halving, and each place of the text is looked at once for each length, so the work
+does not grow with the number of equal seed pairs.
 Coverage is the share of the item's words under tiles of ``least`` words or more, in any order, so reordered
 passages count in full.
 
@@ -57,70 +59,87 @@ def word_hashes(text: bytes) -> np.ndarray:
     return found[found != 0]
 
 
+INVERSE = pow(int(FACTOR), -1, 1 << 64)
+
+
+class Running:
+    """Karp-Rabin hashes of all windows of some words: one running sum gives those of every size."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        up, self.down = (np.full(n + 1, x, np.uint64) for x in (FACTOR, INVERSE))
+        up[0] = self.down[0] = 1
+        up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(self.down)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * up[:n], out=self.sums[1:])
+
+    def windows(self, size: int) -> np.ndarray:
+        """Hash of the window of ``size`` words at each place."""
+        n = len(self.sums) - size
+        return (self.sums[size:] - self.sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, np.uint64)
+
+
 def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """Polynomial hash of each window of ``size`` words."""
-    if len(words) < size:
-        return np.zeros(0, np.uint64)
-    out = words[: len(words) - size + 1].copy()
-    for i in range(1, size):
-        out *= FACTOR
-        out += words[i : len(words) - size + 1 + i]
-    return out
-
-
-def tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two word sequences: (start in item, start in text, length), longest first."""
-    base, mod = 1_000_003, (1 << 61) - 1
-    used_i, used_t = bytearray(len(item)), bytearray(len(text))
-    laid: list[tuple[int, int, int]] = []
+    """Hash of each window of ``size`` words."""
+    return Running(words).windows(size)
 
-    def rolling(words: list[int], used: bytearray, size: int) -> Iterator[tuple[int, int]]:
-        """Start and running Karp-Rabin hash of every window without marked words."""
-        high, value, free = pow(base, size - 1, mod), 0, 0
-        for end, word in enumerate(words):
-            if used[end]:
-                value = free = 0
-                continue
-            if free == size:
-                value -= words[end - size] % mod * high
-                free -= 1
-            value = (value * base + word) % mod
-            free += 1
-            if free == size:
-                yield end - size + 1, value
-
-    def scan(size: int) -> list[tuple[int, int, int]]:
-        table: dict[int, list[int]] = {}
-        for at, value in rolling(text, used_t, size):
-            table.setdefault(value, []).append(at)
-        found = []
-        for i, value in rolling(item, used_i, size):
-            for t in table.get(value, ()):
-                if i and t and not used_i[i - 1] and not used_t[t - 1] and item[i - 1] == text[t - 1]:
-                    continue  # part of a longer match that began before
-                n = 0
-                while i + n < len(item) and t + n < len(text) and item[i + n] == text[t + n] and not used_i[i + n] and not used_t[t + n]:
-                    n += 1
-                if n >= size:
-                    found.append((n, i, t))
-        return found
 
-    size = max(least, min(20, len(item)))
-    while True:
-        found = scan(size)
-        longest = max((n for n, _, _ in found), default=0)
-        if longest > 2 * size:
-            size = longest
+class _Side:
+    """One of the two sequences, with the words that tiles have taken."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.running, self.used = words, Running(words), np.zeros(len(words), bool)
+
+    def free(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows without a taken word, and their hashes."""
+        taken = np.concatenate([[0], np.cumsum(self.used)])
+        at = np.flatnonzero(taken[size:] == taken[: len(taken) - size]) if size < len(taken) else np.zeros(0, np.int64)
+        return at, self.running.windows(size)[at]
+
+
+def tiles(item: np.ndarray | list[int], text: np.ndarray | list[int], least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two word sequences: (start in item, start in text, length), longest first, then by item and text."""
+    one, two = (_Side(np.asarray(x, dtype=np.uint64)) for x in (item, text))
+    laid: list[tuple[int, int, int]] = []
+    top = min(len(one.words), len(two.words))
+    while top >= least:
+        low, high = least - 1, top  # the longest common window has low words or more, and high at most
+        while low < high:
+            size = (low + high + 1) // 2
+            if np.isin(one.free(size)[1], two.free(size)[1]).any():
+                low = size
+            else:
+                high = size - 1
+        if low < least:
+            break
+        _lay(one, two, low, laid)
+        top = low - 1
+    return laid
+
+
+def _lay(one: _Side, two: _Side, size: int, laid: list[tuple[int, int, int]]) -> None:
+    """Mark all tiles of this size: each free window of the item takes the first free one of the text that equals it."""
+    at, hashes = two.free(size)
+    order = np.argsort(hashes, kind="stable")
+    at, hashes = at[order], hashes[order]
+    own, wanted = one.free(size)
+    firsts, lasts = np.searchsorted(hashes, wanted, "left").tolist(), np.searchsorted(hashes, wanted, "right").tolist()
+    next_of: dict[int, int] = {}  # marks only grow: a window that is taken once is never looked at again
+    end = 0
+    for i, first, last in zip(own.tolist(), firsts, lasts, strict=True):
+        if i < end or first == last:
             continue
-        for n, i, t in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if not any(used_i[i : i + n]) and not any(used_t[t : t + n]):
-                used_i[i : i + n] = used_t[t : t + n] = b"\x01" * n
-                laid.append((i, t, n))
-        if found and scan(size):
-            continue  # matches of this size that lost words to a longer tile
-        if size == least:
-            return laid
-        size = max(least, size // 2)
+        place = next_of.get(first, first)
+        while place < last:
+            t = int(at[place])
+            if not two.used[t : t + size].any() and np.array_equal(one.words[i : i + size], two.words[t : t + size]):
+                break
+            place += 1
+        next_of[first] = place
+        if place < last:
+            one.used[i : i + size] = two.used[t : t + size] = True
+            laid.append((i, t, size))
+            end = i + size
 
 
 class Matcher:
@@ -153,31 +172,34 @@ class Matcher:
             at = np.flatnonzero(quick[(found >> np.uint64(44)).astype(np.int64)])
             if not len(at):
                 continue
-            low = np.searchsorted(hashes, found[at], "left")
-            high = np.searchsorted(hashes, found[at], "right")
-            if not (high > low).any():
+            asked = np.unique(found[at])
+            low = np.searchsorted(hashes, asked, "left")
+            counts = np.searchsorted(hashes, asked, "right") - low
+            if not counts.any():
                 continue
-            counts = high - low
             places = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-            item, item_at, text_at = owner[places], start[places], np.repeat(at, counts)
-            for place in np.unique(item).tolist():
-                own = item == place
+            places = places[np.argsort(owner[places], kind="stable")]  # each seed of an item once, however often the text has it
+            item = owner[places]
+            for own in np.split(places, np.flatnonzero(np.diff(item)) + 1):
+                place = int(owner[own[0]])
                 target = self.items[place][1]
                 covered = np.zeros(len(target), dtype=bool)
                 for i in range(size):
-                    covered[item_at[own] + i] = True
+                    covered[start[own] + i] = True
                 if covered.sum() < self.threshold * len(target):
                     continue
-                near = np.unique((text_at[own][:, None] + np.arange(size)).ravel())
+                seeds = at[np.isin(found[at], hashes[own])]
+                mark = np.zeros(len(words) + 1, np.int32)  # words under a seed
+                np.add.at(mark, seeds, 1)
+                np.add.at(mark, seeds + size, -1)
+                near = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                 cuts = np.flatnonzero(np.diff(near) > 1) + 1
-                kept, names = [], []
-                for run in np.split(near, cuts):
-                    kept += [*words[run].tolist(), 0]  # 0 is no word: runs that are apart stay apart
-                    names += [*run.tolist(), -1]
-                laid = tiles(target.tolist(), kept, size)
+                apart = np.insert(words[near], cuts, 0)  # 0 is no word: runs that are apart stay apart
+                names = np.insert(near, cuts, -1)
+                laid = tiles(target, apart, size)
                 share = sum(n for _, _, n in laid) / len(target)
                 if share >= self.threshold:
-                    out.append((place, share, [(i, names[t], n) for i, t, n in laid]))
+                    out.append((place, share, [(i, int(names[t]), n) for i, t, n in laid]))
         return sorted(out)
 
 

@@ -483,12 +483,38 @@ def test_tiling_finds_reordered_items(spark):
     assert len(list(tiling.blocks(bench, "item_id", "text", limit=300))) > 1
 
 
-def test_tiles_do_not_overlap():
+def brute_tiles(item, text, least):
+    """Greedy tiling by looking at every pair of places, again after each tile."""
+    used_i, used_t, out = set(), set(), []
+    while True:
+        best = None
+        for i in range(len(item)):
+            for t in range(len(text)):
+                n = 0
+                while i + n < len(item) and t + n < len(text) and item[i + n] == text[t + n] and i + n not in used_i and t + n not in used_t:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = i, t, n
+        if best is None:
+            return out
+        out.append(best)
+        used_i |= set(range(best[0], best[0] + best[2]))
+        used_t |= set(range(best[1], best[1] + best[2]))
+
+
+def test_tiles_against_brute_force():
     rng = random.Random(12)
-    for _ in range(200):
-        item, text = [rng.randrange(4) for _ in range(20)], [rng.randrange(4) for _ in range(40)]
-        laid = tiling.tiles(item, text, 3)
-        for side in (0, 1):
-            used = [p for t in laid for p in range(t[side], t[side] + t[2])]
-            assert len(used) == len(set(used))
-        assert all(item[i : i + n] == text[t : t + n] and n >= 3 for i, t, n in laid)
+    for _ in range(150):
+        item, text = [rng.randrange(1, 4) for _ in range(18)], [rng.randrange(1, 4) for _ in range(30)]
+        assert tiling.tiles(item, text, 3) == brute_tiles(item, text, 3)
+    assert tiling.tiles([], [1, 2, 3], 3) == tiling.tiles([1, 2, 3], [], 3) == []
+
+
+def test_repetitive_texts_do_not_multiply():
+    import time
+
+    item, text = " ".join(["on", "off"] * 1000), " ".join(["on", "off"] * 10_000)
+    matcher = tiling.Matcher([(1, item)], 5, 0.5)
+    began = time.perf_counter()
+    assert matcher.matches(text.encode())[0][:2] == (0, 1.0)
+    assert time.perf_counter() - began < 1
