@@ -83,30 +83,31 @@ def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op5_sql() -> str:
-    """The template tree level by level, as common table expressions."""
+    """The template tree level by level, as a recursive common table expression."""
     upper, lower = urlfilter.UPPER, urlfilter.LOWER
     names, verdicts = "", ""
     for kind, host, path in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2])):
         fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
         names += f" WHEN {fits} THEN '{host}{path}'"
         verdicts += f" WHEN {fits} THEN '{kind}'"
-    levels = "".join(
-        f""", c{k} AS (SELECT host, prefix, lex[{k}] AS seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM t{k - 1} WHERE len(lex) >= {k} GROUP BY ALL),
-        d{k} AS (SELECT *, count(*) OVER w AS k, sum(n) OVER w AS p_n, CAST((sum(bad) OVER w + (SELECT prior FROM g)) / (sum(lab) OVER w + 1) AS DOUBLE) AS share FROM c{k} WINDOW w AS (PARTITION BY host, prefix)),
-        m{k} AS (SELECT host, prefix, seg, CASE WHEN k > 1 AND (abs(bad - share * lab) <= {urlfilter.Z} * sqrt(lab * share * (1 - share)) OR (k > {urlfilter.MANY} AND p_n < k * {urlfilter.SUPPORT})) THEN '*' ELSE seg END AS wide FROM d{k}),
-        t{k} AS (SELECT t.host, t.lex, t.n, t.lab, t.bad, CASE WHEN wide IS NULL THEN t.prefix ELSE t.prefix || '/' || wide END AS prefix
-                 FROM t{k - 1} t LEFT JOIN m{k} m ON t.host = m.host AND t.prefix = m.prefix AND t.lex[{k}] = m.seg)"""
-        for k in range(1, urlfilter.DEPTH + 1)
-    )
     return f"""
-    WITH p AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    WITH RECURSIVE p AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
-    r AS (SELECT *, list_transform(string_split(path, '/')[2:], lambda s: CASE WHEN regexp_full_match(s, '[0-9a-fA-F-]{{16,}}') THEN '*' ELSE regexp_replace(s, '[0-9]+', '*', 'g') END) AS segs FROM q),
-    s AS (SELECT *, CASE WHEN len(segs) > {urlfilter.DEPTH} THEN list_concat(segs[1:{urlfilter.DEPTH}], ['**']) ELSE segs END AS lex FROM r),
+    s AS (SELECT *, list_transform(string_split(path, '/')[2:], lambda s: CASE WHEN regexp_full_match(s, '[0-9a-fA-F-]{{16,}}') THEN '*' ELSE regexp_replace(s, '[0-9]+', '*', 'g') END) AS lex FROM q),
     k AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
-    t0 AS (SELECT host, lex, count(*) AS n, count(bad) AS lab, coalesce(sum(bad), 0) AS bad, '' AS prefix FROM s LEFT JOIN k ON page_id = doc_id GROUP BY host, lex),
-    g AS (SELECT CASE WHEN sum(lab) > 0 THEN CAST(sum(bad) AS DOUBLE) / sum(lab) ELSE 0 END AS prior, sum(lab) AS lab FROM t0){levels},
-    f AS (SELECT *, CASE WHEN len(lex) > {urlfilter.DEPTH} THEN prefix || '/**' ELSE prefix END AS template FROM t{urlfilter.DEPTH}),
+    base AS (SELECT host, lex, count(*) AS n, count(bad) AS lab, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad FROM s LEFT JOIN k ON page_id = doc_id GROUP BY host, lex),
+    g AS (SELECT CASE WHEN sum(lab) > 0 THEN CAST(sum(bad) AS DOUBLE) / sum(lab) ELSE 0 END AS prior, sum(lab) AS lab FROM base),
+    t AS (
+        SELECT 0 AS level, host, lex, n, lab, bad, '' AS prefix, count(*) OVER (PARTITION BY host) > 1 AND len(lex) > 0 AS open FROM base
+        UNION ALL
+        SELECT level + 1, host, lex, n, lab, bad, to_prefix, count(*) OVER (PARTITION BY host, to_prefix) > 1 AND len(lex) > level + 1
+        FROM (SELECT *, prefix || '/' || CASE WHEN kids > 1 AND (c_n < {urlfilter.SUPPORT} OR (kids > {urlfilter.MANY} AND p_n < kids * {urlfilter.SUPPORT})
+                OR (c_lab >= {urlfilter.TESTED} AND {urlfilter.Z} * sqrt(share * (1 - share)) <= {urlfilter.DELTA} * sqrt(c_lab) AND abs(c_bad - share * c_lab) <= {urlfilter.Z} * sqrt(c_lab * (share * (1 - share))))) THEN '*' ELSE seg END AS to_prefix
+            FROM (SELECT *, sum(n) OVER c AS c_n, sum(lab) OVER c AS c_lab, sum(bad) OVER c AS c_bad, sum(n) OVER w AS p_n, count(DISTINCT seg) OVER w AS kids,
+                         CAST((sum(bad) OVER w + (SELECT prior FROM g)) / (sum(lab) OVER w + 1) AS DOUBLE) AS share
+                  FROM (SELECT *, lex[level + 1] AS seg FROM t WHERE open) WINDOW w AS (PARTITION BY host, prefix), c AS (PARTITION BY host, prefix, seg)))
+    ),
+    f AS (SELECT *, prefix || array_to_string(list_transform(lex[level + 1:], lambda x: '/' || x), '') AS template FROM t WHERE NOT open),
     b AS (SELECT host, template, sum(lab) AS lab, sum(bad) AS bad, sum(sum(lab)) OVER (PARTITION BY host) AS h_lab, sum(sum(bad)) OVER (PARTITION BY host) AS h_bad FROM f GROUP BY host, template),
     j AS (SELECT host, template, CASE WHEN (bad + {urlfilter.ALPHA} * ((h_bad + {urlfilter.ALPHA} * prior) / (h_lab + {urlfilter.ALPHA}))) / (b.lab + {urlfilter.ALPHA}) >= {urlfilter.REJECT} AND g.lab > 0 THEN 'block' ELSE 'allow' END AS method FROM b, g)
     SELECT page_id, s.host, path, CASE{names} END AS rule, CASE{verdicts} ELSE method END AS verdict, template

@@ -1,14 +1,16 @@
 """URL filter by a path-template tree, in DataFrame functions only.
 
 Every host has a tree of path templates. Segments are first generalised by their form (digit runs and long
-hexadecimal strings become ``*``; segments beyond ``depth`` become one ``**``). Then, level by level from the
-root, siblings are merged into ``*`` where a node has very many thin branches, or where a branch's labelled
-bad share does not differ from its node's by more than ``z`` standard errors. A template's bad share is
-smoothed towards its host's, and that towards the whole corpus's; a template at or over ``reject`` is blocked.
-Fixed rules stand above the method.
+hexadecimal strings become ``*``). Then, level by level from the root, siblings are merged into ``*``: all of a
+variable node, which has very many thin branches; thin branches of any node; and branches that are statistically
+alike, that is, have labels enough for a test to tell a difference of ``DELTA`` and a labelled bad share within ``z``
+standard errors of their node's. A branch with few labels keeps its segment. A template's bad share is smoothed towards
+its host's, and that towards the whole corpus's; a template at or over ``reject`` is blocked. Fixed rules stand
+above the method.
 
 Pages are aggregated to (host, lexical template) with map-side combine before anything else, so a host with
-a third of all pages is a few rows from there on; counts cover all pages and all labels.
+a third of all pages is a few rows from there on; counts cover all pages and all labels. Paths of any depth are
+followed to their end: a path that is alone at its node is done there, so levels go on only as long as paths share one.
 
 Results for odd input: a null url and a url without ``://`` have empty host and path, hence the template of
 the empty host; a null page id keeps its row and has no label; repeated pages each give a row; several labels
@@ -21,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Smoothing weight, rejection threshold, standard errors, children and support of a variable node, depth.
-ALPHA, REJECT, Z, MANY, SUPPORT, DEPTH = 4.0, 0.5, 2.0, 20, 3, 4
+#: Smoothing weight, rejection threshold, standard errors, the difference that a test must be able to tell and the least labels for one.
+ALPHA, REJECT, Z, DELTA, TESTED = 4.0, 0.5, 2.0, 0.25, 8
+#: Children of a variable node (more than), and rows of a branch that is not thin.
+MANY, SUPPORT = 20, 3
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -36,16 +40,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def lexical(path: Column, depth: int = DEPTH) -> Column:
+def lexical(path: Column) -> Column:
     """Array of a path's segments, generalised by form."""
     segments = F.split(path, "/")
     segments = F.when(F.size(segments) > 1, F.slice(segments, 2, F.size(segments))).otherwise(F.array().cast("array<string>"))
-
-    def general(segment: Column) -> Column:
-        return F.when(segment.rlike("^[0-9a-fA-F-]{16,}$"), F.lit("*")).otherwise(F.regexp_replace(segment, "[0-9]+", "*"))
-
-    head = F.transform(F.slice(segments, 1, depth), general)
-    return F.when(F.size(segments) > depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(segments, lambda s: F.when(s.rlike("^[0-9a-fA-F-]{16,}$"), F.lit("*")).otherwise(F.regexp_replace(s, "[0-9]+", "*")))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -58,50 +57,57 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return name, verdict
 
 
-def templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH, id_col: str = "page_id", label_id: str = "doc_id") -> DataFrame:
-    """One row for each host and lexical template: its final template, counts, bad share and verdict.
+def templates(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", label_id: str = "doc_id") -> DataFrame:
+    """One row for each host and lexical template: its final template, bad share and verdict.
 
     ``pages``: ``id_col``, host, path. ``labels``: ``label_id``, quality (0 is bad), toxic (1 is bad).
     """
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")
     known = labels.where("quality is not null or toxic is not null").groupBy(F.col(label_id).alias("id")).agg(F.max(bad).alias("bad"))
-    rows = pages.select(F.col(id_col).alias("page"), "host", lexical(F.col("path"), depth).alias("lex"))
+    rows = pages.select(F.col(id_col).alias("page"), "host", lexical(F.col("path")).alias("lex"))
     rows = rows.join(known, rows["page"] == known["id"], "left")
-    tree = saved(
-        rows.groupBy("host", "lex")
-        .agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumn("prefix", F.lit(""))
-    )
-    total = tree.agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).first()
-    prior = (total["bad"] or 0) / total["lab"] if total["lab"] else 0.0
     sums = [F.sum(c).alias(c) for c in ("n", "lab", "bad")]
-    for level in range(1, depth + 1):
-        now = tree.withColumn("seg", F.try_element_at("lex", F.lit(level)))
-        child = now.where("seg is not null").groupBy("host", "prefix", "seg").agg(*sums)
+    counted = rows.groupBy("host", "lex").agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    base = saved(counted)
+    total = base.agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).first()
+    prior = (total["bad"] or 0) / total["lab"] if total["lab"] else 0.0
+    level, active, done = 0, base.withColumn("prefix", F.lit("")), []
+    while True:
+        rest = F.array_join(F.transform(F.slice("lex", level + 1, F.greatest(F.size("lex") - level, F.lit(0))), lambda x: F.concat(F.lit("/"), x)), "")
+        paths = active.groupBy("host", "prefix").agg(F.count("*").alias("paths"))
+        active = saved(active.join(paths, ["host", "prefix"]).withColumn("open", (F.col("paths") > 1) & (F.size("lex") > level)))
+        ends = active.where("not open")  # at its end, or alone at its node: the segments that are left stay as they are
+        done.append(ends.select("host", "lex", "n", "lab", "bad", F.concat("prefix", rest).alias("template")))
+        now = active.where("open").withColumn("seg", F.element_at("lex", level + 1))
+        if now.isEmpty():
+            break
+        child = now.groupBy("host", "prefix", "seg").agg(*sums)
         node = child.groupBy("host", "prefix").agg(F.count("*").alias("k"), *[F.sum(c).alias(f"p_{c}") for c in ("n", "lab", "bad")])
         share = (F.col("p_bad") + F.lit(prior)) / (F.col("p_lab") + 1)
-        alike = F.abs(F.col("bad") - share * F.col("lab")) <= F.lit(Z) * F.sqrt(F.col("lab") * share * (1 - share))
-        thin = (F.col("k") > MANY) & (F.col("p_n") < F.col("k") * SUPPORT)
-        merged = child.join(node, ["host", "prefix"]).select(
-            "host", "prefix", "seg", F.when((F.col("k") > 1) & (alike | thin), F.lit("*")).otherwise(F.col("seg")).alias("to")
-        )
-        tree = saved(
-            now.join(merged, ["host", "prefix", "seg"], "left").select(
-                "host", "lex", "n", "lab", "bad", F.when(F.col("to").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "to")).alias("prefix")
-            )
-        )
-    deep = F.size("lex") > depth
-    tree = tree.withColumn("template", F.when(deep, F.concat("prefix", F.lit("/**"))).otherwise(F.col("prefix")))
+        spread = share * (1 - share)
+        tested = (F.col("lab") >= TESTED) & (F.lit(Z) * F.sqrt(spread) <= F.lit(DELTA) * F.sqrt("lab"))
+        alike = tested & (F.abs(F.col("bad") - share * F.col("lab")) <= F.lit(Z) * F.sqrt(F.col("lab") * spread))
+        variable = (F.col("k") > MANY) & (F.col("p_n") < F.col("k") * SUPPORT)
+        wide = (F.col("k") > 1) & (alike | variable | (F.col("n") < SUPPORT))
+        merged = child.join(node, ["host", "prefix"]).select("host", "prefix", "seg", F.when(wide, F.lit("*")).otherwise(F.col("seg")).alias("to"))
+        active = now.join(merged, ["host", "prefix", "seg"]).select("host", "lex", "n", "lab", "bad", F.concat("prefix", F.lit("/"), "to").alias("prefix"))
+        level += 1
+    tree = done[0]
+    for more in done[1:]:
+        tree = tree.union(more)
+    tree = saved(tree)
+    discard(base)
     by_template = tree.groupBy("host", "template").agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "lab", "bad")])
     by_host = by_template.groupBy("host").agg(F.sum("t_lab").alias("h_lab"), F.sum("t_bad").alias("h_bad"))
     judged = by_template.join(by_host, "host")
     host_share = (F.col("h_bad") + F.lit(ALPHA * prior)) / (F.col("h_lab") + F.lit(ALPHA))
-    share = (F.col("t_bad") + F.lit(ALPHA) * host_share) / (F.col("t_lab") + F.lit(ALPHA))
-    judged = judged.withColumn("bad_share", share).withColumn("method", F.when((share >= REJECT) & F.lit(bool(total["lab"])), F.lit("block")).otherwise(F.lit("allow")))
+    bad_share = (F.col("t_bad") + F.lit(ALPHA) * host_share) / (F.col("t_lab") + F.lit(ALPHA))
+    method = F.when((bad_share >= REJECT) & F.lit(bool(total["lab"])), F.lit("block")).otherwise(F.lit("allow"))
+    judged = judged.withColumn("bad_share", bad_share).withColumn("method", method)
     return tree.select("host", "lex", "template").join(judged.select("host", "template", "bad_share", "method"), ["host", "template"])
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], depth: int = DEPTH, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id") -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id") -> DataFrame:
     """One row for each page: ``id_col``, host, path, rule, verdict, template, bad_share.
 
     ``rules``: (``allow`` or ``block``, host, path); a rule fits its host and all subdomains where the url's
@@ -109,7 +115,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     """
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"))
-    found = templates(parsed, labels, depth, id_col, label_id)
+    found = templates(parsed, labels, id_col, label_id)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = parsed.withColumn("lex", lexical(F.col("path"), depth)).join(found, ["host", "lex"], "left")
+    rows = parsed.withColumn("lex", lexical(F.col("path"))).join(found, ["host", "lex"], "left")
     return rows.select(id_col, "host", "path", name.alias("rule"), F.coalesce(verdict, "method").alias("verdict"), "template", "bad_share")

@@ -260,11 +260,69 @@ def test_url_rules_and_templates(spark):
     ]
     verdicts = {(found[i]["template"], found[i]["verdict"]) for i in range(12, len(urls))}
     assert verdicts == {("/offers/*", "block"), ("/news/*", "allow")} or {v for t, v in verdicts if "offers" in t} == {"block"}
-    assert found[None]["verdict"] == "block" and found[11]["template"].endswith("/**")
+    assert found[None]["verdict"] == "block" and found[11]["template"] == "/a/b/c/d/e/f"
     assert urlfilter.judge(pages.limit(0), labels, URL_RULES).count() == 0
     assert {r["verdict"] for r in urlfilter.judge(pages.where("page_id = 0"), labels.limit(0), URL_RULES).collect()} == {"allow"}
 
 
+def brute_templates(rows):
+    """The tree in plain Python: rows of (host, segments, n, lab, bad) to the template of each."""
+    lab, bad = sum(r[3] for r in rows), sum(r[4] for r in rows)
+    prior = bad / lab if lab else 0.0
+    out = {}
+
+    def node(host, prefix, level, own):
+        if len(own) == 1 or not own:
+            for r in own:
+                out[host, r[1]] = "".join(["", *[f"/{x}" for x in [*prefix, *r[1][level:]]]])
+            return
+        groups = collections.defaultdict(list)
+        for r in own:
+            if len(r[1]) <= level:
+                out[host, r[1]] = "".join(f"/{x}" for x in prefix)
+            else:
+                groups[r[1][level]].append(r)
+        all_n, all_lab, all_bad = (sum(r[i] for g in groups.values() for r in g) for i in (2, 3, 4))
+        share = (all_bad + prior) / (all_lab + 1)
+        merged = collections.defaultdict(list)
+        for seg, g in groups.items():
+            n, lab, bad = (sum(r[i] for r in g) for i in (2, 3, 4))
+            error = (share * (1 - share)) ** 0.5
+            alike = lab >= urlfilter.TESTED and urlfilter.Z * error <= urlfilter.DELTA * lab**0.5 and abs(bad - share * lab) <= urlfilter.Z * error * lab**0.5
+            thin = n < urlfilter.SUPPORT or (len(groups) > urlfilter.MANY and all_n < len(groups) * urlfilter.SUPPORT)
+            merged["*" if len(groups) > 1 and (alike or thin) else seg] += g
+        for to, g in merged.items():
+            node(host, [*prefix, to], level + 1, g)
+
+    for host in {r[0] for r in rows}:
+        node(host, [], 0, [r for r in rows if r[0] == host])
+    return out
+
+
+def test_url_templates_against_a_plain_tree(spark):
+    rng = random.Random(13)
+    urls, labels = [], []
+    for i in range(1500):
+        host = rng.choice(["a.org", "b.org", "b.org"])
+        section = rng.choice(["news", "offers", "blog", "rare" + str(i % 200) if i % 40 == 0 else "docs"])
+        parts = [section, *rng.choice([[], ["2024"], ["x", "y", "z", "deep", "er", "still"], [f"user{chr(97 + i % 26)}{chr(97 + i % 23)}", "p"]])]
+        urls.append(f"http://{host}/" + "/".join(parts))
+        if i % 3:
+            labels.append((i, 0 if section == "offers" and rng.random() < 0.9 else 1, 0))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    host, path = urlfilter.host_and_path(F.col("url"))
+    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    found = {(r["host"], tuple(r["lex"])): r["template"] for r in urlfilter.templates(parsed, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    known, rows = dict((i, q == 0) for i, q, _ in labels), collections.defaultdict(lambda: [0, 0, 0])
+    for r in parsed.withColumn("lex", urlfilter.lexical(F.col("path"))).collect():
+        own = rows[r["host"], tuple(r["lex"])]
+        own[0] += 1
+        own[1] += r["page_id"] in known
+        own[2] += known.get(r["page_id"], False)
+    assert found == brute_templates([(h, lex, *own) for (h, lex), own in rows.items()])
+    assert {t.split("/")[1] for t in found.values()} >= {"offers", "*"} and any(t.count("/") == 7 for t in found.values())
+
+
 # --- 6 suffix arrays ---------------------------------------------------------------------------------
 
 
