@@ -16,8 +16,10 @@ repeat is possible, and suffix arrays are built over those only:
 3. For the rest, the window places around an anchor are dealt into ``parts`` ranges. The bytes that all
    windows of a range share are its core; contexts of equal core make a group, each written as the bytes left
    of the core, one symbol for the core, and the bytes right of it. Suffix array and common prefixes over the
-   group tell which windows occur twice. Groups of more than ``largest`` contexts are settled by counting
-   their windows' hashes, which is exact too and splits over any number of tasks.
+   group tell which windows occur twice. A group of more than ``largest`` contexts is split by its next symbols: its
+   range is cut into narrow ones, whose cores are longer by the bytes next to the old core, and their groups go
+   through suffix arrays in turn. Where even these are too large, ranges of one place are left, whose cores are whole
+   windows: they are equal, and counting them is all there is to do.
 
 Every count has map-side combine, and joins are on keys that AQE may split. Texts are keyed by a 128-bit
 hash, so copies share one key and ids may repeat or be null.
@@ -38,7 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, prepare, saved, slices, stage, text_bytes
 
-WINDOW, GRAM, PARTS, LARGEST = 200, 100, 4, 4096
+WINDOW, GRAM, PARTS, LARGEST = 200, 60, 4, 4096
+#: Width of the ranges that a large group is cut into.
+NARROW = 6
 #: Symbols in one suffix array, about; a larger group has its own.
 BATCH_SYMBOLS = 60_000
 #: Bytes that are hashed at a time; a longer text is cut into strips that overlap.
@@ -55,8 +59,13 @@ def suffix_array(text: list[int]) -> list[int]:
     n = len(text) + 1
     if n == 1:
         return []
-    order = sorted(range(n - 1), key=text.__getitem__)
-    sa = [n - 1, *order]
+    low = min(text)
+    buckets: list[list[int]] = [[] for _ in range(max(text) - low + 1)]
+    for i, symbol in enumerate(text):
+        buckets[symbol - low].append(i)
+    sa = [n - 1]
+    for own in buckets:
+        sa += own
     place = [0] * n  # where each suffix stands in sa
     group = [0] * n  # start of its group in sa, which orders the groups
     size = [0] * n  # members of the group that starts here
@@ -340,16 +349,37 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int
     contexts = saved(rest.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(member).alias("one")))
     whole = rest.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("k1", "k2", *span)
     wanted = contexts.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.pos", F.col("n").alias("n"))).alias("places"))
-    pieces = saved(cores(long.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "places"), window, gram, parts))
-    sizes = pieces.groupBy("core", "part").agg(F.count("*").alias("members"), F.max("single").alias("open")).where("members > 1 and open")
-    grouped = pieces.join(sizes, ["core", "part"])
-    small = by_suffix_array(grouped.where(F.col("members") <= largest), window, gram, parts)
-    hot = by_counting(grouped.where(F.col("members") > largest), window, gram, parts)
-    return alike.union(whole).union(small).union(hot)
+    level = saved(cores(long.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "places"), window, gram, parts))
+    out = alike.union(whole)
+    for width in (NARROW, 0):
+        sizes = saved(level.groupBy("core", "width").agg(F.count("*").alias("members"), F.max("single").alias("open")).where("members > 1 and open"))
+        grouped = level.join(sizes, ["core", "width"])
+        out = out.union(by_suffix_array(grouped.where(F.col("members") <= largest), window))
+        large = sizes.where(F.col("members") > largest)
+        if large.isEmpty():
+            return out
+        level = saved(narrowed(level.join(large.select("core", "width"), ["core", "width"]), width))
+    twice = level.groupBy("core").agg(F.count("*").alias("members")).where("members > 1").select("core")
+    return out.union(level.where("single").join(twice, "core").select("k1", "k2", F.col("at").alias("first"), (F.col("at") + window).cast("int").alias("last")))
+
+
+def narrowed(pieces: DataFrame, width: int) -> DataFrame:
+    """Pieces of the same contexts for ranges of ``width``: bytes next to the core become part of it."""
+    starts = F.sequence(F.lit(0), F.col("width"), F.lit(width + 1))
+    cut = pieces.withColumn("from", F.explode(starts)).withColumn("to", F.least(F.col("from") + width, F.col("width")))
+    size, tail = F.octet_length("before"), F.col("width") - F.col("to")
+    cut = cut.where((size >= F.col("from")) & (F.octet_length("after") >= tail))
+    core = F.xxhash64("core", "width", "from", F.expr("substring(before, octet_length(before) - `from` + 1, `from`)"), F.expr("substring(after, 1, width - `to`)"))
+    keep = F.least(size - F.col("from"), F.col("to") - F.col("from"))
+    start = size - F.col("from") - keep
+    return cut.select(
+        core.alias("core"), (F.col("to") - F.col("from")).alias("width"), F.substring("before", start + 1, keep).alias("before"), F.substring("after", tail + 1, F.col("to") - F.col("from")).alias("after"),
+        "k1", "k2", (F.col("at") + start).cast("int").alias("at"), "single",
+    )
 
 
 def cores(rows: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
-    """The pieces of each wanted context: core hash, range number, bytes left and right of the core, owner, place and whether it is the only one of its context."""
+    """The pieces of each wanted context: core hash, width of the range, bytes left and right of the core, owner, place and whether it is the only one of its context."""
     spans = ranges(window, gram, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,30 +422,28 @@ def cores(rows: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
                     row = pa.array(found.rows[strip[ok]])
                     place = left - start[ok] + found.offsets[strip[ok]]
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(key), pa.array(np.full(len(ok), k), pa.int32()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()), part.column(0).take(row), part.column(1).take(row), pa.array(place, pa.int32()), pa.array(single[ok], pa.bool_())],
-                        names=["core", "part", "before", "after", "k1", "k2", "at", "single"],
+                        [_signed(key), pa.array(np.full(len(ok), b - a), pa.int32()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()), part.column(0).take(row), part.column(1).take(row), pa.array(place, pa.int32()), pa.array(single[ok], pa.bool_())],
+                        names=["core", "width", "before", "after", "k1", "k2", "at", "single"],
                     )
 
-    return rows.mapInArrow(stage(run), "core long, part int, before binary, after binary, k1 long, k2 long, at int, single boolean")
+    return rows.mapInArrow(stage(run), "core long, width int, before binary, after binary, k1 long, k2 long, at int, single boolean")
 
 
-def by_suffix_array(grouped: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
+def by_suffix_array(grouped: DataFrame, window: int) -> DataFrame:
     """Spans of repeated windows in groups of equal core, from suffix arrays over batches of whole groups."""
-    wide = [b - a for a, b in ranges(window, gram, parts)]
     kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
-    def settle(part: int, groups: list[dict]) -> Iterator[tuple]:
+    def settle(width: int, groups: list[dict]) -> Iterator[tuple]:
         strings, owners = [], []
         for core, group in enumerate(groups):
             for (before, after), members in group.items():
                 strings.append(([*before, 256 + core, *after], len(members)))
                 owners.append(members)
-        length = wide[part] + 1
-        for members, starts in zip(owners, repeated_starts(strings, length), strict=True):
+        for members, starts in zip(owners, repeated_starts(strings, width + 1), strict=True):
             if starts:
                 runs = np.split(np.array(starts), np.flatnonzero(np.diff(starts) > 1) + 1)
                 for k1, k2, at, single in members:
@@ -432,15 +460,15 @@ def by_suffix_array(grouped: DataFrame, window: int, gram: int, parts: int) -> D
 
         groups: list[dict] = []
         now, size = None, 0
-        for part, core, before, after, k1, k2, at, single in rows(batches):
-            if (part, core) != now:
-                if now and (size >= BATCH_SYMBOLS or part != now[0]):
+        for width, core, before, after, k1, k2, at, single in rows(batches):
+            if (width, core) != now:
+                if now and (size >= BATCH_SYMBOLS or width != now[0]):
                     out += settle(now[0], groups)
                     groups, size = [], 0
                     if len(out) > 20_000:
                         yield pack()
                         out.clear()
-                now = part, core
+                now = width, core
                 groups.append({})
             members = groups[-1].setdefault((before, after), [])
             if not members:
@@ -450,24 +478,11 @@ def by_suffix_array(grouped: DataFrame, window: int, gram: int, parts: int) -> D
             out += settle(now[0], groups)
         yield pack()
 
-    dealt = grouped.select("part", "core", "before", "after", "k1", "k2", "at", "single")
-    dealt = dealt.repartition("core", "part").sortWithinPartitions("part", "core")
+    dealt = grouped.select("width", "core", "before", "after", "k1", "k2", "at", "single")
+    dealt = dealt.repartition("core", "width").sortWithinPartitions("width", "core")
     return dealt.mapInArrow(stage(run), "k1 long, k2 long, first int, last int")
 
 
-def by_counting(grouped: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
-    """The same for groups of any size: hashes of the windows are counted, with map-side combine."""
-    wide = F.element_at(F.array(*[F.lit(b - a) for a, b in ranges(window, gram, parts)]), F.col("part") + 1)
-    room = F.octet_length("before") + F.octet_length("after") - wide
-    windows = grouped.where(room >= 0).select("core", "part", "before", "after", "k1", "k2", "at", "single", F.explode(F.sequence(F.lit(0), F.least(room, F.octet_length("before")))).alias("shift"))
-    left = F.octet_length("before") - F.col("shift")
-    key = F.xxhash64("core", "part", left, F.substring("before", F.col("shift") + 1, left), F.substring("after", F.lit(1), wide - left))
-    windows = windows.where(left <= wide).withColumn("key", key)
-    twice = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    first = (F.col("at") + F.col("shift")).cast("int")
-    return windows.where("single").join(twice, "key").select("k1", "k2", first.alias("first"), (first + window).cast("int").alias("last"))
-
-
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """What is left of a text, how many bytes went, and in how many maximal runs."""
     kept, at, gone, runs, first = [], 0, 0, 0, -1
