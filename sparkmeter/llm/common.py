@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one output batch of a Python stage is built from.
 SLICE_BYTES = 4 << 20
@@ -137,6 +138,19 @@ def stage(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return whole
 
 
+def over_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: list[StructField] | None = None) -> DataFrame:
+    """A Python stage over all columns of ``docs``, whatever their names; it gives them back, with ``more`` columns after them."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    fields = [StructField(name, field.dataType) for name, field in zip(names, docs.schema.fields, strict=True)]
+    new = [StructField(f"m{i}", field.dataType) for i, field in enumerate(more or [])]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=[*names, *[f.name for f in new]])
+
+    return docs.toDF(*names).mapInArrow(stage(renamed), StructType([*fields, *new])).toDF(*docs.columns, *[f.name for f in more or []])
+
+
 def text_bytes(value: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty."""
     return value.encode("utf-8", "surrogatepass") if value else b""

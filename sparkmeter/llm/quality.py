@@ -8,16 +8,17 @@ n-grams, and those of a single text, carry none. Copies of a text are few pieces
 n-grams, so neither its length nor the number of labels moves it. A quarter of the labelled texts (all
 copies of a text are on one side) is held out of the models and sets, for each kind, z (one of ``ZS``, as more labels
 need more) and the cut: the score under zero that leaves the fewest of them on the wrong side. The log weight is the distance to the cut, with the median rejected held-out text at
-``-SPREAD``, and the least of the kinds. Documents are then drawn without replacement by Gumbel top-k:
-key = log weight / TEMPERATURE + Gumbel noise from a hash of the id; k is the number of documents whose log
-weight is at least 0.
+``-SPREAD``, and the least of the kinds: a text there is e ** 12 times less likely to be drawn than one at the cut.
+Documents are then drawn without replacement by Gumbel top-k: key = log weight / TEMPERATURE + Gumbel noise from a
+hash of the id; k is the number of documents whose log weight is at least 0. Texts near the cut are a matter of the
+draw, others hardly.
 
 The models are fitted on a bounded sample of labelled rows: the ``FIT_ROWS`` rows of smallest id hash. Scores,
 the count k and the k-th key cover all rows; the k-th key comes from histograms, no global sort.
 
 Results for odd input: a null or empty text has no n-grams, score 0, and is a candidate like any other; a
 null id has a fixed noise of its own; repeated rows have equal keys and stay or go together (ties at the k-th
-key all stay); labels without a document and documents without a label only miss from the fit; repeated labels
+key all stay); labels without a document, labels without a value and documents without a label only miss from the fit; repeated labels
 count as one, bad if any is; without good or without bad labels every document stays; a kind of too few texts for two
 sides is fitted and cut on the same.
 """
@@ -32,10 +33,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from .common import prepare, saved, slices, stage, text_bytes
+from .common import over_rows, prepare, saved, slices, stage, text_bytes
 
-HASH_BITS, ZS, HELD, SPREAD, TEMPERATURE, FIT_ROWS, SEED = 22, (3.0, 4.0, 5.0, 6.5, 8.0), 4, 40.0, 0.1, 24_000, 17
+HASH_BITS, ZS, HELD, SPREAD, TEMPERATURE, FIT_ROWS, SEED = 22, (3.0, 4.0, 5.0, 6.5, 8.0), 4, 12.0, 1.0, 24_000, 17
 #: Words whose hashes a worker remembers.
 WORDS = 250_000
 #: Hash of the pair of any word with itself.
@@ -100,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     spark = docs.sparkSession
     prepare(spark)
     kind = F.when(F.max(F.coalesce(F.col("toxic"), F.lit(0))) > 0, 2).when(F.min(F.coalesce(F.col("quality"), F.lit(1))) < 1, 1).otherwise(0)
-    known = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("label_of")).agg(kind.alias("kind"))
+    known = labels.where(F.col(label_id).isNotNull() & (F.col("toxic").isNotNull() | F.col("quality").isNotNull())).groupBy(F.col(label_id).alias("label_of")).agg(kind.alias("kind"))
     known = known.orderBy(F.xxhash64("label_of", F.lit(SEED)), "label_of").limit(rows)  # bounded: broadcast below
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_of"))
     texts = texts.groupBy("kind", F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"), (1 + F.log2(F.count("*"))).alias("weight"))
@@ -189,8 +191,7 @@ def _scores(docs: DataFrame, model: Model, at: int, finish: Callable[[np.ndarray
             yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, pa.float64()) for c in finish(means)]], names=[*part.schema.names, *names])
         _HASHES.clear()
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *[f"`{n}` double" for n in names]])
-    return docs.mapInArrow(stage(run), schema)
+    return over_rows(docs, run, [StructField(n, DoubleType()) for n in names])
 
 
 def scored(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, stage, text_bytes
+from .common import over_rows, prepare, slices, stage, text_bytes
 
 LEAST, THRESHOLD = 5, 0.5
 #: UTF-8 bytes of benchmark text in one broadcast block.
@@ -261,5 +261,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thr
                 yield part.filter(pa.array(clean, pa.bool_()))
             _WORDS.clear()
 
-        kept = kept.mapInArrow(stage(run), docs.schema)
+        kept = over_rows(kept, run)
     return kept

@@ -22,7 +22,7 @@ def docs(spark, rows):
 
 def clashing(df):
     """The same table with columns that operators use inside."""
-    return df.withColumns({c: F.lit(1) for c in ("id", "fp", "key", "n", "word", "bucket", "log_weight", "k1", "spans", "path", "rank", "gone_id", "component")})
+    return df.withColumns({c: F.lit(1) for c in ("id", "fp", "a`b.c", "key", "n", "word", "bucket", "log_weight", "k1", "spans", "path", "rank", "gone_id", "component")})
 
 
 def prose(rng, n, words=200):
@@ -235,6 +235,32 @@ def test_quality_cut():
         assert cut < 0 < unit and (good < cut).sum() + (bad >= cut).sum() == best
 
 
+def test_quality_draw_against_brute_force(spark):
+    """Mean evidence, log weight, Gumbel key and the draw, from the model's buckets."""
+    rng = random.Random(18)
+    rows = [(i, prose(rng, 80) + (" vile" * rng.randrange(1, 9) if i % 4 == 0 else "")) for i in range(300)] + [(None, "no id"), (7, prose(rng, 20))]
+    table = docs(spark, rows).withColumn("back`tick", F.lit(1))
+    known = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 300, 1) if i % 3] + [(3, None, None)], "doc_id long, quality int, toxic int")
+    model = quality.fit(table, known)
+    ratio = dict(zip(model.buckets.tolist(), model.ratios.tolist(), strict=True))
+
+    def weight(text):
+        found = quality.ngrams((text or "").encode()).tolist()
+        means = [sum(ratio.get(b, (0, 0))[k] for b in found) / max(len(found), 1) for k in (0, 1)]
+        return min((m - c) * u for m, c, u in zip(means, model.cuts, model.units, strict=True))
+
+    noise = {(r["doc_id"], r["text"]): r["key"] for r in quality.with_key(docs(spark, rows).withColumn("w", F.lit(0.0)), "w", "key").collect()}
+    keys = sorted(((weight(t) / quality.TEMPERATURE + noise[i, t], i) for i, t in rows), key=lambda p: -p[0])
+    k = sum(weight(t) >= 0 for _, t in rows)
+    drawn = quality.resample(table, known)
+    got = {r["doc_id"]: (r["log_weight"], r["key"]) for r in drawn.collect()}
+    assert collections.Counter(r["doc_id"] for r in quality.select(table, known).collect()) == collections.Counter(i for _, i in keys[:k])
+    assert 0 < k < len(rows) and len(set(noise.values())) > 290 and got.keys() == {i for _, i in keys[:k]}
+    for i, t in rows[:300]:
+        if i in got and i != 7:
+            assert got[i][0] == pytest.approx(weight(t), abs=1e-4)
+
+
 def test_kth_largest(spark):
     rng = random.Random(4)
     values = [round(rng.gauss(0, 5), 1) for _ in range(500)]
@@ -355,25 +381,25 @@ def test_strips_hash_like_whole_texts():
 
 
 def brute_repeats(texts, window):
-    counts = collections.Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+    counts = collections.Counter(hash(t[i : i + window]) for t in texts for i in range(len(t) - window + 1))
     out = []
     for t in texts:
         gone = bytearray(len(t))
         for i in range(len(t) - window + 1):
-            if counts[t[i : i + window]] > 1:
+            if counts[hash(t[i : i + window])] > 1:
                 gone[i : i + window] = b"\x01" * window
         runs = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
         out.append((len(t), sum(gone), runs, bytes(b for b, g in zip(t, gone) if not g)))
     return out
 
 
-@pytest.mark.parametrize("largest", [4096, 1])
+@pytest.mark.parametrize("largest", [4096, 12, 1])
 def test_repeats_against_brute_force(spark, largest):
     rng = random.Random(6)
     shared = [prose(rng, 30) for _ in range(4)]
     rows = [(i, " ".join([prose(rng, rng.randrange(30)), *rng.sample(shared, rng.randrange(3)), prose(rng, rng.randrange(20))])) for i in range(60)]
     rows += [(100 + i, rows[i][1]) for i in range(8)] + [(200 + i, rows[20][1].replace("w1", f"ü{i}", 2)) for i in range(12)]
-    rows += [r for r in ODD if r[0] != 8] + [(300, "ab" * 120), (301, "é" * 90)]
+    rows += [r for r in ODD if r[0] != 8] + [(300, "ab" * 120), (301, "é" * 90), (302, shared[0] + prose(rng, 70_000, 50_000) + shared[0])]
     found = suffixes.remove_repeats(clashing(docs(spark, rows)), window=40, gram=20, largest=largest)
     got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found.collect())
     want = brute_repeats([(t or "").encode() for _, t in rows], 40)
@@ -491,7 +517,7 @@ def test_maxent_scores(spark):
     rows += [r for r in ODD if r[0] not in (None, 5, 8)]
     table = clashing(docs(spark, [*rows, (None, "axx only here")]))
     found = collections.defaultdict(list)
-    for r in maxent.score(table, bucket_words=50).collect():
+    for r in maxent.score(table, bucket_tokens=500).collect():
         found[r["doc_id"]].append(r)
     train = collections.Counter()
     for i, t in [*rows, (None, "axx only here")]:
@@ -508,6 +534,67 @@ def test_maxent_scores(spark):
     assert maxent.score(table.limit(0)).count() == 0
 
 
+def brute_model_score(tables, frequent, words):
+    """Log10 probability of each token's digits, feature by feature and token by token."""
+    codes, mask, mix = [maxent.code_of(w) for w in words], (1 << 64) - 1, int(maxent.MIX)
+    bits = len(tables[1]).bit_length() - 1
+    row = lambda x: (x * mix & mask) >> (64 - bits)
+    known, out = dict(zip(frequent.codes.tolist(), frequent.digits.tolist(), strict=True)), []
+    softmax = lambda x, i: float(x[i] - np.log(np.exp(x).sum()))
+    for i, code in enumerate(codes):
+        one, two = codes[i - 1] if i else 0, codes[i - 2] if i > 1 else 0
+        last, leaf = row(one), code & 1023
+        first = sum(np.float64(tables[t][r]) for t, r in ((0, 0), (1, last), (2, row(two ^ 0xABCDEF)), (3, row((one * 31 + two) & mask))))
+        second = np.float64(tables[4][leaf // 32]) + tables[5][leaf // 32 * maxent.FINE_ROWS + last % maxent.FINE_ROWS]
+        third = np.float64(tables[6][leaf]) + tables[7][leaf * maxent.WORD_ROWS + last % maxent.WORD_ROWS]
+        out.append((softmax(first, leaf // 32) + softmax(second, leaf % 32) + softmax(third, known.get(code, 0))) / np.log(10))
+    return out
+
+
+def test_maxent_score_against_brute_force():
+    rng = np.random.default_rng(15)
+    texts = [" ".join(f"w{rng.integers(40)}{'x' * rng.integers(5)}" for _ in range(rng.integers(30))).encode() for _ in range(20)]
+    codes, starts = maxent.encoded(texts)
+    words = np.unique(codes)[:20]
+    frequent = maxent.Frequent(words, rng.integers(1, 32, 20))
+    model = maxent.Model(frequent=frequent)
+    model.tables = [rng.normal(size=t.shape).astype(np.float32) for t in model.tables]
+    got = model.run(codes, starts, False)
+    want = [x for t in texts for x in brute_model_score(model.tables, frequent, maxent.tokens(t))]
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_maxent_starts_as_the_unigram_model():
+    """Before training, all words and one unknown one have the probabilities of smoothed counts, which sum to one."""
+    rng = random.Random(16)
+    count = {maxent.code_of(f"v{i}".encode()): rng.randrange(1, 50) for i in range(3000)}
+    codes, n = np.array(sorted(count), np.uint64), np.array([count[c] for c in sorted(count)], float)
+    leaf = (codes & np.uint64(1023)).astype(int)
+    totals = np.bincount(leaf, n, 1024), np.bincount(leaf, minlength=1024).astype(float)
+    rank = np.zeros(len(codes), int)
+    for x in np.unique(leaf):
+        own = np.flatnonzero(leaf == x)
+        rank[own[np.argsort(-n[own], kind="stable")]] = np.arange(1, len(own) + 1)
+    top = rank < 32
+    frequent = maxent.Frequent(codes[top], rank[top])
+    model = maxent.Model(maxent.unigram(*totals, codes[top], n[top], frequent, 4096), frequent=frequent)
+    found = model.run(codes, np.array([0]), False)
+    tail = ~top
+    rest = totals[0] - np.bincount(leaf[top], n[top], 1024) + 0.5 * (totals[1] - np.bincount(leaf[top], minlength=1024) + 1)
+    found[tail] += np.log10((n[tail] + 0.5) / rest[leaf[tail]])
+    mass = totals[0].sum() + 0.5 * (totals[1].sum() + 1024)
+    assert 10**found == pytest.approx((n + 0.5) / mass, rel=1e-3)
+
+
+def test_maxent_codes_of_long_texts(monkeypatch):
+    monkeypatch.setattr(maxent, "CHUNK_BYTES", 64)
+    rng = random.Random(17)
+    texts = [b"", b" a ", "Ünï  X".encode() * 40, b"w" * 500 + b" end", b"\n".join(bytes([97 + rng.randrange(26)]) * rng.randrange(90) for _ in range(50))]
+    codes, starts = maxent.encoded(texts)
+    want = [[maxent.code_of(w) for w in maxent.tokens(t)] for t in texts]
+    assert [c.tolist() for c in np.split(codes, starts[1:])] == want
+
+
 def test_maxent_pairs_of_words():
     """A word that depends on both words before it together, not on either alone."""
     rng = random.Random(14)
@@ -517,7 +604,7 @@ def test_maxent_pairs_of_words():
         texts.append(f"{a} {b} {'same' if a == b else 'otherwise'}".encode())
     codes, starts = maxent.encoded(texts)
     model = maxent.Model()
-    for _ in range(40):
+    for _ in range(60):
         model.run(codes, starts, True)
     assert model.run(codes, starts, False)[starts + 2].mean() > -0.15 and maxent.DIGITS == 32
 
