@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.normalize import claude as flatten
-from ..functions.normalize import get, text_of
+from ..functions.normalize import get, kind_of, text_of
 from ..operators.joins import asof
 from ..operators.segments import sticky_segments
 from ..operators.usage import COUNTERS, dedupe_requests
@@ -23,7 +23,7 @@ def _fields(lines: DataFrame) -> DataFrame:
     content = get(v, "$.message.content", "variant")
     blocks = F.when(F.startswith(F.schema_of_variant(content), F.lit("ARRAY")), F.try_variant_get(content, "$", "array<struct<type string, id string, name string, text string, input struct<skill string>>>"))
     return lines.select(
-        "path", "n", get(v, "$.type").alias("type"), get(v, "$.timestamp").alias("ts"), get(v, "$.requestId").alias("request_id"),
+        "path", "ord", get(v, "$.type").alias("type"), get(v, "$.timestamp").alias("ts"), get(v, "$.requestId").alias("request_id"),
         F.coalesce(get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("side"), F.coalesce(get(v, "$.isMeta", "boolean"), F.lit(False)).alias("meta"),
         get(v, "$.message.model").alias("model"), text.strip(text_of(content)).alias("text"), blocks.alias("blocks"),
         F.when(get(v, "$.message.usage", "variant").isNotNull(), flatten(get(v, "$.message.usage", "variant"))).alias("usage"),
@@ -34,7 +34,7 @@ def _slots(rows: DataFrame) -> DataFrame:
     """Rows in order with their skill uses in front of their usage: one row for each event that can open a segment or bears usage."""
     human = (F.col("type") == "user") & ~F.col("side") & ~F.col("meta") & (F.length("text") > 0) & ~F.coalesce(F.exists("blocks", lambda b: b["type"] == "tool_result"), F.lit(False))
     skills = F.filter("blocks", lambda b: (b["type"] == "tool_use") & (b["name"] == "Skill") & b["input"]["skill"].isNotNull())
-    skills = F.transform(F.coalesce(skills, F.array().cast("array<struct<type string, id string, name string, text string, input struct<skill string>>>")), lambda b, i: F.struct(i.alias("slot"), F.lit("skill").alias("kind"), b["input"]["skill"].alias("name"), b["id"].alias("use_id")))
+    skills = F.transform(F.coalesce(skills, F.array().cast("array<struct<type string, id string, name string, text string, input struct<skill string>>>")), lambda b, i: F.struct(i.alias("slot"), F.lit("skill").alias("kind"), F.concat(F.lit("/"), b["input"]["skill"]).alias("name"), b["id"].alias("use_id")))
     none = F.lit(None).cast("string")
     prompt = F.when(human, F.array(F.struct(F.lit(0).alias("slot"), F.lit("prompt").alias("kind"), text.command_tag(F.col("text")).alias("name"), none.alias("use_id"))))
     answer = F.when(F.col("type") == "assistant", F.concat(skills, F.when(F.col("usage").isNotNull(), F.array(F.struct(F.lit(1000).alias("slot"), F.lit("usage").alias("kind"), none.alias("name"), none.alias("use_id")))).otherwise(F.array().cast("array<struct<slot int, kind string, name string, use_id string>>"))))
@@ -44,7 +44,7 @@ def _slots(rows: DataFrame) -> DataFrame:
 def sessions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """``requests``, ``segments`` and ``files`` of all transcripts under ``root`` (``project/session.jsonl``)."""
     lines = jsonl.scan(spark, f"{root}/*/*.jsonl")
-    rows = _fields(jsonl.numbered(jsonl.records(lines))).withColumn("session", F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)).withColumn("project", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    rows = jsonl.numbered(_fields(jsonl.records(lines))).withColumn("session", F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)).withColumn("project", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     events = _slots(rows)
     use = F.coalesce("use_id", F.concat_ws(":", "request_id", "name"))
     again = F.row_number().over(Window.partitionBy("path", "kind", use).orderBy("n", "slot")) > 1
@@ -55,7 +55,7 @@ def sessions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     events = events.withColumn("label", F.coalesce(F.first(F.when(F.col("marker"), F.col("name"))).over(opened.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(NO_COMMAND)))
     segments = events.where("seg_id > 0").groupBy("project", "session", "seg_id").agg(
         F.min_by("label", F.struct("n", "slot")).alias("label"), F.min_by("ts", F.struct("n", "slot")).alias("start_ts"),
-        F.min_by(text.prompt(F.col("text")), F.when((F.col("kind") == "prompt") & (F.length("text") > 0), F.col("n"))).alias("prompt"),
+        F.min_by(text.prompt(F.col("text")), F.when((F.col("kind") == "prompt") & (F.length("text") > 0) & (F.col("label") == NO_COMMAND), F.col("n"))).alias("prompt"),
     )
     bearing = events.where("kind = 'usage'").select("project", "session", F.col("seg_id").alias("segment"), "label", "model", "ts", text.local_day(F.col("ts")).alias("day"), "request_id", F.col("n").alias("ord"), *[F.col(f"usage.{c}").alias(c) for c in COUNTERS])
     requests = dedupe_requests(bearing, ["project", "session"], first=["segment", "label", "model", "day", "ts"])
@@ -67,19 +67,54 @@ def subagents(spark: SparkSession, root: str, segments: DataFrame) -> DataFrame:
 
     Ids are deduplicated inside one file only: the same request in a parent and in a child counts twice.
     """
-    lines = jsonl.scan(spark, root, recursive=True, name_glob=AGENT_GLOB)
-    rows = _fields(jsonl.numbered(jsonl.records(lines))).withColumn("session", F.regexp_extract("path", r"([^/]+)/subagents/", 1)).withColumn("agent", F.regexp_extract("path", r"/(agent-[^/]+)\.jsonl$", 1))
-    bearing = rows.where((F.col("type") == "assistant") & F.col("usage").isNotNull()).select("path", "session", "agent", "model", "ts", text.local_day(F.col("ts")).alias("day"), "request_id", F.col("n").alias("ord"), *[F.col(f"usage.{c}").alias(c) for c in COUNTERS])
-    requests = dedupe_requests(bearing, ["session", "agent", "path"], first=["model", "day", "ts"])
-    starts = rows.groupBy("session", "agent").agg(F.min("ts").alias("agent_ts"))
+    lines = jsonl.scan(spark, root, recursive=True, name_glob=AGENT_GLOB).where(F.col("path").contains("/subagents/"))
+    rows = jsonl.numbered(_fields(jsonl.records(lines))).withColumn("session", F.regexp_extract("path", r"([^/]+)/subagents/", 1)).withColumn("project", F.regexp_extract("path", r"([^/]+)/[^/]+/subagents/", 1)).withColumn("agent", F.regexp_extract("path", r"/(agent-[^/]+)\.jsonl$", 1))
+    bearing = rows.where((F.col("type") == "assistant") & F.col("usage").isNotNull()).select(
+        "path", "project", "session", "agent", "model", "ts", text.local_day(F.col("ts")).alias("day"), "request_id", F.col("n").alias("ord"), *[F.col(f"usage.{c}").alias(c) for c in COUNTERS]
+    )
+    requests = dedupe_requests(bearing, ["project", "session", "agent", "path"], first=["model", "day", "ts"])
+    meta = agent_files(spark, root)
+    starts = rows.groupBy("path", "project", "session", "agent").agg(F.min("ts").alias("own_ts"))
+    starts = starts.join(meta, F.regexp_replace("path", r"\.jsonl$", "") == F.col("meta_of"), "left").join(journal_starts(spark, root), F.regexp_extract("path", "^(.*)/", 1) == F.col("journal_in"), "left")
+    starts = starts.select("session", "agent", F.coalesce("own_ts", "meta_ts", "journal_ts").alias("agent_ts"), F.coalesce("agent_type", F.lit("agent")).alias("agent_type"), F.coalesce("description", F.lit("")).alias("description"))
     placed = asof(starts, segments.where("start_ts != ''"), "session", "agent_ts", "agent", "start_ts", "seg_id")
-    labelled = placed.join(segments.select("session", "seg_id", "label"), ["session", "seg_id"], "left")
-    return requests.join(labelled.select("session", "agent", F.col("seg_id").alias("segment"), F.coalesce("label", F.lit(NO_COMMAND)).alias("label")), ["session", "agent"], "left")
+    labelled = placed.join(segments.select("session", "seg_id", "label"), ["session", "seg_id"], "left").select("session", "agent", F.coalesce(F.col("seg_id"), F.lit(1)).cast("long").alias("segment"), F.coalesce("label", F.lit(NO_COMMAND)).alias("label"))
+    return requests.join(labelled, ["session", "agent"], "left").join(starts.select("session", "agent", "agent_type", "description"), ["session", "agent"], "left")
+
+
+#: Keys under which an agent's start may be recorded, the first that is filled counts (fixed names).
+START_KEYS = ("timestamp", "started_at", "start_ts", "created_at", "start_time", "time", "ts")
+
+
+def _start(v: Column) -> Column:
+    """Start time of a metadata object: text as it is, numbers as seconds or milliseconds since the epoch."""
+    found = []
+    for key in START_KEYS:
+        number, words = get(v, f"$.{key}", "double"), get(v, f"$.{key}")
+        is_number = kind_of(v, f"$.{key}").rlike("BIGINT|DOUBLE|DECIMAL")
+        iso = F.date_format(text.epoch_to_time(number), "yyyy-MM-dd'T'HH:mm:ssXXX")
+        found.append(F.when(is_number, F.when(number != 0, iso)).when(F.length(words) > 0, words))
+    return F.coalesce(*found)
+
+
+def agent_files(spark: SparkSession, root: str) -> DataFrame:
+    """Metadata files beside the transcripts of subagents: path without its ending, type, description, start."""
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.meta.json").option("wholetext", "true").text(root)
+    v = F.try_parse_json(F.make_valid_utf8("value"))
+    rows = whole.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.meta\.json$", "").alias("meta_of"), v.alias("v"))
+    return rows.select("meta_of", get(F.col("v"), "$.agentType").alias("agent_type"), get(F.col("v"), "$.description").alias("description"), _start(F.col("v")).alias("meta_ts"))
+
+
+def journal_starts(spark: SparkSession, root: str) -> DataFrame:
+    """The first start recorded in each folder's journal."""
+    lines = jsonl.scan(spark, root, recursive=True, name_glob="journal.jsonl").where("object")
+    rows = lines.select(F.regexp_extract("path", "^(.*)/", 1).alias("journal_in"), "ord", _start(F.col("v")).alias("found")).where("found is not null")
+    return rows.groupBy("journal_in").agg(F.min_by("found", "ord").alias("journal_ts"))
 
 
 def all_requests(spark: SparkSession, root: str, with_agents: bool = True) -> DataFrame:
-    """Requests of sessions and their subagents in one frame."""
+    """Requests of sessions and their subagents in one frame (``agent`` is null for a session's own)."""
     found = sessions(spark, root)
-    columns = ["session", "segment", "label", "model", "day", "ts", *COUNTERS, "requests"]
-    own = found["requests"].select(*columns)
-    return own.unionByName(subagents(spark, f"{root}/*/*/subagents", found["segments"]).select(*columns)) if with_agents else own
+    columns = ["project", "session", "segment", "label", "model", "day", "ts", *COUNTERS, "requests"]
+    own = found["requests"].select(*columns, *[F.lit(None).cast("string").alias(c) for c in ("agent", "agent_type")])
+    return own.unionByName(subagents(spark, root, found["segments"]).select(*own.columns)) if with_agents else own

@@ -14,13 +14,15 @@ from .plans import api, render
 from .session import session as start
 from .sources.prices import price_list
 
-COLUMNS = ["session", "segment", "label", "model", "day", "ts"]
+COLUMNS = ["session", "segment", "label", "model", "day", "ts", "agent"]
 
 
 def requests_of(spark: SparkSession, runtime: str, root: str) -> DataFrame:
     """Requests of a host's logs in the common columns; a column that the host does not have is null."""
     adapter = ADAPTERS[runtime]
-    if runtime == "cursor":
+    if runtime == "claude":
+        rows = adapter.all_requests(spark, root)
+    elif runtime == "cursor":
         rows = adapter.ledger_requests(spark, root)
     else:
         rows = adapter.sessions(spark, [root] if runtime == "copilot" else root)["requests"]
@@ -67,7 +69,7 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> str:
     rows = api.window(requests_of(spark, options.runtime, options.root), api.since_cutoff(options.since), options.project)
     priced = api.with_cost(rows, price_list(spark, *layers))
     if options.command == "history":
-        found = api.history(priced, options.by).orderBy("rank")
+        found = api.history(priced, options.by)
         return render.to_csv(found, options.by) if options.csv else render.markdown(found, f"By {options.by}")
     if options.command == "top":
         return render.markdown(api.top_consumers(priced, options.by, options.n)[0].orderBy("rank"), f"Top {options.by}s")

@@ -103,6 +103,18 @@ def cursor_hook(t: Column) -> Column:
     return F.when(F.coalesce(inp, out).isNotNull(), bucket(net, out, read, written, F.lit(0)))
 
 
+def hook_trusted(t: Column) -> Column:
+    """Whether a hook's cached tokens fit into its input."""
+    read, written = F.coalesce(number(t, "$.cache_read_tokens"), F.lit(0)), F.coalesce(number(t, "$.cache_write_tokens"), F.lit(0))
+    return F.coalesce(number(t, "$.input_tokens") >= read + written, read + written == 0)
+
+
+def copilot_ttl_odd(d: Column) -> Column:
+    """Whether written tokens name a time to live that is neither five minutes nor an hour."""
+    ttl = get(d, "$.cacheTtlSeconds", "bigint")
+    return F.coalesce((F.coalesce(counter(d, "$.cacheWriteTokens"), F.lit(0)) > 0) & ttl.isNotNull() & ~ttl.isin(300, 3600), F.lit(False))
+
+
 def cloud_api(t: Column) -> Column:
     """A counter that is negative or no number makes the event partial (null)."""
     values = [number(t, f"$.{n}") for n in ("inputTokens", "outputTokens", "cacheReadTokens", "cacheWriteTokens")]

@@ -52,6 +52,14 @@ def spend_trend(halves: DataFrame, subject: str) -> DataFrame:
     return _finding(halves, "spend-trend", F.when(change >= TREND_WARN, "warn").otherwise("info"), F.col(subject), change, (F.col("before") > 0) & (F.abs(change) >= TREND))
 
 
+def top_mover(halves: DataFrame, label: str = "label") -> DataFrame:
+    """The label behind a rise of spend, if it explains three tenths of it or more."""
+    from .rollup import top_mover as mover
+
+    found = mover(halves, label)
+    return _finding(found, "top-mover", "info", F.col("label"), F.col("share"), F.col("share") >= MOVER_SHARE)
+
+
 def unpriced_models(models: DataFrame) -> DataFrame:
     """One finding if any model has no rate."""
     found = models.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("model")), ", ").alias("names"))

@@ -31,17 +31,25 @@ def last_started(children: DataFrame, segments: DataFrame, scope: str, child_ts:
     return both.select(scope, child_id, F.col("_found").alias(segment_id))
 
 
-def closure(edges: DataFrame, child: str, parent: str, rounds: int = 64) -> DataFrame:
-    """Root of every child by pointer doubling: the number of joins grows with the logarithm of the depth."""
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """Root of every child by pointer doubling: the number of joins grows with the logarithm of the depth.
+
+    A node that is in a cycle, or hangs from one, has no root: its ``root`` is null. Rounds are written to the
+    checkpoint folder where the session names one.
+    """
     now = edges.select(F.col(child).alias("node"), F.col(parent).alias("root"))
-    for _ in range(rounds):
+    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    left, moved = edges.count(), True
+    while moved and left:
         up = now.select(F.col("node").alias("_n"), F.col("root").alias("_up"))
-        after = now.join(up, now["root"] == up["_n"], "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")).persist()
-        moved = after.where("_moved").limit(1).count()
-        now = after.drop("_moved")
-        if not moved:
-            break
-    return now
+        after = now.join(up, now["root"] == up["_n"], "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
+        after = after.checkpoint() if reliable else after
+        moved = not after.where("_moved").isEmpty()
+        now, left = after.select("node", "root"), left // 2  # after as many doublings no path is longer than all edges
+    if not moved:
+        return now
+    inner = now.join(edges.select(F.col(child).alias("_inner")).distinct(), F.col("root") == F.col("_inner"), "left")
+    return inner.select("node", F.when(F.col("_inner").isNull(), F.col("root")).alias("root"))
 
 
 def diff(old: DataFrame, new: DataFrame, key: str = "label") -> DataFrame:
@@ -63,12 +71,30 @@ def replace_window(table: DataFrame, fresh: DataFrame, at: str, start: Column, e
     return kept.unionByName(fresh)
 
 
-def match_results(calls: DataFrame, results: DataFrame, scope: list[str], name: str, order: str) -> DataFrame:
-    """The n-th result of a name answers the n-th call of that name in its scope; calls without an answer stay."""
-    window = Window.partitionBy(*scope, name).orderBy(order)
-    a = calls.withColumn("_n", F.row_number().over(window))
-    b = results.withColumn("_n", F.row_number().over(window)).select(*scope, name, "_n", F.col(order).alias("result_ord"))
-    return a.join(b, [*scope, name, "_n"], "left").drop("_n")
+def match_results(calls: DataFrame, results: DataFrame, scope: list[str], name: str, order: str, ident: str | None = None) -> DataFrame:
+    """Calls with the order of their result in ``result_ord``.
+
+    A result answers the first call of its scope with its id; one without such a call the n-th call of its name that
+    has no answer by id, n counting the results left over; one without any call becomes a call of its own.
+    """
+    keys = [*scope, name, order, *([ident] if ident else [])]
+    calls, results = calls.withColumn("_row", F.lit(True)), results.select(*keys)
+    by_id = None
+    if ident:
+        same = Window.partitionBy(*scope, ident).orderBy(order)
+        first = calls.where(F.col(ident).isNotNull()).withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*scope, ident, F.col(order).alias("_call"))
+        paired = results.join(first, [*scope, ident], "left").select(*[F.col(c) for c in keys], "_call")
+        by_id = paired.where("_call is not null").groupBy(*scope, "_call").agg(F.min(order).alias("_by_id"))
+        results = paired.where("_call is null").drop("_call")
+        calls = calls.join(by_id.withColumnRenamed("_call", order), [*scope, order], "left")
+    else:
+        calls = calls.withColumn("_by_id", F.lit(None).cast(results.schema[order].dataType))
+    window = Window.partitionBy(*scope, name, "_open").orderBy(order)
+    calls = calls.withColumn("_open", F.col("_by_id").isNull()).withColumn("_n", F.when(F.col("_open"), F.row_number().over(window)))
+    late = results.withColumn("_n", F.row_number().over(Window.partitionBy(*scope, name).orderBy(order))).withColumnRenamed(order, "result_ord")
+    late = late.drop(ident) if ident else late
+    found = calls.join(late, [*scope, name, "_n"], "full_outer")
+    return found.withColumn("synthetic", F.col("_row").isNull()).withColumn("result_ord", F.coalesce("_by_id", "result_ord")).drop("_n", "_row", "_open", "_by_id")
 
 
 def ordered_merge(parts: list[DataFrame], order: list[str]) -> DataFrame:
@@ -86,6 +112,6 @@ def latest_version(rows: DataFrame, key: list[str], version: list[str], values:
 
 
 def publish_once(rows: DataFrame, key: list[str], content: list[str]) -> DataFrame:
-    """Each content of a key once, by its hash: publishing again has no effect."""
-    digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]), 256).alias("content_hash")
-    return rows.select(*key, digest).distinct()
+    """Each content of a key once, by the hash of its JSON form (fields in order of their names, nulls told from empty): publishing again has no effect."""
+    body = F.to_json(F.struct(*sorted(content)), {"ignoreNullFields": "false"})
+    return rows.select(*key, F.sha2(body, 256).alias("content_hash")).distinct()

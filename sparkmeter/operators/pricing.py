@@ -28,10 +28,14 @@ def valid_prices(prices: DataFrame) -> DataFrame:
     return prices.where(fine("rate_in") & fine("rate_out") & (F.col("rate_read").isNull() | fine("rate_read")))
 
 
+#: Region and provider before a hosted model's name (fixed pattern).
+PROVIDER = r"^(?:[a-z]{2,3}\.)?anthropic\."
+
+
 def spellings(model: Column) -> Column:
-    """Spellings under which a model is looked up: as it is, without a provider prefix, and after the last slash of either."""
-    bare = F.regexp_replace(model, r"^(?:[a-z]{2}\.)?(?:anthropic|openai|google|amazon|meta)[./:]", "")
-    return F.array_distinct(F.array(model, bare, F.substring_index(model, "/", -1), F.substring_index(bare, "/", -1)))
+    """Spellings under which a model is looked up: as it is, what follows its last slash, and both without a provider before them."""
+    tail = F.substring_index(model, "/", -1)
+    return F.array_distinct(F.array(model, tail, F.regexp_replace(model, PROVIDER, ""), F.regexp_replace(tail, PROVIDER, "")))
 
 
 def rate_table(models: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:

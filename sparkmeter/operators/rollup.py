@@ -36,8 +36,12 @@ def label_breakdown(usage: DataFrame) -> DataFrame:
     return usage.groupingSets([["label"], ["label", "model"], []], "label", "model").agg(F.grouping_id().cast("long").alias("grain"), *aggregates())
 
 
+def history_order() -> list[Column]:
+    return [F.coalesce("cost", F.lit(0)).desc(), F.col("key")]
+
+
 def in_history_order(rows: DataFrame) -> DataFrame:
-    """Rank by cost (unknown counts as 0) falling, then key."""
+    """Rank by cost (unknown counts as 0) falling, then key; for grains of few keys (one task ranks them), others are sorted by ``history_order``."""
     order = Window.orderBy(F.coalesce("cost", F.lit(0)).desc(), "key")
     return rows.withColumn("rank", F.row_number().over(order).cast("long"))
 
@@ -84,9 +88,11 @@ def halves(rows: DataFrame, by: list[str], middle: Column, at: str = "ts") -> Da
 
 
 def top_mover(movers: DataFrame, label: str = "label") -> DataFrame:
-    """The label whose cost rose most; ties go to the greatest label."""
+    """The label whose cost rose most (ties: the greatest label), and its share of the whole rise; no row where spend did not rise from something."""
     best = F.max(F.struct((F.col("after") - F.col("before")).alias("delta"), F.col(label).alias("label"))).alias("best")
-    return movers.agg(best).select(F.col("best.label").alias("label"), F.col("best.delta").alias("delta"))
+    found = movers.agg(best, F.sum("before").alias("first"), F.sum(F.col("after") - F.col("before")).alias("rise"))
+    found = found.where("first > 0 and rise > 0 and best.delta > 0")
+    return found.select(F.col("best.label").alias("label"), F.col("best.delta").alias("delta"), (F.col("best.delta") / F.col("rise")).alias("share"))
 
 
 def measurement_tally(rows: DataFrame, by: list[str], level: str = "measurement") -> DataFrame:

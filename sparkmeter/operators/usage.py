@@ -13,11 +13,13 @@ def dedupe_requests(records: DataFrame, scope: list[str], request: str = "reques
     """One row for each request of a scope: the maximum of every counter, the first record's attributes, requests = 1.
 
     A streamed request is logged many times with growing counters; summing would count it again and again. A
-    record without a request id is a request of its own.
+    record without a request id is a request of its own. Attributes are strings, which Spark aggregates over sorted
+    rows: the records are dealt by their key first, so that they are sorted once and not for a partial pass as well.
     """
     key = F.coalesce(F.col(request), F.concat(F.lit("#"), F.col(order).cast("string")))
     names = first if first is not None else [c for c in ("segment", "label", "model", "day") if c in records.columns and c not in scope]
-    grouped = records.groupBy(*scope, key.alias("request_key"))
+    keyed = records.withColumn("request_key", key)
+    grouped = (keyed.repartition(*scope, "request_key") if names else keyed).groupBy(*scope, "request_key")
     return grouped.agg(
         *[F.max(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c) for c in COUNTERS],
         *[F.min_by(c, order).alias(c) for c in names],

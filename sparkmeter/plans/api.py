@@ -64,11 +64,11 @@ def dollars(rows: DataFrame, *names: str) -> DataFrame:
 
 
 def history(priced: DataFrame, by: str) -> DataFrame:
-    """Ranked rows of a grain: calls, bucket sums, cost, partial flag."""
+    """Rows of a grain, the most expensive first (a range sort): calls, bucket sums, cost, partial flag."""
     if by not in GRAINS:
         raise OptionError(f"no such grain: {by}")
     calls: Column | None = F.sum("requests") if by == "model" else F.countDistinct("session", "segment") if by == "command" and "segment" in priced.columns else None
-    return rollup.in_history_order(rollup.history(priced, GRAINS[by], calls))
+    return rollup.history(priced, GRAINS[by], calls).orderBy(*rollup.history_order())
 
 
 def report(priced: DataFrame, session: str) -> DataFrame:
@@ -91,10 +91,15 @@ def diff(priced: DataFrame, old: str, new: str) -> DataFrame:
     return joins.diff(by.where(F.col("session") == old).drop("session"), by.where(F.col("session") == new).drop("session"))
 
 
-def session_insights(priced: DataFrame, session: str, budget: float | None = None) -> DataFrame:
-    """Findings about one session against the median of the other sessions of its project."""
+#: Days that a baseline looks back (fixed value).
+BASELINE_DAYS = 30
+
+
+def session_insights(priced: DataFrame, session: str, budget: float | None = None, now: datetime | None = None) -> DataFrame:
+    """Findings about one session against the medians of the other sessions of its project in the last 30 days."""
     mine = priced.where(F.col("session") == session)
-    others = priced.join(mine.select("project").distinct(), "project", "left_semi").where(F.col("session") != session)
+    others = priced.join(mine.select("project").distinct(), "project", "left_semi")
+    others = window(others, since_cutoff(f"{BASELINE_DAYS}d", now), exclude=session)
     costs = others.groupBy("project", "session").agg(F.sum("cost").cast("long").alias("cost"))
     base = rollup.median(costs, ["project"], "cost", "baseline")
     own = mine.groupBy("project", "session").agg(F.sum("cost").cast("long").alias("cost"))
@@ -105,22 +110,29 @@ def session_insights(priced: DataFrame, session: str, budget: float | None = Non
     known = known.groupBy("label").agg(F.median("ratio").alias("baseline_ratio"), F.count("*").alias("n"))
     found = [rules.cost_outlier(own.join(base, "project")), rules.cache_regression(labels.join(known, "label")), rules.adhoc_share(mine, "(no command)")]
     found.append(rules.unpriced_models(mine.where(F.col("cost").isNull() & pricing.has_tokens()).select("model").distinct()))
+    if "agent" in mine.columns:
+        agents = F.sum(F.when(F.col("agent").isNotNull(), F.col("cost")))
+        found.append(rules.agent_fanout(mine.groupBy("label").agg(agents.alias("agent_cost"), F.sum("cost").alias("cost"))))
     if budget:
         found.append(rules.budget_pace(own, int(budget * 1e9)))
     return rules.in_order(found)
 
 
 def window_insights(priced: DataFrame, middle: str) -> DataFrame:
-    """Findings about a window: spend before and after its middle, unpriced models."""
-    halves = rollup.halves(priced.withColumn("all", F.lit("spend")), ["all"], F.lit(middle))
+    """Findings about a window: spend of sessions that began before and from its middle on, the label behind a rise, unpriced models."""
+    placed = priced.join(priced.groupBy("session").agg(F.min("ts").alias("_first")), "session").where("_first is not null")
+    halves = rollup.halves(placed.withColumn("all", F.lit("spend")), ["all"], F.lit(middle), "_first")
+    movers = rollup.halves(placed, ["label"], F.lit(middle), "_first")
     missing = priced.where(F.col("cost").isNull() & pricing.has_tokens()).select("model").distinct()
-    return rules.in_order([rules.spend_trend(halves, "all"), rules.unpriced_models(missing)])
+    return rules.in_order([rules.spend_trend(halves, "all"), rules.top_mover(movers), rules.unpriced_models(missing)])
 
 
 def dashboard(priced: DataFrame) -> DataFrame:
     """Top ten of each grain and all days, in one frame (grain, key, cost, rank)."""
-    grains = F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), F.col(c).cast("string").alias("key")) for g, c in GRAINS.items() if g != "session"])).alias("g")
-    long = priced.select(grains, "cost").select("g.*", "cost").groupBy("grain", "key").agg(F.sum("cost").cast("long").alias("cost"))
+    names = {g: c for g, c in GRAINS.items() if g != "session"}
+    cells = priced.groupBy(*names.values()).agg(F.sum("cost").alias("cost"))  # few rows, before they are multiplied by grains
+    grains = F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), F.col(c).cast("string").alias("key")) for g, c in names.items()])).alias("g")
+    long = cells.select(grains, "cost").select("g.*", "cost").groupBy("grain", "key").agg(F.sum("cost").cast("long").alias("cost"))
     tops = rollup.top_of_each(long.where("grain <> 'day'"), "grain", 10)
     return tops.unionByName(long.where("grain = 'day'").withColumn("rank", F.lit(None).cast("long")))
 

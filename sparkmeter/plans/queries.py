@@ -10,10 +10,13 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import insights, joins, pricing, rollup, segments, usage
+from . import api
 from .bench_views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MIDDLE = "1995-06-30 00:00:00"
+#: A middle with less spend before it than after it.
+RISING = "1997-01-01 00:00:00"
 
 
 def query(f: Callable[[Views], DataFrame]) -> Callable:
@@ -172,10 +175,7 @@ def unpriced_cut_count(v: Views) -> DataFrame:
 
 @query
 def dashboard_top10(v: Views) -> DataFrame:
-    rows = v.priced()
-    grains = F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), F.col(g).alias("key")) for g in ("project", "label", "model")])).alias("g")
-    long = rows.select(grains, "cost").select("g.grain", "g.key", "cost")
-    return rollup.top_of_each(long.groupBy("grain", "key").agg(F.sum("cost").cast("long").alias("cost")), "grain", 10)
+    return api.dashboard(v.priced()).where("grain <> 'day'").select("grain", "key", "cost", "rank")
 
 
 @query
@@ -216,9 +216,9 @@ def cost_outlier(v: Views) -> DataFrame:
 
 @query
 def cache_regression(v: Views) -> DataFrame:
-    by = v.requests().groupBy("label", "session").agg(*[F.sum(c).alias(c) for c in usage.COUNTERS]).withColumn("ratio", rollup.cache_ratio())
+    by = v.requests().withColumn("cache_read", F.col("cache_read") * 10).groupBy("label", "request_id").agg(*[F.sum(c).alias(c) for c in usage.COUNTERS]).withColumn("ratio", rollup.cache_ratio())
     base = by.groupBy("label").agg(F.median("ratio").alias("baseline_ratio"), F.count("*").alias("n"))
-    return _rounded(insights.cache_regression(by.where("session % 10 = 0").join(base, "label").withColumn("label", F.concat("label", F.lit("/"), F.col("session").cast("string")))))
+    return _rounded(insights.cache_regression(by.join(base, "label").withColumn("label", F.concat_ws("/", "label", "request_id"))))
 
 
 @query
@@ -245,7 +245,8 @@ def spend_trend(v: Views) -> DataFrame:
 
 @query
 def top_mover(v: Views) -> DataFrame:
-    return rollup.top_mover(rollup.halves(v.priced(), ["label"], F.lit(MIDDLE).cast("timestamp_ntz")))
+    found = rollup.top_mover(rollup.halves(v.priced(), ["label"], F.lit(RISING).cast("timestamp_ntz")))
+    return found.withColumn("share", F.round("share", 9))
 
 
 @query
@@ -274,7 +275,7 @@ def skill_first_use(v: Views) -> DataFrame:
 
 @query
 def prompt_backfill(v: Views) -> DataFrame:
-    rows = v.table("conversations").where("role = 'user'").withColumn("text", F.when(F.col("turn") % 4 == 0, F.lit("")).otherwise(F.substring("text", 1, 40)))
+    rows = v.table("conversations").where("role = 'user'").withColumn("text", F.when(F.col("turn") % 4 == 0, F.lit("")).otherwise(text.prompt(F.col("text"))))
     return segments.prompt_backfill(rows, ["conv_id"], "text", "turn")
 
 
@@ -318,7 +319,7 @@ def _segment_starts(v: Views) -> DataFrame:
 
 def _children(v: Views) -> DataFrame:
     e = v.table("events")
-    return e.where("event_id % 5 = 0").select(F.col("user_id").alias("session"), F.col("event_id").alias("child_id"), (F.col("ts") - F.make_dt_interval(F.lit(1))).alias("child_ts"))
+    return e.select(F.col("user_id").alias("session"), F.col("event_id").alias("child_id"), (F.col("ts") - F.make_dt_interval(F.lit(1))).alias("child_ts"))
 
 
 @query
@@ -345,7 +346,8 @@ def coverage_semi(v: Views) -> DataFrame:
 @query
 def parent_closure(v: Views) -> DataFrame:
     nodes = v.table("orders").select(F.col("o_orderkey").alias("node"))
-    edges = nodes.withColumn("parent", F.floor(F.col("node") / 10).cast("long"))
+    step = F.when(F.col("node") % 1000 == 17, F.col("node") + 1).when(F.col("node") % 1000 == 18, F.col("node") - 1)  # cycles of two
+    edges = nodes.withColumn("parent", F.coalesce(step, F.floor(F.col("node") / 10).cast("long")))
     known = edges.join(nodes.select(F.col("node").alias("known")), F.col("parent") == F.col("known")).select("node", "parent").where("node <> parent")
     return joins.closure(known, "node", "parent")
 
@@ -362,8 +364,10 @@ def ordered_merge(v: Views) -> DataFrame:
 @query
 def tool_result_match(v: Views) -> DataFrame:
     e = v.ev_log().withColumn("name", (F.col("k") % 3).cast("string"))
-    calls, results = e.where("event_type = 'click'"), e.where("event_type = 'view'")
-    return joins.match_results(calls.select("session", "name", "event_id"), results.select("session", "name", "event_id"), ["session"], "name", "event_id").select("session", "name", "event_id", "result_ord")
+    ident = F.when(F.col("k") % 4 == 0, F.col("k"))
+    calls, results = e.where("event_type = 'click'").withColumn("id", ident), e.where("event_type = 'view'").withColumn("id", ident)
+    columns = ["session", "name", "id", "event_id"]
+    return joins.match_results(calls.select(*columns), results.select(*columns), ["session"], "name", "event_id", "id").select("session", "name", "event_id", "result_ord", "synthetic")
 
 
 @query
@@ -382,8 +386,8 @@ def window_replace_merge(v: Views) -> DataFrame:
 
 @query
 def publish_idempotent(v: Views) -> DataFrame:
-    rows = v.ev_log().select("session", "event_type", "k")
-    return joins.publish_once(rows.union(rows), ["session"], ["event_type", "k"])
+    rows = v.ev_log().select("session", "event_type", "k", F.when(F.col("k") % 3 == 0, F.lit("a|b")).when(F.col("k") % 3 == 1, F.lit("")).alias("note"))
+    return joins.publish_once(rows.union(rows), ["session"], ["k", "note", "event_type"])
 
 
 # --- projections and functions -----------------------------------------------------------------------
@@ -431,14 +435,9 @@ def slug(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", text.slug(F.col("url")).alias("slug"), text.safe_id(F.col("url")).alias("safe"))
 
 
-@query
-def provider_strip(v: Views) -> DataFrame:
-    return v.table("part").select("p_partkey", text.without_provider(F.concat(F.lit("anthropic/"), "p_brand")).alias("model"))
-
-
 @query
 def clip_text(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", F.length(text.clip(F.col("text"), 500)).cast("long").alias("n"), F.md5(text.clip(F.col("text"), 500)).alias("digest"))
+    return v.table("documents").select("doc_id", F.length(text.clip(F.col("text"))).cast("long").alias("n"), F.md5(text.clip(F.col("text"))).alias("digest"))
 
 
 @query
@@ -453,4 +452,9 @@ def source_ids(v: Views) -> DataFrame:
 
 @query
 def surface_map(v: Views) -> DataFrame:
-    return v.table("conversations").select("conv_id", "turn", text.vendor(F.when(F.col("turn") % 3 == 0, "Claude").when(F.col("turn") % 3 == 1, "codex").otherwise("other")).alias("vendor"))
+    names = ["Claude", "claude-code", "codex", "other", "", "Grok-Bot", "antigravity", "cloud_agent", None]
+    paths = ["/x/a.jsonl", "/home/.Claude/b", "C:\\\\codex\\\\c", "/cloud-agent/d", "/gemini/e", "/grok/f", "/x/claude/g"]
+    rows = v.table("conversations").withColumn("runtime", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("turn") % 9 + 1).cast("int")))
+    rows = rows.withColumn("path", F.element_at(F.array(*[F.lit(p) for p in paths]), (F.col("conv_id") % 7 + 1).cast("int")))
+    runtime, path = F.col("runtime"), F.col("path")
+    return rows.select("conv_id", "turn", text.vendor(runtime).alias("vendor"), text.source_type(runtime).alias("source_type"), text.surface(runtime, path).alias("surface"), text.inferred_runtime(path, F.when(F.col("turn") % 2 == 0, runtime)).alias("inferred"))

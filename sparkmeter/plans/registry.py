@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import record_queries as _record_queries  # noqa: F401  registers its queries
 from .oracles import ORACLES
 from .queries import QUERIES
+from .record_oracles import ORACLES as RECORDS
 
 
 def queries() -> dict[str, Callable]:
@@ -13,4 +15,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | RECORDS

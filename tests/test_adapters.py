@@ -54,9 +54,9 @@ def test_claude_dedupe_and_segments(spark, transcripts):
     requests = found["requests"]
     assert totals(requests.where("session = 's1'")) == (12 + 5 + 1 + 1, 7 + 6 + 1 + 1, 0, 3 + 9, 4, 4)
     labels = {(r["session"], r["seg_id"]): r["label"] for r in found["segments"].collect()}
-    assert labels == {("s1", 1): "/build", ("s1", 2): "review", ("s2", 1): "(no command)"}
+    assert labels == {("s1", 1): "/build", ("s1", 2): "/review", ("s2", 1): "(no command)"}
     by_label = {r["label"]: r["n"] for r in requests.where("session = 's1'").groupBy("label").agg({"requests": "sum"}).toDF("label", "n").collect()}
-    assert by_label == {"/build": 1, "review": 3}
+    assert by_label == {"/build": 1, "/review": 3}
     status = {r["path"].rsplit("/", 1)[-1]: r["quarantined"] for r in found["files"].collect()}
     assert status == {"s1.jsonl": False, "s2.jsonl": False, "bad.jsonl": True}
 

@@ -35,7 +35,7 @@ def test_costs_and_boundaries(priced):
 
 
 def test_history_top_and_diff(priced):
-    rows = {r["key"]: (r["rank"], r["cost"], r["partial"]) for r in api.history(priced, "command").collect()}
+    rows = {r["key"]: (n, r["cost"], r["partial"]) for n, r in enumerate(api.history(priced, "command").collect(), 1)}
     assert rows == {"/y": (1, 10_200_000_000, False), "/x": (2, 8_500_000_000, True)}
     shown, cut = api.top_consumers(priced, "session", 2)
     assert [r["key"] for r in shown.orderBy("rank").collect()] == ["a", "c"]
@@ -61,7 +61,7 @@ def test_windows_and_insights(priced):
 def test_export_render_and_dashboard(priced, tmp_path):
     lines = [json.loads(r["value"]) for r in api.export(priced, "project", "claude").collect()]
     assert [r["key"] for r in lines] == ["P", "Q", "total"] and lines[-1]["metrics"]["requests"] == 4
-    table = render.to_csv(api.history(priced, "model").orderBy("rank"), "model").splitlines()
+    table = render.to_csv(api.history(priced, "model"), "model").splitlines()
     assert table[0].startswith("model,requests,") and table[1].endswith("10.2000") and table[-1].endswith(",")
     page = render.dashboard_html(api.dashboard(priced.withColumn("label", F.lit("<b>"))))
     assert "&lt;b&gt;" in page and "<b>" not in page.replace("<body>", "")

@@ -17,3 +17,21 @@ def test_commands(spark, tmp_path):
     assert cli.run([*base, "history", "--by", "command", "--csv"], spark).splitlines()[1] == "/build,1,0,1000000,0,0,0,3.0000"
     assert "| /build | 1 |" in cli.run([*base, "report", "s1"], spark)
     assert json.loads(cli.run([*base, "export"], spark).splitlines()[-1])["metrics"]["cost_usd"] == 3.0
+
+
+def test_subagents_count(spark, tmp_path):
+    """A session of one million tokens and its subagent of five million at 3 dollars a million."""
+
+    def answer(request, tokens, ts):
+        return {"type": "assistant", "timestamp": ts, "requestId": request, "message": {"role": "assistant", "model": "openrouter/us.anthropic.m-1", "usage": {"input_tokens": tokens, "output_tokens": 0}}}
+
+    project = tmp_path / "logs" / "proj"
+    (project / "s1" / "subagents").mkdir(parents=True)
+    rows = [{"type": "user", "timestamp": "2026-01-05T10:00:00Z", "message": {"role": "user", "content": "<command-name>/build</command-name>"}}, answer("r", 1_000_000, "2026-01-05T10:01:00Z")]
+    (project / "s1.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (project / "s1" / "subagents" / "agent-a.jsonl").write_text(json.dumps(answer("q", 5_000_000, None)))
+    (project / "s1" / "subagents" / "agent-a.meta.json").write_text(json.dumps({"agentType": "explore", "started_at": 1767607320}))
+    (tmp_path / "prices.json").write_text(json.dumps({"m-1": {"input": 3, "output": 15}}))
+    base = ["--root", str(tmp_path / "logs"), "--prices", str(tmp_path / "prices.json")]
+    assert cli.run([*base, "history", "--by", "project", "--csv"], spark).splitlines()[1].endswith(",18.0000")
+    assert "agent-fanout: /build (0.83)" in cli.run([*base, "insights", "s1"], spark)
