@@ -35,14 +35,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, prepare, saved, slices, stage, text_bytes
 
-WINDOW, GRAM, PARTS, LARGEST = 200, 60, 4, 4096
-#: Width of the ranges that a large group is cut into.
-NARROW = 6
+WINDOW, GRAM, PARTS, LARGEST = 200, 100, 4, 4096
+#: Width of the ranges that a large group is cut into, and shares of a context's places that are counted apart.
+NARROW, SHARES = 6, 64
 #: Symbols in one suffix array, about; a larger group has its own.
 BATCH_SYMBOLS = 60_000
 #: Bytes that are hashed at a time; a longer text is cut into strips that overlap.
@@ -347,7 +347,12 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int
     rest = held.where("not alike")
     member = F.struct("k1", "k2", "pos")
     contexts = saved(rest.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(member).alias("one")))
-    whole = rest.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("k1", "k2", *span)
+    # a context that is there very often shows that within each of some shares of its places; only places alone in theirs need the join
+    share = Window.partitionBy("anchor", "context", F.pmod(F.xxhash64("k1", "pos"), F.lit(SHARES)))
+    shared = rest.withColumn("here", F.count("*").over(share))
+    whole = shared.where("here > 1").select("k1", "k2", *span)
+    alone = shared.where("here = 1").join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"])
+    whole = whole.union(alone.select("k1", "k2", *span))
     wanted = contexts.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.pos", F.col("n").alias("n"))).alias("places"))
     level = saved(cores(long.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "places"), window, gram, parts))
     out = alike.union(whole)
