@@ -40,6 +40,13 @@ def since_cutoff(since: str | None, now: datetime | None = None) -> str | None:
     return since
 
 
+def window_middle(cutoff: str, now: datetime | None = None) -> str:
+    """Middle between a cutoff and now, whole seconds, as text that compares with start times."""
+    first = datetime.fromisoformat(cutoff.replace("Z", "+00:00"))
+    first = first if first.tzinfo else first.replace(tzinfo=timezone.utc)
+    return (first + ((now or datetime.now(timezone.utc)) - first) / 2).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
 def with_cost(requests: DataFrame, prices: DataFrame) -> DataFrame:
     """Requests with ``cost`` in nano-dollars (exact sums), null without a rate."""
     rated = prices.select("key", *[(F.col(c) * NANO).alias(c) for c in ("rate_in", "rate_out", "rate_read")])
@@ -137,12 +144,21 @@ def dashboard(priced: DataFrame) -> DataFrame:
     return tops.unionByName(long.where("grain = 'day'").withColumn("rank", F.lit(None).cast("long")))
 
 
+def export_session(priced: DataFrame, session: str, runtime: str, measurement: str = "exact") -> DataFrame:
+    """Export records of one session: a record for each label with requests, by name, then the total."""
+    mine = priced.where(F.col("session") == session)
+    labels = rollup.history(mine, "label", F.sum("requests")).where("requests > 0").withColumn("total", F.lit(False))
+    whole = mine.groupBy().agg(*rollup.aggregates()).select(F.lit(None).cast("string").alias("key"), F.col("requests").alias("calls"), "*", F.lit(True).alias("total"))
+    return _records(labels.unionByName(whole.select(*labels.columns)), "session", "command", runtime, measurement)
+
+
 def export(priced: DataFrame, by: str, runtime: str, measurement: str = "exact") -> DataFrame:
     """Export records, one JSON text in each row: a record for each key, then the total."""
-    rows = rollup.with_total(priced, GRAINS[by])
-    record = F.struct(
-        F.lit("sparkmeter.aggregate.v1").alias("schema"), F.lit(runtime).alias("runtime"), F.lit("history").alias("scope"), F.when(F.col("total"), F.lit("total")).otherwise(F.col("key").cast("string")).alias("key"),
-        F.lit(by).alias("group_by"), F.lit(measurement).alias("measurement"),
-        F.struct("input", "output", "cache_read", (F.col("cache_5m") + F.col("cache_1h")).alias("cache_write"), "requests", (F.col("cost") / F.lit(1e9)).alias("cost_usd"), "partial").alias("metrics"),
-    )
+    return _records(rollup.with_total(priced, GRAINS[by]), "history", by, runtime, measurement)
+
+
+def _records(rows: DataFrame, scope: str, by: str, runtime: str, measurement: str) -> DataFrame:
+    names = {"schema": F.lit("sparkmeter.aggregate.v1"), "runtime": F.lit(runtime), "scope": F.lit(scope), "key": F.when(F.col("total"), F.lit("total")).otherwise(F.col("key").cast("string")), "group_by": F.lit(by), "measurement": F.lit(measurement)}
+    metrics = F.struct("input", "output", "cache_read", (F.col("cache_5m") + F.col("cache_1h")).alias("cache_write"), "requests", (F.col("cost") / F.lit(1e9)).alias("cost_usd"), "partial")
+    record = F.struct(*[c.alias(n) for n, c in names.items()], metrics.alias("metrics"))
     return rows.orderBy("total", "key").select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))

@@ -10,6 +10,7 @@ from contextlib import suppress
 from pyspark.sql import DataFrame
 
 from ..functions import formats
+from ..operators import agents
 
 
 def markdown(rows: DataFrame, title: str, key: str = "key") -> str:
@@ -21,6 +22,32 @@ def markdown(rows: DataFrame, title: str, key: str = "key") -> str:
     return "\n".join(out) + "\n"
 
 
+def report_markdown(priced: DataFrame, session: str, with_agents: bool = False, with_models: bool = False, level: str = "exact") -> str:
+    """One session: a row for each label in report order, its agent types and models below it, the total, and what the level means."""
+    from . import api, disclosure
+
+    found = [r.asDict() for r in api.report(priced, session).collect()]
+    labels = sorted((r for r in found if r["grain"] == 1), key=lambda r: (-(r["cost"] or r["output"] * 1000), r["label"]))
+    below: dict[str, list[str]] = {r["label"]: [] for r in labels}
+    if with_agents and "agent" in priced.columns:
+        for r in agents.by_type(priced.where(priced["session"] == session), ["label"]).orderBy("label", "agent_type").collect():
+            below[r["label"]].append(f"| ↳ {r['agent_type']} × {r['count']} | {_cells(r)} |")
+    if with_models:
+        for r in sorted((r for r in found if r["grain"] == 0), key=lambda r: (-(r["cost"] or r["output"] * 1000), str(r["model"]))):
+            below[r["label"]].append(f"| · {r['model']} | {_cells(r)} |")
+    out = [f"## {session}", "", "| activity | requests | output | input | cache read | cost |", "|---|---:|---:|---:|---:|---:|"]
+    for r in labels:
+        out += [f"| {r['label']} | {_cells(r)} |", *below[r["label"]]]
+    out += [f"| **total** | {_cells(r)} |" for r in found if r["grain"] == 3]
+    notes = [disclosure.session_note(level), disclosure.partial_note(labels, "activity")]
+    return "\n".join([*out, *[x for note in notes if note for x in ("", note)]]) + "\n"
+
+
+def _cells(r: dict) -> str:
+    cost = formats.usd(None if r["cost"] is None else r["cost"] / 1e9) + ("*" if r["partial"] and r["cost"] is not None else "")
+    return f"{r['requests']} | {formats.tokens(r['output'])} | {formats.tokens(r['input'])} | {formats.tokens(r['cache_read'])} | {cost}"
+
+
 def to_csv(rows: DataFrame, by: str) -> str:
     """CSV with a cost of four decimals, empty where it is unknown."""
     buffer = io.StringIO()

@@ -7,6 +7,10 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
 #: Answers that count as delivered besides 2xx: the other side has it already.
 CONFLICT = 409
 
@@ -54,3 +58,50 @@ class Publisher:
         except OSError:
             return False
         return 200 <= status < 300 or status == CONFLICT
+
+
+_OUTBOX = "created_at string, source_id string, endpoint string, session string, mutable boolean, turn long, stage long, revision long, body string"
+_DELIVERED = "source_id string, endpoint string, content_hash string, session string, turn long, stage long, revision long"
+
+
+def _table(spark, path: str, schema: str) -> DataFrame:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def pending(outbox: DataFrame, delivered: DataFrame) -> DataFrame:
+    """What is still to be sent: no content twice, and of mutable endpoints no version older than one that was delivered or is newer in line."""
+    version = F.struct("turn", "stage", "revision")
+    rows = outbox.withColumn("content_hash", F.sha2("body", 256)).dropDuplicates(["source_id", "endpoint", "content_hash"])
+    newest = delivered.groupBy("session", "endpoint").agg(F.max(version).alias("_seen"))
+    rows = rows.join(delivered.select("source_id", "endpoint", "content_hash"), ["source_id", "endpoint", "content_hash"], "left_anti").join(newest, ["session", "endpoint"], "left")
+    last = F.max(version).over(Window.partitionBy("session", "endpoint"))
+    stale = F.col("mutable") & ((version < F.coalesce("_seen", version)) | (version < F.col("_last")))
+    return rows.withColumn("_last", last).where(~stale).drop("_seen", "_last")
+
+
+def publish_batch(folder: str, post: Callable[[str, dict], int], limit: int = 1000) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function with a durable outbox: both tables are Parquet under ``folder``, so nothing is lost or sent twice after a restart.
+
+    A batch is stored under its number before anything is sent, so that a repeated batch changes nothing. Entries go
+    in order of time and source, ``limit`` of them at most at once; the first failure ends the batch, the rest waits.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/outbox/batch={number}")
+        left = pending(_table(spark, f"{folder}/outbox", _OUTBOX), _table(spark, f"{folder}/delivered", _DELIVERED))
+        sent = []
+        for row in left.orderBy("created_at", "source_id", "endpoint").limit(limit).collect():  # bounded by the limit
+            try:
+                status = post(row["endpoint"], json.loads(row["body"]))
+            except OSError:
+                break
+            if not (200 <= status < 300 or status == CONFLICT):
+                break
+            sent.append(tuple(row[c.split()[0]] for c in _DELIVERED.split(", ")))
+        if sent:
+            spark.createDataFrame(sent, _DELIVERED).coalesce(1).write.mode("append").parquet(f"{folder}/delivered")
+
+    return run

@@ -6,6 +6,7 @@ and by batch replay alike; replaying the same input changes nothing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -85,3 +86,59 @@ def budget_alerts(costs: DataFrame, limit: float) -> DataFrame:
             yield pd.DataFrame(found, columns=["session", "multiple"])
 
     return costs.groupBy("session").applyInPandasWithState(run, "session string, multiple long", "notified long", "append", GroupStateTimeout.NoTimeout)
+
+
+def keyed(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[dict, dict], dict | None], schema: str) -> DataFrame:
+    """Run a step over a stream (or a table) with a state for each key, held as JSON in the state store.
+
+    Rows of one batch are taken in ``order``; ``schema`` names the key columns (strings) and what the step gives.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
+        batch = pd.concat(list(frames)).sort_values(order)
+        found = [dict(zip(keys, key, strict=True)) | out for out in (step(held, row) for row in batch.to_dict("records")) if out is not None]
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(found, columns=names)
+
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def turn_numbers(events: DataFrame) -> DataFrame:
+    """Stable turn numbers of generations: events of session, agent, ord, generation (null: a prompt), opens."""
+
+    def step(state: dict, row: dict) -> dict:
+        generation = None if pd.isna(row["generation"]) else str(row["generation"])
+        return {"generation": generation, "turn": turn_step(state, generation, bool(row["opens"]))}
+
+    return keyed(events, ["session", "agent"], ["ord"], step, "session string, agent string, generation string, turn long")
+
+
+def transcript_totals(snapshots: DataFrame) -> DataFrame:
+    """Totals that were taken: snapshots of session, agent, ord, covered, input, output; one that covers fewer turns is refused.
+
+    Usage, covered turns and revision are one state, so a reader never sees some of them without the others.
+    """
+
+    def step(state: dict, row: dict) -> dict | None:
+        totals = (int(row["input"]), int(row["output"]))
+        state["totals"] = tuple(state["totals"]) if "totals" in state else None
+        if not totals_step(state, int(row["covered"]), totals):
+            return None
+        return {"covered": state["covered"], "input": totals[0], "output": totals[1], "revision": state["revision"]}
+
+    return keyed(snapshots, ["session", "agent"], ["ord"], step, "session string, agent string, covered long, input long, output long, revision long")
+
+
+def session_starts(events: DataFrame) -> DataFrame:
+    """The start of each session whenever an arrival moves it to an earlier time: events of session, ord, ts."""
+
+    def step(state: dict, row: dict) -> dict | None:
+        ts = row["ts"]
+        if not ts or ("started" in state and state["started"] <= ts):
+            return None
+        state["started"] = ts
+        return {"started": ts}
+
+    return keyed(events, ["session"], ["ord"], step, "session string, started string")
