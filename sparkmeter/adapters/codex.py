@@ -18,16 +18,18 @@ NO_COMMAND = "(no command)"
 
 def sessions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """``requests`` and ``segments`` of the rollouts under ``root``; a session's first file by path (live before archived) counts."""
-    lines = jsonl.numbered(jsonl.records(jsonl.scan(spark, root, recursive=True, name_glob="*.jsonl")))
+    lines = jsonl.records(jsonl.scan(spark, root, recursive=True, name_glob="*.jsonl"))
     v = F.col("v")
     kind, inner = get(v, "$.type"), get(v, "$.payload.type")
     rows = lines.select(
-        "path", "n", kind.alias("type"), inner.alias("inner"), get(v, "$.timestamp").alias("ts"), F.coalesce(get(v, "$.payload.id"), get(v, "$.payload.session_id")).alias("meta_id"),
+        "path", "ord", kind.alias("type"), inner.alias("inner"), get(v, "$.timestamp").alias("ts"), F.coalesce(get(v, "$.payload.id"), get(v, "$.payload.session_id")).alias("meta_id"),
         get(v, "$.payload.model").alias("model_set"), get(v, "$.payload.turn_id").alias("turn_id"), get(v, "$.payload.thread_id").alias("thread_id"), get(v, "$.payload.response_id").alias("response_id"),
         text_of(get(v, "$.payload.content", "variant")).alias("text"), get(v, "$.payload.role").alias("role"),
         F.when(kind == "token_usage_record", flatten(get(v, "$.payload.usage", "variant"))).alias("own"),
         F.when((kind == "event_msg") & (inner == "token_count"), flatten(get(v, "$.payload.info.total_token_usage", "variant"))).alias("total"),
+        (get(v, "$.payload.info.total_token_usage", "variant").isNotNull() & (inner == "token_count")).alias("counts"),
     )
+    rows = jsonl.numbered(rows).drop("ord")
     whole = Window.partitionBy("path")
     rows = rows.withColumn("session", F.max(F.when(F.col("type") == "session_meta", F.col("meta_id"))).over(whole)).withColumn("by_record", F.max((F.col("type") == "token_usage_record").cast("int")).over(whole) == 1)
     first = Window.partitionBy("session").orderBy(F.col("path").contains("archived_sessions"), F.col("path").desc())
@@ -46,4 +48,9 @@ def sessions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     moved = deltas(totals, ["path"], ["ord"], COUNTERS).select("session", "path", "segment", "model", "ts", "day", "ord", F.lit(None).cast("string").alias("request_id"), *[F.col(f"d_{c}").alias(c) for c in COUNTERS])
     requests = dedupe_requests(records.unionByName(moved), ["session", "path"], first=["segment", "model", "day", "ts"])
     requests = requests.join(segments.select("path", F.col("seg_id").alias("segment"), "label"), ["path", "segment"], "left")
-    return {"requests": requests, "segments": segments}
+    lost = rows.where(F.when(F.col("by_record"), (F.col("type") == "token_usage_record") & F.col("own").isNull()).otherwise(F.col("counts") & F.col("total").isNull())).select("session")
+    fell = F.lit(False)
+    for c in COUNTERS:
+        fell = fell | F.coalesce(F.col(c) < F.lag(c).over(Window.partitionBy("path").orderBy("ord")), F.lit(False))
+    resets = totals.withColumn("fell", fell).where("fell").select("session")
+    return {"requests": requests, "segments": segments, "partial": lost.union(resets).distinct()}

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.normalize import copilot as flatten
-from ..functions.normalize import get
+from ..functions.normalize import copilot_ttl_odd, get
 from ..operators.segments import running, sticky_segments
 from ..operators.usage import COUNTERS, dedupe_first
 from ..sources import jsonl
@@ -35,7 +35,13 @@ def sessions(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
     segments = rows.where("seg_id > 0").groupBy("session", "agent", "seg_id").agg(F.coalesce(F.min_by(label, F.when(label.isNotNull(), F.col("ord"))), F.lit(NO_COMMAND)).alias("label"), F.min("ts").alias("start_ts"))
     own = rows.where("usage is not null").select("session", "agent", F.col("seg_id").alias("segment"), "model", "ts", text.local_day(F.col("ts")).alias("day"), *[F.col(f"usage.{c}").alias(c) for c in COUNTERS], F.lit(1).cast("long").alias("requests"))
     own = own.join(segments.select("session", "agent", F.col("seg_id").alias("segment"), "label"), ["session", "agent", "segment"], "left").drop("agent", "segment")
-    return {"requests": own.unionByName(_recovered(rows), allowMissingColumns=True), "segments": segments}
+    return {"requests": own.unionByName(_recovered(rows), allowMissingColumns=True), "segments": segments, "partial": _partial(rows)}
+
+
+def _partial(rows: DataFrame) -> DataFrame:
+    """Sessions with calls without valid counters, or with cached tokens of an unknown time to live."""
+    lost = (F.col("type") == "assistant.usage") & (F.col("usage").isNull() | copilot_ttl_odd(F.col("data")))
+    return rows.where(lost).select("session").distinct()
 
 
 def _recovered(rows: DataFrame) -> DataFrame:

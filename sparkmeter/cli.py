@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .adapters import ADAPTERS
+from .operators import pricing
 from .operators.usage import BUCKET
-from .plans import api, render
+from .plans import api, disclosure, render
 from .session import session as start
+from .sources import discovery
 from .sources.prices import price_list
 
-COLUMNS = ["session", "segment", "label", "model", "day", "ts", "agent"]
+COLUMNS = ["session", "segment", "label", "model", "day", "ts", "agent", "agent_type"]
 
 
 def requests_of(spark: SparkSession, runtime: str, root: str) -> DataFrame:
@@ -32,6 +35,25 @@ def requests_of(spark: SparkSession, runtime: str, root: str) -> DataFrame:
     return rows.select("project", *COLUMNS, *BUCKET)
 
 
+def partial_sessions(spark: SparkSession, runtime: str, root: str) -> list[str]:
+    """Sessions of which some counters were lost, as far as the host's logs tell."""
+    if runtime in ("claude", "cursor"):
+        return []
+    adapter = ADAPTERS[runtime]
+    return sorted(r["session"] for r in adapter.sessions(spark, [root] if runtime == "copilot" else root)["partial"].where("session is not null").collect())
+
+
+def notes_of(spark: SparkSession, options: argparse.Namespace, priced: DataFrame) -> list[str]:
+    """What a corpus result has to say about itself."""
+    unpriced = [r["model"] for r in priced.where(F.col("cost").isNull() & pricing.has_tokens()).select("model").distinct().where("model is not null").collect()]
+    skipped = []
+    if options.runtime == "claude":
+        status = ADAPTERS["claude"].sessions(spark, options.root)["files"]
+        skipped = [r["path"].rsplit("/", 1)[-1] for r in status.where("quarantined").collect()]
+    lost = partial_sessions(spark, options.runtime, options.root)
+    return disclosure.footnotes(unpriced, skipped, None, options.runtime, {"partial": len(lost)} if lost else {})
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="sparkmeter")
     top.add_argument("--runtime", choices=sorted(ADAPTERS), default="claude")
@@ -46,7 +68,10 @@ def parser() -> argparse.ArgumentParser:
     best = commands.add_parser("top")
     best.add_argument("--by", choices=["session", "command"], default="session")
     best.add_argument("-n", type=int, default=10)
-    commands.add_parser("report").add_argument("session")
+    report = commands.add_parser("report")
+    report.add_argument("session")
+    report.add_argument("--agents", action="store_true")
+    report.add_argument("--models", action="store_true")
     diff = commands.add_parser("diff")
     diff.add_argument("old")
     diff.add_argument("new")
@@ -61,6 +86,10 @@ def parser() -> argparse.ArgumentParser:
 def run(arguments: list[str], spark: SparkSession | None = None) -> str:
     """The text that a command prints."""
     options = parser().parse_args(arguments)
+    if options.command in ("report", "diff") and options.since:
+        raise api.OptionError(f"{options.command} names its sessions: --since does not go with it")
+    if missing := discovery.unreadable_root(Path(options.root)):
+        return disclosure.footnotes(missing_root=missing, runtime=options.runtime)[0] + "\n"
     spark = spark or start()
     layers = []
     for path in options.prices:
@@ -70,12 +99,12 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> str:
     priced = api.with_cost(rows, price_list(spark, *layers))
     if options.command == "history":
         found = api.history(priced, options.by)
-        return render.to_csv(found, options.by) if options.csv else render.markdown(found, f"By {options.by}")
+        return render.to_csv(found, options.by) if options.csv else "\n".join([render.markdown(found, f"By {options.by}"), *notes_of(spark, options, priced)])
     if options.command == "top":
         return render.markdown(api.top_consumers(priced, options.by, options.n)[0].orderBy("rank"), f"Top {options.by}s")
     if options.command == "report":
-        found = api.report(priced, options.session).where("grain = 1").withColumns({"key": F.col("label"), "calls": F.col("requests")})
-        return render.markdown(found.orderBy(F.col("cost").desc_nulls_last(), "key"), options.session)
+        level = "partial" if options.session in partial_sessions(spark, options.runtime, options.root) else "exact"
+        return render.report_markdown(priced, options.session, options.agents, options.models, level)
     if options.command == "diff":
         return render.diff_markdown(api.diff(priced, options.old, options.new))
     if options.command == "insights":

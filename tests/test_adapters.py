@@ -137,3 +137,21 @@ def test_cursor_ledger_and_store(spark, tmp_path):
     both = cursor.prefer_ledger(ledger, store["requests"])
     assert totals(both) == (37, 13, 20, 0, 0, 3)
     assert {r["label"] for r in both.collect()} == {"do it", "(no activity)", "T"}
+
+
+def test_step_logs(spark, tmp_path):
+    def step(n, kind, content="", **more):
+        return {"step_index": n, "type": kind, "source": "x", "created_at": f"2026-02-03T10:0{n}:00Z", "content": content, **more}
+
+    used = {"input_tokens": 10, "output_tokens": 2, "cache_read_tokens": 3}
+    put(tmp_path / "brain" / "s9" / "steps.jsonl", [
+        step(1, "USER_INPUT", "x <USER_REQUEST> /plan it </USER_REQUEST> <USER_SETTINGS_CHANGE> The user changed setting `Model Selection` from A to Big Model. ok"),
+        step(2, "PLANNER_RESPONSE", **used), step(2, "PLANNER_RESPONSE", **(used | {"output_tokens": 7})),
+        step(3, "USER_INPUT", "<CONTEXT_SUMMARY> old"), step(4, "PLANNER_RESPONSE", tool_calls=[{"args": {"p": json.dumps("/a/skills/deploy/SKILL.md")}}], **used),
+        step(5, "PLANNER_RESPONSE", input_tokens=True, output_tokens=1), step(6, "GENERIC"),
+    ])
+    found = gemini.step_sessions(spark, str(tmp_path))
+    rows = {r["label"]: (r["model"], r["input"], r["output"], r["cache_read"]) for r in found["requests"].collect()}
+    assert rows == {"/plan": ("Big Model", 10, 7, 3), "$deploy": ("Big Model", 10, 2, 3)}
+    assert [r["session"] for r in found["partial"].collect()] == ["s9"]
+    assert {r["seg_id"]: r["prompt"] for r in found["segments"].collect()}[1] == "/plan it"
