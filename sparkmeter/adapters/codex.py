@@ -24,6 +24,7 @@ def sessions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     rows = lines.select(
         "path", "ord", kind.alias("type"), inner.alias("inner"), get(v, "$.timestamp").alias("ts"), F.coalesce(get(v, "$.payload.id"), get(v, "$.payload.session_id")).alias("meta_id"),
         get(v, "$.payload.model").alias("model_set"), get(v, "$.payload.turn_id").alias("turn_id"), get(v, "$.payload.thread_id").alias("thread_id"), get(v, "$.payload.response_id").alias("response_id"),
+        get(v, "$.payload.source.subagent.thread_spawn.parent_thread_id").alias("parent"),
         text_of(get(v, "$.payload.content", "variant")).alias("text"), get(v, "$.payload.role").alias("role"),
         F.when(kind == "token_usage_record", flatten(get(v, "$.payload.usage", "variant"))).alias("own"),
         F.when((kind == "event_msg") & (inner == "token_count"), flatten(get(v, "$.payload.info.total_token_usage", "variant"))).alias("total"),
@@ -53,4 +54,4 @@ def sessions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     for c in COUNTERS:
         fell = fell | F.coalesce(F.col(c) < F.lag(c).over(Window.partitionBy("path").orderBy("ord")), F.lit(False))
     resets = totals.withColumn("fell", fell).where("fell").select("session")
-    return {"requests": requests, "segments": segments, "partial": lost.union(resets).distinct()}
+    return {"requests": requests, "segments": segments, "partial": lost.union(resets).distinct(), "parents": rows.where("type = 'session_meta' and parent is not null").select("session", "parent").distinct()}

@@ -41,7 +41,8 @@ def sessions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     requests = dedupe_requests(bearing, ["session", "path"], first=["segment", "model", "day", "ts"])
     requests = requests.join(segments.select("path", F.col("seg_id").alias("segment"), "label"), ["path", "segment"], "left")
     missing = unmeasured(model_rows.where("usage is null"), model_rows.where("usage is not null"), ["session", "id"]).select("session").distinct()
-    return {"requests": requests, "segments": segments, "partial": missing}
+    parents = messages(spark, root).where(get(v, "$.parentSessionId").isNotNull()).select("session", get(v, "$.parentSessionId").alias("parent")).distinct()
+    return {"requests": requests, "segments": segments, "partial": missing, "parents": parents}
 
 
 #: Fixed wire texts of step logs: the message of a changed model, the model where none is named.

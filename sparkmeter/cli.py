@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .adapters import ADAPTERS
+from .adapters import ADAPTERS, families
 from .operators import pricing
 from .operators.usage import BUCKET
 from .plans import api, disclosure, render
@@ -28,7 +28,8 @@ def requests_of(spark: SparkSession, runtime: str, root: str) -> DataFrame:
     elif runtime == "cursor":
         rows = adapter.ledger_requests(spark, root)
     else:
-        rows = adapter.sessions(spark, [root] if runtime == "copilot" else root)["requests"]
+        found = adapter.sessions(spark, [root] if runtime == "copilot" else root)
+        rows = families.joined(found) if "parents" in found else found["requests"]
     for name in ("project", *COLUMNS):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("long" if name == "segment" else "string"))

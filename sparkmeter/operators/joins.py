@@ -43,7 +43,7 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     while moved and left:
         up = now.select(F.col("node").alias("_n"), F.col("root").alias("_up"))
         after = now.join(up, now["root"] == up["_n"], "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
-        after = after.checkpoint() if reliable else after
+        after = after.checkpoint() if reliable else after.persist()
         moved = not after.where("_moved").isEmpty()
         now, left = after.select("node", "root"), left // 2  # after as many doublings no path is longer than all edges
     if not moved:

@@ -5,7 +5,7 @@ import sqlite3
 
 import pytest
 
-from sparkmeter.adapters import claude, codex, copilot, cursor, gemini
+from sparkmeter.adapters import claude, codex, copilot, cursor, families, gemini
 from sparkmeter.operators.usage import COUNTERS
 
 
@@ -155,3 +155,16 @@ def test_step_logs(spark, tmp_path):
     assert rows == {"/plan": ("Big Model", 10, 7, 3), "$deploy": ("Big Model", 10, 2, 3)}
     assert [r["session"] for r in found["partial"].collect()] == ["s9"]
     assert {r["seg_id"]: r["prompt"] for r in found["segments"].collect()}[1] == "/plan it"
+
+
+def test_codex_children_count_for_their_root(spark, tmp_path):
+    def rollout(name, parent, starts):
+        meta = {"id": name, "source": {"subagent": {"thread_spawn": {"parent_thread_id": parent}}}} if parent else {"id": name}
+        lines = [{"type": "session_meta", "timestamp": starts, "payload": meta}, {"type": "event_msg", "timestamp": starts, "payload": {"type": "task_started", "turn_id": "t"}}]
+        lines.append({"type": "token_usage_record", "timestamp": starts, "payload": {"response_id": name, "usage": {"input_tokens": 10, "output_tokens": 1}}})
+        put(tmp_path / "sessions" / f"rollout-{name}.jsonl", lines)
+
+    for name, parent, starts in (("a", None, "2026-01-01T10:00:00Z"), ("b", "a", "2026-01-01T11:00:00Z"), ("c", "b", "2026-01-01T12:00:00Z"), ("d", "gone", "2026-01-01T13:00:00Z"), ("e", "f", "x"), ("f", "e", "x")):
+        rollout(name, parent, starts)
+    rows = {(r["session"], r["agent"]): r["segment"] for r in families.joined(codex.sessions(spark, str(tmp_path))).collect()}
+    assert rows == {("a", None): 1, ("a", "b"): 1, ("a", "c"): 1, ("d", None): 1, ("e", None): 1, ("f", None): 1}
