@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text
 from ..functions.normalize import copilot as flatten
 from ..functions.normalize import copilot_ttl_odd, get
-from ..operators.segments import running, sticky_segments
+from ..operators.segments import running
 from ..operators.usage import COUNTERS, dedupe_first
 from ..sources import jsonl
 
@@ -30,11 +30,18 @@ def sessions(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
     d = F.col("data")
     rows = events(spark, paths).withColumns({"name": get(d, "$.name"), "text": F.coalesce(get(d, "$.content"), get(d, "$.label")), "model": get(d, "$.model"), "usage": F.when(F.col("type") == "assistant.usage", flatten(d))})
     marker = F.col("type").isin("user.message", "skill.invoked")
-    rows = sticky_segments(rows, ["session", "agent"], ["ord"], marker, F.col("usage").isNotNull())
+    opened = F.sum(marker.cast("int")).over(running(["session", "agent"], ["ord"]))
+    main = F.sum((marker & (F.col("agent") == "")).cast("int")).over(running(["session"], ["ord"]))
+    rows = rows.withColumns({"_own": opened, "_main": main})
+    # an agent without a segment of its own works in the main agent's
+    rows = rows.withColumns({"seg_agent": F.when(F.col("_own") > 0, F.col("agent")).otherwise(""), "seg_id": F.when(F.col("_own") > 0, F.col("_own")).otherwise(F.col("_main")).cast("long")}).drop("_own", "_main")
     label = F.when(F.col("type") == "skill.invoked", F.col("name")).otherwise(text.command_label(F.col("text")))
-    segments = rows.where("seg_id > 0").groupBy("session", "agent", "seg_id").agg(F.coalesce(F.min_by(label, F.when(label.isNotNull(), F.col("ord"))), F.lit(NO_COMMAND)).alias("label"), F.min("ts").alias("start_ts"))
-    own = rows.where("usage is not null").select("session", "agent", F.col("seg_id").alias("segment"), "model", "ts", text.local_day(F.col("ts")).alias("day"), *[F.col(f"usage.{c}").alias(c) for c in COUNTERS], F.lit(1).cast("long").alias("requests"))
-    own = own.join(segments.select("session", "agent", F.col("seg_id").alias("segment"), "label"), ["session", "agent", "segment"], "left").drop("agent", "segment")
+    within = rows.where(marker | F.col("usage").isNotNull()).groupBy("session", "seg_agent", "seg_id")
+    segments = within.agg(F.coalesce(F.min_by(label, F.when(marker & label.isNotNull(), F.col("ord"))), F.lit(NO_COMMAND)).alias("label"), F.min("ts").alias("start_ts"))
+    own = rows.where("usage is not null").select(
+        "session", "seg_agent", "seg_id", "model", "ts", text.local_day(F.col("ts")).alias("day"), *[F.col(f"usage.{c}").alias(c) for c in COUNTERS], F.lit(1).cast("long").alias("requests")
+    )
+    own = own.join(segments.select("session", "seg_agent", "seg_id", "label"), ["session", "seg_agent", "seg_id"], "left").drop("seg_agent", "seg_id")
     return {"requests": own.unionByName(_recovered(rows), allowMissingColumns=True), "segments": segments, "partial": _partial(rows)}
 
 

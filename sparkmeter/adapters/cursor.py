@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..functions.normalize import cloud_api, cursor_bubble, cursor_hook, get
+from ..functions.normalize import cloud_api, cursor_bubble, cursor_hook, get, text_of
 from ..operators.segments import sticky_segments
 from ..operators.usage import COUNTERS, first_usage_per_generation
 from ..sources import jsonl
@@ -58,3 +58,24 @@ def cloud_requests(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("day", text.local_day(F.col("ts")))
     sums = [F.coalesce(F.sum(f"usage.{c}"), F.lit(0)).cast("long").alias(c) for c in COUNTERS]
     return rows.groupBy("agent", "conversation", "day", "model").agg(*sums, F.count("*").cast("long").alias("requests"), F.sum("charge").alias("charge"), F.bool_or(F.col("usage").isNull()).alias("partial"), F.min("ts").alias("ts"))
+
+
+def cloud_export(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """``requests`` and ``segments`` of exported conversations, one JSON file each: a user message opens a segment, an answer without counters is a request all the same."""
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(root)
+    v, m = F.col("v"), F.col("m")
+    docs = whole.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json(F.make_valid_utf8("value")).alias("v"))
+    rows = docs.select("path", F.coalesce(get(v, "$.id"), F.col("path")).alias("session"), get(v, "$.title").alias("title"), get(v, "$.model").alias("doc_model"), F.posexplode(F.try_variant_get(v, "$.messages", "array<variant>")).alias("n", "m"))
+    body = F.coalesce(get(m, "$.text", "variant"), get(m, "$.content", "variant"))
+    counted = F.coalesce(get(m, "$.usage", "variant"), get(m, "$.tokenUsage", "variant"))
+    rows = rows.select(
+        "path", "session", "title", "n", get(m, "$.role").alias("role"), F.coalesce(get(m, "$.timestamp"), get(m, "$.createdAt")).alias("ts"), F.coalesce(text_of(body), F.lit("")).alias("text"),
+        F.coalesce(get(m, "$.model"), F.col("doc_model"), F.lit("unknown")).alias("model"), cursor_bubble(counted).alias("usage"),
+    ).where(F.col("role").isin("user", "assistant"))
+    rows = sticky_segments(rows, ["path"], ["n"], F.col("role") == "user", F.lit(True))
+    first = F.struct("role", "text", "title", "ts")
+    segments = rows.groupBy("session", "path", "seg_id").agg(F.min_by(first, "n").alias("f"))
+    asked = F.when(F.col("f.role") == "user", F.col("f.text"))
+    segments = segments.select("session", "path", "seg_id", text.activity_label(F.when(F.col("seg_id") == 1, F.col("f.title")), asked).alias("label"), F.col("f.ts").alias("start_ts"), text.prompt(F.coalesce(asked, F.lit(""))).alias("prompt"))
+    used = rows.where("role = 'assistant'").select("session", "path", F.col("seg_id").alias("segment"), "model", "ts", text.local_day(F.col("ts")).alias("day"), *[F.coalesce(F.col(f"usage.{c}"), F.lit(0)).cast("long").alias(c) for c in COUNTERS], F.lit(1).cast("long").alias("requests"))
+    return {"requests": used.join(segments.select("path", F.col("seg_id").alias("segment"), "label"), ["path", "segment"]), "segments": segments}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .adapters import ADAPTERS, families
+from .functions import formats
 from .operators import pricing
 from .operators.usage import BUCKET
 from .plans import api, disclosure, render
@@ -52,7 +54,11 @@ def notes_of(spark: SparkSession, options: argparse.Namespace, priced: DataFrame
         status = ADAPTERS["claude"].sessions(spark, options.root)["files"]
         skipped = [r["path"].rsplit("/", 1)[-1] for r in status.where("quarantined").collect()]
     lost = partial_sessions(spark, options.runtime, options.root)
-    return disclosure.footnotes(unpriced, skipped, None, options.runtime, {"partial": len(lost)} if lost else {})
+    days = int(options.since[:-1]) if options.since and re.fullmatch(r"\d+d", options.since) else 0
+    spent = priced.agg(F.sum("cost").alias("cost")).first()["cost"] if days else None
+    pace = formats.burn_rate(None if spent is None else spent / 1e9, days)
+    rate = [f"About {formats.usd(pace[0])} a day over the last {days} days, {formats.usd(pace[1])} a week at this pace."] if pace else []
+    return rate + disclosure.footnotes(unpriced, skipped, None, options.runtime, {"partial": len(lost)} if lost else {})
 
 
 def parser() -> argparse.ArgumentParser:

@@ -52,6 +52,17 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     return inner.select("node", F.when(F.col("_inner").isNull(), F.col("root")).alias("root"))
 
 
+def orphans(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
+    """Rows whose key no other table knows."""
+    return rows.join(known.select(F.col(known_key).alias("_known")).distinct(), F.col(key) == F.col("_known"), "left_anti")
+
+
+def covered(rows: DataFrame, turn: str, evidence: DataFrame, named: str, index: str) -> DataFrame:
+    """Rows whose turn some evidence covers: the turn that it names if that is over zero, else the one at its index."""
+    turns = evidence.select(F.when(F.col(named) > 0, F.col(named)).otherwise(F.col(index)).alias("_turn")).distinct()
+    return rows.join(turns, F.col(turn) == F.col("_turn"), "left_semi")
+
+
 def diff(old: DataFrame, new: DataFrame, key: str = "label") -> DataFrame:
     """Full outer comparison: a key that is absent counts 0, one that is there with unknown cost stays unknown."""
     a = old.select(key, F.col("cost").alias("old_cost"), F.lit(True).alias("in_old"))

@@ -65,7 +65,7 @@ ORACLES: dict[str, str] = {
         SELECT session, CAST(CASE WHEN count(*) = count(charge) THEN sum(charge) ELSE sum(cost) END AS BIGINT) AS cost, CAST(count(*) - count(charge) AS BIGINT) AS n_missing FROM c GROUP BY session""",
     "partial_flags": f"{FEW} SELECT project AS key, CAST(sum(cost) AS BIGINT) AS cost, bool_or(cost IS NULL) AS partial FROM priced GROUP BY project",
     "history_project_filter": _history("project", where="WHERE contains(project, 'U')"),
-    "history_since": f"{LOG} SELECT session, strftime(min(ts), '%Y-%m-%d') AS first_ts FROM requests GROUP BY session HAVING strftime(min(ts), '%Y-%m-%d') >= '1993-06-01'",
+    "history_since": f"{LOG} SELECT session, strftime(min(ts), '%Y-%m-%d') AS first_ts FROM requests GROUP BY session HAVING strftime(min(ts), '%Y-%m-%d') >= '1996-06-01'",
     "top_sessions": f"""{PRICED} SELECT CAST(row_number() OVER (ORDER BY sum(cost) DESC NULLS LAST, session) AS BIGINT) AS rank, session AS key, CAST(sum(requests) AS BIGINT) AS calls, CAST(sum(cost) AS BIGINT) AS cost, bool_or(cost IS NULL) AS partial
         FROM priced GROUP BY session QUALIFY rank <= 20""",
     "top_labels": f"""{PRICED} SELECT CAST(row_number() OVER (ORDER BY sum(cost) DESC NULLS LAST, label) AS BIGINT) AS rank, label AS key, CAST(count(DISTINCT session) AS BIGINT) AS calls, CAST(sum(cost) AS BIGINT) AS cost
@@ -115,7 +115,7 @@ ORACLES: dict[str, str] = {
     "last_started_segment": f"""{CHILDREN}, s1 AS (SELECT session, start_ts, max(max(seg_id)) OVER (PARTITION BY session ORDER BY start_ts) AS seg_id FROM st GROUP BY session, start_ts)
         SELECT ch.session, child_id, s1.seg_id FROM ch ASOF LEFT JOIN s1 ON ch.session = s1.session AND ch.child_ts >= s1.start_ts""",
     "orphan_anti": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
-    "coverage_semi": "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT CASE WHEN l_linenumber > 1 THEN l_orderkey ELSE -1 END FROM lineitem WHERE l_quantity > 49)",
+    "coverage_semi": "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT CASE WHEN l_linenumber > 1 AND l_orderkey > 0 THEN l_orderkey ELSE l_suppkey END FROM lineitem WHERE l_quantity > 49)",
     "parent_closure": """WITH RECURSIVE p AS (SELECT o_orderkey AS node, CASE o_orderkey % 1000 WHEN 17 THEN o_orderkey + 1 WHEN 18 THEN o_orderkey - 1 ELSE o_orderkey // 10 END AS parent FROM orders),
         e AS (SELECT node, CAST(parent AS BIGINT) AS parent FROM p WHERE parent IN (SELECT o_orderkey FROM orders) AND parent <> node),
         r AS (SELECT node, parent AS up, 1 AS depth FROM e UNION ALL SELECT r.node, e.parent, depth + 1 FROM r JOIN e ON r.up = e.node WHERE depth < 40)

@@ -147,13 +147,13 @@ def partial_flags(v: Views) -> DataFrame:
 
 @query
 def history_project_filter(v: Views) -> DataFrame:
-    return rollup.history(v.priced().where(F.col("project").contains("U")), "project")
+    return rollup.history(api.window(v.priced(), project="U"), "project")
 
 
 @query
 def history_since(v: Views) -> DataFrame:
-    first = v.requests().groupBy("session").agg(F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_ts"))
-    return first.where(F.col("first_ts") >= "1993-06-01")
+    rows = v.requests().withColumn("ts", F.date_format("ts", "yyyy-MM-dd"))
+    return api.window(rows, "1996-06-01").groupBy("session").agg(F.min("ts").alias("first_ts"))
 
 
 @query
@@ -334,13 +334,13 @@ def last_started_segment(v: Views) -> DataFrame:
 
 @query
 def orphan_anti(v: Views) -> DataFrame:
-    return v.table("orders").join(v.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    return joins.orphans(v.table("orders"), "o_orderkey", v.table("lineitem"), "l_orderkey").select("o_orderkey")
 
 
 @query
 def coverage_semi(v: Views) -> DataFrame:
-    covered = v.table("lineitem").where("l_quantity > 49").withColumn("covers", F.when(F.col("l_linenumber") > 1, F.col("l_orderkey")).otherwise(-1))
-    return v.table("orders").join(covered, F.col("o_orderkey") == F.col("covers"), "left_semi").select("o_orderkey")
+    evidence = v.table("lineitem").where("l_quantity > 49").withColumn("named", F.when(F.col("l_linenumber") > 1, F.col("l_orderkey")).otherwise(0))
+    return joins.covered(v.table("orders"), "o_orderkey", evidence, "named", "l_suppkey").select("o_orderkey")
 
 
 @query

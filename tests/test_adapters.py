@@ -168,3 +168,25 @@ def test_codex_children_count_for_their_root(spark, tmp_path):
         rollout(name, parent, starts)
     rows = {(r["session"], r["agent"]): r["segment"] for r in families.joined(codex.sessions(spark, str(tmp_path))).collect()}
     assert rows == {("a", None): 1, ("a", "b"): 1, ("a", "c"): 1, ("d", None): 1, ("e", None): 1, ("f", None): 1}
+
+
+def test_copilot_agent_without_a_segment_works_in_the_main_one(spark, tmp_path):
+    def event(n, kind, agent=None, **data):
+        return {"id": f"e{n}", "type": kind, "timestamp": f"2026-01-01T10:00:{n:02d}Z", **({"agentId": agent} if agent else {}), "data": data}
+
+    use = {"model": "m", "inputTokens": 5, "outputTokens": 1}
+    put(tmp_path / "events.jsonl", [
+        event(0, "session.start", sessionId="s"), event(1, "user.message", content="/plan x"), event(2, "assistant.usage", "a", **use), event(3, "skill.invoked", "a", name="deep"),
+        event(4, "assistant.usage", "a", **use), event(5, "user.message", content="/next"), event(6, "assistant.usage", "b", **use), event(7, "assistant.usage", "b", **(use | {"inputTokens": -1})),
+    ])
+    found = copilot.sessions(spark, [str(tmp_path)])
+    assert sorted((r["ts"][-3:-1], r["label"]) for r in found["requests"].collect()) == [("02", "/plan"), ("04", "deep"), ("06", "/next")]
+    assert [r["session"] for r in found["partial"].collect()] == ["s"]
+
+
+def test_cloud_export(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps({"id": "c", "title": "Fix it", "model": "m", "messages": [
+        {"role": "assistant", "text": "hi"}, {"role": "user", "text": " do\n"}, {"role": "assistant", "content": [{"type": "text", "text": "ok"}], "model": "n", "usage": {"inputTokens": 4, "output_tokens": 2}}, {"role": "tool"},
+    ]}))
+    found = cursor.cloud_export(spark, str(tmp_path))
+    assert sorted((r["segment"], r["label"], r["model"], r["input"], r["output"], r["requests"]) for r in found["requests"].collect()) == [(1, "Fix it", "m", 0, 0, 1), (2, "do", "n", 4, 2, 1)]
