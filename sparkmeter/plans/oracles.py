@@ -65,7 +65,7 @@ ORACLES: dict[str, str] = {
         SELECT session, CAST(CASE WHEN count(*) = count(charge) THEN sum(charge) ELSE sum(cost) END AS BIGINT) AS cost, CAST(count(*) - count(charge) AS BIGINT) AS n_missing FROM c GROUP BY session""",
     "partial_flags": f"{FEW} SELECT project AS key, CAST(sum(cost) AS BIGINT) AS cost, bool_or(cost IS NULL) AS partial FROM priced GROUP BY project",
     "history_project_filter": _history("project", where="WHERE contains(project, 'U')"),
-    "history_since": f"{LOG} SELECT session, strftime(min(ts), '%Y-%m-%d') AS first_ts FROM requests GROUP BY session HAVING strftime(min(ts), '%Y-%m-%d') >= '1996-06-01'",
+    "history_since": f"{LOG} SELECT session, strftime(min(ts), '%Y-%m-%d') AS first_ts FROM requests GROUP BY session HAVING strftime(min(ts), '%Y-%m-%d') >= '1995-02-15'",
     "top_sessions": f"""{PRICED} SELECT CAST(row_number() OVER (ORDER BY sum(cost) DESC NULLS LAST, session) AS BIGINT) AS rank, session AS key, CAST(sum(requests) AS BIGINT) AS calls, CAST(sum(cost) AS BIGINT) AS cost, bool_or(cost IS NULL) AS partial
         FROM priced GROUP BY session QUALIFY rank <= 20""",
     "top_labels": f"""{PRICED} SELECT CAST(row_number() OVER (ORDER BY sum(cost) DESC NULLS LAST, label) AS BIGINT) AS rank, label AS key, CAST(count(DISTINCT session) AS BIGINT) AS calls, CAST(sum(cost) AS BIGINT) AS cost

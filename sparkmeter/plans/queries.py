@@ -153,7 +153,7 @@ def history_project_filter(v: Views) -> DataFrame:
 @query
 def history_since(v: Views) -> DataFrame:
     rows = v.requests().withColumn("ts", F.date_format("ts", "yyyy-MM-dd"))
-    return api.window(rows, "1996-06-01").groupBy("session").agg(F.min("ts").alias("first_ts"))
+    return api.window(rows, "1995-02-15").groupBy("session").agg(F.min("ts").alias("first_ts"))
 
 
 @query
