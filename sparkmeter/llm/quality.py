@@ -38,8 +38,8 @@ from pyspark.sql.types import DoubleType, StructField
 from .common import over_rows, prepare, saved, slices, stage, text_bytes
 
 HASH_BITS, ZS, HELD, SPREAD, TEMPERATURE, FIT_ROWS, SEED = 22, (3.0, 4.0, 5.0, 6.5, 8.0), 4, 12.0, 1.0, 24_000, 17
-#: Words whose hashes a worker remembers.
-WORDS = 250_000
+#: Words whose hashes a worker remembers, and bytes of text that it counts at a time.
+WORDS, FIT_BYTES = 250_000, 1 << 20
 #: Hash of the pair of any word with itself.
 REPEAT = np.uint64(0x9FB21C651E98DF25)
 #: A cut under every mean of log ratios.
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     sums = [f"{k}{part}" for k in KINDS for part in ("", "_x", "_xx")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, 1, FIT_BYTES):
             kinds, weight = (np.array(part.column(i).to_pylist()) for i in (0, 2))
             found = [ngrams(text_bytes(t)) for t in part.column(1).to_pylist()]
             own = [np.unique(f, return_counts=True) for f in found]
@@ -182,7 +182,7 @@ def _scores(docs: DataFrame, model: Model, at: int, finish: Callable[[np.ndarray
         place = np.zeros(1 << HASH_BITS, np.int32)
         place[buckets] = np.arange(1, len(buckets) + 1)
         table = np.vstack([np.zeros((1, ratios.shape[1])), ratios.astype(np.float64)])
-        for part in slices(batches, at):
+        for part in slices(batches, at, FIT_BYTES):
             means = np.zeros((part.num_rows, table.shape[1]))
             for row, text in enumerate(part.column(at).to_pylist()):
                 hit = place[ngrams(text_bytes(text))] if text else ()
