@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, maxent, mtree, packing, quality, simhash, suffixes, tiling, urlfilter
+from . import alignment, bpe, chat, maxent, mtree, packing, quality, simhash, suffixes, tiling, urlfilter, whitening
 from .common import table
 
 
@@ -140,6 +140,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode_documents(encoded, path, pattern))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
         "op1_chat": op1_chat,
@@ -152,6 +162,8 @@ def queries() -> dict:
         "op8_maxent": op8_maxent,
         "op9_decontaminate": op9_decontaminate,
         "op10_bpe": op10_bpe,
+        "op11_whitening": op11_whitening,
+        "op13_alignment": op13_alignment,
     }
 
 
