@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, maxent, mtree, packing, quality, simhash, suffixes, tiling, urlfilter, whitening
+from . import alignment, bpe, chat, maxent, mtree, packing, quality, relz, simhash, suffixes, tiling, urlfilter, whitening
 from .common import table
 
 
@@ -144,6 +144,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
 
 
+def op12_relz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relz.without_repeats(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -163,6 +168,7 @@ def queries() -> dict:
         "op9_decontaminate": op9_decontaminate,
         "op10_bpe": op10_bpe,
         "op11_whitening": op11_whitening,
+        "op12_relz": op12_relz,
         "op13_alignment": op13_alignment,
     }
 

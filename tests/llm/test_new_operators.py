@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sparkmeter.llm import alignment, whitening
+from sparkmeter.llm import alignment, relz, whitening
 
 DOCS = "doc_id long, text string"
 CLASHING = ("size", "x", "n", "component", "chunk", "place", "stripe", "salt", "id", "key", "pos", "row", "spans", "kept", "a`b.c")
@@ -70,6 +70,65 @@ def test_whitening_packs_exactly():
     assert [int(v) if v is not None else None for v in whitening.deviations(big, 3, [2**40, 1]).to_pylist()] == [sum((3 * v - s) ** 2 for v, s in zip(r, (2**40, 1), strict=True)) if sum((3 * v - s) ** 2 for v, s in zip(r, (2**40, 1), strict=True)) < 10**38 else None for r in big.tolist()]
 
 
+# --- 12 substring dedup ------------------------------------------------------------------------------
+
+
+def kept_by_hand(rows, window):
+    first = {}
+    for i, t in rows:
+        words = (t or "").encode().split()
+        for s in range(len(words) - window + 1):
+            key = tuple(words[s : s + window])
+            first[key] = min(first.get(key, 1 << 63), (1 << 63) - 1 if i is None else i)
+    out = []
+    for i, t in rows:
+        words = (t or "").encode().split()
+        gone = set()
+        for s in range(len(words) - window + 1):
+            if first[tuple(words[s : s + window])] < ((1 << 63) - 1 if i is None else i):
+                gone |= set(range(s, s + window))
+        out.append((str(i), len(words), len(gone), b" ".join(w for k, w in enumerate(words) if k not in gone).decode()))
+    return sorted(out)
+
+
+def relz_checked(spark, rows, window=13, gram=5):
+    found = relz.without_repeats(clashing(spark.createDataFrame(rows, DOCS).repartition(4)), window, gram).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in found) == kept_by_hand(rows, window)
+    return sum(r.n_removed for r in found)
+
+
+def corpus(rng, n):
+    words = [f"w{k}" for k in range(300)] + ["ünï", "x\x1cy", "long" * 90]
+    prose = lambda k: [rng.choice(words) for _ in range(k)]
+    shared = [prose(k) for k in (9, 12, 13, 14, 40, 90)]
+    rows = []
+    for i in range(n):
+        parts = [prose(rng.randrange(0, 40)) if rng.random() < 0.6 else rng.choice(shared)[rng.randrange(3) :] for _ in range(rng.randrange(1, 6))]
+        rows.append((rng.randrange(10 * n), rng.choice([" ", "\n", "  \t", "\x0b"]).join(w for p in parts for w in p)))
+    rows += [(10 * n + i, rows[i % 3][1]) for i in range(40)] + [(None, rows[0][1]), (None, rows[5][1]), (rows[0][0], rows[1][1]), rows[2], rows[2]]
+    return rows + [(-1, None), (-2, ""), (-3, " \n "), (-4, "a " * 60), (-5, "a " * 40), (-6, "one two")]
+
+
+@pytest.mark.parametrize("few,largest", [(16, 8192), (2, 8192), (1, 3), (16, 3)])
+def test_relz_by_hand(spark, monkeypatch, few, largest):
+    monkeypatch.setattr(relz, "FEW", few)
+    monkeypatch.setattr(relz, "LARGEST", largest)
+    monkeypatch.setattr(relz, "BLOCK_WORDS", 400)
+    assert relz_checked(spark, corpus(random.Random(few * largest), 150)) > 1000
+
+
+def test_relz_blocks_and_strips(spark, monkeypatch):
+    assert relz.without_repeats(spark.createDataFrame([], DOCS)).collect() == []
+    texts = [b"some words \n and " + b"z" * 300 + b" x", b"", b" ", b"y" * 5000 + b" some words"]
+    whole = relz.word_hashes(texts)
+    monkeypatch.setattr(relz, "STRIP_BYTES", 64)
+    cut = relz.word_hashes(texts)
+    assert (whole[0] == cut[0]).all() and whole[1].tolist() == cut[1].tolist() == [5, 0, 0, 3] and whole[0][0] == whole[0][6]
+    relz_checked(spark, corpus(random.Random(9), 60), window=6, gram=3)
+    a, b, c = (list(x) for x in ([b"p", b"q", b"r", b"s"], [b"x", b"q", b"r", b"s", b"q", b"r"], [b"q", b"r", b"s", b"q"]))
+    assert relz.factors([a, b, c], [1, 2, 3], 2) == [[], [(1, 4), (4, 6)], [(0, 3), (2, 4)]]
+
+
 # --- 13 alignment ------------------------------------------------------------------------------------
 
 
