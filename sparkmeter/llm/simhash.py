@@ -12,13 +12,14 @@ shards that can hold a neighbour of it:
 
 Inside a shard a union-find keeps a spanning set of links, never all pairs of a group.
 
-Results for odd input: a null text is an empty text; a null id stays null in the output; repeated rows are
+Results for odd input: a null text is an empty text; a null id stays null in the output; repeated rows and rows of equal id are
 documents like any other; input columns other than the id and the text are not carried over by
-``fingerprints`` and kept as they are by ``near_duplicates``.
+``fingerprints`` and ``near_duplicates`` and kept as they are by ``one_of_each``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,24 +98,40 @@ def band_keys(unique: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(row.tobytes())) for row in least.reshape(BANDS, BAND_SIZE)]
 
 
+_NO_ID = (1 << 63) - 1
+
+
+def _row(id_col: str, text_col: str) -> list[Column]:
+    """``doc`` (a null id counts as the largest) and ``row``, a hash of id and text that names a row; only equal rows share one."""
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    return [doc.alias("doc"), F.xxhash64(doc, F.coalesce(F.col(text_col), F.lit(""))).alias("row")]
+
+
+def _set_names(unique: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a set of shingle hashes."""
+    data = unique.tobytes()
+    return signed(xxhash.xxh64_intdigest(data, 1)), signed(xxhash.xxh64_intdigest(data, 2))
+
+
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, a 128-bit hash of the shingle set (s1, s2), and band keys of each row."""
+    """doc, row, a 128-bit hash of the shingle set (s1, s2), its size, and band keys of each row."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            one, two, bands = [], [], []
-            for text in part.column(1).to_pylist():
+        for part in slices(batches, 2):
+            one, two, sizes, bands = [], [], [], []
+            for text in part.column(2).to_pylist():
                 unique = np.unique(np.array(shingle_hashes(text_bytes(text), words), dtype=np.uint64))
-                data = unique.tobytes()
-                one.append(signed(xxhash.xxh64_intdigest(data, 1)))
-                two.append(signed(xxhash.xxh64_intdigest(data, 2)))
+                names = _set_names(unique)
+                one.append(names[0])
+                two.append(names[1])
+                sizes.append(len(unique))
                 bands.append(band_keys(unique))
-            arrays = [part.column(0), *[pa.array(c, pa.int64()) for c in (one, two)], pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "s1", "s2", "bands"])
+            arrays = [*part.columns[:2], *[pa.array(c, pa.int64()) for c in (one, two, sizes)], pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "row", "s1", "s2", "size", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(stage(run), "id long, s1 long, s2 long, bands array<long>")
+    rows = docs.select(*_row(id_col, text_col), F.col(text_col).alias("text"))
+    return rows.mapInArrow(stage(run), "doc long, row long, s1 long, s2 long, size long, bands array<long>")
 
 
 def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +161,9 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def confirmed(similarity: float):
-    """Python stage over (cluster, low, high, chunk, id, bands, shingles) rows in order: spanning links among the pairs that share a band and that the shingle sets confirm, within a chunk (low = high) or between two."""
+    """Python stage over (cluster, low, high, chunk, band, label, id, bands, shingles) rows in order: spanning links among the pairs that share a
+    band and that the shingle sets confirm, within a chunk (low = high) or between two. Rows of one label are known to be linked; with a band
+    (not -1) only pairs whose first common band it is are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
@@ -153,7 +172,7 @@ def confirmed(similarity: float):
         label, side = np.zeros(64, np.int64), np.zeros(64, np.int64)
         for batch in batches:
             left, right = [], []
-            for cluster, low, high, chunk, name, bands, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for cluster, low, high, chunk, band, named, name, bands, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (cluster, low, high) != now:
                     now, ids, sets = (cluster, low, high), [], []
                 own, place = np.frombuffer(data, np.uint64), len(ids)
@@ -162,8 +181,10 @@ def confirmed(similarity: float):
                 if place == len(held):
                     held, keys, label, side = (np.concatenate([x, np.zeros_like(x)]) for x in (held, keys, label, side))
                 held[place] = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256)
-                keys[place], label[place], side[place] = bands, place, chunk
-                able = (keys[:place] == keys[place]).any(axis=1)
+                keys[place], label[place], side[place] = bands, named, chunk
+                same = keys[:place] == keys[place]
+                able = same.any(axis=1) if band < 0 else same[:, band] & ~same[:, :band].any(axis=1)
+                able &= label[:place] != named
                 if low != high:
                     able &= side[:place] != chunk
                 near = np.flatnonzero(able)
@@ -181,52 +202,138 @@ def confirmed(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns ``id_col`` and ``component_id`` (the smallest id of its group) for each row with an id.
+def starred(similarity: float):
+    """Python stage over (leader, salt, member, id, shingles) rows in order, the leader's own first: a link from the leader to each similar member."""
 
-    Two documents link if the sets of their word shingles have at least the Jaccard similarity. Candidates share a
-    band of minimum hashes (a pair of similarity 0.8 misses all bands once in 5,500); every pair of candidates is
-    settled on whole shingle sets. Equal sets are one value from the start. Groups of more than ``LARGEST`` values
-    are cut into chunks of that size, and each pair of chunks is settled by a task of its own.
-    Rows of equal id count as one document; rows with a null id are left out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
+        for batch in batches:
+            left, right = [], []
+            for leader, _, member, name, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = np.frombuffer(data, np.uint64)
+                if not member:
+                    head = own
+                elif _alike(head, own, similarity):
+                    left.append(leader)
+                    right.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _in_chunks(rows: DataFrame, key: str, similarity: float) -> DataFrame:
+    """Links among the rows (``key``, n, band, label, id, bands, shingles) of each key; more than ``LARGEST`` rows are settled as pairs of chunks."""
+    chunks = F.ceil(F.col("n") / LARGEST)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    rows = rows.select(F.col(key).alias("cluster"), F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "band", "label", "id", "bands", "shingles")
+    rows = rows.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id")
+    return rows.mapInArrow(stage(confirmed(similarity)), "a long, b long")
+
+
+def _values(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and each distinct shingle set (s1, s2) with its first row (doc, row) and its group.
+
+    Candidates share a band of minimum hashes. What bands chain together is a cluster. Clusters of up to ``LARGEST`` values are settled
+    at once. In a larger one each band key is a shard of its own: first every member is held against the shard's
+    leader, which joins most copies; shards that hold several groups after that are settled pair by pair, only between
+    different groups, split by length (a set of similarity s has at least s times the other's size) and cut into chunks where they are still too large.
     """
-    found = saved(sketches(docs, words, id_col, text_col).where("id is not null"))
-    values = found.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("bands").alias("bands"))
-    shards = values.select(F.posexplode("bands").alias("band", "key"), "rep")
+    found = saved(sketches(docs, words, id_col, text_col))
+    values = found.groupBy("s1", "s2").agg(F.min(F.struct("doc", "row")).alias("first"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+    values = saved(values.withColumn("id", F.monotonically_increasing_id()))
+    shards = values.select(F.posexplode("bands").alias("band", "key"), "id")
     many = shards.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    shards = shards.join(many, ["band", "key"]).repartition("band", "key").sortWithinPartitions("band", "key", "rep")
-    clusters = saved(components(shards.mapInArrow(stage(leaders), "a long, b long"), "a", "b"))
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    clusters = clusters.join(sizes, "component").select(F.col("node"), F.col("component").alias("cluster"), F.ceil(F.col("n") / LARGEST).alias("chunks"))
+    shards = saved(shards.join(many, ["band", "key"]))
+    chained = shards.select("band", "key", F.col("id").alias("rep")).repartition("band", "key").sortWithinPartitions("band", "key", "rep")
+    clusters = components(chained.mapInArrow(stage(leaders), "a long, b long"), "a", "b")
+    clusters = saved(clusters.withColumnRenamed("node", "id").withColumnRenamed("component", "cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    clusters = clusters.join(sizes, "cluster")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 3):
-            bands, sets = [], []
-            for text in part.column(3).to_pylist():
+        for part in slices(batches, 6):
+            keep, sets, known = [], [], set()
+            for k, (name, one, two, text) in enumerate(zip(*[part.column(i).to_pylist() for i in (2, 4, 5, 6)], strict=True)):
+                if name in known:  # the same row again
+                    continue
                 unique = np.unique(np.array(shingle_hashes(text_bytes(text), words), dtype=np.uint64))
-                bands.append(band_keys(unique))
-                sets.append(unique.tobytes())
-            arrays = [*part.columns[:3], part.column(4), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["cluster", "chunk", "id", "chunks", "bands", "shingles"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(clusters, F.col("id") == F.col("node"))
-    rows = rows.select("cluster", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "text", "chunks")
-    sets = rows.mapInArrow(stage(shingled), "cluster long, chunk long, id long, chunks long, bands array<long>, shingles binary")
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    pairs = pairs.select("cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "id", "bands", "shingles")
-    pairs = pairs.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id")
-    links = saved(pairs.mapInArrow(stage(confirmed(similarity)), "a long, b long"))
-    groups = components(links, "a", "b")
-    named = values.join(groups, values["rep"] == groups["node"], "left").select(F.col("s1").alias("v1"), F.col("s2").alias("v2"), F.coalesce("component", "rep").alias("component_id"))
-    joined = found.join(named, (F.col("s1") == F.col("v1")) & (F.col("s2") == F.col("v2")))
-    return joined.select(F.col("id").alias(id_col), "component_id")
+                if _set_names(unique) == (one, two):
+                    known.add(name)
+                    keep.append(k)
+                    sets.append(unique.tobytes())
+            part = part.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], names=["cluster", "n", "id", "bands", "shingles"])
+
+    wanted = values.join(clusters, "id").select("cluster", "n", "id", "bands", "s1", "s2", F.col("first.row").alias("row"))
+    texts = docs.select(_row(id_col, text_col)[1], F.col(text_col).alias("text"))
+    sets = texts.join(wanted, "row").select("cluster", "n", "id", "bands", "s1", "s2", "text")
+    sets = sets.mapInArrow(stage(shingled), "cluster long, n long, id long, bands array<long>, shingles binary")
+    whole = [F.lit(-1).alias("band"), F.col("id").alias("label"), "id", "bands", "shingles"]
+    large = not sizes.where(F.col("n") > LARGEST).isEmpty()
+    if not large:
+        links = saved(_in_chunks(sets.select("cluster", "n", *whole), "cluster", similarity))
+    else:
+        sets = saved(sets)
+        links = _in_chunks(sets.where(F.col("n") <= LARGEST).select("cluster", "n", *whole), "cluster", similarity)
+        links = saved(links.union(_large(sets.where(F.col("n") > LARGEST), shards, values, similarity)))
+    groups = components(links, "a", "b").withColumnRenamed("node", "id")
+    return found, values.join(groups, "id", "left").select("s1", "s2", "first", F.coalesce("component", "id").alias("component"))
+
+
+def _large(sets: DataFrame, shards: DataFrame, values: DataFrame, similarity: float) -> DataFrame:
+    """Links among the members of large clusters, shard by shard."""
+    shards = saved(shards.join(sets.select("id").distinct(), "id").join(values.select("id", "size"), "id"))
+    heads = shards.groupBy("band", "key").agg(F.min("id").alias("leader"))
+    pairs = saved(shards.join(heads, ["band", "key"]).where("id != leader").select("leader", "id").distinct())
+    counts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LARGEST).alias("salts"))
+    single = sets.select("id", "bands", "shingles").dropDuplicates(["id"])
+    members = pairs.join(counts, "leader").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).join(single, "id")
+    own = counts.join(single, F.col("leader") == F.col("id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    both = own.select("leader", "salt", F.lit(0).alias("member"), "id", "shingles").union(members.select("leader", "salt", F.lit(1).alias("member"), "id", "shingles"))
+    both = both.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member")
+    star = saved(both.mapInArrow(stage(starred(similarity)), "a long, b long"))
+    labels = components(star, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
+    shards = saved(shards.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    still = shards.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "key")
+    length = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(1.000001 * -np.log(similarity)))
+    rest = shards.join(still, ["band", "key"]).withColumn("length", F.explode(F.array(length, length + 1)))
+    rest = saved(rest.select(F.xxhash64("band", "key", "length").alias("shard"), "band", "label", "id"))
+    counts = rest.groupBy("shard").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    rest = rest.join(counts.select("shard", "n"), "shard").join(single, "id")
+    return star.union(_in_chunks(rest.select("shard", "n", "band", "label", "id", "bands", "shingles"), "shard", similarity))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns ``id_col`` and ``component_id`` (the smallest id of its group) for each row with an id.
+
+    Two rows link if the sets of their word shingles have at least the Jaccard similarity. Candidates share a
+    band of minimum hashes (a pair of similarity 0.8 misses all bands once in 5,500); every pair of candidates is
+    settled on whole shingle sets, or known to be linked already. Equal sets are one value from the start. Rows of equal id are rows of their own; rows with a null
+    id link others, and are left out of the result.
+    """
+    found, values = _values(docs, words, similarity, id_col, text_col)
+    least = values.groupBy("component").agg(F.min("first.doc").alias("component_id"))
+    named = values.join(least, "component").select("s1", "s2", "component_id")
+    return found.where(F.col("doc") != _NO_ID).join(named, ["s1", "s2"]).select(F.col("doc").alias(id_col), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those of a near-duplicate group but for its smallest id."""
-    groups = near_duplicates(docs, words, similarity, id_col, text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """One row of each near-duplicate group, with all columns of ``docs``: the row with the smallest id (a null id is the largest).
+
+    Rows are told apart by id and text, so a text that stands under the id of another group's member stays, and copies leave one
+    row whether or not they have ids. Of rows with equal id and text any one stays.
+    """
+    found, values = _values(docs, words, similarity, id_col, text_col)
+    stay = values.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
+    twice = found.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row", F.lit(True).alias("twice"))
+    stay = saved(stay.distinct().join(twice, "row", "left"))
+    name, first, again = (f"{kind} {uuid.uuid4().hex}" for kind in ("row", "first", "again"))
+    named = stay.select(F.col("row").alias(first), F.col("twice").alias(again))
+    joined = docs.withColumn(name, _row(id_col, text_col)[1]).join(named, F.col(name) == F.col(first))
+    alone = joined.where(F.col(again).isNull()).drop(name, first, again)
+    if stay.where("twice").isEmpty():
+        return alone
+    return alone.union(joined.where(F.col(again)).dropDuplicates([name]).drop(name, first, again))
 
 
 class BKTree:

@@ -476,6 +476,38 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == {*want.values(), None}
 
 
+def test_one_of_each_works_on_rows(spark):
+    """Clashing ids lose no text, and copies leave one row with or without ids."""
+    kept = lambda rows: sorted((str(r["doc_id"]), r["text"]) for r in simhash.one_of_each(clashing(docs(spark, rows))).collect())
+    x, alpha = "x y z " + prose(random.Random(1), 30), "alpha " + prose(random.Random(2), 30)
+    assert kept([(1, x), (1, alpha), (0, alpha)]) == sorted([("1", x), ("0", alpha)])
+    assert kept([(1, "a b c"), (1, "a b c"), (None, "a b c")]) == [("1", "a b c")]
+    assert kept([(None, x), (None, x), (None, alpha), (2, None), (2, ""), (None, None)]) in ([("2", t), *sorted([("None", x), ("None", alpha)])] for t in (None, ""))
+    assert simhash.one_of_each(docs(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("largest", [2, 7])
+def test_near_duplicates_in_large_clusters(spark, monkeypatch, largest):
+    """A long chain, a base with many edits and look-alikes below the similarity, settled shard by shard."""
+    monkeypatch.setattr(simhash, "LARGEST", largest)
+    rng = random.Random(largest)
+    chain, base = prose(rng, 160, 5000).split(), prose(rng, 100, 5000).split()
+    rows = [(i, " ".join(chain[i : i + 100])) for i in range(0, 60, 3)]
+    for i in range(40):
+        words = list(base)
+        for _ in range(1 + i % 7):
+            words[rng.randrange(100)] = f"new{rng.randrange(9999)}"
+        rows.append((100 + i, " ".join(words)))
+    rows += [(200, " ".join(base)), (201, " ".join(base[:85])), (None, " ".join(base[:60])), (202, prose(rng, 50))]
+    rng.shuffle(rows)
+    sets = {i: frozenset(simhash.shingle_hashes(t.encode(), 5)) for i, t in rows if i is not None}
+    bands = {i: simhash.band_keys(np.array(sorted(s), np.uint64)) for i, s in sets.items()}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and any(x == y for x, y in zip(bands[a], bands[b], strict=True))]
+    want = groups_of(alike, sets)
+    assert len(want) / 6 < len(set(want.values())) < len(want) / 2  # links and look-alikes
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows)).collect()} == want
+
+
 def test_near_duplicates_of_a_base_in_other_chunks(spark, monkeypatch):
     """Edits of one base that are not alike among each other, in a group of many chunks; the base has the largest id."""
     monkeypatch.setattr(simhash, "LARGEST", 8)
