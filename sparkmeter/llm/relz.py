@@ -32,10 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, saved, slices, stage, text_bytes
+from .common import SLICE_BYTES, prepare, saved, slices, stage, text_bytes
 from .suffixes import mixed, powers, sliding
 
 WINDOW, GRAM = 13, 5
@@ -215,6 +216,18 @@ def shared_anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return found.groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """``texts`` (id, doc, row, text) with the text's bytes packed by zstd: less than half of what a shuffle would write of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for part in slices(batches, 3):
+            data = [pack(text_bytes(t)) for t in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(data, pa.binary())], names=["id", "doc", "row", "packed"])
+
+    return texts.select("id", "doc", "row", "text").mapInArrow(stage(run), "id long, doc long, row long, packed binary")
+
+
 # --- contexts ----------------------------------------------------------------------------------------
 
 _CONTEXTS = "key long, doc long, row long, size int, words binary, places array<int>"
@@ -222,11 +235,12 @@ _CONTEXT_KINDS = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa
 
 
 def contexts(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """What is sent to the blocks, from doc, row, text, places: a key, and ``size`` words with the places where they stand in the row; without words where they are known to be a repeat."""
+    """What is sent to the blocks, from doc, row, packed, places: a key, and ``size`` words with the places where they stand in the row; without words the starts and ends of known repeats."""
     far = window - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for part in slices(batches, 2, SLICE_BYTES // 2):
             doc, row, text, places = (c.to_pylist() for c in part.columns)
             first: dict[tuple[int, bytes], list] = {}
             more, known, done = [], [], set()
@@ -234,8 +248,9 @@ def contexts(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 if row[i] in done:  # a repeated row
                     continue
                 done.add(row[i])
-                data = text_bytes(text[i])
+                data = unpack(text[i])
                 words, (hashes, _) = data.split(), word_hashes([data])
+                runs: list[int] = []
                 own = np.array(places[i], np.int64)
                 own = own[(own >> 1) <= len(words) - gram]
                 single = (own[own & 1 == 1] >> 1)[:, None] - np.arange(far + 1)
@@ -252,16 +267,18 @@ def contexts(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     elif entry[2] == row[i]:
                         entry[5].append(a)
                     elif entry[1] < doc[i]:
-                        known.append([row[i] + a, doc[i], row[i], b - a, None, [a]])
+                        runs += [a, b]
                     else:
                         more.append([key, doc[i], row[i], b - a, piece[1], [a]])
+                if runs:
+                    known.append([row[i], doc[i], row[i], 0, None, runs])
             rows = [*first.values(), *more, *known]
             for start in range(0, len(rows), 10_000):
                 columns = zip(*rows[start : start + 10_000], strict=True)
                 arrays = [pa.array(_wrapped(c) if k == 0 else c, kind) for k, (c, kind) in enumerate(zip(columns, _CONTEXT_KINDS, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _CONTEXTS.split(", ")])
 
-    return texts.select("doc", "row", "text", "places").mapInArrow(stage(run), _CONTEXTS)
+    return texts.select("doc", "row", "packed", "places").mapInArrow(stage(run), _CONTEXTS)
 
 
 def _wrapped(values: tuple[int, ...]) -> list[int]:
@@ -343,7 +360,9 @@ def parsed(window: int):
                         total = 0
                     now = key
                     seen = {}
-                if words is None or seen.get(words, doc) < doc:  # as a whole in an earlier document
+                if words is None:
+                    out.extend((doc, row, a << 32 | b) for a, b in zip(places[::2], places[1::2], strict=True))
+                elif seen.get(words, doc) < doc:  # as a whole in an earlier document
                     out.extend((doc, row, p << 32 | (p + size)) for p in places)
                 else:
                     seen.setdefault(words, doc)
@@ -364,10 +383,10 @@ def _doc(id_col: str) -> Column:
 
 
 def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``doc``, ``row`` and ``spans`` of the repeated words of each row that has any. ``texts``: doc, row (a hash of doc and text), text."""
+    """``doc``, ``row`` and ``spans`` of the repeated words of each row that has any. ``texts``: id, doc, row (a hash of doc and text), text."""
     long = texts.where(F.octet_length("text") >= 2 * window - 1)
     places = saved(shared_anchors(long, window, gram))
-    sent = contexts(long.join(places, "row"), window, gram)
+    sent = contexts(packed(long).join(places, "row"), window, gram)
     sent = sent.repartition("key").sortWithinPartitions("key", "doc", "row")
     found = sent.mapInArrow(stage(parsed(window)), "doc long, row long, span long")
     return found.groupBy("doc", "row").agg(F.collect_set("span").alias("spans"))
@@ -378,13 +397,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), _doc(id_col).alias("doc"), text.alias("text")).withColumn("row", F.xxhash64("doc", "text"))
-    spans = saved(repeats(texts.select("doc", "row", "text"), window, gram))
+    spans = saved(repeats(texts, window, gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for part in slices(batches, 1, SLICE_BYTES // 2):
             counts, gone, kept = [], [], []
             for text, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                words = text_bytes(text).split()
+                words = unpack(text).split()
                 counts.append(len(words))
                 if own:
                     edges = np.zeros(len(words) + 1, np.int64)
@@ -397,5 +417,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
 
-    joined = texts.join(spans, ["doc", "row"], "left").select("id", "text", "spans")
+    joined = packed(texts).join(spans, ["doc", "row"], "left").select("id", "packed", "spans")
     return joined.mapInArrow(stage(run), f"`{id_col}` long, n_words long, n_removed long, kept string")
