@@ -10,7 +10,7 @@ from ..functions import text
 from ..functions.normalize import claude as flatten
 from ..functions.normalize import get, kind_of, text_of
 from ..operators.joins import asof
-from ..operators.segments import sticky_segments
+from ..operators.segments import running, sticky_segments
 from ..operators.usage import COUNTERS, dedupe_requests
 from ..sources import jsonl
 
@@ -18,48 +18,68 @@ NO_COMMAND = "(no command)"
 AGENT_GLOB = "agent-*.jsonl"
 
 
+BLOCKS = "array<struct<type string, id string, name string, input struct<skill string>>>"
+EVENTS = "array<struct<slot int, kind string, name string, use_id string>>"
+
+
 def _fields(lines: DataFrame) -> DataFrame:
+    """What segments and requests need of each record; texts and the parsed record end here, before anything is shuffled."""
     v = F.col("v")
-    content = get(v, "$.message.content", "variant")
-    blocks = F.when(F.startswith(F.schema_of_variant(content), F.lit("ARRAY")), F.try_variant_get(content, "$", "array<struct<type string, id string, name string, text string, input struct<skill string>>>"))
-    return lines.select(
-        "path", "ord", get(v, "$.type").alias("type"), get(v, "$.timestamp").alias("ts"), get(v, "$.requestId").alias("request_id"),
+    content, counted = get(v, "$.message.content", "variant"), get(v, "$.message.usage", "variant")
+    kind = get(v, "$.type")
+    rows = lines.where(kind.isin("user", "assistant")).select(
+        "path", "ord", kind.alias("type"), get(v, "$.timestamp").alias("ts"), get(v, "$.requestId").alias("request_id"),
         F.coalesce(get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("side"), F.coalesce(get(v, "$.isMeta", "boolean"), F.lit(False)).alias("meta"),
-        get(v, "$.message.model").alias("model"), text.strip(text_of(content)).alias("text"), blocks.alias("blocks"),
-        F.when(get(v, "$.message.usage", "variant").isNotNull(), flatten(get(v, "$.message.usage", "variant"))).alias("usage"),
+        get(v, "$.message.model").alias("model"), F.when(kind == "user", text.strip(text_of(content))).alias("text"),
+        F.try_variant_get(content, "$", BLOCKS).alias("blocks"), F.when(counted.isNotNull(), flatten(counted)).alias("usage"),
     )
+    answers_tool = F.coalesce(F.exists("blocks", lambda b: b["type"] == "tool_result"), F.lit(False))
+    human = (F.col("type") == "user") & ~F.col("side") & ~F.col("meta") & (F.length("text") > 0) & ~answers_tool
+    skills = F.filter("blocks", lambda b: (b["type"] == "tool_use") & (b["name"] == "Skill") & b["input"]["skill"].isNotNull())
+    skills = F.when(F.col("type") == "assistant", F.transform(skills, lambda b: F.struct(F.concat(F.lit("/"), b["input"]["skill"]).alias("name"), b["id"].alias("use_id"))))
+    rows = rows.withColumn("human", human).withColumn("skills", skills)
+    return rows.select("path", "ord", "type", "ts", "request_id", "model", "usage", "human", "skills", F.when(human, text.command_tag(F.col("text"))).alias("tag"), F.when(human, text.prompt(F.col("text"))).alias("prompt"))
 
 
 def _slots(rows: DataFrame) -> DataFrame:
     """Rows in order with their skill uses in front of their usage: one row for each event that can open a segment or bears usage."""
-    human = (F.col("type") == "user") & ~F.col("side") & ~F.col("meta") & (F.length("text") > 0) & ~F.coalesce(F.exists("blocks", lambda b: b["type"] == "tool_result"), F.lit(False))
-    skills = F.filter("blocks", lambda b: (b["type"] == "tool_use") & (b["name"] == "Skill") & b["input"]["skill"].isNotNull())
-    skills = F.transform(F.coalesce(skills, F.array().cast("array<struct<type string, id string, name string, text string, input struct<skill string>>>")), lambda b, i: F.struct(i.alias("slot"), F.lit("skill").alias("kind"), F.concat(F.lit("/"), b["input"]["skill"]).alias("name"), b["id"].alias("use_id")))
     none = F.lit(None).cast("string")
-    prompt = F.when(human, F.array(F.struct(F.lit(0).alias("slot"), F.lit("prompt").alias("kind"), text.command_tag(F.col("text")).alias("name"), none.alias("use_id"))))
-    answer = F.when(F.col("type") == "assistant", F.concat(skills, F.when(F.col("usage").isNotNull(), F.array(F.struct(F.lit(1000).alias("slot"), F.lit("usage").alias("kind"), none.alias("name"), none.alias("use_id")))).otherwise(F.array().cast("array<struct<slot int, kind string, name string, use_id string>>"))))
-    return rows.select("*", F.explode(F.coalesce(prompt, answer)).alias("event")).select(*[c for c in rows.columns if c != "blocks"], "event.*")
 
+    def event(slot: int, kind: str, name: Column) -> Column:
+        return F.array(F.struct(F.lit(slot).alias("slot"), F.lit(kind).alias("kind"), name.alias("name"), none.alias("use_id")))
 
-def sessions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """``requests``, ``segments`` and ``files`` of all transcripts under ``root`` (``project/session.jsonl``)."""
-    lines = jsonl.scan(spark, f"{root}/*/*.jsonl")
-    rows = jsonl.numbered(_fields(jsonl.records(lines))).withColumn("session", F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)).withColumn("project", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    used = F.transform(F.coalesce("skills", F.array().cast("array<struct<name string, use_id string>>")), lambda b, i: F.struct(i.alias("slot"), F.lit("skill").alias("kind"), b["name"].alias("name"), b["use_id"].alias("use_id")))
+    bears = F.when(F.col("usage").isNotNull(), event(1000, "usage", none)).otherwise(F.array().cast(EVENTS))
+    events = F.when(F.col("human"), event(0, "prompt", F.col("tag"))).when(F.col("type") == "assistant", F.concat(used, bears))
+    return rows.select("*", F.explode(events).alias("event")).select(*[c for c in rows.columns if c not in ("skills", "human", "tag", "type")], "event.*")
+
+
+def sessions(spark: SparkSession, root: str | list[str]) -> dict[str, DataFrame]:
+    """``requests``, ``segments``, ``starts`` (first record with a time) and ``files`` of all transcripts under ``root`` (``project/session.jsonl``), or of the files of a list."""
+    lines = jsonl.scan(spark, f"{root}/*/*.jsonl" if isinstance(root, str) else root)
+    rows = _fields(jsonl.records(lines)).repartition("path")  # one exchange of narrow rows; all windows and the dedupe are within a file
+    session, project = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("session"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("project")
     events = _slots(rows)
     use = F.coalesce("use_id", F.concat_ws(":", "request_id", "name"))
-    again = F.row_number().over(Window.partitionBy("path", "kind", use).orderBy("n", "slot")) > 1
+    again = F.row_number().over(Window.partitionBy("path", "kind", use).orderBy("ord", "slot")) > 1
     marker = ((F.col("kind") == "skill") & ~again) | ((F.col("kind") == "prompt") & F.col("name").isNotNull())
     events = events.withColumn("marker", marker)
-    events = sticky_segments(events, ["project", "session", "path"], ["n", "slot"], F.col("marker"), F.lit(True) & ((F.col("kind") != "skill") | F.col("marker")))
-    opened = Window.partitionBy("path", "seg_id").orderBy("n", "slot")
-    events = events.withColumn("label", F.coalesce(F.first(F.when(F.col("marker"), F.col("name"))).over(opened.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(NO_COMMAND)))
-    segments = events.where("seg_id > 0").groupBy("project", "session", "seg_id").agg(
-        F.min_by("label", F.struct("n", "slot")).alias("label"), F.min_by("ts", F.struct("n", "slot")).alias("start_ts"),
-        F.min_by(text.prompt(F.col("text")), F.when((F.col("kind") == "prompt") & (F.length("text") > 0) & (F.col("label") == NO_COMMAND), F.col("n"))).alias("prompt"),
+    events = sticky_segments(events, ["path"], ["ord", "slot"], F.col("marker"), (F.col("kind") != "skill") | F.col("marker"))
+    named = F.last(F.when(F.col("marker"), F.col("name")), ignorenulls=True).over(running(["path"], ["ord", "slot"]))
+    events = events.withColumn("label", F.coalesce(named, F.lit(NO_COMMAND)))
+    at = F.struct("ord", "slot")
+    segments = events.where("seg_id > 0").groupBy("path", "seg_id").agg(
+        F.min_by("label", at).alias("label"), F.min_by("ts", at).alias("start_ts"), F.min_by("prompt", F.when((F.col("kind") == "prompt") & (F.col("label") == NO_COMMAND), F.col("ord"))).alias("prompt")
+    )
+    bearing = events.where("kind = 'usage'").select(
+        "path", F.col("seg_id").alias("segment"), "label", "model", "ts", text.local_day(F.col("ts")).alias("day"), "request_id", "ord", *[F.col(f"usage.{c}").alias(c) for c in COUNTERS]
     )
-    bearing = events.where("kind = 'usage'").select("project", "session", F.col("seg_id").alias("segment"), "label", "model", "ts", text.local_day(F.col("ts")).alias("day"), "request_id", F.col("n").alias("ord"), *[F.col(f"usage.{c}").alias(c) for c in COUNTERS])
-    requests = dedupe_requests(bearing, ["project", "session"], first=["segment", "label", "model", "day", "ts"])
-    return {"requests": requests, "segments": segments, "files": jsonl.file_status(lines)}
+    requests = dedupe_requests(bearing, ["path"], first=["segment", "label", "model", "day", "ts"], dealt=True)
+    starts = rows.groupBy("path").agg(F.min(F.nullif("ts", F.lit(""))).alias("first_ts"))
+    return {
+        "requests": requests.select(project, session, *requests.columns), "segments": segments.select(project, session, *segments.columns),
+        "starts": starts.select(project, session, "first_ts"), "files": jsonl.file_status(lines),
+    }
 
 
 def subagents(spark: SparkSession, root: str, segments: DataFrame) -> DataFrame:
@@ -68,9 +88,9 @@ def subagents(spark: SparkSession, root: str, segments: DataFrame) -> DataFrame:
     Ids are deduplicated inside one file only: the same request in a parent and in a child counts twice.
     """
     lines = jsonl.scan(spark, root, recursive=True, name_glob=AGENT_GLOB).where(F.col("path").contains("/subagents/"))
-    rows = jsonl.numbered(_fields(jsonl.records(lines))).withColumn("session", F.regexp_extract("path", r"([^/]+)/subagents/", 1)).withColumn("project", F.regexp_extract("path", r"([^/]+)/[^/]+/subagents/", 1)).withColumn("agent", F.regexp_extract("path", r"/(agent-[^/]+)\.jsonl$", 1))
+    rows = _fields(jsonl.records(lines)).withColumn("session", F.regexp_extract("path", r"([^/]+)/subagents/", 1)).withColumn("project", F.regexp_extract("path", r"([^/]+)/[^/]+/subagents/", 1)).withColumn("agent", F.regexp_extract("path", r"/(agent-[^/]+)\.jsonl$", 1))
     bearing = rows.where((F.col("type") == "assistant") & F.col("usage").isNotNull()).select(
-        "path", "project", "session", "agent", "model", "ts", text.local_day(F.col("ts")).alias("day"), "request_id", F.col("n").alias("ord"), *[F.col(f"usage.{c}").alias(c) for c in COUNTERS]
+        "path", "project", "session", "agent", "model", "ts", text.local_day(F.col("ts")).alias("day"), "request_id", "ord", *[F.col(f"usage.{c}").alias(c) for c in COUNTERS]
     )
     requests = dedupe_requests(bearing, ["project", "session", "agent", "path"], first=["model", "day", "ts"])
     meta = agent_files(spark, root)
