@@ -84,7 +84,9 @@ def _first_object(path: Path) -> dict:
 def runtime_of_file(path: Path) -> str:
     """The host that wrote a file, by what its first record looks like."""
     first = _first_object(path)
-    if first.get("type") in ("session.start", "token-usage.capture"):
+    kind, data = first.get("type"), first.get("data")
+    captured = isinstance(kind, str) and kind.endswith(".capture") and isinstance(data, dict) and "sessionId" in data
+    if kind == "session.start" or captured:
         return "copilot"
     if "projectHash" in first or ("step_index" in first and "source" in first):
         return "gemini"

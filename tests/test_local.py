@@ -1,4 +1,4 @@
-"""Discovery, disclosure, tools, hooks and turn folding: what runs beside Spark."""
+"""Discovery, disclosure, tools, and hooks: what runs beside Spark."""
 
 import json
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from sparkmeter.plans import disclosure, tools
 from sparkmeter.sources import discovery
-from sparkmeter.streaming import hooks, turns
+from sparkmeter.streaming import hooks
 
 
 def put(path: Path, text="{}", mtime=None):
@@ -96,42 +96,3 @@ def test_live_view():
     assert out == ["v\n", "\n--- now ---\nv\n", "\n--- now ---\nv\n"] and waits == [3.0, 3.0]
     with pytest.raises(ValueError):
         hooks.live(lambda: "", out.append, 0)
-
-
-def folded(records, by_record=True):
-    folder, out = turns.Folder(by_record, "me"), []
-    for record in records:
-        out += folder.take(record)
-    return out + folder.end()
-
-
-def test_turns_with_tools_and_growing_usage():
-    say = lambda role, content, **more: {"type": role, "timestamp": "t", "message": {"role": role, "content": content}, **more}
-    use = lambda n: {"usage": {"input_tokens": n, "output_tokens": 1, "cache_read_input_tokens": 2, "cache_creation": {"ephemeral_5m_input_tokens": 3}}}
-    found = folded([
-        "a bare string", say("system", "x"), say("user", "do it"),
-        say("assistant", [{"type": "text", "text": "one"}, {"type": "tool_use", "id": "c1", "name": "read", "input": {"b": 1, "a": 2}}], requestId="r", **use(5)),
-        say("assistant", [{"type": "tool_use", "id": "c1", "name": "read", "input": {"b": 1, "a": 2}}], requestId="r", **use(9)),
-        say("user", [{"type": "tool_result", "tool_use_id": "c1", "content": "done"}]), {"type": "tool_result", "name": "late", "content": "alone"},
-        say("assistant", "two", **use(1)), {"speaker": "Human", "content": "next"},
-    ])
-    assert [t.prompt for t in found] == ["do it", "next"] and found[0].parts == ["one", "two"]
-    assert found[0].tools == [{"id": "c1", "name": "read", "input": '{"a": 2, "b": 1}', "result": "done"}, {"id": "", "name": "late", "input": "{}", "result": "alone"}]
-    assert found[0].totals() == {"input": 10, "output": 2, "cache_read": 4, "cache_write": 6} and not any(found[1].totals().values())
-
-
-def test_usage_after_a_context_waits_for_the_next_prompt():
-    context = lambda ident, model: {"type": "turn_context", "payload": {"turn_id": ident, "model": model}}
-    item = lambda role, said: {"type": "response_item", "payload": {"type": "message", "role": role, "content": said}}
-    usage = lambda n, **more: {"type": "token_usage_record", "payload": {"usage": {"input_tokens": n, "output_tokens": 1, "cached_input_tokens": 4}, **more}}
-    found = folded([
-        context("1", "m1"), usage(10), item("user", "first"), item("assistant", "a"), usage(20, response_id="x"), usage(24, response_id="x"), usage(99, thread_id="other"),
-        context("2", "m2"), usage(30, thread_id="me"), item("user", "second"),
-        {"type": "response_item", "payload": {"type": "function_call", "call_id": "f", "name": "sh", "arguments": "{}"}}, {"type": "response_item", "payload": {"type": "function_call_output", "call_id": "f", "output": "ok"}},
-        context("3", "m3"), usage(50),
-    ])
-    assert [(t.prompt, t.ident, t.model, t.totals()["input"]) for t in found] == [("first", "1", "m1", 6 + 20), ("second", "2", "m2", 26), ("", "3", "m3", 46)]
-    assert found[1].tools == [{"id": "f", "name": "sh", "input": "{}", "result": "ok"}]
-    count = lambda n: {"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": n, "output_tokens": n}}}}
-    found = folded([item("user", "p"), count(10), count(10), count(25), count(5), count(8), usage(999)], by_record=False)
-    assert found[0].totals()["input"] == 25 + 3

@@ -1,9 +1,8 @@
-"""Keyed state on streams, turns of records, durable publishing."""
+"""Keyed state on streams, durable publishing."""
 
 import json
-import random
 
-from sparkmeter.streaming import publish, state, turns
+from sparkmeter.streaming import publish, state
 
 
 def collected(spark, stream, tmp_path, name):
@@ -41,25 +40,6 @@ def test_totals_never_shrink(spark, tmp_path):
     assert collected(spark, state.session_starts(stream), tmp_path, "starts") == [("s", "b"), ("s", "a")]
 
 
-def test_fold_is_the_same_as_one_by_one(spark):
-    rng = random.Random(3)
-    rows, want = [], []
-    for session in ("a", "b", "c"):
-        folder, own = turns.Folder(True, session), []
-        for n in range(60):
-            role = rng.choice(["user", "assistant", "assistant", "system"])
-            record = {"role": role, "content": f"{session} {n}", "usage": {"input_tokens": n, "output_tokens": 1}, "requestId": str(n // 2)} if role != "user" else {"role": role, "content": f"{session} {n}"}
-            raw = json.dumps(record) if n % 9 else "broken {"
-            rows.append((session, n, raw, True))
-            own += folder.take(record) if n % 9 else []
-        own += folder.end()
-        want += [(session, i, t.prompt, "\n".join(t.parts), t.totals()["input"]) for i, t in enumerate(own, 1)]
-    rng.shuffle(rows)
-    found = turns.fold(spark.createDataFrame(rows, "session string, ord long, raw string, by_record boolean"))
-    assert sorted(tuple(r) for r in found.select("session", "turn", "prompt", "assistant", "input").collect()) == want
-    assert turns.fold(spark.createDataFrame([], "session string, ord long, raw string, by_record boolean")).count() == 0
-
-
 def test_outbox_survives_a_restart(spark, tmp_path):
     schema = publish._OUTBOX
     sent: list[str] = []
