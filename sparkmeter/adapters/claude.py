@@ -82,7 +82,7 @@ def sessions(spark: SparkSession, root: str | list[str]) -> dict[str, DataFrame]
     }
 
 
-def subagents(spark: SparkSession, root: str, segments: DataFrame) -> DataFrame:
+def subagents(spark: SparkSession, root: str | list[str], segments: DataFrame) -> DataFrame:
     """Requests of subagent files, each with the segment that was open when the subagent started (else the last one).
 
     Ids are deduplicated inside one file only: the same request in a parent and in a child counts twice.
@@ -117,7 +117,7 @@ def _start(v: Column) -> Column:
     return F.coalesce(*found)
 
 
-def agent_files(spark: SparkSession, root: str) -> DataFrame:
+def agent_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Metadata files beside the transcripts of subagents: path without its ending, type, description, start."""
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.meta.json").option("wholetext", "true").text(root)
     v = F.try_parse_json(F.make_valid_utf8("value"))
@@ -125,7 +125,7 @@ def agent_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("meta_of", get(F.col("v"), "$.agentType").alias("agent_type"), get(F.col("v"), "$.description").alias("description"), _start(F.col("v")).alias("meta_ts"))
 
 
-def journal_starts(spark: SparkSession, root: str) -> DataFrame:
+def journal_starts(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """The first start recorded in each folder's journal."""
     lines = jsonl.scan(spark, root, recursive=True, name_glob="journal.jsonl").where("object")
     rows = lines.select(F.regexp_extract("path", "^(.*)/", 1).alias("journal_in"), "ord", _start(F.col("v")).alias("found")).where("found is not null")

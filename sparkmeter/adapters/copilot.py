@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,10 +41,16 @@ def sessions(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
     own = rows.where("usage is not null").select(
         "session", "seg_agent", "seg_id", "model", "ts", text.local_day(F.col("ts")).alias("day"), *[F.col(f"usage.{c}").alias(c) for c in COUNTERS], F.lit(1).cast("long").alias("requests")
     )
-    own = own.join(segments.select("session", "seg_agent", "seg_id", "label"), ["session", "seg_agent", "seg_id"], "left").drop("seg_agent", "seg_id")
+    own = own.join(segments.select("session", "seg_agent", "seg_id", "label"), ["session", "seg_agent", "seg_id"], "left")
+    own = own.withColumn("segment", segment_name()).drop("seg_agent", "seg_id")
     return {"requests": own.unionByName(_recovered(rows), allowMissingColumns=True), "segments": segments, "partial": _partial(rows)}
 
 
+def segment_name() -> Column:
+    """A segment's name in its session: its agent (none for the main one) and its number."""
+    return F.concat_ws("#", "seg_agent", "seg_id")
+
+
 def _partial(rows: DataFrame) -> DataFrame:
     """Sessions with calls without valid counters, or with cached tokens of an unknown time to live."""
     lost = (F.col("type") == "assistant.usage") & (F.col("usage").isNull() | copilot_ttl_odd(F.col("data")))

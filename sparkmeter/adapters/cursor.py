@@ -14,7 +14,7 @@ from ..sources import jsonl
 from ..sources.sqlite import SqliteKeyValue
 
 
-def ledger_requests(spark: SparkSession, root: str) -> DataFrame:
+def ledger_requests(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """One request for each generation of the hook ledgers: its first usage-bearing completion, else one without counters."""
     v = F.col("v")
     lines = jsonl.numbered(jsonl.records(jsonl.scan(spark, root, name_glob="*.jsonl")))

@@ -17,7 +17,7 @@ from ..sources import jsonl
 NO_COMMAND = "(no command)"
 
 
-def messages(spark: SparkSession, root: str) -> DataFrame:
+def messages(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Messages of both layouts: path, session, n, v."""
     lines = jsonl.numbered(jsonl.records(jsonl.scan(spark, root, recursive=True, name_glob="*.json*")))
     inner = F.try_variant_get("v", "$.messages", "array<variant>")
@@ -27,7 +27,7 @@ def messages(spark: SparkSession, root: str) -> DataFrame:
     return single.unionByName(listed)
 
 
-def sessions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def sessions(spark: SparkSession, root: str | list[str]) -> dict[str, DataFrame]:
     """``requests``, ``segments`` and ``partial`` (sessions with messages whose counters were never valid)."""
     v = F.col("v")
     rows = messages(spark, root).select("path", "session", "n", get(v, "$.id").alias("id"), get(v, "$.type").alias("type"), get(v, "$.timestamp").alias("ts"), get(v, "$.model").alias("model"), text_of(get(v, "$.content", "variant")).alias("text"), flatten(get(v, "$.tokens", "variant")).alias("usage"))
@@ -50,7 +50,7 @@ MODEL_SETTING = r"(?s)<USER_SETTINGS_CHANGE>\s*The user changed setting `Model S
 STEP_MODEL = "gemini-antigravity"
 
 
-def step_sessions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def step_sessions(spark: SparkSession, root: str | list[str]) -> dict[str, DataFrame]:
     """``requests``, ``segments`` and ``partial`` of step logs: prompts and skills open segments, a changed model holds until the next change.
 
     A step's counters are maxima over its records; steps that never had valid ones make their session partial.

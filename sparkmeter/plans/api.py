@@ -70,24 +70,44 @@ def dollars(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumns({n: F.col(n) / F.lit(1e9) for n in names or ("cost",)})
 
 
-def history(priced: DataFrame, by: str) -> DataFrame:
-    """Rows of a grain, the most expensive first (a range sort): calls, bucket sums, cost, partial flag."""
+def history(priced: DataFrame, by: str, labels: DataFrame | None = None) -> DataFrame:
+    """Rows of a grain, the most expensive first (a range sort): calls, bucket sums, cost, partial flag.
+
+    ``labels`` (session, label, invocations) of the sessions in question, where an index has them: a command's calls are its
+    invocations, with usage or not.
+    """
     if by not in GRAINS:
         raise OptionError(f"no such grain: {by}")
+    if by == "command" and labels is not None:
+        return _with_invocations(rollup.history(priced, "label").drop("calls"), labels).drop("sessions").orderBy(*rollup.history_order())
     calls: Column | None = F.sum("requests") if by == "model" else F.countDistinct("session", "segment") if by == "command" and "segment" in priced.columns else None
     return rollup.history(priced, GRAINS[by], calls).orderBy(*rollup.history_order())
 
 
+def _with_invocations(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows by label with invocations as ``calls`` and ``sessions``; a label that never used a token costs nothing."""
+    counts = labels.groupBy(F.col("label").alias("_label")).agg(F.sum("invocations").cast("long").alias("calls"), F.countDistinct("session").cast("long").alias("sessions"))
+    both = rows.join(counts, F.col("key").eqNullSafe(F.col("_label")), "full_outer")
+    used = F.col("requests").isNotNull()
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("calls", "sessions", *BUCKET)]
+    return both.select(F.coalesce("key", "_label").alias("key"), *zero, F.when(used, F.col("cost")).otherwise(F.lit(0)).cast("long").alias("cost"), F.coalesce("partial", F.lit(False)).alias("partial"))
+
+
 def report(priced: DataFrame, session: str) -> DataFrame:
     """One session: rows by label, by label and model, and the total."""
     return rollup.label_breakdown(priced.where(F.col("session") == session)).where(F.coalesce(F.col("requests"), F.lit(0)) > 0)
 
 
-def top_consumers(priced: DataFrame, by: str = "session", n: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The n most expensive sessions or commands, and how many rows of unknown cost the cut hides."""
+def top_consumers(priced: DataFrame, by: str = "session", n: int = 10, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The n most expensive sessions or commands, and how many rows of unknown cost the cut hides.
+
+    A command's row tells its sessions and, from an index, its invocations as calls; a session's its requests.
+    """
     if by not in ("session", "command"):
         raise OptionError(f"no such grain: {by}")
     rows = rollup.history(priced, GRAINS[by], F.sum("requests"))
+    if by == "command" and labels is not None:
+        rows = _with_invocations(rows.drop("calls"), labels)
     shown = rollup.top(rows, n)
     return shown, rollup.cut_rows(rows, shown)
 
@@ -125,6 +145,13 @@ def session_insights(priced: DataFrame, session: str, budget: float | None = Non
     return rules.in_order(found)
 
 
+def baseline_sessions(priced: DataFrame, session: str, now: datetime | None = None) -> int:
+    """How many other sessions of its project a session is compared with."""
+    mine = priced.where(F.col("session") == session).select("project").distinct()
+    others = window(priced.join(mine, "project", "left_semi"), since_cutoff(f"{BASELINE_DAYS}d", now), exclude=session)
+    return others.where("cost is not null").select("session").distinct().count()
+
+
 def window_insights(priced: DataFrame, middle: str) -> DataFrame:
     """Findings about a window: spend of sessions that began before and from its middle on, the label behind a rise, unpriced models."""
     placed = priced.join(priced.groupBy("session").agg(F.min("ts").alias("_first")), "session").where("_first is not null")

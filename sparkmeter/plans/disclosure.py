@@ -1,125 +1,115 @@
-"""What a result says about itself: measurement levels, footnotes, caveats, partial marks, all-clear lines."""
+"""What a result says about itself.
+
+Everything worth saying is a fact: a kind, how many it concerns out of how many, and the first few names. Facts come from
+frames as rows (``facts_frame``), whatever the size of what they count, and one table of sentences renders them all.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rollup import LEVELS
 
-#: Levels of runtimes that record none themselves; all others are exact by construction.
-DEFAULT_LEVEL = {"cursor": "activity_only"}
-#: Baseline sessions that comparison rules need (fixed value).
-BASELINE_LEAST = 5
-NAMES = {"partial": "partial", "activity_only": "activity-only"}
-ROOTS = {
-    "claude": "readable transcripts folder at",
-    "cursor": "readable Cursor session data (desktop store or hook ledger) at",
-    "codex": "readable Codex sessions at",
-    "gemini": "readable Gemini sessions at",
-    "copilot": "readable Copilot sessions at",
+#: Hosts whose logs hold no token counts unless they say so.
+UNCOUNTED_HOSTS = ("cursor",)
+#: Earlier sessions that a comparison needs (fixed value), and names that a fact carries.
+BASELINE_LEAST, NAMED = 5, 5
+
+
+class Fact(NamedTuple):
+    """Something to tell: its kind, how many, out of how many, and some names."""
+
+    kind: str
+    count: int = 0
+    whole: int = 0
+    names: tuple[str, ...] = ()
+
+
+#: One sentence for each kind, in the order in which they are told.
+SENTENCES = {
+    "no_root": "{names} cannot be listed, so nothing was read.",
+    "unreadable": "Skipped {count} log file(s) that could not be read: {names}.",
+    "no_rate": "{count} model(s) have no price, and costs are without them: {names}.",
+    "partial": "{count} of {whole} session(s) kept only some of their token counts; what is shown is a lower bound.",
+    "activity_only": "{count} of {whole} session(s) kept no token counts; their zeros mean not measured.",
+    "mixed_cost": "{count} row(s) with * hold usage of models without a price and cost more than shown.",
+    "few_sessions": "Only {count} earlier session(s) to compare with, of {whole} that a comparison needs.",
+    "quiet_start": "The first half of the window has {count} session(s) and no cost, so there is no trend to tell.",
+    "empty_window": "The window holds no session.",
+    "clear": "Nothing unusual was found.",
 }
 
 
-def default_level(level: Column, runtime: Column) -> Column:
-    """A session's own level, else its runtime's."""
-    fallback = F.lit("exact")
-    for name, other in DEFAULT_LEVEL.items():
-        fallback = F.when(runtime == name, F.lit(other)).otherwise(fallback)
-    return F.coalesce(level, fallback)
-
-
-def all_unmeasured(rows: DataFrame, by: Sequence[str] = (), level: str = "measurement") -> DataFrame:
-    """Whether every known level of a scope is activity only; one measured session is enough for its numbers to stay."""
-    known = F.coalesce(F.bool_and(F.when(F.col(level).isNotNull(), F.col(level) == "activity_only")), F.lit(False))
-    return rows.groupBy(*by).agg(known.alias("unmeasured"))
-
+def sentences(facts: Iterable[Fact]) -> list[str]:
+    """The facts as text, in a fixed order, each kind once; of more names than a fact carries the rest is counted."""
+    known: dict[str, Fact] = {}
+    for fact in facts:
+        known.setdefault(fact.kind, fact)
+    out = []
+    for kind, sentence in SENTENCES.items():
+        if kind in known:
+            fact = known[kind]
+            more = f" and {fact.count - len(fact.names)} more" if fact.count > len(fact.names) else ""
+            out.append(sentence.format(count=fact.count, whole=fact.whole, names=", ".join(fact.names) + more))
+    return out
 
-def worst(levels: Sequence[str]) -> str:
-    """The least confident of some levels; unknown ones do not count."""
-    return max((x for x in levels if x in LEVELS), key=LEVELS.index, default="exact")
 
+def facts_frame(rows: DataFrame, kind: str, name: str, whole: Column | None = None) -> DataFrame:
+    """One row (kind, count, whole, names) about the distinct names of a frame; none if there are none."""
+    first = rows.select(F.col(name).cast("string").alias("name")).distinct()
+    counted = first.agg(F.count("*").alias("count")).where("count > 0")
+    shown = first.orderBy("name").limit(NAMED).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return counted.join(F.broadcast(shown)).select(F.lit(kind).alias("kind"), "count", F.coalesce(whole if whole is not None else F.lit(None), F.col("count")).cast("long").alias("whole"), "names")
 
-def session_note(level: str, subject: str = "this session") -> str | None:
-    """What a level that is not exact means for a report."""
-    if level == "partial":
-        return f"Measurement: partial. Only some token counts of {subject} were recorded: totals and costs are lower bounds."
-    if level == "activity_only":
-        return f"Measurement: activity-only. No token counts of {subject} were recorded: zero usage means unmeasured, not free."
-    return None
 
+def collected(frame: DataFrame) -> list[Fact]:
+    """Facts of a frame of facts; it has a row for each kind at most."""
+    return [Fact(r["kind"], r["count"], r["whole"], tuple(r["names"] or ())) for r in frame.collect()]
 
-def scan_note(counts: Mapping[str, int]) -> str | None:
-    """The same for many sessions, with how many there are of each level."""
-    parts = [f"{counts[level]} {name}" for level, name in NAMES.items() if counts.get(level)]
-    return f"Measurement: {' and '.join(parts)} session(s). Zero or missing counts mean unmeasured usage, not free usage." if parts else None
 
+def level_facts(levels: Mapping[str, int]) -> list[Fact]:
+    """Facts about sessions by measurement level; exact ones need no word."""
+    whole = sum(levels.values())
+    return [Fact(level, levels[level], whole) for level in LEVELS if level != "exact" and levels.get(level)]
 
-def card(level: str, counts: Mapping[str, int]) -> str:
-    """A level with the share of the sessions that are at it."""
-    whole, own = sum(counts.values()), counts.get(level, 0)
-    if not whole or not own:
-        return level
-    unit = "session" if whole == 1 else "sessions"
-    return f"{level} ({f'all {whole}' if own == whole else f'{own} of {whole}'} {unit})"
 
+def comparison_facts(sessions: int) -> list[Fact]:
+    """Whether a baseline was too small to compare with."""
+    return [Fact("few_sessions", sessions, BASELINE_LEAST)] if sessions < BASELINE_LEAST else []
 
-def once(warnings: Sequence[str]) -> list[str]:
-    """Warnings in order, each once."""
-    return list(dict.fromkeys(warnings))
 
+def window_facts(sessions: int, first_half_sessions: int, first_half_cost: float | None) -> list[Fact]:
+    """Whether a window was empty, or its first half without cost."""
+    if not sessions:
+        return [Fact("empty_window")]
+    return [] if first_half_cost else [Fact("quiet_start", first_half_sessions)]
 
-def footnotes(unpriced: Sequence[str] = (), skipped: Sequence[str] = (), missing_root: str | None = None, runtime: str = "claude", counts: Mapping[str, int] | None = None, warnings: Sequence[str] = (), costs: bool = True) -> list[str]:
-    """Notes under a corpus scan, those that apply: models without a rate, unreadable files, a root that is not there, levels and their warnings."""
-    notes = []
-    if costs and unpriced:
-        notes.append(f"No rates for: {', '.join(sorted(unpriced))}. Costs leave their usage out.")
-    if skipped:
-        notes.append(f"{len(skipped)} file(s) could not be read: {', '.join(sorted(skipped))}")
-    if missing_root:
-        notes.append(f"No {ROOTS.get(runtime, 'readable sessions at')} {missing_root}: nothing was scanned.")
-    if note := scan_note(counts or {}):
-        notes.append(note)
-        if named := once(warnings):
-            notes.append(f"{len(named)} warning(s): {'; '.join(named)}")
-    return notes
 
-
-def partial_note(rows: Sequence[Mapping], kind: str) -> str | None:
-    """How many cost cells carry the mark of a priced subtotal; cells without a cost have none."""
-    n = sum(1 for r in rows if r["partial"] and r["cost"] is not None)
-    return f"{n} {kind}(s) partly priced (marked *): some of their usage ran on models without a rate." if n else None
-
-
-def session_caveat(sessions: int | None) -> str:
-    """Says that the comparison rules could not run, where the baseline is too small."""
-    if sessions is None or sessions >= BASELINE_LEAST:
-        return ""
-    return f"(baseline: {sessions} earlier session(s); comparison rules need {BASELINE_LEAST})"
+def default_level(level: Column, runtime: Column) -> Column:
+    """A session's own level, else what its host can be expected to record."""
+    return F.coalesce(level, F.when(runtime.isin(*UNCOUNTED_HOSTS), "activity_only"), F.lit("exact"))
 
 
-def window_caveat(sessions: int | None, first_half_sessions: int | None, first_half_cost: float | None) -> str:
-    """Says that the trend rules could not run, where the first half of a window holds no spend."""
-    if not sessions or first_half_cost is None or first_half_cost > 0:
-        return ""
-    lacking = "no sessions" if first_half_sessions == 0 else "no spend"
-    return f"(baseline: {lacking} in the first half of the window; trend rules need both halves)"
+def all_unmeasured(rows: DataFrame, by: Sequence[str] = (), level: str = "measurement") -> DataFrame:
+    """Whether a scope has known levels and all of them are activity only; one measured session is enough for its numbers to stay."""
+    measured = F.count_if(F.col(level).isNotNull() & (F.col(level) != "activity_only"))
+    return rows.groupBy(*by).agg(((F.count(level) > 0) & (measured == 0)).alias("unmeasured"))
 
 
-def all_clear(window: bool, sessions: int | None, session: str = "") -> str:
-    """What an empty list of findings says; a window without any session is not an all-clear."""
-    if window and sessions == 0:
-        return "No sessions in the window: nothing was scanned."
-    return f"Nothing stands out. {session}".strip()
+def worst(levels: Iterable[str]) -> str:
+    """The least certain of some levels; unknown words do not count."""
+    return LEVELS[max([0, *[LEVELS.index(x) for x in levels if x in LEVELS]])]
 
 
 def budget_of(value: str | None) -> float | None:
     """A budget from the environment: a finite number over zero, else none."""
     try:
-        budget = float(value) if value else None
+        found = float(value or "nan")
     except ValueError:
         return None
-    return budget if budget is not None and math.isfinite(budget) and budget > 0 else None
+    return found if math.isfinite(found) and found > 0 else None

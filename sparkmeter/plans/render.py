@@ -5,12 +5,14 @@ from __future__ import annotations
 import csv
 import io
 import os
+from collections.abc import Iterable, Mapping, Sequence
 from contextlib import suppress
 
 from pyspark.sql import DataFrame
 
 from ..functions import formats
 from ..operators import agents
+from .disclosure import SENTENCES, Fact, sentences
 
 
 def markdown(rows: DataFrame, title: str, key: str = "key") -> str:
@@ -22,9 +24,9 @@ def markdown(rows: DataFrame, title: str, key: str = "key") -> str:
     return "\n".join(out) + "\n"
 
 
-def report_markdown(priced: DataFrame, session: str, with_agents: bool = False, with_models: bool = False, level: str = "exact") -> str:
-    """One session: a row for each label in report order, its agent types and models below it, the total, and what the level means."""
-    from . import api, disclosure
+def report_markdown(priced: DataFrame, session: str, with_agents: bool = False, with_models: bool = False, facts: Iterable[Fact] = ()) -> str:
+    """One session: a row for each label in report order, its agent types and models below it, the total, and what is to be said about it."""
+    from . import api
 
     found = [r.asDict() for r in api.report(priced, session).collect()]
     labels = sorted((r for r in found if r["grain"] == 1), key=lambda r: (-(r["cost"] or r["output"] * 1000), r["label"]))
@@ -39,8 +41,9 @@ def report_markdown(priced: DataFrame, session: str, with_agents: bool = False,
     for r in labels:
         out += [f"| {r['label']} | {_cells(r)} |", *below[r["label"]]]
     out += [f"| **total** | {_cells(r)} |" for r in found if r["grain"] == 3]
-    notes = [disclosure.session_note(level), disclosure.partial_note(labels, "activity")]
-    return "\n".join([*out, *[x for note in notes if note for x in ("", note)]]) + "\n"
+    marked = sum(1 for r in labels if r["partial"] and r["cost"] is not None)
+    notes = sentences([*facts, *([Fact("mixed_cost", marked, len(labels))] if marked else [])])
+    return "\n".join([*out, *[x for note in notes for x in ("", note)]]) + "\n"
 
 
 def _cells(r: dict) -> str:
@@ -68,20 +71,44 @@ def diff_markdown(rows: DataFrame) -> str:
 
 def findings_markdown(found: DataFrame) -> str:
     lines = [f"- **{r['severity']}** {r['rule']}: {r['subject']} ({r['value']:.2f})" for r in found.collect()]
-    return "\n".join(lines or ["- nothing stands out"]) + "\n"
+    return "\n".join(lines or [f"- {SENTENCES['clear']}"]) + "\n"
 
 
-def dashboard_html(rows: DataFrame, title: str = "Usage") -> str:
-    """One page without outside assets: a bar for each day, a table for each grain; all text is escaped."""
+#: Width of a day's bar, and of a label below it, in pixels.
+BAR, LABEL = 12, 62
+
+
+def _money(nano: int | None) -> str:
+    return formats.usd(None if nano is None else nano / 1e9)
+
+
+def dashboard_html(rows: DataFrame, title: str = "Usage", levels: Mapping[str, int] | None = None, notes: Sequence[str] = ()) -> str:
+    """One page without outside assets: cards, a bar for each day, a table for each grain, notes; all text is escaped.
+
+    Every so many days carry a label below their bar, so that labels never overlap. Where no session recorded tokens,
+    cards show no cost.
+    """
     data = [r.asDict() for r in rows.collect()]
-    days = sorted((r for r in data if r["grain"] == "day"), key=lambda r: r["key"])
-    most = max((r["cost"] or 0 for r in days), default=0) or 1
-    bars = "".join(f'<rect x="{12 * i}" y="{100 - 100 * (r["cost"] or 0) / most:.1f}" width="10" height="{100 * (r["cost"] or 0) / most:.1f}"><title>{formats.escape(r["key"])}</title></rect>' for i, r in enumerate(days))
+    days = sorted((r for r in data if r["grain"] == "day"), key=lambda r: str(r["key"]))
+    known = [r["cost"] for r in days if r["cost"] is not None]
+    most = max(known, default=0) or 1
+    stride = -(-LABEL // BAR)
+    bars = ""
+    for i, r in enumerate(days):
+        height = 100 * (r["cost"] or 0) / most
+        bars += f'<rect x="{BAR * i}" y="{100 - height:.1f}" width="{BAR - 2}" height="{height:.1f}"><title>{formats.escape(str(r["key"]))}: {_money(r["cost"])}</title></rect>'
+        if i % stride == 0:
+            bars += f'<text x="{BAR * i}" y="114" font-size="10">{formats.escape(str(r["key"]))}</text>'
+    whole, blind = sum((levels or {}).values()), (levels or {}).get("activity_only", 0)
+    spent = None if (whole and blind == whole) or not known else sum(known)
+    cards = {"cost": _money(spent), "days": str(len(days)), "sessions": str(whole), **{level: f"{n} of {whole}" for level, n in (levels or {}).items() if level != "exact"}}
+    shown = "".join(f"<div class=card><strong>{formats.escape(value)}</strong> {formats.escape(name)}</div>" for name, value in cards.items())
     tables = ""
     for grain in sorted({r["grain"] for r in data} - {"day"}):
-        body = "".join(f"<tr><td>{formats.escape(r['key'])}</td><td>{formats.usd(None if r['cost'] is None else r['cost'] / 1e9)}</td></tr>" for r in sorted((r for r in data if r["grain"] == grain), key=lambda r: r["rank"]))
+        body = "".join(f"<tr><td>{formats.escape(str(r['key']))}</td><td>{_money(r['cost'])}</td></tr>" for r in sorted((r for r in data if r["grain"] == grain), key=lambda r: r["rank"]))
         tables += f"<h2>{formats.escape(grain)}</h2><table>{body}</table>"
-    return f'<!doctype html><meta charset="utf-8"><title>{formats.escape(title)}</title><h1>{formats.escape(title)}</h1><svg width="{12 * len(days) + 10}" height="100">{bars}</svg>{tables}'
+    told = "".join(f"<p>{formats.escape(note)}</p>" for note in notes)
+    return f'<!doctype html><meta charset="utf-8"><title>{formats.escape(title)}</title><h1>{formats.escape(title)}</h1>{shown}<svg width="{BAR * len(days) + LABEL}" height="118">{bars}</svg>{tables}{told}'
 
 
 def write_atomic(path: str, text: str) -> None:

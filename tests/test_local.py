@@ -51,17 +51,18 @@ def test_runtime_by_content(tmp_path):
     assert discovery.env_values("# c\nexport A = 'x y'\nB=1 # n\nbad line\nC=\"\"") == {"A": "x y", "B": "1", "C": ""}
 
 
-def test_disclosure():
+def test_disclosure(spark):
+    Fact = disclosure.Fact
     assert disclosure.worst(["exact", "other", "partial"]) == "partial" and disclosure.worst([]) == "exact"
-    notes = disclosure.footnotes(["b", "a"], ["f.jsonl"], "/r", "codex", {"exact": 2, "partial": 1, "activity_only": 3}, ["w", "v", "w"])
-    assert notes[0].startswith("No rates for: a, b") and "1 file(s)" in notes[1] and "Codex" in notes[2] and "1 partial and 3 activity-only" in notes[3] and notes[4] == "2 warning(s): w; v"
-    assert disclosure.footnotes(["a"], costs=False) == [] and disclosure.session_note("exact") is None and "lower bounds" in disclosure.session_note("partial")
-    assert disclosure.card("partial", {"partial": 1, "exact": 2}) == "partial (1 of 3 sessions)" and disclosure.card("partial", {"partial": 1}) == "partial (all 1 session)"
-    assert disclosure.session_caveat(3).startswith("(baseline: 3") and not disclosure.session_caveat(5) and not disclosure.session_caveat(None)
-    assert "no sessions" in disclosure.window_caveat(4, 0, 0.0) and "no spend" in disclosure.window_caveat(4, 2, 0.0) and not disclosure.window_caveat(4, 2, 0.001)
-    assert disclosure.all_clear(True, 0).startswith("No sessions") and disclosure.all_clear(False, 0, "(s)") == "Nothing stands out. (s)"
+    told = disclosure.sentences([*disclosure.level_facts({"exact": 2, "partial": 1, "activity_only": 3}), Fact("unreadable", 7, 7, ("a", "b")), Fact("partial", 9, 9)])
+    assert told[0].endswith("a, b and 5 more.") and told[1].startswith("1 of 6") and told[2].startswith("3 of 6") and len(told) == 3
+    assert disclosure.level_facts({"exact": 4}) == [] and disclosure.sentences([]) == []
+    assert disclosure.comparison_facts(3) == [Fact("few_sessions", 3, 5)] and disclosure.comparison_facts(5) == []
+    assert disclosure.window_facts(0, 0, None) == [Fact("empty_window")] and disclosure.window_facts(4, 0, 0.0) == [Fact("quiet_start")] and disclosure.window_facts(4, 2, 0.001) == []
     assert [disclosure.budget_of(x) for x in (None, "x", "nan", "0", "-1", "inf", "2.5")] == [None] * 6 + [2.5]
-    assert disclosure.partial_note([{"partial": True, "cost": 1}, {"partial": True, "cost": None}], "row").startswith("1 row(s)")
+    rows = spark.createDataFrame([(f"m{i % 9}",) for i in range(30)], "model string")
+    assert disclosure.collected(disclosure.facts_frame(rows, "no_rate", "model")) == [Fact("no_rate", 9, 9, ("m0", "m1", "m2", "m3", "m4"))]
+    assert disclosure.collected(disclosure.facts_frame(rows.where("model = 'x'"), "no_rate", "model")) == []
 
 
 def test_tool_arguments():
