@@ -38,6 +38,14 @@ def price_fingerprint(layers: Sequence[str]) -> str:
     return hashlib.sha256("\0".join(layers).encode()).hexdigest()
 
 
+def changed(sources: DataFrame, known: DataFrame, fingerprint: str) -> DataFrame:
+    """Sources (path, size, mtime, family) of the families to read: those with a file that no known row of this version and price list matches, or of which a known file is gone."""
+    now = known.where((F.col("version") == VERSION) & (F.col("prices") == fingerprint))
+    fresh = sources.join(now, ["path", "size", "mtime"], "left_anti").select("family")
+    gone = known.join(sources, "path", "left_anti").select("family")
+    return sources.join(fresh.union(gone).distinct(), "family", "left_semi")
+
+
 class Refreshed(NamedTuple):
     """What a refresh did: files that were read, families that they make, all files there are."""
 
@@ -97,14 +105,12 @@ class Index:
         return counts
 
     def changed(self, listing: DataFrame, fingerprint: str) -> DataFrame:
-        """Families (family, bucket) to read: with a file that is new, different or gone, of another version or price list, or in a bucket that was left half-written."""
-        known = self.table("sources").where((F.col("version") == VERSION) & (F.col("prices") == fingerprint))
+        """Families (family, bucket) to write anew: those to read, those of which all files are gone, those in a bucket that was left half-written."""
+        known = self.table("sources")
         broken = self._marked()
-        if broken:
-            known = known.where(~F.col("bucket").isin(broken))
-        fresh = listing.join(known, ["path", "size", "mtime"], "left_anti").select("family", "bucket")
-        gone = self.table("sources").join(listing, "path", "left_anti").select("family", "bucket")
-        return fresh.union(gone).distinct()
+        sound = known.where(~F.col("bucket").isin(broken)) if broken else known
+        gone = known.join(listing, "family", "left_anti").select("family", "bucket")
+        return changed(listing, sound, fingerprint).select("family", "bucket").union(gone).distinct()
 
     def _tables(self, root: str, paths: list[str] | None, prices: DataFrame, wanted: DataFrame) -> dict[str, DataFrame]:
         """Rows of the changed families."""
