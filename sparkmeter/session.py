@@ -8,6 +8,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",  # day buckets are local days of this zone
     "spark.sql.variant.allowDuplicateKeys": "true",  # the last of repeated JSON keys wins
     "spark.sql.python.filterPushdown.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",  # maps in the state, and state beyond memory
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -34,6 +34,21 @@ def append_event(path: Path, event: dict) -> bool:
     return True
 
 
+#: Bytes from which an event log is closed.
+ROLL_BYTES = 8 << 20
+
+
+def close_log(path: Path, folder: Path, least: int = ROLL_BYTES) -> Path | None:
+    """Move an event log of at least so many bytes into a folder of closed logs, which a stream reads; the next event begins a new one."""
+    try:
+        if path.stat().st_size < least:
+            return None
+        folder.mkdir(parents=True, exist_ok=True)
+        return path.rename(folder / f"{time.time_ns()}-{os.getpid()}.jsonl")
+    except OSError:
+        return None
+
+
 def notified_before(ledger: Path) -> int:
     """The budget multiple that a ledger says was announced; older ledgers hold a flag only."""
     try:

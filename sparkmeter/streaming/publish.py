@@ -7,9 +7,10 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .store import Versions
 
 #: Answers that count as delivered besides 2xx: the other side has it already.
 CONFLICT = 409
@@ -61,37 +62,85 @@ class Publisher:
 
 
 _OUTBOX = "created_at string, source_id string, endpoint string, session string, mutable boolean, turn long, stage long, revision long, body string"
-_DELIVERED = "source_id string, endpoint string, content_hash string, session string, turn long, stage long, revision long"
+_LINE = f"{_OUTBOX}, content_hash string"
+_DELIVERED = "source_id string, endpoint string, content_hash string, session string, turn long, stage long, revision long, bucket int"
+#: Buckets that what was delivered is dealt into by session, and delta files of a bucket from which they are merged.
+BUCKETS, DELTAS = 64, 16
 
 
-def _table(spark, path: str, schema: str) -> DataFrame:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+def canonical_hash(body: Column) -> Column:
+    """Hash of a JSON text whatever the order of its keys and its white space; a text that is no JSON is hashed as it is."""
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(body)), body), 256)
 
 
 def pending(outbox: DataFrame, delivered: DataFrame) -> DataFrame:
-    """What is still to be sent: no content twice, and of mutable endpoints no version older than one that was delivered or is newer in line."""
+    """What is still to be sent.
+
+    No content twice; of one source at one endpoint the newest version only; and of mutable endpoints nothing that is older than what
+    was delivered of its session. What waits in line never holds back other turns of its session.
+    """
     version = F.struct("turn", "stage", "revision")
-    rows = outbox.withColumn("content_hash", F.sha2("body", 256)).dropDuplicates(["source_id", "endpoint", "content_hash"])
-    newest = delivered.groupBy("session", "endpoint").agg(F.max(version).alias("_seen"))
-    rows = rows.join(delivered.select("source_id", "endpoint", "content_hash"), ["source_id", "endpoint", "content_hash"], "left_anti").join(newest, ["session", "endpoint"], "left")
-    last = F.max(version).over(Window.partitionBy("session", "endpoint"))
-    stale = F.col("mutable") & ((version < F.coalesce("_seen", version)) | (version < F.col("_last")))
-    return rows.withColumn("_last", last).where(~stale).drop("_seen", "_last")
+    rows = outbox.withColumn("content_hash", canonical_hash(F.col("body")))
+    rows = rows.join(delivered.select("source_id", "endpoint", "content_hash").distinct(), ["source_id", "endpoint", "content_hash"], "left_anti")
+    named = [c for c in rows.columns if c not in ("source_id", "endpoint")]
+    newest = F.max_by(F.struct(*named), F.struct("turn", "stage", "revision", "created_at", "content_hash")).alias("newest")
+    rows = rows.groupBy("source_id", "endpoint").agg(newest).select("source_id", "endpoint", "newest.*")
+    seen = delivered.groupBy("session", "endpoint").agg(F.max(version).alias("_seen"))
+    rows = rows.join(seen, ["session", "endpoint"], "left")
+    stale = F.col("mutable") & F.coalesce(version < F.col("_seen"), F.lit(False))
+    return rows.where(~stale).select(*outbox.columns, "content_hash")
+
+
+class Outbox:
+    """A durable outbox under a folder that all executors share.
+
+    * ``line/v=N``: what waits after batch N, and nothing else: a batch reads the last of these, whatever was sent before.
+    * ``delivered/bucket=B``: what went, by a hash of the session. A batch reads the buckets of its own sessions; the
+      small files that batches add to a bucket are merged when there are ``DELTAS`` of them.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.line = Versions(spark, f"{self.folder}/line", _LINE)
+
+    def delivered(self, buckets: list[int] | None = None) -> DataFrame:
+        """What was delivered, of some buckets or of all."""
+        if not self.line.names(f"{self.folder}/delivered"):
+            return self.spark.createDataFrame([], _DELIVERED)
+        rows = self.spark.read.schema(_DELIVERED).parquet(f"{self.folder}/delivered")
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+    def put(self, rows: DataFrame, number: int) -> DataFrame:
+        """The line after a batch came in; of a batch that is repeated the same."""
+        waiting = self.line.read(number).drop("content_hash").unionByName(rows)
+        buckets = sorted(r[0] for r in waiting.select(_bucket()).distinct().collect())  # BUCKETS at most
+        return self.line.write(pending(waiting, self.delivered(buckets)), number)
+
+    def sent(self, rows: list[tuple]) -> None:
+        """Note what was delivered; buckets with many small files are merged."""
+        frame = self.spark.createDataFrame(rows, _DELIVERED.replace(", bucket int", "")).withColumn("bucket", _bucket())
+        frame.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/delivered")
+        touched = sorted(r["bucket"] for r in frame.select("bucket").distinct().collect())
+        full = [b for b in touched if sum(n.startswith("part-") for n in self.line.names(f"{self.folder}/delivered/bucket={b}")) >= DELTAS]
+        if full:
+            merged = self.delivered(full).distinct().repartition("bucket")
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/delivered")
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("session"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
 def publish_batch(folder: str, post: Callable[[str, dict], int], limit: int = 1000) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function with a durable outbox: both tables are Parquet under ``folder``, so nothing is lost or sent twice after a restart.
+    """A ``foreachBatch`` function over an ``Outbox``: nothing is lost, and after a restart nothing that was delivered is sent again.
 
-    A batch is stored under its number before anything is sent, so that a repeated batch changes nothing. Entries go
-    in order of time and source, ``limit`` of them at most at once; the first failure ends the batch, the rest waits.
+    A batch joins the line before anything is sent, so that a repeated batch changes nothing. Entries go in order of
+    time and source, ``limit`` of them at most at once; the first failure ends the batch, the rest waits.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/outbox/batch={number}")
-        left = pending(_table(spark, f"{folder}/outbox", _OUTBOX), _table(spark, f"{folder}/delivered", _DELIVERED))
+        outbox = Outbox(batch.sparkSession, folder)
+        left = outbox.put(batch, number)
         sent = []
         for row in left.orderBy("created_at", "source_id", "endpoint").limit(limit).collect():  # bounded by the limit
             try:
@@ -100,8 +149,8 @@ def publish_batch(folder: str, post: Callable[[str, dict], int], limit: int = 10
                 break
             if not (200 <= status < 300 or status == CONFLICT):
                 break
-            sent.append(tuple(row[c.split()[0]] for c in _DELIVERED.split(", ")))
+            sent.append(tuple(row[c.split()[0]] for c in _DELIVERED.split(", ")[:-1]))
         if sent:
-            spark.createDataFrame(sent, _DELIVERED).coalesce(1).write.mode("append").parquet(f"{folder}/delivered")
+            outbox.sent(sent)
 
     return run

@@ -89,6 +89,8 @@ def test_hook_ledger_and_nudge(tmp_path):
     assert hooks.stop(blocked, "s", "claude", rows, 2.0) and not hooks.append_event(blocked / "log", {"a": 1})
     log = tmp_path / "events" / "e.jsonl"
     assert hooks.append_event(log, {"a": 1}) and hooks.append_event(log, {"b": "ü"}) and log.read_text(encoding="utf-8") == '{"a":1}\n{"b":"ü"}\n'
+    assert hooks.close_log(log, tmp_path / "closed") is None and hooks.close_log(tmp_path / "none", tmp_path / "closed", 0) is None
+    assert hooks.close_log(log, tmp_path / "closed", 5).parent == tmp_path / "closed" and not log.exists() and hooks.append_event(log, {"c": 1})
 
 
 def test_live_view():
