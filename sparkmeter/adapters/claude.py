@@ -54,30 +54,39 @@ def _slots(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.explode(events).alias("event")).select(*[c for c in rows.columns if c not in ("skills", "human", "tag", "type")], "event.*")
 
 
+def _first_of_each(events: DataFrame) -> DataFrame:
+    """Each request, skill use and prompt of a file once, where it stands first: counters are maxima over the records of a request.
+
+    One aggregation with map-side combine does for requests and skill uses alike what a window would do one by one.
+    """
+    by_use = F.coalesce("use_id", F.concat_ws(":", "request_id", "name"))
+    alone = F.concat(F.lit("#"), F.col("ord").cast("string"))
+    key = F.when(F.col("kind") == "skill", by_use).when(F.col("kind") == "usage", F.coalesce("request_id", alone)).otherwise(alone)
+    first = F.min(F.struct("ord", "slot", "name", "model", "ts", F.when(F.col("kind") == "prompt", F.col("prompt")).alias("prompt"))).alias("first")
+    found = events.groupBy("path", "kind", key.alias("key")).agg(first, *[F.max(F.coalesce(F.col(f"usage.{c}"), F.lit(0))).cast("long").alias(c) for c in COUNTERS])
+    return found.select("path", "kind", "key", "first.*", *COUNTERS)
+
+
 def sessions(spark: SparkSession, root: str | list[str]) -> dict[str, DataFrame]:
     """``requests``, ``segments``, ``starts`` (first record with a time) and ``files`` of all transcripts under ``root`` (``project/session.jsonl``), or of the files of a list."""
     lines = jsonl.scan(spark, f"{root}/*/*.jsonl" if isinstance(root, str) else root)
-    rows = _fields(jsonl.records(lines)).repartition("path")  # one exchange of narrow rows; all windows and the dedupe are within a file
+    rows = _fields(jsonl.records(lines))
     session, project = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("session"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("project")
-    events = _slots(rows)
-    use = F.coalesce("use_id", F.concat_ws(":", "request_id", "name"))
-    again = F.row_number().over(Window.partitionBy("path", "kind", use).orderBy("ord", "slot")) > 1
-    marker = ((F.col("kind") == "skill") & ~again) | ((F.col("kind") == "prompt") & F.col("name").isNotNull())
-    events = events.withColumn("marker", marker)
-    events = sticky_segments(events, ["path"], ["ord", "slot"], F.col("marker"), (F.col("kind") != "skill") | F.col("marker"))
-    named = F.last(F.when(F.col("marker"), F.col("name")), ignorenulls=True).over(running(["path"], ["ord", "slot"]))
+    events = _first_of_each(_slots(rows))
+    marker = (F.col("kind") == "skill") | ((F.col("kind") == "prompt") & F.col("name").isNotNull())
+    events = sticky_segments(events, ["path"], ["ord", "slot"], marker, F.lit(True))
+    named = F.last(F.when(marker, F.col("name")), ignorenulls=True).over(running(["path"], ["ord", "slot"]))
     events = events.withColumn("label", F.coalesce(named, F.lit(NO_COMMAND)))
     at = F.struct("ord", "slot")
     segments = events.where("seg_id > 0").groupBy("path", "seg_id").agg(
         F.min_by("label", at).alias("label"), F.min_by("ts", at).alias("start_ts"), F.min_by("prompt", F.when((F.col("kind") == "prompt") & (F.col("label") == NO_COMMAND), F.col("ord"))).alias("prompt")
     )
-    bearing = events.where("kind = 'usage'").select(
-        "path", F.col("seg_id").alias("segment"), "label", "model", "ts", text.local_day(F.col("ts")).alias("day"), "request_id", "ord", *[F.col(f"usage.{c}").alias(c) for c in COUNTERS]
+    requests = events.where("kind = 'usage'").select(
+        project, session, "path", F.col("key").alias("request_key"), *COUNTERS, F.col("seg_id").alias("segment"), "label", "model", text.local_day(F.col("ts")).alias("day"), "ts", "ord", F.lit(1).cast("long").alias("requests")
     )
-    requests = dedupe_requests(bearing, ["path"], first=["segment", "label", "model", "day", "ts"], dealt=True)
     starts = rows.groupBy("path").agg(F.min(F.nullif("ts", F.lit(""))).alias("first_ts"))
     return {
-        "requests": requests.select(project, session, *requests.columns), "segments": segments.select(project, session, *segments.columns),
+        "requests": requests, "segments": segments.select(project, session, *segments.columns),
         "starts": starts.select(project, session, "first_ts"), "files": jsonl.file_status(lines),
     }
 
