@@ -52,6 +52,40 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     return inner.select("node", F.when(F.col("_inner").isNull(), F.col("root")).alias("root"))
 
 
+def id_edges(rows: DataFrame, node: str, parent: str) -> DataFrame:
+    """Edges (parent, child) of rows that name their parent, where the parent is one of the rows."""
+    edges = rows.where(F.col(parent).isNotNull()).select(F.col(parent).alias("parent"), F.col(node).alias("child"))
+    return edges.join(rows.select(F.col(node).alias("parent")).distinct(), "parent", "left_semi").distinct()
+
+
+def folder_edges(rows: DataFrame, node: str, folder: str) -> DataFrame:
+    """Edges (parent, child) from the row that owns the nearest folder above a row's own: an equality join over the few folders above, no pairs."""
+    parts = F.split(folder, "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    inside = rows.where(F.col(folder).isNotNull()).select(F.col(node).alias("child"), F.explode(above).alias("above"))
+    owners = rows.where(F.col(folder).isNotNull()).select(F.col(node).alias("parent"), F.col(folder).alias("above"))
+    met = inside.join(owners, "above").where("parent <> child")
+    return met.groupBy("child").agg(F.max_by("parent", F.struct(F.length("above"), "parent")).alias("parent")).select("parent", "child")
+
+
+def descendants(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every (root, node) with node below root, and how deep; edges of any kind (parent, child), cycles are gone round once.
+
+    ``WITH RECURSIVE`` of Spark has no ``UNION`` that drops what was met, so each round joins the last round's nodes only and leaves
+    out known ones. Rounds are as many as the longest shortest way; they are written to the checkpoint folder where the session names one.
+    """
+    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
+    edges = keep(edges.distinct())
+    last = keep(roots.select("root").distinct().join(edges, F.col("root") == F.col("parent")).select("root", F.col("child").alias("node"), F.lit(1).cast("long").alias("depth")).dropDuplicates(["root", "node"]))
+    found = last
+    while not last.isEmpty():
+        ahead = last.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth")).dropDuplicates(["root", "node"])
+        last = keep(ahead.join(found.select("root", "node"), ["root", "node"], "left_anti"))
+        found = found.unionByName(last)
+    return found
+
+
 def orphans(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
     """Rows whose key no other table knows."""
     return rows.join(known.select(F.col(known_key).alias("_known")).distinct(), F.col(key) == F.col("_known"), "left_anti")
