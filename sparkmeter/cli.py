@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .functions import formats
 from .operators import pricing
-from .plans import api, corpus, disclosure, render, tools
+from .plans import api, corpus, disclosure, render, sync, tools
 from .plans.disclosure import Fact
 from .session import session as start
 from .sources import discovery
@@ -146,6 +146,9 @@ def parser() -> argparse.ArgumentParser:
     export.add_argument("--session")
     export.add_argument("--out", help="folder that the records are written to")
     commands.add_parser("dashboard").add_argument("out")
+    send = commands.add_parser("sync", help="send the turns of the logs")
+    send.add_argument("url")
+    send.add_argument("--outbox", required=True, help="folder of what waits and what was delivered")
     tool = commands.add_parser("tool")
     tool.add_argument("name", choices=sorted(tools.TOOLS))
     tool.add_argument("arguments", nargs="?", default="{}", help="JSON object")
@@ -167,6 +170,10 @@ def parts(arguments: list[str], spark: SparkSession | None = None) -> Iterator[s
     if missing := discovery.unreadable_root(Path(options.root)):
         yield disclosure.sentences([Fact("no_root", 1, 1, (missing,))])[0] + "\n"
         return
+    if options.command == "sync":
+        left = sync.sync(spark or start(), options.root, options.outbox, sync.poster(options.url))
+        yield f"{left} turn(s) wait\n" if left else "all turns were delivered\n"
+        return
     logs = Logs(spark or start(), options)
     priced = logs.priced(options.since, options.project)
     yield from COMMANDS[options.command](logs, priced, options)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import durable
 from .segments import running
 
 
@@ -35,15 +36,14 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """Root of every child by pointer doubling: the number of joins grows with the logarithm of the depth.
 
     A node that is in a cycle, or hangs from one, has no root: its ``root`` is null. Rounds are written to the
-    checkpoint folder where the session names one.
+    checkpoint folder.
     """
     now = edges.select(F.col(child).alias("node"), F.col(parent).alias("root"))
-    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     left, moved = edges.count(), True
     while moved and left:
         up = now.select(F.col("node").alias("_n"), F.col("root").alias("_up"))
         after = now.join(up, now["root"] == up["_n"], "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
-        after = after.checkpoint() if reliable else after.persist()
+        after = durable(after)
         moved = not after.where("_moved").isEmpty()
         now, left = after.select("node", "root"), left // 2  # after as many doublings no path is longer than all edges
     if not moved:
@@ -72,16 +72,14 @@ def descendants(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Every (root, node) with node below root, and how deep; edges of any kind (parent, child), cycles are gone round once.
 
     ``WITH RECURSIVE`` of Spark has no ``UNION`` that drops what was met, so each round joins the last round's nodes only and leaves
-    out known ones. Rounds are as many as the longest shortest way; they are written to the checkpoint folder where the session names one.
+    out known ones. Rounds are as many as the longest shortest way; they are written to the checkpoint folder.
     """
-    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
-    edges = keep(edges.distinct())
-    last = keep(roots.select("root").distinct().join(edges, F.col("root") == F.col("parent")).select("root", F.col("child").alias("node"), F.lit(1).cast("long").alias("depth")).dropDuplicates(["root", "node"]))
+    edges = durable(edges.distinct())
+    last = durable(roots.select("root").distinct().join(edges, F.col("root") == F.col("parent")).select("root", F.col("child").alias("node"), F.lit(1).cast("long").alias("depth")).dropDuplicates(["root", "node"]))
     found = last
     while not last.isEmpty():
         ahead = last.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth")).dropDuplicates(["root", "node"])
-        last = keep(ahead.join(found.select("root", "node"), ["root", "node"], "left_anti"))
+        last = durable(ahead.join(found.select("root", "node"), ["root", "node"], "left_anti"))
         found = found.unionByName(last)
     return found
 

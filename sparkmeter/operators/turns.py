@@ -9,6 +9,8 @@ Events are rows of a sequence (``scope``, ``ord``) with a kind:
 * ``total`` is a cumulative count: its rise since the last one is usage, a fall begins anew and is none.
 
 Usage before the first prompt, with no answer before it, is the first turn's.
+
+Each pass joins the rows with what their chunks inherit, so rows are written to the checkpoint folder between passes.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .bridge import COUNTERS
 from .joins import match_results
 from .scan import prefix
@@ -26,18 +29,19 @@ def placed(events: DataFrame, scope: list[str], chunk: str = "chunk", order: str
     kind = F.col("kind")
     context, total = kind == "context", kind == "total"
     own = F.struct(*COUNTERS)
+    events = durable(events)
     rows = prefix(
         events, scope, [order], chunk, {"_seg": kind == "prompt", "_said": kind == "answer"},
         {"_ident": F.when(context, F.nullif("ident", F.lit(""))), "_model": F.when(context, F.nullif("model", F.lit(""))), "_total": F.when(total, own)},
     )
     opens = kind == "prompt"
     announced = F.struct(F.coalesce("_ident", F.lit("")).alias("ident"), F.coalesce("_model", F.lit("")).alias("model"))
-    rows = prefix(rows, scope, [order], chunk, lasts={"_turn": F.when(opens, announced)})
+    rows = prefix(durable(rows), scope, [order], chunk, lasts={"_turn": F.when(opens, announced)})
     rows = rows.withColumn("_turn", F.when(opens, announced).otherwise(F.col("_turn")))
     has_content = (F.col("_seg") > 0) | (F.col("_said") > 0)
     named = F.coalesce("ident", F.lit(""))
     ahead = context & has_content & ((named == "") | (named != F.coalesce("_turn.ident", F.lit(""))))
-    rows = prefix(rows, [*scope, "_seg"], [order], chunk, {"_ahead": ahead})
+    rows = durable(prefix(durable(rows), [*scope, "_seg"], [order], chunk, {"_ahead": ahead}))
     fell, rise = F.lit(False), []
     for c in COUNTERS:
         before = F.coalesce(F.col(f"_total.{c}"), F.lit(0))
@@ -56,7 +60,7 @@ def fold(events: DataFrame, scope: list[str], chunk: str = "chunk", order: str =
 
     Events: ``scope``, order, chunk, kind, ident (call id of calls and results), name, model, ts, text, request and the counters.
     """
-    rows = placed(events, scope, chunk, order)
+    rows = durable(placed(events, scope, chunk, order))
     key = [*scope, "turn"]
     kind, at = F.col("kind"), F.col(order)
     answers = F.array_sort(F.collect_list(F.when((kind == "answer") & (F.length("text") > 0), F.struct(at.alias("o"), F.col("text").alias("t")))))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",  # day buckets are local days of this zone
@@ -21,3 +23,16 @@ def session(app: str = "sparkmeter", **more: str) -> SparkSession:
     for key, value in (SETTINGS | {k.replace("_", "."): v for k, v in more.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def durable(rows: DataFrame) -> DataFrame:
+    """Rows written to the checkpoint folder, so that what is built on them computes them once and a lost executor costs its tasks only.
+
+    The folder is the session's; only on a local master one of this machine takes its place where none is named.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkmeter-checkpoints-"))
+    return rows.checkpoint()

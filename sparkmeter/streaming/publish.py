@@ -116,6 +116,10 @@ class Outbox:
         buckets = sorted(r[0] for r in waiting.select(_bucket()).distinct().collect())  # BUCKETS at most
         return self.line.write(pending(waiting, self.delivered(buckets)), number)
 
+    def waiting(self, number: int) -> int:
+        """How many entries of a batch's line were not delivered."""
+        return self.line.read(number + 1).join(self.delivered(), ["source_id", "endpoint", "content_hash"], "left_anti").count()
+
     def sent(self, rows: list[tuple]) -> None:
         """Note what was delivered; buckets with many small files are merged."""
         frame = self.spark.createDataFrame(rows, _DELIVERED.replace(", bucket int", "")).withColumn("bucket", _bucket())

@@ -1,5 +1,6 @@
 """Turns by running values against one record after the other."""
 
+import json
 import random
 
 import pytest
@@ -92,3 +93,36 @@ def test_prefix_takes_null_scopes_and_spreads_a_sequence(spark):
         assert r["n"] == r["id"] // 2 + 1
         want = [i for i in range(r["id"]) if i % 2 == r["id"] % 2 and i % 10 < 2]
         assert r["before"] == (want[-1] if want else None)
+
+
+def test_sync_sends_each_turn_once(spark, tmp_path):
+    from sparkmeter.plans import sync
+
+    logs, box, sent = tmp_path / "logs" / "p", str(tmp_path / "box"), []
+    logs.mkdir(parents=True)
+
+    def say(role, content, **more):
+        return {"type": role, "timestamp": f"2026-01-05T10:00:{len(rows):02}Z", "message": {"role": role, "content": content, **more}}
+
+    rows: list = []
+    rows.append(say("user", "do it"))
+    rows.append(say("assistant", [{"type": "text", "text": "one"}, {"type": "tool_use", "id": "c1", "name": "read"}], model="m", usage={"input_tokens": 5, "output_tokens": 1, "cache_read_input_tokens": 2}) | {"requestId": "r"})
+    rows.append(say("assistant", [{"type": "text", "text": "two"}], usage={"input_tokens": 9, "output_tokens": 1}) | {"requestId": "r"})
+    rows.append(say("user", [{"type": "tool_result", "tool_use_id": "c1", "content": "done"}]))
+    item = lambda role, said: {"type": "response_item", "payload": {"type": "message", "role": role, "content": said}}
+    usage = lambda n, **more: {"type": "token_usage_record", "payload": {"usage": {"input_tokens": n, "output_tokens": 1, "cached_input_tokens": 4}, **more}}
+    context = lambda ident, model: {"type": "turn_context", "payload": {"turn_id": ident, "model": model}}
+    other = [
+        {"type": "session_meta", "payload": {"id": "me"}}, context("1", "m1"), usage(10), item("user", "first"), item("assistant", "a"), usage(20, response_id="x"), usage(24, response_id="x"), usage(99, thread_id="them"),
+        context("2", "m2"), usage(30, thread_id="me"), item("user", "second"), {"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": 500, "output_tokens": 1}}}},
+    ]
+    put = lambda: ((logs / "s.jsonl").write_text("\n".join(map(json.dumps, rows)) + '\n{"cut'), (logs / "t.jsonl").write_text("\n".join(map(json.dumps, other))))
+    put()
+    assert sync.sync(spark, str(tmp_path / "logs"), box, lambda endpoint, body: sent.append(body) or 200) == 0
+    found = {(b["session"], b["turn"]): (b["prompt"], b["assistant"], b["usage"]["input"], b["usage"]["cache_read"], b["tools"]["answered"]) for b in sent}
+    assert found == {("s", 1): ("do it", "one\ntwo", 9, 2, 1), ("me", 1): ("first", "a", 6 + 20, 8, 0), ("me", 2): ("second", "", 26, 4, 0)}
+    assert sync.sync(spark, str(tmp_path / "logs"), box, lambda endpoint, body: sent.append(body) or 200) == 0 and len(sent) == 3
+    rows.append(say("user", "and on"))
+    put()
+    assert sync.sync(spark, str(tmp_path / "logs"), box, lambda endpoint, body: 500) == 1
+    assert sync.sync(spark, str(tmp_path / "logs"), box, lambda endpoint, body: sent.append(body) or 409) == 0 and sent[-1]["prompt"] == "and on" and len(sent) == 4
