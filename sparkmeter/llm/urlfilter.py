@@ -10,7 +10,7 @@ above the method.
 
 Pages are aggregated to (host, lexical template) with map-side combine before anything else, so a host with
 a third of all pages is a few rows from there on; counts cover all pages and all labels. Paths of any depth are
-followed to their end: a path that is alone at its node is done there, so levels go on only as long as paths share one.
+followed to their end: a path that is alone at its node is done there, and a chain of nodes with one child each is passed in one step, so there are as many rounds as branchings on a way.
 
 Results for odd input: a null url and a url without ``://`` have empty host and path, hence the template of
 the empty host; a null page id keeps its row and has no label; repeated pages each give a row; several labels
@@ -57,6 +57,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return name, verdict
 
 
+def _joined(segments: Column) -> Column:
+    """Segments as a path, each with a slash before it."""
+    return F.array_join(F.transform(segments, lambda x: F.concat(F.lit("/"), x)), "")
+
+
 def templates(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", label_id: str = "doc_id") -> DataFrame:
     """One row for each host and lexical template: its final template, bad share and verdict.
 
@@ -71,14 +76,21 @@ def templates(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", labe
     base = saved(counted)
     total = base.agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).first()
     prior = (total["bad"] or 0) / total["lab"] if total["lab"] else 0.0
-    level, active, done = 0, base.withColumn("prefix", F.lit("")), []
+    active, tables, done = base.withColumns({"prefix": F.lit(""), "depth": F.lit(0)}), [base], []
     while True:
-        rest = F.array_join(F.transform(F.slice("lex", level + 1, F.greatest(F.size("lex") - level, F.lit(0))), lambda x: F.concat(F.lit("/"), x)), "")
-        paths = active.groupBy("host", "prefix").agg(F.count("*").alias("paths"))
-        active = saved(active.join(paths, ["host", "prefix"]).withColumn("open", (F.col("paths") > 1) & (F.size("lex") > level)))
+        # what all paths of a node share goes on in one step: a node with one child keeps its segment as it is
+        rest = F.expr("slice(lex, depth + 1, greatest(size(lex) - depth, 0))")
+        nodes = active.groupBy("host", "prefix").agg(F.count("*").alias("paths"), F.min(rest).alias("low"), F.max(rest).alias("high"))
+        alike = F.zip_with("low", F.expr("slice(high, 1, size(low))"), lambda x, y: F.coalesce(x == y, F.lit(False)))
+        first = F.array_position(alike, False)
+        shared = F.when(F.col("paths") > 1, F.when(first > 0, first - 1).otherwise(F.size(alike))).otherwise(0).cast("int")
+        active = active.join(nodes, ["host", "prefix"]).withColumn("shared", shared)
+        active = active.withColumn("prefix", F.concat("prefix", _joined(F.expr("slice(lex, depth + 1, shared)")))).withColumn("depth", F.col("depth") + F.col("shared"))
+        active = saved(active.withColumn("open", (F.col("paths") > 1) & (F.size("lex") > F.col("depth"))).drop("low", "high", "shared"))
+        tables.append(active)
         ends = active.where("not open")  # at its end, or alone at its node: the segments that are left stay as they are
-        done.append(ends.select("host", "lex", "n", "lab", "bad", F.concat("prefix", rest).alias("template")))
-        now = active.where("open").withColumn("seg", F.element_at("lex", level + 1))
+        done.append(ends.select("host", "lex", "n", "lab", "bad", F.concat("prefix", _joined(rest)).alias("template")))
+        now = active.where("open").withColumn("seg", F.expr("element_at(lex, depth + 1)"))
         if now.isEmpty():
             break
         child = now.groupBy("host", "prefix", "seg").agg(*sums)
@@ -90,13 +102,13 @@ def templates(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", labe
         variable = (F.col("k") > MANY) & (F.col("p_n") < F.col("k") * SUPPORT)
         wide = (F.col("k") > 1) & (alike | variable | (F.col("n") < SUPPORT))
         merged = child.join(node, ["host", "prefix"]).select("host", "prefix", "seg", F.when(wide, F.lit("*")).otherwise(F.col("seg")).alias("to"))
-        active = now.join(merged, ["host", "prefix", "seg"]).select("host", "lex", "n", "lab", "bad", F.concat("prefix", F.lit("/"), "to").alias("prefix"))
-        level += 1
+        active = now.join(merged, ["host", "prefix", "seg"]).select("host", "lex", "n", "lab", "bad", F.concat("prefix", F.lit("/"), "to").alias("prefix"), (F.col("depth") + 1).alias("depth"))
     tree = done[0]
     for more in done[1:]:
         tree = tree.union(more)
     tree = saved(tree)
-    discard(base)
+    for old in tables:
+        discard(old)
     by_template = tree.groupBy("host", "template").agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "lab", "bad")])
     by_host = by_template.groupBy("host").agg(F.sum("t_lab").alias("h_lab"), F.sum("t_bad").alias("h_bad"))
     judged = by_template.join(by_host, "host")

@@ -349,6 +349,19 @@ def test_url_templates_against_a_plain_tree(spark):
     assert {t.split("/")[1] for t in found.values()} >= {"offers", "*"} and any(t.count("/") == 7 for t in found.values())
 
 
+def test_url_chains_are_passed_in_one_step(spark, monkeypatch):
+    """Two paths that share sixty segments: three rounds, not sixty."""
+    chain = "/".join(f"d{chr(97 + k % 26)}x" for k in range(60))
+    rows = [(1, f"http://h.com/{chain}/left/end"), (2, f"http://h.com/{chain}/right/end"), (3, f"http://h.com/{chain}"), (4, f"http://h.com/{chain}"), (5, "http://i.com/a/b")]
+    written = []
+    whole = urlfilter.saved
+    monkeypatch.setattr(urlfilter, "saved", lambda df: written.append(1) or whole(df))
+    found = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int"), URL_RULES)
+    templates = {r["page_id"]: r["template"] for r in found.collect()}
+    assert templates[3] == f"/{chain}" and templates[5] == "/a/b" and len(written) <= 6
+    assert all(templates[n].startswith(f"/{chain}/") for n in (1, 2))
+
+
 # --- 6 suffix arrays ---------------------------------------------------------------------------------
 
 
