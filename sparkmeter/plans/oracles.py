@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bench_views import EV_LOG_SQL, PRICE_SQL, PRICED_SQL, RATES_SQL, REQ_LOG_SQL, REQUESTS_SQL
+from .queries import BUNDLED_SQL, OVERLAY_SQL
 
 LOG = f"WITH req_log AS ({REQ_LOG_SQL}), requests AS ({REQUESTS_SQL})"
 PRICED = f"{LOG}, price AS ({PRICE_SQL}), rates AS ({RATES_SQL}), priced AS ({PRICED_SQL})"
@@ -50,7 +51,7 @@ ORACLES: dict[str, str] = {
         FROM g GROUP BY generation""",
     "unmeasured_ids": f"{EV} SELECT DISTINCT session FROM ev WHERE event_type = 'error' AND session NOT IN (SELECT session FROM ev WHERE event_type = 'purchase' AND k > 95)",
     "price_longest_prefix": f"WITH req_log AS (SELECT p_brand AS model FROM part), price AS ({PRICE_SQL}), rates AS ({RATES_SQL}) SELECT model, key, rate_in, rate_out FROM rates",
-    "price_overlay": f"WITH p AS ({PRICE_SQL}) SELECT key, CASE WHEN length(key) = 8 THEN rate_in * 2 ELSE rate_in END AS rate_in, rate_out, CASE WHEN length(key) = 8 THEN NULL ELSE rate_read END AS rate_read FROM p",
+    "price_overlay": f"WITH b AS ({BUNDLED_SQL}), o AS ({OVERLAY_SQL}) SELECT key, rate_in, rate_out, rate_read FROM o WHERE rate_in >= 0 UNION ALL SELECT * FROM b WHERE key NOT IN (SELECT key FROM o)",
     "cost_by_model": _history("model", "CAST(sum(requests) AS BIGINT)"),
     "cost_by_project": _history("project"),
     "cost_by_label": _history("label"),

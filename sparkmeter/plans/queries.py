@@ -70,10 +70,17 @@ def price_longest_prefix(v: Views) -> DataFrame:
     return pricing.rate_table(v.table("part").select(F.col("p_brand").alias("model")), v.prices()).select("model", "key", "rate_in", "rate_out")
 
 
+#: Price layers made from the brands of ``part``: a list with every brand, and one above it for some, of which some rates are no rates.
+BUNDLED_SQL = """SELECT p_brand AS key, CAST(min(p_size) * 100 AS BIGINT) AS rate_in, CAST(max(p_size) * 1000 AS BIGINT) AS rate_out, CAST(NULL AS BIGINT) AS rate_read FROM part GROUP BY p_brand"""
+OVERLAY_SQL = """SELECT p_brand AS key, CAST(max(p_size) * CASE WHEN p_brand LIKE '%5' THEN -1 ELSE 200 END AS BIGINT) AS rate_in, CAST(count(*) AS BIGINT) AS rate_out,
+ CAST(CASE WHEN p_brand LIKE '%3' THEN 0 END AS BIGINT) AS rate_read FROM part WHERE p_brand LIKE '%3' OR p_brand LIKE '%5' GROUP BY p_brand"""
+
+
 @query
 def price_overlay(v: Views) -> DataFrame:
-    overlay = v.prices().where("length(key) = 8").select("key", (F.col("rate_in") * 2).alias("rate_in"), "rate_out", F.lit(None).cast("long").alias("rate_read"))
-    return pricing.valid_prices(pricing.merged_prices(v.prices(), overlay))
+    """Two price layers over all brands; a key of the upper one counts as a whole, and goes if its rates are none."""
+    bundled, overlay = (v.sql(text.replace("FROM part", "FROM {part}"), "part") for text in (BUNDLED_SQL, OVERLAY_SQL))
+    return pricing.valid_prices(pricing.merged_prices(bundled, overlay))
 
 
 def _cost_by(v: Views, key: str) -> DataFrame:
