@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import durable
 from .usage import BUCKET
 
 LEVELS = ["exact", "partial", "activity_only"]
@@ -65,8 +66,42 @@ def cut_rows(rows: DataFrame, shown: DataFrame) -> DataFrame:
 
 
 def median(rows: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
-    """Exact median (mean of the middle two) of known values, and how many there are."""
-    return rows.groupBy(*by).agg(F.median(column).alias(name), F.count(column).cast("long").alias("n"))
+    """Exact median (mean of the middle two) of known values, and how many there are, for each group; null for a group without any."""
+    return medians(rows, by, {column: name}).withColumnRenamed(f"n_{name}", "n")
+
+
+def medians(rows: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """Exact medians of some columns, and how many known values each has (``n_`` before its name), for each group.
+
+    No task gathers a group: equal values are counted with map-side combine, counts are summed by stretches of values, and only the
+    stretches in which the middle lies are put in order. The counts are written to the checkpoint folder, for they are read twice.
+    """
+    values = F.array(*[F.struct(F.lit(name).alias("_of"), F.col(c).cast("double").alias("_v")) for c, name in columns.items()])
+    counts = rows.select(*by, F.explode(values).alias("_x")).groupBy(*by, "_x._of", "_x._v").agg(F.count("*").alias("_n"))
+    stretch = F.signum("_v") * F.floor(F.lit(256) * F.log2(F.abs("_v") + 1))  # never falls as values rise
+    counts = durable(counts.withColumn("_at", stretch.cast("long")))
+    keys = [*by, "_of"]
+    sums = counts.groupBy(*keys, "_at").agg(F.sum("_n").alias("_c"))
+    known = F.when(F.col("_at").isNotNull(), F.col("_c")).otherwise(0)
+    group = Window.partitionBy(*keys)
+    sums = sums.withColumns({"_upto": F.sum(known).over(group.orderBy("_at")), "_all": F.sum(known).over(group)})
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+
+    def covers(rank: Column, upto: str, count: str) -> Column:
+        return (F.col(upto) - F.col(count) < rank) & (rank <= F.col(upto))
+
+    held = F.col("_at").isNotNull() & (covers(low, "_upto", "_c") | covers(high, "_upto", "_c"))
+    near = sums.where(held).select(*[F.col(c).alias(f"_k{c}") for c in [*keys, "_at"]], (F.col("_upto") - F.col("_c")).alias("_before"), "_all")
+    same = F.lit(True)
+    for c in [*keys, "_at"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{c}"))
+    run = counts.join(near, same)
+    run = run.withColumn("_run", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_at").orderBy("_v")))
+    halves_ = [F.sum(F.when(covers(rank, "_run", "_n"), F.col("_v") * 0.5)) for rank in (low, high)]
+    middle = run.groupBy(*keys).agg((halves_[0] + halves_[1]).alias("_m"), F.lit(None).cast("long").alias("_c"))
+    both = middle.unionByName(sums.groupBy(*keys).agg(F.lit(None).cast("double").alias("_m"), F.max("_all").alias("_c")))
+    picked = [x for name in columns.values() for x in (F.max(F.when(F.col("_of") == name, F.col("_m"))).alias(name), F.max(F.when(F.col("_of") == name, F.col("_c"))).cast("long").alias(f"n_{name}"))]
+    return both.groupBy(*by).agg(*picked)
 
 
 def cache_ratio(read: str = "cache_read") -> Column:

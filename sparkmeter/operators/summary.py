@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rollup import aggregates
+from .rollup import aggregates, median
 from .usage import BUCKET
 
 GRAINS = ("label", "model", "day")
@@ -50,4 +50,4 @@ def top_commands(label_table: DataFrame) -> DataFrame:
 
 def project_baseline(tables: dict[str, DataFrame], by: str = "project") -> DataFrame:
     """Median session cost, and how many sessions have one, for each project."""
-    return tables["session"].groupBy(by).agg(F.median("cost").alias("median_cost"), F.count("cost").cast("long").alias("sessions"))
+    return median(tables["session"], [by], "cost", "median_cost").withColumnRenamed("n", "sessions")

@@ -134,7 +134,7 @@ def session_insights(priced: DataFrame, session: str, budget: float | None = Non
     sums = [F.sum(c).alias(c) for c in BUCKET]
     labels = mine.groupBy("label").agg(*sums).withColumn("ratio", ratio)
     known = others.groupBy("label", "session").agg(*sums, F.sum("cost").alias("cost")).where("cost is not null").withColumn("ratio", ratio)
-    known = known.groupBy("label").agg(F.median("ratio").alias("baseline_ratio"), F.count("*").alias("n"))
+    known = rollup.median(known, ["label"], "ratio", "baseline_ratio")
     found = [rules.cost_outlier(own.join(base, "project")), rules.cache_regression(labels.join(known, "label")), rules.adhoc_share(mine, "(no command)")]
     found.append(rules.unpriced_models(mine.where(F.col("cost").isNull() & pricing.has_tokens()).select("model").distinct()))
     if "agent" in mine.columns:

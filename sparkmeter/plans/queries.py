@@ -206,8 +206,8 @@ def median_session_cost(v: Views) -> DataFrame:
 @query
 def baseline_by_label(v: Views) -> DataFrame:
     by = v.priced().groupBy("label", "session").agg(F.sum("cost").cast("long").alias("cost"), *[F.sum(c).alias(c) for c in usage.COUNTERS])
-    ratios = by.withColumn("ratio", rollup.cache_ratio())
-    return ratios.groupBy("label").agg(F.count("cost").cast("long").alias("n"), F.median("cost").alias("median_cost"), F.round(F.median("ratio"), 9).alias("median_ratio"))
+    found = rollup.medians(by.withColumn("ratio", rollup.cache_ratio()), ["label"], {"cost": "median_cost", "ratio": "median_ratio"})
+    return found.select("label", F.col("n_median_cost").alias("n"), "median_cost", F.round("median_ratio", 9).alias("median_ratio"))
 
 
 def _rounded(found: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def cost_outlier(v: Views) -> DataFrame:
 @query
 def cache_regression(v: Views) -> DataFrame:
     by = v.requests().withColumn("cache_read", F.col("cache_read") * 10).groupBy("label", "request_id").agg(*[F.sum(c).alias(c) for c in usage.COUNTERS]).withColumn("ratio", rollup.cache_ratio())
-    base = by.groupBy("label").agg(F.median("ratio").alias("baseline_ratio"), F.count("*").alias("n"))
+    base = rollup.median(by, ["label"], "ratio", "baseline_ratio")
     return _rounded(insights.cache_regression(by.join(base, "label").withColumn("label", F.concat_ws("/", "label", "request_id"))))
 
 

@@ -180,3 +180,23 @@ def test_publisher_is_idempotent():
     assert not p.send("a", "e", {"v": 2}) and not p.send("a", "e", {"v": 3}) and len(p.outbox) == 1
     up[0] = True
     assert p.flush() == 1 and not p.outbox and sent[-1] == ("e", 3)
+
+
+def test_median_gathers_no_group(spark):
+    import statistics
+
+    from sparkmeter.operators import rollup
+
+    rng = random.Random(6)
+    rows = [(g, rng.choice([None, -5, 0, 7, 7, 7, rng.randrange(-(10**12), 10**12)])) for g in ("a", "b", None) for _ in range(rng.randrange(1, 400))] + [("none", None), ("one", 3), ("two", 1), ("two", 2)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    found = rollup.median(df, ["g"], "v", "m")
+    want = {}
+    for g in {g for g, _ in rows}:
+        own = [v for k, v in rows if k == g and v is not None]
+        want[g] = (statistics.median(own) if own else None, len(own))
+    assert {r["g"]: (r["m"], r["n"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert "collect" not in plan and "percentile" not in plan and "median" not in plan
+    ratios = spark.createDataFrame([("x", k / 97) for k in range(50)], "g string, v double")
+    assert rollup.median(ratios, ["g"], "v", "m").first()["m"] == statistics.median(k / 97 for k in range(50))
