@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .normalize import codex, get, kind_of, number
+from .normalize import CODEX, Field, Normaliser, codex, get, kind_of
 
 #: Fixed names: record types that hold no chat, and the other spellings of each counter.
 SKIP_TYPES = ["session_meta", "progress", "event_msg", "token_count", "turn_context", "rate_limit", "rate_limit_event", "system"]
@@ -26,19 +26,18 @@ def _first(v: Column, paths: list[str]) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
-def usage(u: Column) -> Column:
-    """Counters of a usage object under any of their names: input, output, cache_read, cache_write.
+TTL = ("cache_creation.ephemeral_5m_input_tokens", "cache_creation.ephemeral_1h_input_tokens")
 
-    Cache writes by time to live are the whole of the flat count and not added to it. An object with the
-    cached-input names has its cached tokens inside its input; they are taken off, where they fit.
-    """
-    five, hour = number(u, "$.cache_creation.ephemeral_5m_input_tokens"), number(u, "$.cache_creation.ephemeral_1h_input_tokens")
+
+def _usage(f: dict[str, Field]) -> Column:
+    five, hour = (f[n].number for n in TTL)
     zero = F.lit(0).cast("long")
-    flat = {c: F.coalesce(*[number(u, f"$.{n}") for n in names], zero) for c, names in ALIASES.items()}
+    flat = {c: F.coalesce(*[f[n].number for n in names], zero) for c, names in ALIASES.items()}
     by_ttl = F.coalesce(five, hour).isNotNull()
-    inside = kind_of(u, "$.cached_input_tokens").isNotNull() | kind_of(u, "$.cache_write_input_tokens").isNotNull()
-    net = codex(u)
-    too_much = F.coalesce(number(u, "$.cached_input_tokens"), zero) + F.coalesce(number(u, "$.cache_write_input_tokens"), zero) > flat["input"]
+    cached, wrote = f["cached_input_tokens"], f["cache_write_input_tokens"]
+    inside = cached.kind.isNotNull() | wrote.kind.isNotNull()
+    net = codex.use(f)
+    too_much = F.coalesce(cached.number, zero) + F.coalesce(wrote.number, zero) > flat["input"]
     return F.struct(
         F.when(inside & net.isNotNull(), net["input"]).when(inside & too_much, zero).otherwise(flat["input"]).alias("input"),
         flat["output"].alias("output"),
@@ -47,9 +46,16 @@ def usage(u: Column) -> Column:
     )
 
 
-def payload_tokens(p: Column) -> Column:
-    """Counters of a hook payload: at the top, else in its ``tokens``; null where neither names one."""
-    return F.struct(*[F.coalesce(*[number(p, f"{at}.{n}") for at in ("$", "$.tokens") for n in names]).alias(c) for c, names in PAYLOAD_ALIASES.items()])
+def _payload_tokens(f: dict[str, Field]) -> Column:
+    return F.struct(*[F.coalesce(*[f[f"{at}{n}"].number for at in ("", "tokens.") for n in names]).alias(c) for c, names in PAYLOAD_ALIASES.items()])
+
+
+#: Counters of a usage object under any of their names: input, output, cache_read, cache_write.
+#: Cache writes by time to live are the whole of the flat count and not added to it. An object with the
+#: cached-input names has its cached tokens inside its input; they are taken off, where they fit.
+usage = Normaliser(tuple(dict.fromkeys([*CODEX, *[n for names in ALIASES.values() for n in names], *TTL])), _usage)
+#: Counters of a hook payload: at the top, else in its ``tokens``; null where neither names one.
+payload_tokens = Normaliser(tuple(f"{at}{n}" for names in PAYLOAD_ALIASES.values() for at in ("", "tokens.") for n in names), _payload_tokens)
 
 
 def lifted(v: Column) -> Column:

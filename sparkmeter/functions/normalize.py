@@ -6,7 +6,10 @@ JSON booleans and strings are no numbers, negative numbers are invalid.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,6 +39,53 @@ def bad(v: Column, path: str) -> Column:
     return F.coalesce((kind != "VOID") & counter(v, path).isNull(), F.lit(False))
 
 
+class Field(NamedTuple):
+    """What the normalisers ask of a field: its kind, and what ``counter`` and ``number`` give."""
+
+    kind: Column
+    count: Column
+    number: Column
+
+    def spoiled(self) -> Column:
+        """Whether the field is there but no counter."""
+        return F.coalesce((self.kind != "VOID") & self.count.isNull(), F.lit(False))
+
+
+class Normaliser(NamedTuple):
+    """A function of the named fields of an object (a dot for a field inside a field), all of them at ``$.``."""
+
+    names: tuple[str, ...]
+    use: Callable[[dict[str, Field]], Column]
+
+    def __call__(self, v: Column) -> Column:
+        return self.use({n: Field(kind_of(v, f"$.{n}"), counter(v, f"$.{n}"), number(v, f"$.{n}")) for n in self.names})
+
+    def on(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """``rows`` with the result for a VARIANT column as column ``name``.
+
+        Spark computes an expression again in every branch that names it, so the fields, their kinds and their values are columns of
+        three projections: each is looked up, told and cast once.
+        """
+        inner: dict[str, list[str]] = {}
+        for n in self.names:
+            inner.setdefault(n.split(".")[0], []).extend(n.split(".")[1:])
+        kinds = ", ".join(f"{n} struct<{', '.join(f'{x} variant' for x in own)}>" if own else f"{n} variant" for n, own in inner.items())
+        own = [F.col(f"`{c}`") for c in rows.columns]
+        found = rows.select(*own, get(F.col(column), "$", f"struct<{kinds}>").alias("_o"))
+        found = found.select(*own, "_o", *[F.schema_of_variant(f"_o.{n}").alias(f"_k{i}") for i, n in enumerate(self.names)])
+        values = []
+        for i, n in enumerate(self.names):
+            kind, at = F.col(f"_k{i}"), F.col(f"_o.{n}")
+            whole, broken = F.when(kind == "BIGINT", get(at, "$", "bigint")), F.when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), get(at, "$", "double"))
+            values += [whole.alias(f"_w{i}"), broken.cast("long").alias(f"_d{i}")]
+        found = found.select(*own, *[f"_k{i}" for i in range(len(self.names))], *values)
+        fields = {}
+        for i, n in enumerate(self.names):
+            whole = F.col(f"_w{i}")
+            fields[n] = Field(F.col(f"_k{i}"), F.when(whole >= 0, whole), F.coalesce(whole.cast("double").cast("long"), f"_d{i}"))
+        return found.select(*own, self.use(fields).alias(name))
+
+
 def bucket(input_: Column, output: Column, read: Column, w5: Column, w1: Column) -> Column:
     zero = F.lit(0).cast("long")
     names = ("input", "output", "cache_read", "cache_5m", "cache_1h")
@@ -50,63 +100,78 @@ def claude(u: Column) -> Column:
     return bucket(get(u, "$.input_tokens", "bigint"), get(u, "$.output_tokens", "bigint"), get(u, "$.cache_read_input_tokens", "bigint"), w5, c1)
 
 
-def codex(u: Column) -> Column:
-    """Input without cached and written tokens; input and output are required."""
-    inp, out = counter(u, "$.input_tokens"), counter(u, "$.output_tokens")
-    read, written = F.coalesce(counter(u, "$.cached_input_tokens"), F.lit(0)), F.coalesce(counter(u, "$.cache_write_input_tokens"), F.lit(0))
-    ok = inp.isNotNull() & out.isNotNull() & (inp >= read + written) & ~bad(u, "$.cached_input_tokens") & ~bad(u, "$.cache_write_input_tokens")
-    return F.when(ok, bucket(inp - read - written, out, read, written, F.lit(0)))
+CODEX = ("input_tokens", "output_tokens", "cached_input_tokens", "cache_write_input_tokens")
+CAMEL = ("inputTokens", "outputTokens", "cacheReadTokens", "cacheWriteTokens")
+SNAKE = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
 
 
-def gemini(t: Column) -> Column:
-    """input - cached + tool; output + thoughts; more cached than input is invalid."""
-    inp, out, read = counter(t, "$.input"), counter(t, "$.output"), F.coalesce(counter(t, "$.cached"), F.lit(0))
-    thoughts, tool = F.coalesce(counter(t, "$.thoughts"), F.lit(0)), F.coalesce(counter(t, "$.tool"), F.lit(0))
+def _codex(f: dict[str, Field]) -> Column:
+    inp, out, cached, wrote = (f[n] for n in CODEX)
+    read, written = F.coalesce(cached.count, F.lit(0)), F.coalesce(wrote.count, F.lit(0))
+    ok = inp.count.isNotNull() & out.count.isNotNull() & (inp.count >= read + written) & ~cached.spoiled() & ~wrote.spoiled()
+    return F.when(ok, bucket(inp.count - read - written, out.count, read, written, F.lit(0)))
+
+
+def _gemini(f: dict[str, Field]) -> Column:
+    inp, out = f["input"].count, f["output"].count
+    read, thoughts, tool = (F.coalesce(f[n].count, F.lit(0)) for n in ("cached", "thoughts", "tool"))
     ok = inp.isNotNull() & out.isNotNull() & (read <= inp)
     for name in ("cached", "thoughts", "tool"):
-        ok = ok & ~bad(t, f"$.{name}")
+        ok = ok & ~f[name].spoiled()
     return F.when(ok, bucket(inp - read + tool, out + thoughts, read, F.lit(0), F.lit(0)))
 
 
-def antigravity(r: Column) -> Column:
-    """Counters as they are (input is net already)."""
-    values = [counter(r, f"$.{n}") for n in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")]
-    ok = values[0].isNotNull() & values[1].isNotNull() & ~bad(r, "$.cache_read_tokens") & ~bad(r, "$.cache_write_tokens")
+def _antigravity(f: dict[str, Field]) -> Column:
+    values = [f[n].count for n in SNAKE]
+    ok = values[0].isNotNull() & values[1].isNotNull() & ~f[SNAKE[2]].spoiled() & ~f[SNAKE[3]].spoiled()
     return F.when(ok, bucket(*values, F.lit(0)))
 
 
-def copilot(d: Column) -> Column:
-    """Input without reads and writes; a time to live of an hour books writes to the hour, any other to five minutes."""
-    inp, out = counter(d, "$.inputTokens"), counter(d, "$.outputTokens")
-    read, written = F.coalesce(counter(d, "$.cacheReadTokens"), F.lit(0)), F.coalesce(counter(d, "$.cacheWriteTokens"), F.lit(0))
-    hour = F.coalesce(get(d, "$.cacheTtlSeconds", "bigint") == 3600, F.lit(False))
-    ok = inp.isNotNull() & out.isNotNull() & (inp >= read + written) & ~bad(d, "$.cacheReadTokens") & ~bad(d, "$.cacheWriteTokens")
-    return F.when(ok, bucket(inp - read - written, out, read, F.when(hour, F.lit(0)).otherwise(written), F.when(hour, written).otherwise(F.lit(0))))
+def _cursor_bubble(f: dict[str, Field]) -> Column:
+    either = [F.coalesce(f[camel].number, f[snake].number) for camel, snake in zip(CAMEL, SNAKE, strict=True)]
+    values = [F.when(value > 0, value) for value in either]
+    return F.when(F.coalesce(*values).isNotNull(), bucket(*values, F.lit(0)))
 
 
-def cursor_bubble(t: Column) -> Column:
-    """Camel or snake case counters, only positive ones; all zero is unknown."""
+def _cursor_hook(f: dict[str, Field]) -> Column:
+    inp, out = f["input_tokens"].number, f["output_tokens"].number
+    read, written = (F.coalesce(f[n].number, F.lit(0)) for n in SNAKE[2:])
+    net = F.when(inp >= read + written, inp - read - written).otherwise(inp)
+    return F.when(F.coalesce(inp, out).isNotNull(), bucket(net, out, read, written, F.lit(0)))
 
-    def either(camel: str, snake: str) -> Column:
-        value = F.coalesce(number(t, f"$.{camel}"), number(t, f"$.{snake}"))
-        return F.when(value > 0, value)
 
-    values = [either("inputTokens", "input_tokens"), either("outputTokens", "output_tokens"), either("cacheReadTokens", "cache_read_tokens"), either("cacheWriteTokens", "cache_write_tokens")]
-    return F.when(F.coalesce(*values).isNotNull(), bucket(*values, F.lit(0)))
+def _hook_trusted(f: dict[str, Field]) -> Column:
+    read, written = (F.coalesce(f[n].number, F.lit(0)) for n in SNAKE[2:])
+    return F.coalesce(f["input_tokens"].number >= read + written, read + written == 0)
 
 
-def cursor_hook(t: Column) -> Column:
-    """Cached tokens are taken off the input where they fit in."""
-    inp, out = number(t, "$.input_tokens"), number(t, "$.output_tokens")
-    read, written = F.coalesce(number(t, "$.cache_read_tokens"), F.lit(0)), F.coalesce(number(t, "$.cache_write_tokens"), F.lit(0))
-    net = F.when(inp >= read + written, inp - read - written).otherwise(inp)
-    return F.when(F.coalesce(inp, out).isNotNull(), bucket(net, out, read, written, F.lit(0)))
+def _cloud_api(f: dict[str, Field]) -> Column:
+    ok = F.lit(True)
+    for name in CAMEL:
+        there = F.coalesce(f[name].kind != "VOID", F.lit(False))
+        ok = ok & (~there | F.coalesce(f[name].number >= 0, F.lit(False)))
+    return F.when(ok, bucket(*[f[n].number for n in CAMEL], F.lit(0)))
+
+
+#: Input without cached and written tokens; input and output are required.
+codex = Normaliser(CODEX, _codex)
+#: input - cached + tool; output + thoughts; more cached than input is invalid.
+gemini = Normaliser(("input", "output", "cached", "thoughts", "tool"), _gemini)
+#: Counters as they are (input is net already).
+antigravity = Normaliser(SNAKE, _antigravity)
+#: Camel or snake case counters, only positive ones; all zero is unknown.
+cursor_bubble = Normaliser((*CAMEL, *SNAKE), _cursor_bubble)
+#: Cached tokens are taken off the input where they fit in; and whether they do.
+cursor_hook, hook_trusted = Normaliser(SNAKE, _cursor_hook), Normaliser(SNAKE, _hook_trusted)
 
 
-def hook_trusted(t: Column) -> Column:
-    """Whether a hook's cached tokens fit into its input."""
-    read, written = F.coalesce(number(t, "$.cache_read_tokens"), F.lit(0)), F.coalesce(number(t, "$.cache_write_tokens"), F.lit(0))
-    return F.coalesce(number(t, "$.input_tokens") >= read + written, read + written == 0)
+def copilot(d: Column) -> Column:
+    """Input without reads and writes; a time to live of an hour books writes to the hour, any other to five minutes."""
+    inp, out = counter(d, "$.inputTokens"), counter(d, "$.outputTokens")
+    read, written = F.coalesce(counter(d, "$.cacheReadTokens"), F.lit(0)), F.coalesce(counter(d, "$.cacheWriteTokens"), F.lit(0))
+    hour = F.coalesce(get(d, "$.cacheTtlSeconds", "bigint") == 3600, F.lit(False))
+    ok = inp.isNotNull() & out.isNotNull() & (inp >= read + written) & ~bad(d, "$.cacheReadTokens") & ~bad(d, "$.cacheWriteTokens")
+    return F.when(ok, bucket(inp - read - written, out, read, F.when(hour, F.lit(0)).otherwise(written), F.when(hour, written).otherwise(F.lit(0))))
 
 
 def copilot_ttl_odd(d: Column) -> Column:
@@ -115,14 +180,17 @@ def copilot_ttl_odd(d: Column) -> Column:
     return F.coalesce((F.coalesce(counter(d, "$.cacheWriteTokens"), F.lit(0)) > 0) & ttl.isNotNull() & ~ttl.isin(300, 3600), F.lit(False))
 
 
+_CLOUD = Normaliser(CAMEL, _cloud_api)
+
+
 def cloud_api(t: Column) -> Column:
     """A counter that is negative or no number makes the event partial (null)."""
-    values = [number(t, f"$.{n}") for n in ("inputTokens", "outputTokens", "cacheReadTokens", "cacheWriteTokens")]
-    ok = F.lit(True)
-    for value, name in zip(values, ("inputTokens", "outputTokens", "cacheReadTokens", "cacheWriteTokens"), strict=True):
-        there = kind_of(t, f"$.{name}").isNotNull() & (kind_of(t, f"$.{name}") != "VOID")
-        ok = ok & F.when(there, F.coalesce(value >= 0, F.lit(False))).otherwise(F.lit(True))
-    return F.when(t.isNotNull() & ok, bucket(*values, F.lit(0)))
+    return F.when(t.isNotNull(), _CLOUD(t))
+
+
+def with_cloud_api(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``cloud_api`` of a VARIANT column, each field read once."""
+    return _CLOUD.on(rows, column, name).withColumn(name, F.when(F.col(column).isNotNull(), F.col(name)))
 
 
 def text_of(content: Column) -> Column:

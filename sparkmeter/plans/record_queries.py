@@ -26,7 +26,8 @@ def _usage(v: Views, body: str) -> DataFrame:
 
 
 def _flat(v: Views, body: str, flatten, *more: Column) -> DataFrame:
-    rows = _usage(v, body).withColumn("u", flatten(F.col("v")))
+    rows = _usage(v, body).select(*KEYS, "v")
+    rows = flatten.on(rows, "v", "u") if isinstance(flatten, normalize.Normaliser) else rows.withColumn("u", flatten(F.col("v")))
     return rows.select(*KEYS, F.col("u").isNotNull().alias("valid"), *[F.col(f"u.{c}").alias(c) for c in usage.COUNTERS], *more)
 
 
@@ -62,22 +63,25 @@ def cursor_bubble_usage(v: Views) -> DataFrame:
 
 @query
 def cursor_hook_usage(v: Views) -> DataFrame:
-    return _flat(v, views.HOOK, normalize.cursor_hook, normalize.hook_trusted(F.col("v")).alias("trusted"))
+    both = normalize.Normaliser(normalize.SNAKE, lambda f: F.struct(normalize.cursor_hook.use(f).alias("u"), normalize.hook_trusted.use(f).alias("trusted")))
+    rows = both.on(_usage(v, views.HOOK).select(*KEYS, "v"), "v", "found").select(*KEYS, "found.u", "found.trusted")
+    return rows.select(*KEYS, F.col("u").isNotNull().alias("valid"), *[F.col(f"u.{c}").alias(c) for c in usage.COUNTERS], "trusted")
 
 
 @query
 def cloud_usage(v: Views) -> DataFrame:
-    return _flat(v, views.CLOUD, normalize.cloud_api)
+    rows = normalize.with_cloud_api(_usage(v, views.CLOUD).select(*KEYS, "v"), "v", "u")
+    return rows.select(*KEYS, F.col("u").isNotNull().alias("valid"), *[F.col(f"u.{c}").alias(c) for c in usage.COUNTERS])
 
 
 @query
 def bridge_usage(v: Views) -> DataFrame:
-    return _usage(v, views.BRIDGE).withColumn("u", records.usage(F.col("v"))).select(*KEYS, "u.*")
+    return records.usage.on(_usage(v, views.BRIDGE).select(*KEYS, "v"), "v", "u").select(*KEYS, "u.*")
 
 
 @query
 def bridge_payload_tokens(v: Views) -> DataFrame:
-    return _usage(v, views.PAYLOAD).withColumn("u", records.payload_tokens(F.col("v"))).select(*KEYS, "u.*")
+    return records.payload_tokens.on(_usage(v, views.PAYLOAD).select(*KEYS, "v"), "v", "u").select(*KEYS, "u.*")
 
 
 def _chat(v: Views) -> DataFrame:

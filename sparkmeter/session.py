@@ -11,12 +11,23 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",  # the last of repeated JSON keys wins
     "spark.sql.python.filterPushdown.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",  # maps in the state, and state beyond memory
+    "spark.sql.codegen.hugeMethodLimit": "8000",  # HotSpot does not compile longer methods; Spark then splits the code into shorter ones
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
 
+#: Settings for speed alone, that a session made elsewhere is given too.
+PACE = ("spark.sql.codegen.hugeMethodLimit",)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give a session that was made elsewhere the settings that bound a query's cost."""
+    for key in PACE:
+        spark.conf.set(key, SETTINGS[key])
+
+
 def session(app: str = "sparkmeter", **more: str) -> SparkSession:
     """A session with the engine's settings; ``more`` overrides them (underscores stand for dots)."""
     builder = SparkSession.builder.appName(app)
