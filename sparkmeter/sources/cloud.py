@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text
-from ..functions.normalize import cloud_api, get, kind_of
+from ..functions.normalize import get, with_cloud_api
 from ..operators.joins import replace_window
 from ..operators.usage import COUNTERS
 
@@ -20,14 +21,19 @@ OVERLAP_MS, LABEL = 3 * 3600 * 1000, "(cloud agent)"
 def clean_events(events: DataFrame) -> DataFrame:
     """Events (column ``v``) of well-formed agents, with the kept fields only and the type ``usage``; ``agent`` and ``ms`` beside them."""
     v = F.col("v")
-    agent = F.when(kind_of(v, "$.cloudAgentId") == "STRING", get(v, "$.cloudAgentId"))
+    agent = F.transform(F.array(get(v, "$.cloudAgentId", "variant")), lambda x: F.when(F.schema_of_variant(x) == "STRING", get(x, "$")))[0]
+    named = events.select(F.inline(F.array(F.struct(agent.alias("agent"), v.alias("v")))))  # a filter on it is not pushed below, where the record would be made and parsed again
     fields = F.map_filter(F.try_variant_get(v, "$", "map<string, variant>"), lambda name, _: name.isin(EVENT_FIELDS))
     kept = F.map_concat(fields, F.create_map(F.lit("type"), F.parse_json(F.lit('"usage"'))))
-    return events.where(agent.rlike(AGENT_ID)).select(agent.alias("agent"), millis(v).alias("ms"), F.to_json(kept).alias("event"), "v")
+    return named.where(F.col("agent").rlike(AGENT_ID)).select("agent", millis(v).alias("ms"), F.to_json(kept).alias("event"), "v")
 
 
 def millis(v: Column) -> Column:
-    return F.coalesce(get(v, "$.timestamp", "bigint"), get(v, "$.timestamp").try_cast("bigint"))
+    return _millis(get(v, "$.timestamp", "variant"))
+
+
+def _millis(at: Column) -> Column:
+    return F.transform(F.array(at), lambda x: F.coalesce(get(x, "$", "bigint"), get(x, "$").try_cast("bigint")))[0]
 
 
 def read_ledger(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,16 +61,18 @@ def sync(ledger: DataFrame, fetched: DataFrame, start_ms: int, end_ms: int) -> D
 
 def segments(events: DataFrame) -> DataFrame:
     """One row for each conversation, local day and model: label of the segment's first event, counters, charge in dollars, partial flag."""
-    v = F.col("v")
-    cents = F.coalesce(*[F.when(kind_of(v, p).rlike("BIGINT|DOUBLE|DECIMAL"), get(v, p, "double")) for p in ("$.chargedCents", "$.tokenUsage.totalCents")])
-    automation = F.nullif(get(v, "$.automationId"), F.lit(""))
-    rows = events.select(
-        get(v, "$.cloudAgentId").alias("agent"), F.coalesce(F.nullif(get(v, "$.conversationId"), F.lit("")), F.lit("(no conversation)")).alias("conversation"), F.coalesce(get(v, "$.model"), F.lit("unknown")).alias("model"),
-        millis(v).alias("ms"), F.coalesce(F.concat(F.lit("automation:"), automation), F.lit(LABEL)).alias("label"), cloud_api(get(v, "$.tokenUsage", "variant")).alias("usage"), cents.alias("cents"),
-    ).withColumn("day", text.local_day(text.millis_to_iso(F.col("ms"))))
-    labels = rows.groupBy("agent", "conversation", "day").agg(F.min_by("label", F.struct("ms", "label")).alias("label"))
+    fields = "cloudAgentId string, conversationId string, automationId string, model string, timestamp variant, chargedCents variant, tokenUsage variant"
+    rows = events.select(get(F.col("v"), "$", f"struct<{fields}>").alias("o"))
+    charges = F.array("o.chargedCents", get(F.col("o.tokenUsage"), "$.totalCents", "variant"))
+    cents = F.filter(F.transform(charges, lambda x: F.when(F.schema_of_variant(x).rlike("BIGINT|DOUBLE|DECIMAL"), get(x, "$", "double"))), lambda c: c.isNotNull())
+    automation = F.nullif("o.automationId", F.lit(""))
+    rows = with_cloud_api(rows.withColumn("t", F.col("o.tokenUsage")), "t", "usage").select(
+        F.col("o.cloudAgentId").alias("agent"), F.coalesce(F.nullif("o.conversationId", F.lit("")), F.lit("(no conversation)")).alias("conversation"), F.coalesce("o.model", F.lit("unknown")).alias("model"),
+        _millis(F.col("o.timestamp")).alias("ms"), F.coalesce(F.concat(F.lit("automation:"), automation), F.lit(LABEL)).alias("label"), "usage", F.get(cents, 0).alias("cents"),
+    ).withColumn("iso", text.millis_to_iso(F.col("ms"))).withColumn("day", text.local_day(F.col("iso")))
+    segment = ["agent", "conversation", "day"]
     sums = [F.coalesce(F.sum(f"usage.{c}"), F.lit(0)).cast("long").alias(c) for c in COUNTERS]
     charge = F.round(F.sum(F.coalesce("cents", F.lit(0.0))) / 100, 9).alias("charge")
     partial = F.bool_or(F.col("usage").isNull() | F.col("cents").isNull()).alias("partial")
-    found = rows.groupBy("agent", "conversation", "day", "model").agg(*sums, F.count("*").cast("long").alias("requests"), charge, partial)
-    return found.join(labels, ["agent", "conversation", "day"])
+    found = rows.groupBy(*segment, "model").agg(*sums, F.count("*").cast("long").alias("requests"), charge, partial, F.min(F.struct("ms", "label")).alias("first"))
+    return found.withColumn("label", F.min("first").over(Window.partitionBy(*segment))["label"]).drop("first")
