@@ -35,21 +35,31 @@ def last_started(children: DataFrame, segments: DataFrame, scope: str, child_ts:
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """Root of every child by pointer doubling: the number of joins grows with the logarithm of the depth.
 
-    A node that is in a cycle, or hangs from one, has no root: its ``root`` is null. Rounds are written to the
-    checkpoint folder.
+    A node that is in a cycle, or hangs from one, has no root: its ``root`` is null. Only nodes whose way is still open take part in
+    a round, so the many nodes below one root are never joined on it. A way that meets the same least node in two halves goes round
+    a cycle and is closed at once. Rounds are written to the checkpoint folder.
     """
-    now = edges.select(F.col(child).alias("node"), F.col(parent).alias("root"))
-    left, moved = edges.count(), True
-    while moved and left:
-        up = now.select(F.col("node").alias("_n"), F.col("root").alias("_up"))
-        after = now.join(up, now["root"] == up["_n"], "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
-        after = durable(after)
-        moved = not after.where("_moved").isEmpty()
-        now, left = after.select("node", "root"), left // 2  # after as many doublings no path is longer than all edges
-    if not moved:
-        return now
-    inner = now.join(edges.select(F.col(child).alias("_inner")).distinct(), F.col("root") == F.col("_inner"), "left")
-    return inner.select("node", F.when(F.col("_inner").isNull(), F.col("root")).alias("root"))
+    named = edges.select(F.col(child).alias("node"), F.col(parent).alias("root"))
+    inner = named.select(F.col("node").alias("_n")).distinct()
+    now = named.join(inner, F.col("root") == F.col("_n"), "left")
+    state = F.when(F.col("_n").isNull(), "root").otherwise("open")
+    now = durable(now.select("node", "root", F.col("root").alias("_low"), state.alias("_state")))
+    found, now = now.where("_state = 'root'"), now.where("_state = 'open'")
+    ended = [found]  # each round's rows, by where they were written
+    while not now.isEmpty():
+        every = ended[0]
+        for part in ended[1:]:
+            every = every.unionByName(part)
+        up = every.unionByName(now).select(F.col("node").alias("_n"), F.col("root").alias("_up"), F.col("_low").alias("_least"), F.col("_state").alias("_of"))
+        met = now.join(up, F.col("root") == F.col("_n"))
+        state = F.when(F.col("_of") != "open", F.col("_of")).when(F.col("_low") == F.col("_least"), "cycle").otherwise("open")
+        after = durable(met.select("node", F.col("_up").alias("root"), F.least("_low", "_least").alias("_low"), state.alias("_state")))
+        ended.append(after.where("_state <> 'open'"))
+        now = after.where("_state = 'open'")
+    every = ended[0]
+    for part in ended[1:]:
+        every = every.unionByName(part)
+    return every.select("node", F.when(F.col("_state") == "root", F.col("root")).alias("root"))
 
 
 def id_edges(rows: DataFrame, node: str, parent: str) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from sparkmeter.functions import bridge, normalize
+from sparkmeter.operators import joins
 
 
 def plan(df):
@@ -30,3 +31,19 @@ def test_fields_bound_once_give_what_expressions_give(spark):
         assert plan(bound.select("i", "u.*") if f in (bridge.usage, bridge.payload_tokens) else bound).count("schema_of_variant(") <= 2 * len(f.names)
     again = normalize.with_cloud_api(frame, "v", "u").select("i", "u").collect()
     assert again == frame.select("i", normalize.cloud_api(F.col("v")).alias("u")).collect()
+
+
+def test_closure_ends_in_few_rounds_beside_cycles(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(joins, "durable", lambda rows, durable=joins.durable: rounds.append(1) or durable(rows))
+    parent = {n: n // 3 for n in range(1, 4000)} | {5000 + i: 5000 + (i + 1) % 7 for i in range(7)} | {6000 + i: 5999 + i for i in range(40)} | {6000: 5003, 7000: 7001, 7001: 7000, 100: 7000, 8000: 6020}
+    want = {}
+    for node in parent:
+        at, met = node, set()
+        while at in parent and at not in met:
+            met.add(at)
+            at = parent[at]
+        want[node] = None if at in met else at
+    found = joins.closure(spark.createDataFrame(list(parent.items()), "child long, parent long"), "child", "parent").collect()
+    assert {r["node"]: r["root"] for r in found} == want and len(found) == len(parent) and None in want.values() and 0 in want.values()
+    assert len(rounds) <= 9, len(rounds)  # the longest way has 46 steps; 13 rounds were made for 4,000 edges
