@@ -110,9 +110,11 @@ def cache_ratio(read: str = "cache_read") -> Column:
 
 
 def day_split(requests: DataFrame, scope: list[str]) -> DataFrame:
-    """Bucket sums for each day; requests without a day go to the scope's first known day, else to ``unknown``."""
+    """Bucket sums for each day; requests without a day go to the scope's first known day, else to ``unknown``. Only sums are put in order."""
+    sums = [F.sum(c).cast("long").alias(c) for c in BUCKET]
+    by_day = requests.groupBy(*scope, "day").agg(*sums)
     first = F.min("day").over(Window.partitionBy(*scope))
-    return requests.withColumn("day", F.coalesce("day", first, F.lit("unknown"))).groupBy(*scope, "day").agg(*[F.sum(c).cast("long").alias(c) for c in BUCKET])
+    return by_day.withColumn("day", F.coalesce("day", first, F.lit("unknown"))).groupBy(*scope, "day").agg(*sums)
 
 
 def halves(rows: DataFrame, by: list[str], middle: Column, at: str = "ts") -> DataFrame:

@@ -28,10 +28,10 @@ def index_tables(priced: DataFrame) -> dict[str, DataFrame]:
     return tables
 
 
-def merged(rows: DataFrame, key: str, calls: Column) -> DataFrame:
+def merged(rows: DataFrame, key: str, calls: Column, *more: Column) -> DataFrame:
     """History rows of a grain from its index table: sums of sums, unknown cost stays unknown, any part partial makes the whole partial."""
     return rows.groupBy(F.col(key).alias("key")).agg(
-        calls.cast("long").alias("calls"), *[F.sum(c).cast("long").alias(c) for c in BUCKET], F.sum("cost").cast("long").alias("cost"), F.bool_or("partial").alias("partial")
+        calls.cast("long").alias("calls"), *[F.sum(c).cast("long").alias(c) for c in BUCKET], F.sum("cost").cast("long").alias("cost"), F.bool_or("partial").alias("partial"), *more
     )
 
 
@@ -45,7 +45,7 @@ def history(tables: dict[str, DataFrame], by: str) -> DataFrame:
 
 def top_commands(label_table: DataFrame) -> DataFrame:
     """Each command's sessions, invocations, sums, cost and partial flag."""
-    return merged(label_table, "label", F.sum("invocations")).join(label_table.groupBy(F.col("label").alias("key")).agg(F.count("*").cast("long").alias("sessions")), "key")
+    return merged(label_table, "label", F.sum("invocations"), F.count("*").cast("long").alias("sessions"))
 
 
 def project_baseline(tables: dict[str, DataFrame], by: str = "project") -> DataFrame:

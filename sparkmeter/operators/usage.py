@@ -9,17 +9,20 @@ COUNTERS = ["input", "output", "cache_read", "cache_5m", "cache_1h"]
 BUCKET = [*COUNTERS, "requests"]
 
 
-def dedupe_requests(records: DataFrame, scope: list[str], request: str = "request_id", order: str = "ord", first: list[str] | None = None) -> DataFrame:
+def dedupe_requests(records: DataFrame, scope: list[str], request: str = "request_id", order: str = "ord", first: list[str] | None = None, dealt: str | None = None) -> DataFrame:
     """One row for each request of a scope: the maximum of every counter, the first record's attributes, requests = 1.
 
     A streamed request is logged many times with growing counters; summing would count it again and again. A
     record without a request id is a request of its own. Attributes are strings, which Spark aggregates over sorted
     rows: the records are dealt by their key first, so that they are sorted once and not for a partial pass as well.
+    ``dealt`` is a column that the request id determines and that the records are dealt by already: they are not dealt again.
     """
     key = F.coalesce(F.col(request), F.concat(F.lit("#"), F.col(order).cast("string")))
     names = first if first is not None else [c for c in ("segment", "label", "model", "day") if c in records.columns and c not in scope]
     keyed = records.withColumn("request_key", key)
-    grouped = (keyed.repartition(*scope, "request_key") if names else keyed).groupBy(*scope, "request_key")
+    if names and dealt is None:
+        keyed = keyed.repartition(*scope, "request_key")
+    grouped = keyed.groupBy(*scope, *([dealt] if dealt else []), "request_key")
     first_record = F.min(F.struct(order, *names)).alias("_first")
     found = grouped.agg(*[F.max(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c) for c in COUNTERS], first_record)
     return found.select(*scope, "request_key", *COUNTERS, *[F.col(f"_first.{c}").alias(c) for c in [*names, order]], F.lit(1).cast("long").alias("requests"))

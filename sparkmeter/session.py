@@ -13,19 +13,24 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",  # maps in the state, and state beyond memory
     "spark.sql.codegen.hugeMethodLimit": "8000",  # HotSpot does not compile longer methods; Spark then splits the code into shorter ones
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",  # compressed; a task sorts several times as much
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
 
 #: Settings for speed alone, that a session made elsewhere is given too.
-PACE = ("spark.sql.codegen.hugeMethodLimit",)
+PACE = ("spark.sql.codegen.hugeMethodLimit", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+#: Bytes of input files for each partition of a shuffle (before AQE joins small ones), so that a task's sort does not grow with the input.
+INPUT_PER_PARTITION = 4 << 20
 
 
-def prepare(spark: SparkSession) -> None:
-    """Give a session that was made elsewhere the settings that bound a query's cost."""
+def prepare(spark: SparkSession, input_bytes: int = 0) -> None:
+    """Give a session that was made elsewhere the settings that bound a query's cost, and shuffles partitions by the size of the input."""
     for key in PACE:
         spark.conf.set(key, SETTINGS[key])
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(least, input_bytes // INPUT_PER_PARTITION)))
 
 
 def session(app: str = "sparkmeter", **more: str) -> SparkSession:
