@@ -7,8 +7,8 @@ shards that can hold a neighbour of it:
 
 * ``linked`` (radius up to 2, exact): the 64 bits are cut into blocks; two fingerprints within the radius
   agree on all blocks but ``radius`` of them, so a shard is a choice of agreeing blocks with their value.
-* ``near_duplicates`` (shingle similarity): a shard is a band of minimum shingle hashes; texts that share one are
-  candidates whatever their fingerprints, and each link is confirmed on the documents' whole shingle sets.
+* ``near_duplicates`` (shingle similarity): candidates are texts whose fingerprints ``linked`` joins; a class of these is a shard, and
+  so is a band of minimum shingle hashes, for texts further apart than the radius. Each link is confirmed on whole shingle sets.
 
 Inside a shard a union-find keeps a spanning set of links, never all pairs of a group.
 
@@ -82,6 +82,8 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(stage(run), f"`{id_col}` long, fp long")
 
 
+#: Bits within which fingerprints are joined before minimum hashes are asked.
+RADIUS = 2
 #: Minimum-hash bands and hashes in each, members settled in one piece.
 BANDS, BAND_SIZE, LARGEST = 12, 3, 4096
 _RNG = np.random.default_rng(SEED)
@@ -114,24 +116,25 @@ def _set_names(unique: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, row, a 128-bit hash of the shingle set (s1, s2), its size, and band keys of each row."""
+    """doc, row, a 128-bit hash of the shingle set (s1, s2), its size, its fingerprint, and band keys of each row."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
-            one, two, sizes, bands = [], [], [], []
+            one, two, sizes, prints, bands = [], [], [], [], []
             for text in part.column(2).to_pylist():
                 unique = np.unique(np.array(shingle_hashes(text_bytes(text), words), dtype=np.uint64))
                 names = _set_names(unique)
                 one.append(names[0])
                 two.append(names[1])
                 sizes.append(len(unique))
+                prints.append(signed(fingerprint(unique)))
                 bands.append(band_keys(unique))
-            arrays = [*part.columns[:2], *[pa.array(c, pa.int64()) for c in (one, two, sizes)], pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "row", "s1", "s2", "size", "bands"])
+            arrays = [*part.columns[:2], *[pa.array(c, pa.int64()) for c in (one, two, sizes, prints)], pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "row", "s1", "s2", "size", "fp", "bands"])
 
     rows = docs.select(*_row(id_col, text_col), F.col(text_col).alias("text"))
-    return rows.mapInArrow(stage(run), "doc long, row long, s1 long, s2 long, size long, bands array<long>")
+    return rows.mapInArrow(stage(run), "doc long, row long, s1 long, s2 long, size long, fp long, bands array<long>")
 
 
 def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +171,7 @@ def confirmed(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
         held = np.zeros((64, 256), np.uint32)  # hashes of each member by their upper byte
-        keys = np.zeros((64, BANDS), np.int64)
+        keys = np.zeros((64, BANDS + 1), np.int64)
         label, side = np.zeros(64, np.int64), np.zeros(64, np.int64)
         for batch in batches:
             left, right = [], []
@@ -233,14 +236,17 @@ def _in_chunks(rows: DataFrame, key: str, similarity: float) -> DataFrame:
 def _values(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and each distinct shingle set (s1, s2) with its first row (doc, row) and its group.
 
-    Candidates share a band of minimum hashes. What bands chain together is a cluster. Clusters of up to ``LARGEST`` values are settled
+    SimHash comes first: fingerprints of the sets are joined by BK-trees (``linked``), and the class of a value is the first of its bands.
+    Candidates share that class or a band of minimum hashes. What bands chain together is a cluster. Clusters of up to ``LARGEST`` values are settled
     at once. In a larger one each band key is a shard of its own: first every member is held against the shard's
     leader, which joins most copies; shards that hold several groups after that are settled pair by pair, only between
     different groups, split by length (a set of similarity s has at least s times the other's size) and cut into chunks where they are still too large.
     """
     found = saved(sketches(docs, words, id_col, text_col))
-    values = found.groupBy("s1", "s2").agg(F.min(F.struct("doc", "row")).alias("first"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+    values = found.groupBy("s1", "s2").agg(F.min(F.struct("doc", "row")).alias("first"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
     values = saved(values.withColumn("id", F.monotonically_increasing_id()))
+    classes = linked(values.select("id", "fp"), RADIUS, id_col="id").select("id", F.col("component_id").alias("near"))
+    values = saved(values.join(classes, "id").withColumn("bands", F.concat(F.array("near"), "bands")).drop("near", "fp"))
     shards = values.select(F.posexplode("bands").alias("band", "key"), "id")
     many = shards.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     shards = saved(shards.join(many, ["band", "key"]))
@@ -306,8 +312,8 @@ def _large(sets: DataFrame, shards: DataFrame, values: DataFrame, similarity: fl
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns ``id_col`` and ``component_id`` (the smallest id of its group) for each row with an id.
 
-    Two rows link if the sets of their word shingles have at least the Jaccard similarity. Candidates share a
-    band of minimum hashes (a pair of similarity 0.8 misses all bands once in 5,500); every pair of candidates is
+    Two rows link if the sets of their word shingles have at least the Jaccard similarity. Candidates share a class of
+    near fingerprints or a band of minimum hashes (a pair of similarity 0.8 misses all bands once in 5,500); every pair of candidates is
     settled on whole shingle sets, or known to be linked already. Equal sets are one value from the start. Rows of equal id are rows of their own; rows with a null
     id link others, and are left out of the result.
     """

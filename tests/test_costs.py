@@ -47,3 +47,21 @@ def test_closure_ends_in_few_rounds_beside_cycles(spark, monkeypatch):
     found = joins.closure(spark.createDataFrame(list(parent.items()), "child long, parent long"), "child", "parent").collect()
     assert {r["node"]: r["root"] for r in found} == want and len(found) == len(parent) and None in want.values() and 0 in want.values()
     assert len(rounds) <= 9, len(rounds)  # the longest way has 46 steps; 13 rounds were made for 4,000 edges
+
+
+def test_near_copies_are_found_by_fingerprints_without_bands(spark, monkeypatch):
+    """The stage of the pipeline finds near copies by SimHash and BK-trees, also where no band of minimum hashes is shared."""
+    import random
+
+    from sparkmeter.llm import simhash
+
+    rng = random.Random(3)
+    keys = iter(range(1, 1 << 30))
+    monkeypatch.setattr(simhash, "sketches", lambda *a, real=simhash.sketches: real(*a).withColumn("bands", F.array(*[F.xxhash64("row", F.lit(b)) for b in range(simhash.BANDS)])))
+    base = [[f"w{rng.randrange(900)}" for _ in range(1500)] for _ in range(6)]
+    near = [" ".join(words[:-1]) for words in base]
+    docs = [(next(keys), " ".join(words)) for words in base] + [(next(keys), text) for text in near]
+    prints = [[simhash.fingerprint(simhash.np.unique(simhash.np.array(simhash.shingle_hashes(t.encode(), 5), dtype=simhash.np.uint64))) for t in pair] for pair in zip([" ".join(w) for w in base], near)]
+    close = [i for i, (a, b) in enumerate(prints) if (a ^ b).bit_count() <= simhash.RADIUS]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert close and kept == set(range(1, 13)) - {7 + i for i in close}
