@@ -15,11 +15,12 @@ repeat is possible, and suffix arrays are built over those only:
    cover; equal contexts (compared by hash) are repeats as a whole.
 3. For the rest, the window places around an anchor are dealt into ``parts`` ranges. The bytes that all
    windows of a range share are its core; contexts of equal core make a group, each written as the bytes left
-   of the core, one symbol for the core, and the bytes right of it. Suffix array and common prefixes over the
-   group tell which windows occur twice. A group of more than ``largest`` contexts is split by its next symbols: its
-   range is cut into narrow ones, whose cores are longer by the bytes next to the old core, and their groups go
-   through suffix arrays in turn. Where even these are too large, ranges of one place are left, whose cores are whole
-   windows: they are equal, and counting them is all there is to do.
+   of the core, one symbol for the core, and the bytes right of it. Bytes that no two contexts of the group tell
+   apart are one symbol, and a context that shares less than a window with any other is left out. Suffix array and
+   common prefixes over the group tell which windows occur twice. A group of more than ``largest`` contexts is split
+   by its next symbols: its range is cut into narrow ones, whose cores are longer by the bytes next to the old core,
+   and their groups go through suffix arrays in turn. Where even these are too large, ranges of one place are left,
+   whose cores are whole windows: they are equal, and counting them is all there is to do.
 
 Every count has map-side combine, and joins are on keys that AQE may split. Texts are keyed by a 128-bit
 hash, so copies share one key and ids may repeat or be null.
@@ -43,8 +44,8 @@ from .common import discard, prepare, saved, slices, stage, text_bytes
 WINDOW, GRAM, PARTS, LARGEST = 200, 100, 4, 4096
 #: Width of the ranges that a large group is cut into, and shares of a context's places that are counted apart.
 NARROW, SHARES = 6, 64
-#: Symbols in one suffix array, about; a larger group has its own.
-BATCH_SYMBOLS = 60_000
+#: Pieces in one suffix array, about; a larger group has its own.
+BATCH_PIECES = 4096
 #: Bytes that are hashed at a time; a longer text is cut into strips that overlap.
 STRIP_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -164,32 +165,108 @@ def common_prefixes(text: list[int], sa: list[int]) -> list[int]:
     return out
 
 
-def repeated_starts(strings: list[tuple[list[int], int]], length: int) -> list[list[int]]:
-    """For each sequence (symbols from 0 up, and how often it is there) the starts whose ``length`` symbols occur twice or more in all."""
-    if len(strings) == 1 and strings[0][1] < 2:
-        return [[]]
-    text: list[int] = []
-    owner, bases = [], []
-    for k, (symbols, _) in enumerate(strings):
-        bases.append(len(text))
-        text += symbols
-        text.append(-1 - k)  # its own mark, so no common prefix goes beyond a sequence
-        owner += [k] * (len(symbols) + 1)
-    sa = suffix_array(text)
-    shared = common_prefixes(text, sa)
-    hit: set[int] = set()
-    for at in range(1, len(sa)):
-        if shared[at] >= length:
-            hit.add(sa[at])
-            hit.add(sa[at - 1])
-    out: list[list[int]] = [[] for _ in strings]
-    for i in hit:
-        out[owner[i]].append(i - bases[owner[i]])
-    for k, (symbols, times) in enumerate(strings):
-        out[k] = list(range(len(symbols) - length + 1)) if times > 1 else sorted(out[k])
+class Sides(NamedTuple):
+    """The distinct bytes on one side of the cores: number of each piece's, and by number (group for group, in order) their sizes and the prefix that each shares with the one before it (-1: another group)."""
+
+    number: np.ndarray
+    sizes: np.ndarray
+    shared: np.ndarray
+
+
+def sides(group: np.ndarray, column: pa.Array, back: bool) -> Sides:
+    """The bytes of ``column``, read away from the core (``back``: from their end), numbered by group and order."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(ends)
+    reach = np.arange(max(8, -(-int(sizes.max()) // 8) * 8))
+    inside = reach < sizes[:, None]
+    text = np.zeros(inside.shape, np.uint8)
+    text[inside] = data[(ends[1:, None] - 1 - reach if back else ends[:-1, None] + reach)[inside]]
+    order = np.lexsort((sizes, *text.view(">u8").astype(np.uint64).T[::-1], group))
+    text, size, of = text[order], sizes[order], group[order]
+    equal = text[1:] == text[:-1]
+    common = np.where(equal.all(axis=1), len(reach), equal.argmin(axis=1))
+    common = np.where(of[1:] == of[:-1], np.minimum(common, np.minimum(size[1:], size[:-1])), -1)
+    new = np.ones(len(order), bool)
+    new[1:] = (common < size[1:]) | (size[1:] != size[:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return Sides(number, size[new], common[new[1:]])
+
+
+def branches(side: Sides, count: np.ndarray) -> np.ndarray:
+    """A symbol for each side and depth where it parts from others that it shared all bytes with up to there; else -1.
+
+    ``count``: how many sequences have this side. Sides that share a prefix have its symbol in common, and no others.
+    """
+    n = len(side.sizes)
+    deepest = int(side.sizes.max())
+    out = np.full((n, deepest), -1, np.int64)
+    for depth in range(1, deepest + 2):
+        new = np.ones(n, bool)
+        new[1:] = side.shared < depth
+        first = np.flatnonzero(new)
+        own = np.cumsum(new) - 1
+        here = np.add.reduceat(count, first)[own]
+        here[side.sizes < depth] = 0
+        if depth > 1:
+            ends = (before > 1) & (here < before)
+            out[ends, depth - 2] = symbol[ends]
+        if here.max() < 2:
+            break
+        before, symbol = here, first[own] + depth * n
     return out
 
 
+def repeated_starts(group: np.ndarray, width: np.ndarray, before: pa.Array, after: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows begin that occur twice or more among the pieces of a group, from one suffix array over all of them.
+
+    Pieces are bytes left of a core, the core, and ``width`` bytes at most right of it; a window has the core and ``width``
+    bytes. Returns the sequence of each piece (equal pieces are one), and runs of starts: sequence, first, last.
+    Bytes that no two sequences of a group tell apart are one symbol: a sequence is written as the places left
+    of the core where others part from it, the core, and such places right of it. Common prefixes end at such places only.
+    """
+    lefts, rights = sides(group, before, True), sides(group, after, False)
+    both, one, sequence, times = np.unique(lefts.number * len(rights.sizes) + rights.number, return_index=True, return_inverse=True, return_counts=True)
+    left, right = both // len(rights.sizes), both % len(rights.sizes)
+    width, size = width[one], lefts.sizes[left]
+    slack = size + rights.sizes[right] - width
+    whole = np.flatnonzero((times > 1) & (slack >= 0))
+    found = [(whole, np.zeros(len(whole), np.int64), slack[whole])]
+    marks_l, marks_r = (branches(s, np.bincount(k, minlength=len(s.sizes))) for s, k in ((lefts, left), (rights, right)))
+    nl, nr = marks_l.shape[1], marks_r.shape[1]
+    most = [((m >= 0) * np.arange(1, m.shape[1] + 1)).max(axis=1, initial=0) for m in (marks_l, marks_r)]
+    kept = np.flatnonzero(most[0][left] + most[1][right] >= width)  # the others share less than a window with any
+    if len(kept):
+        symbols = np.empty((len(kept), nl + nr + 2), np.int64)
+        symbols[:, :nl] = marks_l[left[kept], ::-1]
+        symbols[:, nl] = group[one[kept]]
+        symbols[:, nl + 1 : -1] = marks_r[right[kept]]
+        symbols[:, -1] = np.arange(len(kept))  # its own mark, so no common prefix goes beyond a sequence
+        own, at = np.nonzero(symbols >= 0)
+        kind = (at >= nl).astype(np.int64) + (at > nl) + (at > nl + nr)
+        text = np.unique(symbols[own, at] * 4 + kind, return_inverse=True)[1].tolist()
+        sa = suffix_array(text)
+        shared = np.array([*common_prefixes(text, sa), 0])
+        longest = np.zeros(len(text), np.int64)
+        longest[sa] = np.maximum(shared[:-1], shared[1:])
+        begin = np.flatnonzero((at <= nl) & (longest > 0))
+        back, on = nl - at[begin], at[begin + longest[begin] - 1] - nl  # bytes left and right of the core
+        sequences = kept[own[begin]]
+        ok = (on >= 0) & (back + on >= width[sequences])
+        sequences, back, on = sequences[ok], back[ok], on[ok]
+        found.append((sequences, size[sequences] - back, size[sequences] - np.maximum(0, width[sequences] - on)))
+    of, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((first, of))
+    of, first, last = of[order], first[order], last[order]
+    far = int(size.max()) + 2
+    until = np.maximum.accumulate(last + of * far)
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (first[1:] + of[1:] * far > until[:-1] + 1)
+    end = np.append(new[1:], True)[: len(of)]
+    return sequence, of[new], first[new], (until - of * far)[end]
+
+
 # --- anchors -----------------------------------------------------------------------------------------
 
 
@@ -436,52 +513,37 @@ def cores(rows: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
 
 def by_suffix_array(grouped: DataFrame, window: int) -> DataFrame:
     """Spans of repeated windows in groups of equal core, from suffix arrays over batches of whole groups."""
-    kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32()
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
-
-    def settle(width: int, groups: list[dict]) -> Iterator[tuple]:
-        strings, owners = [], []
-        for core, group in enumerate(groups):
-            for (before, after), members in group.items():
-                strings.append(([*before, 256 + core, *after], len(members)))
-                owners.append(members)
-        for members, starts in zip(owners, repeated_starts(strings, width + 1), strict=True):
-            if starts:
-                runs = np.split(np.array(starts), np.flatnonzero(np.diff(starts) > 1) + 1)
-                for k1, k2, at, single in members:
-                    if single:
-                        for run in runs:
-                            yield k1, k2, at + int(run[0]), at + int(run[-1]) + window
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        pieces = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        width, core, k1, k2, at, single = (pieces.column(k).to_numpy(zero_copy_only=False) for k in ("width", "core", "k1", "k2", "at", "single"))
+        group = np.append(0, np.cumsum((width[1:] != width[:-1]) | (core[1:] != core[:-1])))
+        sequence, of, first, last = repeated_starts(group, width.astype(np.int64), pieces.column("before"), pieces.column("after"))
+        rows = np.flatnonzero(single)
+        low, high = (np.searchsorted(of, sequence[rows], side) for side in ("left", "right"))
+        many = high - low
+        run = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - low, many)
+        rows = np.repeat(rows, many)
+        arrays = [pa.array(k1[rows]), pa.array(k2[rows]), pa.array(at[rows] + first[run], pa.int32()), pa.array(at[rows] + last[run] + window, pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
-        def pack() -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["k1", "k2", "first", "last"])
-
-        groups: list[dict] = []
-        now, size = None, 0
-        for width, core, before, after, k1, k2, at, single in rows(batches):
-            if (width, core) != now:
-                if now and (size >= BATCH_SYMBOLS or width != now[0]):
-                    out += settle(now[0], groups)
-                    groups, size = [], 0
-                    if len(out) > 20_000:
-                        yield pack()
-                        out.clear()
-                now = width, core
-                groups.append({})
-            members = groups[-1].setdefault((before, after), [])
-            if not members:
-                size += len(before) + len(after) + 2
-            members.append((k1, k2, at, single))
-        if now:
-            out += settle(now[0], groups)
-        yield pack()
+        held: list[pa.RecordBatch] = []
+        size, before = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1)], axis=1)
+            new = np.append(bool(held) and (keys[0] != before).any(), (keys[1:] != keys[:-1]).any(axis=1))
+            before = keys[-1]
+            if size + len(keys) >= BATCH_PIECES and new.any():
+                begin = int(np.flatnonzero(new)[-1])
+                yield settle([*held, batch.slice(0, begin)])
+                held, size, batch = [], 0, batch.slice(begin)
+            held.append(batch)
+            size += batch.num_rows
+        if held:
+            yield settle(held)
 
     dealt = grouped.select("width", "core", "before", "after", "k1", "k2", "at", "single")
     dealt = dealt.repartition("core", "width").sortWithinPartitions("width", "core")

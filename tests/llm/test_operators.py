@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,6 +424,55 @@ def test_repeats_against_brute_force(spark, largest):
     assert suffixes.remove_repeats(docs(spark, []), window=40, gram=20).count() == 0
 
 
+class Pieces:
+    """Pieces of contexts in the place of a frame, so that a stage runs in this process."""
+
+    def __init__(self, rows):
+        names = ["width", "core", "before", "after", "k1", "k2", "at", "single"]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        self.rows = pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    def select(self, *names):
+        self.rows = self.rows.select(list(names))
+        return self
+
+    def repartition(self, *names):
+        return self
+
+    def sortWithinPartitions(self, *names):
+        self.rows = self.rows.sort_by([(n, "ascending") for n in names])
+        return self
+
+    def mapInArrow(self, run, schema):
+        return [r for b in run(iter(self.rows.to_batches(max_chunksize=64))) for r in zip(*[c.to_pylist() for c in b.columns])]
+
+
+def test_groups_put_few_symbols_into_suffix_arrays(monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for core in range(120):
+        width = 24 + core % 2
+        passage = bytes(rng.randrange(256) for _ in range(2 * width))
+        for _ in range(rng.choice([2, 3, 9, 30])):  # pieces that leave a common passage, or pad it with zeros, at any place
+            a, b = rng.randrange(width + 1), rng.randrange(width + 1)
+            left, right = (bytes(rng.choice([0, 0, 7, 8]) for _ in range(n)) for n in (a, b))
+            before, after = (left + passage[a:width])[rng.choice([0, 0, 5]) :], (passage[width : 2 * width - b] + right)[: width - rng.choice([0, 0, 5])]
+            for _ in range(rng.choice([1, 1, 1, 2])):
+                rows.append((width, core, before, after, len(rows), 1, rng.randrange(1000), rng.random() < 0.9))
+    seen = collections.Counter((w, c, before[i:], after[: w - len(before) + i]) for w, c, before, after, *_ in rows for i in range(len(before) + 1) if 0 <= w - len(before) + i <= len(after))
+    want = set()
+    for w, c, before, after, k1, _, at, single in rows:
+        starts = [i for i in range(len(before) + 1) if 0 <= w - len(before) + i <= len(after) and seen[w, c, before[i:], after[: w - len(before) + i]] > 1]
+        want |= {(k1, at + i + j) for i in starts for j in range(200)} if single else set()
+    symbols = []
+    whole = suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda text: symbols.append(len(text)) or whole(text))
+    monkeypatch.setattr(suffixes, "BATCH_PIECES", 100, raising=False)
+    found = suffixes.by_suffix_array(Pieces(rows), 200)
+    assert {(k1, x) for k1, _, first, last in found for x in range(first, last)} == want and len(want) > 10_000
+    assert 0 < sum(symbols) < 20 * len(rows)  # as bytes they are some 50 each
+
+
 # --- 7 SimHash ---------------------------------------------------------------------------------------
 
 
